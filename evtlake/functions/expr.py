@@ -10,8 +10,8 @@ INF = float("inf")
 
 
 def finite(value: Column) -> Column:
-    """True for a non-null number that is neither NaN nor infinite."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(INF))
+    """True for a number that is neither NaN nor infinite, NULL for NULL; Spark sorts NaN above infinity."""
+    return F.abs(value) < F.lit(INF)
 
 
 def softplus(raw: Column, floor: float = 1e-6) -> Column:
@@ -38,7 +38,8 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 def angle(a: Sequence[Column], b: Sequence[Column], margin: float = 1e-7) -> Column:
     """Angle in radians between two vectors; the cosine stays ``margin`` away from +-1."""
-    return F.acos(clamp(dot(unit(a), unit(b)), -1 + margin, 1 - margin))
+    lengths = [F.greatest(norm(v), F.lit(1e-12)) for v in (a, b)]
+    return F.acos(clamp(dot(a, b) / lengths[0] / lengths[1], -1 + margin, 1 - margin))
 
 
 def log_energy(energy: Column, policy: str) -> Column:

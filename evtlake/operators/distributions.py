@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp, pi, sqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evtlake.functions.expr import finite
 from evtlake.plans import binning
@@ -19,21 +19,16 @@ Range = tuple[float, float] | None
 PROFILE_PROBS = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
 
-def _ends(df: DataFrame, value: str, limits: Range) -> tuple[Column, Column]:
-    if limits is None:
-        return binning.value_range(df, value)
-    return F.lit(float(limits[0])), F.lit(float(limits[1]))
-
-
 def histogram_1d(df: DataFrame, value: str, bins: int = 50, limits: Range = None, density: bool = False) -> DataFrame:
     """(bin, low, high, count) and, on request, density; every bin has a row."""
-    rows = df.select(value).where(finite(F.col(value)))
-    low, high = _ends(rows, value, limits)
-    counts = rows.select(binning.bin_number(F.col(value), low, high, bins).alias("bin")).where(
+    rows = df.select(F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    ends = binning.span(rows, "_v", limits)
+    counts = binning.with_bin(rows.withColumn("_e", ends), "_v", "_e", bins, "bin").where(
         F.col("bin").isNotNull()).groupBy("bin").count()
-    out = binning.fill_grid(counts, binning.grid(df, bin=bins), ["bin"], ["count"])
+    out = binning.fill_grid(counts, binning.grid(df, bin=bins), ["bin"], ["count"]).withColumn("_e", ends)
     out = out.withColumns({
-        "low": binning.edge(low, high, bins, F.col("bin")), "high": binning.edge(low, high, bins, F.col("bin") + 1)})
+        "low": binning.edge(F.col("_e"), bins, F.col("bin")),
+        "high": binning.edge(F.col("_e"), bins, F.col("bin") + 1)}).drop("_e")
     if density:
         total = F.sum("count").over(Window.partitionBy())
         out = out.withColumn("density", F.col("count") / (total * (F.col("high") - F.col("low"))))
@@ -57,50 +52,48 @@ def kde_1d(df: DataFrame, value: str, points: int = 200, limits: Range = None) -
     rows = df.select(F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
     if limits is not None:
         rows = rows.where(F.col("_v").between(*limits))
-    low, high = _ends(rows, "_v", limits)
+    low, high = F.col("_f.e.lo"), F.col("_f.e.hi")
     facts = rows.agg(F.struct(
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("e"),
         (F.stddev_samp("_v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"))).scalar()
     step = (high - low) / F.lit(float(points - 1))
     # kernels are evaluated in units of the bandwidth
-    scaled = rows.select((F.col("_v") / facts["h"]).alias("_s"), (low / facts["h"]).alias("_l"),
-                         (step / facts["h"]).alias("_d"))
+    scaled = rows.withColumn("_f", facts).select(
+        ((low - F.col("_v")) / F.col("_f.h")).alias("_s"), (step / F.col("_f.h")).alias("_d"))
     unfolded = scaled.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    z = F.col("_l") + F.col("point") * F.col("_d") - F.col("_s")
+    z = F.col("_s") + F.col("point") * F.col("_d")
     sums = unfolded.groupBy("point").agg(F.sum(F.exp(-0.5 * z * z)).alias("_k"))
-    return sums.select(
+    return sums.withColumn("_f", facts).select(
         "point", (low + F.col("point") * step).alias("x"),
-        (F.col("_k") / (facts["n"] * facts["h"] * sqrt(2 * pi))).alias("density"))
+        (F.col("_k") / (F.col("_f.n") * F.col("_f.h") * sqrt(2 * pi))).alias("density"))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: tuple[int, int], x_limits: Range = None,
-                 y_limits: Range = None) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
-    """Counts of all cells (xb, yb), and the axis ranges."""
+                 y_limits: Range = None) -> DataFrame:
+    """Counts of all cells (xb, yb)."""
     rows = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         finite(F.col("_x")) & finite(F.col("_y")))
-    ends = {"x": _ends(rows, "_x", x_limits), "y": _ends(rows, "_y", y_limits)}
-    counts = rows.select(
-        binning.bin_number(F.col("_x"), *ends["x"], bins[0]).alias("xb"),
-        binning.bin_number(F.col("_y"), *ends["y"], bins[1]).alias("yb"),
-    ).where(F.col("xb").isNotNull() & F.col("yb").isNotNull()).groupBy("xb", "yb").count()
-    return binning.fill_grid(counts, binning.grid(df, xb=bins[0], yb=bins[1]), ["xb", "yb"], ["count"]), ends
+    rows = rows.withColumns({
+        "_ex": binning.span(rows, "_x", x_limits), "_ey": binning.span(rows, "_y", y_limits)})
+    placed = binning.with_bin(binning.with_bin(rows, "_x", "_ex", bins[0], "xb"), "_y", "_ey", bins[1], "yb")
+    counts = placed.where(F.col("xb").isNotNull() & F.col("yb").isNotNull()).groupBy("xb", "yb").count()
+    return binning.fill_grid(counts, binning.grid(df, xb=bins[0], yb=bins[1]), ["xb", "yb"], ["count"])
 
 
 def histogram_2d_colnorm(df: DataFrame, x: str, y: str, bins: tuple[int, int] = (50, 50),
                          x_limits: Range = None, y_limits: Range = None) -> DataFrame:
     """Cells normalised inside their x-bin; an empty x-bin gives zeros."""
-    cells, _ = histogram_2d(df, x, y, bins, x_limits, y_limits)
+    cells = histogram_2d(df, x, y, bins, x_limits, y_limits)
     column = F.sum("count").over(Window.partitionBy("xb"))
     return cells.withColumn("share", F.when(column > 0, F.col("count") / column).otherwise(F.lit(0.0)))
 
 
-def histogram_2d_density(df: DataFrame, x: str, y: str, x_limits: Range, y_limits: Range,
-                         bins: tuple[int, int] = (50, 50), floor: float = 1e-5) -> DataFrame:
+def histogram_2d_density(df: DataFrame, x: str, y: str, x_limits: tuple[float, float],
+                         y_limits: tuple[float, float], bins: tuple[int, int] = (50, 50),
+                         floor: float = 1e-5) -> DataFrame:
     """Cells as density over the area inside the limits; cells below ``floor`` are hidden."""
-    cells, ends = histogram_2d(df, x, y, bins, x_limits, y_limits)
-    area = 1.0
-    for axis, n in zip("xy", bins):
-        area = area * (ends[axis][1] - ends[axis][0]) / float(n)
+    cells = histogram_2d(df, x, y, bins, x_limits, y_limits)
+    area = (x_limits[1] - x_limits[0]) / bins[0] * (y_limits[1] - y_limits[0]) / bins[1]
     total = F.sum("count").over(Window.partitionBy())
     return cells.withColumn("density", F.try_divide(F.col("count").cast("double"), total * area)).where(
         F.col("density") >= floor)
@@ -127,9 +120,9 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
     """
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         finite(F.col("_x")) & finite(F.col("_y")))
-    low, high = _ends(rows, "_x", limits)
-    binned = rows.where(F.col("_x") < high).select(
-        *keys, binning.bin_number(F.col("_x"), low, high, bins).alias("bin"), "_y").where(F.col("bin").isNotNull())
+    ends = binning.span(rows, "_x", limits)
+    binned = binning.with_bin(rows.withColumn("_e", ends), "_x", "_e", bins, "bin").where(
+        (F.col("_x") < F.col("_e.hi")) & F.col("bin").isNotNull()).select(*keys, "bin", "_y")
     by = [*keys, "bin"]
     stats = binned.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms"))
     ranked = exact_quantiles(binned, "_y", PROFILE_PROBS, by)
@@ -138,9 +131,9 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
             *keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     else:
         cells = binning.grid(df, bin=bins)
-    centre = (binning.edge(low, high, bins, F.col("bin")) + binning.edge(low, high, bins, F.col("bin") + 1)) / 2.0
-    return (
-        cells.join(stats, by, "left").join(ranked, by, "left").na.fill(0, ["n"]).withColumn("centre", centre))
+    out = cells.join(stats, by, "left").join(ranked, by, "left").na.fill(0, ["n"]).withColumn("_e", ends)
+    middle = [binning.edge(F.col("_e"), bins, F.col("bin") + i) for i in (0, 1)]
+    return out.withColumn("centre", (middle[0] + middle[1]) / 2.0).drop("_e")
 
 
 def smooth_profile(profile: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), bins: int = 20,

@@ -66,7 +66,8 @@ def _score_steps(df: DataFrame, probs: str, label: str, num_classes: int) -> tup
     blocks = ordering.sorted_blocks(steps, [F.col("class"), falling])
     ranked = ordering.running_totals(
         blocks, {"tp": F.col("p"), "fp": F.col("q")}, ["_blk"], [falling], ["class"], inclusive=True)
-    totals = blocks.groupBy("class").agg(F.sum("p").alias("P"), F.sum("q").alias("Q")).where(F.col("P") > 0)
+    totals = blocks.groupBy("class").agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives")).where(
+        F.col("positives") > 0)
     return ranked, totals
 
 
@@ -78,7 +79,7 @@ def roc_curve(df: DataFrame, probs: str, label: str, num_classes: int) -> DataFr
     ranked, totals = _score_steps(df, probs, label, num_classes)
     points = ranked.join(F.broadcast(totals), "class").select(
         "class", "threshold",
-        F.try_divide(F.col("fp").cast("double"), "Q").alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+        F.try_divide(F.col("fp").cast("double"), "negatives").alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
     start = totals.select(
         "class", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
@@ -93,7 +94,7 @@ def roc_auc(df: DataFrame, probs: str, label: str, num_classes: int) -> DataFram
     ranked, totals = _score_steps(df, probs, label, num_classes)
     area = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2.0))
     return ranked.groupBy("class").agg(area.alias("_a")).join(F.broadcast(totals), "class").select(
-        "class", F.try_divide("_a", F.col("P").cast("double") * F.col("Q")).alias("auc"))
+        "class", F.try_divide("_a", F.col("positives").cast("double") * F.col("negatives")).alias("auc"))
 
 
 # --- error summaries ------------------------------------------------------------------

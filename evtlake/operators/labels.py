@@ -94,6 +94,6 @@ def finite_only(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataF
     """Rows whose metric columns are all finite, and a one-row report."""
     good = F.lit(True)
     for c in columns:
-        good = good & finite(F.col(c))
+        good = good & F.coalesce(finite(F.col(c)), F.lit(False))
     report = df.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
     return df.where(good), report

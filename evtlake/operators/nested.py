@@ -46,6 +46,13 @@ def event_stats(sensors: DataFrame, key: str = "event_id", charge: str = "c_tota
         F.count("*").alias("num_sensors"), F.sum(charge).alias("total_charge"))
 
 
+def list_stats(first: str, charge: str) -> tuple[Column, Column]:
+    """The same from the lists of a nested row, without unfolding them."""
+    size = F.size(first)
+    single = F.transform(F.slice(charge, F.lit(1), size), lambda c: c.cast("float").cast("double"))
+    return size.cast("long"), F.aggregate(single, F.lit(0.0), lambda a, c: a + c)
+
+
 def with_event_stats(events: DataFrame, sensors: DataFrame, key: str = "event_id") -> DataFrame:
     """``event_stats`` on all events; those without sensors get zeros."""
     return events.join(event_stats(sensors, key), key, "left").na.fill(

@@ -32,17 +32,24 @@ def integrity_checks(index: DataFrame, sensors: DataFrame, source_events: DataFr
 
 
 def split_checks(train: DataFrame, val: DataFrame, full: DataFrame) -> DataFrame:
-    """One row: overlap of the two sides, their coverage, and what the full set misses or exceeds."""
-    both = train.unionByName(val)
-    measures = {
-        "overlap": train.intersect(val),
-        "covered": both.distinct(),
-        "missing": full.exceptAll(both),
-        "extra": both.exceptAll(full),
-        "full_events": full,
-    }
-    return train.sparkSession.range(1).select(
-        *[d.agg(F.count("*")).scalar().alias(n) for n, d in measures.items()])
+    """One row: overlap of the two sides, their coverage, and what the full set misses or exceeds.
+
+    All set comparisons come from one count of each event per side.
+    """
+    sides = {"train": train, "val": val, "full": full}
+    tagged = None
+    for name, side in sides.items():
+        rows = side.withColumn("_side", F.lit(name))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    seen = tagged.groupBy(*full.columns).agg(*[F.count_if(F.col("_side") == s).alias(s) for s in sides])
+    both = F.col("train") + F.col("val")
+    surplus = lambda a, b: F.coalesce(F.sum(F.greatest(a - b, F.lit(0))), F.lit(0))
+    return seen.agg(
+        F.count_if((F.col("train") > 0) & (F.col("val") > 0)).alias("overlap"),
+        F.count_if(both > 0).alias("covered"),
+        surplus(F.col("full"), both).alias("missing"),
+        surplus(both, F.col("full")).alias("extra"),
+        F.coalesce(F.sum("full"), F.lit(0)).alias("full_events"))
 
 
 def mean_pool(df: DataFrame, group: str, vector: str, mask: str | None = None) -> DataFrame:

@@ -7,37 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def value_range(df: DataFrame, value: str) -> tuple[Column, Column]:
-    """Minimum and maximum as scalars; a constant column is widened by half a unit each way."""
+def span(df: DataFrame, value: str, limits: tuple[float, float] | None = None) -> Column:
+    """Struct (lo, hi): the given limits, or minimum and maximum from one pass.
+
+    A constant column is widened by half a unit each way.
+    """
+    if limits is not None:
+        return F.struct(F.lit(float(limits[0])).alias("lo"), F.lit(float(limits[1])).alias("hi"))
     low, high = F.min(value), F.max(value)
     flat = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-    ends = df.agg(F.struct((low - flat).alias("lo"), (high + flat).alias("hi"))).scalar()
-    return ends["lo"], ends["hi"]
+    return df.agg(F.struct((low - flat).alias("lo"), (high + flat).alias("hi"))).scalar()
 
 
-def edge(low: Column, high: Column, bins: int, i: Column) -> Column:
-    """Edge ``i``; the last one is ``high`` itself, free of rounding."""
-    return F.when(i == bins, high).otherwise(low + i * ((high - low) / F.lit(float(bins))))
+def edge(ends: Column, bins: int, i: Column) -> Column:
+    """Edge ``i``; the last one is the upper end itself, free of rounding."""
+    return F.when(i == bins, ends["hi"]).otherwise(
+        ends["lo"] + i * ((ends["hi"] - ends["lo"]) / F.lit(float(bins))))
 
 
-def bin_number(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based bin, NULL outside [low, high]; the maximum belongs to the last bin.
+def with_bin(df: DataFrame, value: str, ends: str, bins: int, out: str) -> DataFrame:
+    """Add the 0-based bin of a value, NULL outside the range; the maximum is in the last bin.
 
-    The division only guesses; the comparison with the edges decides, so that values on
-    an edge go where the edges say.
+    ``ends`` is a column made by ``span``. A division guesses the bin and the edges
+    decide, so values on an edge go where the edges say. The steps are columns of their
+    own, because inlining them would repeat the value's expression many times.
     """
-    width = (high - low) / F.lit(float(bins))
-    guess = F.least(F.greatest(F.floor((value - low) / width), F.lit(0)), F.lit(bins - 1))
-    down = F.when(value < edge(low, high, bins, guess), 1).otherwise(0)
-    up = F.when((guess < bins - 1) & (value >= edge(low, high, bins, guess + 1)), 1).otherwise(0)
-    return F.when((value >= low) & (value <= high), (guess - down + up).cast("int"))
-
-
-def with_ends(df: DataFrame, ends: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Attach ranges as columns ``_<name>_lo`` and ``_<name>_hi``."""
-    for name, (low, high) in ends.items():
-        df = df.withColumn(f"_{name}_lo", low).withColumn(f"_{name}_hi", high)
-    return df
+    v, e = F.col(value), F.col(ends)
+    guess = F.floor((v - e["lo"]) / ((e["hi"] - e["lo"]) / F.lit(float(bins))))
+    df = df.withColumn("_g", F.least(F.greatest(guess, F.lit(0)), F.lit(bins - 1)).cast("int"))
+    g = F.col("_g")
+    down = F.when(v < edge(e, bins, g), 1).otherwise(0)
+    up = F.when((g < bins - 1) & (v >= edge(e, bins, g + 1)), 1).otherwise(0)
+    inside = (v >= e["lo"]) & (v <= e["hi"])
+    return df.withColumn(out, F.when(inside, g - down + up).cast("int")).drop("_g")
 
 
 def grid(like: DataFrame, **sizes: int) -> DataFrame:

@@ -2,14 +2,14 @@
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here a
 quantile sketch with a known rank error brackets each wanted rank, the second pass counts
-the rows below the bracket and the values inside it, and only those few values are sorted.
+the rows on both sides and the values inside it, and only those few values are sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.functions.expr import finite
 
@@ -43,35 +43,42 @@ def exact_quantiles(
     else:
         whole = sketch.select(F.struct("_n", "_b")).scalar()
         spread = rows.select("_v", whole["_n"].alias("_n"), whole["_b"].alias("_b"))
-    # per probability: rows below the bracket share one NULL entry, rows inside keep their value
+    # per probability a row is below, inside or above the bracket
+    v = F.col("_v")
     marks = F.array(*[
-        F.when(F.col("_v") < F.col("_b")[2 * i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
-        .when(F.col("_v") <= F.col("_b")[2 * i + 1], F.struct(F.lit(i).alias("i"), F.col("_v").alias("v")))
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(v < F.col("_b")[2 * i], 0).when(v <= F.col("_b")[2 * i + 1], 1).otherwise(2).alias("side"))
         for i in range(len(ps))
     ])
+    entry = ["_i", "_side", F.when(F.col("_side") == 1, v).alias("_at")]
     counted = (
-        spread.select(*keys, "_n", F.explode(F.array_compact(marks)).alias("_m"))
-        .groupBy(*keys, "_n", F.col("_m.i").alias("_i"), F.col("_m.v").alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        spread.select(*keys, "_n", "_v", F.inline(marks).alias("_i", "_side"))
+        .groupBy(*keys, "_n", *entry)
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_at")
     h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("_i") + 1)
     ranked = (
         counted.withColumn("_u", F.sum("_c").over(upto))
-        .withColumn("_k", F.floor(h))
-        .withColumn("_f", h - F.col("_k"))
+        .withColumn("_h", h).withColumn("_k", F.floor("_h"))
+        .withColumn("_next", F.least(F.col("_k") + 1, F.col("_n") - 1))
     )
-    inside = F.col("_v").isNotNull()
-    covered = F.col("_u") - F.col("_c") <= F.col("_k")
+
+    def at(rank: Column) -> Column:
+        """Value at a rank: of an inside value, or next to the bracket."""
+        first, last = F.col("_u") - F.col("_c"), F.col("_u") - 1
+        known = (
+            F.when((F.col("_side") == 0) & (rank == last), F.col("_max"))
+            .when((F.col("_side") == 2) & (rank == first), F.col("_min"))
+            .when((F.col("_side") == 1) & rank.between(first, last), F.col("_at")))
+        return F.max(known)
+
     neighbours = ranked.groupBy(*keys, "_i").agg(
-        F.first("_f").alias("_f"),
-        F.min(F.when(inside & (F.col("_u") > F.col("_k")), F.col("_v"))).alias("_lo"),
-        F.min(F.when(inside & (F.col("_u") > F.least(F.col("_k") + 1, F.col("_n") - 1)), F.col("_v"))).alias("_hi"),
-        F.bool_or(covered & inside & (F.col("_u") > F.col("_k"))).alias("_ok"),
-    )
-    lower = F.when(F.col("_ok") & F.col("_hi").isNotNull(), F.col("_lo")).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    result = lower if method == "lower" else lower + F.col("_f") * (F.col("_hi") - F.col("_lo"))
+        F.first(F.col("_h") - F.col("_k")).alias("_f"), at(F.col("_k")).alias("_lo"), at(F.col("_next")).alias("_hi"))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
+    result = low if method == "lower" else low + F.col("_f") * (high - low)
     picked = neighbours.select(*keys, "_i", result.alias("_q"))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])

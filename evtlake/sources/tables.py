@@ -30,10 +30,14 @@ def event_tables(
     base = F.col("first_pos") if "first_pos" in rows.columns else None
     sensors = nested.explode_sensors(rows, [key, "dataset_id"], base).select(
         key, "dataset_id", "pos", *[F.col(f).cast("float").alias(f) for f in codes.SENSOR_COLUMNS])
-    first = rows.where(F.col("first_pos") == 0) if "first_pos" in rows.columns else rows
     kept = dict.fromkeys([key, file, "dataset_id", *levels, *order, *codes.TRUTH_COLUMNS, codes.MORPHOLOGY_COLUMN])
-    described = labels.morphology_codes(first.select(*kept))
-    filled = described.join(nested.event_stats(sensors, key), key)
+    size, charge = nested.list_stats(
+        codes.SENSOR_COLUMNS["x"], codes.SENSOR_COLUMNS["c_total"])
+    sized = rows.select(*kept, size.alias("num_sensors"), charge.alias("total_charge"))
+    if base is not None:
+        sized = sized.groupBy(*kept).agg(
+            F.sum("num_sensors").alias("num_sensors"), F.sum("total_charge").alias("total_charge"))
+    filled = labels.morphology_codes(sized.where(F.col("num_sensors") > 0))
     index = nested.sensor_offsets(filled, levels, order)
     return index.select(key, *[F.col(c).cast(t).alias(c) for c, t in INDEX_TYPES.items()]), sensors
 

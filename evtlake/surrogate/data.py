@@ -37,6 +37,13 @@ def full_events(spark, sf):
     return v.in_blocks(labels.morphology_codes(kept))
 
 
+def nested_files(spark, sf):
+    """Nested events as files, the form that sources arrive in."""
+    path = ordering.scratch_path(spark, "nested")
+    v.nested_events(spark, sf).write.parquet(path)
+    return path
+
+
 # --- sources ------------------------------------------------------------------------
 
 
@@ -45,8 +52,7 @@ def full_events(spark, sf):
     "round(mc_primary_energy,4) AS energy, mc_event_morphology AS morphology FROM ev LEFT JOIN "
     f"(SELECT event_id, {NESTED}, count(*) AS n, sum(c_total) AS c FROM se GROUP BY 1,2) n USING (event_id)", "ev", "se"))
 def scan_events(spark, sf):
-    path = ordering.scratch_path(spark, "nested")
-    v.nested_events(spark, sf).write.parquet(path)
+    path = nested_files(spark, sf)
     found = scan.scan_events(spark, [path], ["event_id", "chunk"])
     return found.select(
         "event_id", "chunk", F.size(S["x"]).cast("long").alias("n_points"),
@@ -130,7 +136,7 @@ F32 = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
        "WHERE num_sensors > 0")))
 def write_event_tables(spark, sf):
     path = ordering.scratch_path(spark, "tables")
-    source = v.nested_events(spark, sf)
+    source = scan.scan_events(spark, [nested_files(spark, sf)], ["event_id", "file_path", "first_pos"])
     conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "file_path", "first_pos"]))
     index, sensors = tables.event_tables(
         conformed, "event_id", "file_path", ["file_path", "block"], ["event_id"])
@@ -284,12 +290,12 @@ def rescale_points(spark, sf):
     return _points(nested.rescale_points(nested.assemble_points(v.nested_events(spark, sf))))
 
 
-@query(v.sql("SELECT event_id, pos, round((c_total-30000)/20000e0,6) AS c_total, round((t_first-500)/300e0,6) AS t_first, "
-             "round(x,6) AS x FROM se", "se"))
+@query(v.sql("SELECT event_id, pos, round((c_total-30000)/20000e0,8) AS c_total, round((t_first-500)/300e0,8) AS t_first, "
+             "round(x,8) AS x FROM se", "se"))
 def standardise_features(spark, sf):
     found = nested.standardise_features(
         v.sensors(spark, sf), {"c_total": (30000.0, 20000.0), "t_first": (500.0, 300.0), "absent": (0.0, 1.0)})
-    return rounded(found.select("event_id", "pos", "c_total", "t_first", "x"))
+    return rounded(found.select("event_id", "pos", "c_total", "t_first", "x"), 8)
 
 
 def _spoiled(spark, sf):
