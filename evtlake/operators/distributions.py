@@ -21,10 +21,9 @@ PROFILE_PROBS = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
 def histogram_1d(df: DataFrame, value: str, bins: int = 50, limits: Range = None, density: bool = False) -> DataFrame:
     """(bin, low, high, count) and, on request, density; every bin has a row."""
-    rows = df.select(F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    rows = df.select(F.col(value).cast("double").alias("_v"))
     ends = binning.span(rows, "_v", limits)
-    counts = binning.with_bin(rows.withColumn("_e", ends), "_v", "_e", bins, "bin").where(
-        F.col("bin").isNotNull()).groupBy("bin").count()
+    counts = binning.with_bin(rows.withColumn("_e", ends), "_v", "_e", bins, "bin").groupBy("bin").count()
     out = binning.fill_grid(counts, binning.grid(df, bin=bins), ["bin"], ["count"]).withColumn("_e", ends)
     out = out.withColumns({
         "low": binning.edge(F.col("_e"), bins, F.col("bin")),
@@ -68,15 +67,21 @@ def kde_1d(df: DataFrame, value: str, points: int = 200, limits: Range = None) -
         (F.col("_k") / (F.col("_f.n") * F.col("_f.h") * sqrt(2 * pi))).alias("density"))
 
 
+def _pairs(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Both values where both are finite, else NULLs."""
+    rows = df.select(*keys, F.col(x).cast("double").alias("_a"), F.col(y).cast("double").alias("_b"))
+    both = finite(F.col("_a")) & finite(F.col("_b"))
+    return rows.select(*keys, F.when(both, F.col("_a")).alias("_x"), F.when(both, F.col("_b")).alias("_y"))
+
+
 def histogram_2d(df: DataFrame, x: str, y: str, bins: tuple[int, int], x_limits: Range = None,
                  y_limits: Range = None) -> DataFrame:
     """Counts of all cells (xb, yb)."""
-    rows = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
-        finite(F.col("_x")) & finite(F.col("_y")))
+    rows = _pairs(df, x, y)
     rows = rows.withColumns({
         "_ex": binning.span(rows, "_x", x_limits), "_ey": binning.span(rows, "_y", y_limits)})
     placed = binning.with_bin(binning.with_bin(rows, "_x", "_ex", bins[0], "xb"), "_y", "_ey", bins[1], "yb")
-    counts = placed.where(F.col("xb").isNotNull() & F.col("yb").isNotNull()).groupBy("xb", "yb").count()
+    counts = placed.groupBy("xb", "yb").count()
     return binning.fill_grid(counts, binning.grid(df, xb=bins[0], yb=bins[1]), ["xb", "yb"], ["count"])
 
 
@@ -118,20 +123,19 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
 
     Bins are half-open, so rows at the largest x belong to none. Empty bins have NULLs.
     """
-    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
-        finite(F.col("_x")) & finite(F.col("_y")))
+    rows = _pairs(df, x, y, keys)
     ends = binning.span(rows, "_x", limits)
-    binned = binning.with_bin(rows.withColumn("_e", ends), "_x", "_e", bins, "bin").where(
-        (F.col("_x") < F.col("_e.hi")) & F.col("bin").isNotNull()).select(*keys, "bin", "_y")
+    placed = binning.with_bin(rows.withColumn("_e", ends), "_x", "_e", bins, "bin")
+    binned = placed.select(*keys, F.when(F.col("_x") < F.col("_e.hi"), F.col("bin")).alias("bin"), "_y")
     by = [*keys, "bin"]
-    stats = binned.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms"))
+    stats = binned.groupBy(*by).agg(F.count("_y").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms"))
     ranked = exact_quantiles(binned, "_y", PROFILE_PROBS, by)
     if keys:
         cells = rows.select(*keys).distinct().select(
             *keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     else:
         cells = binning.grid(df, bin=bins)
-    out = cells.join(stats, by, "left").join(ranked, by, "left").na.fill(0, ["n"]).withColumn("_e", ends)
+    out = binning.attach(binning.attach(cells, stats, by), ranked, by).na.fill(0, ["n"]).withColumn("_e", ends)
     middle = [binning.edge(F.col("_e"), bins, F.col("bin") + i) for i in (0, 1)]
     return out.withColumn("centre", (middle[0] + middle[1]) / 2.0).drop("_e")
 

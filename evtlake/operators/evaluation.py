@@ -106,7 +106,7 @@ def _with_quantiles(df: DataFrame, stats: Sequence[Column], value: str, probs: M
     plain = df.groupBy(*keys).agg(*stats)
     ranked = exact_quantiles(df, value, probs, keys)
     if keys:
-        return plain.join(ranked, list(keys), "left")
+        return binning.attach(plain, ranked, keys)
     return plain.withColumns({n: ranked.select(n).scalar() for n in probs})
 
 

@@ -35,7 +35,7 @@ def nest_points(
     A row holds at most ``chunk`` points, so an event above that size continues in
     further rows (``chunk`` = 1, 2, ...) and never meets in one task.
     """
-    points = F.array_sort(F.collect_list(F.struct(pos, *columns)))
+    points = F.sort_array(F.collect_list(F.struct(pos, *columns)))
     rows = sensors.groupBy(key, F.expr(f"{pos} div {chunk}").alias("chunk")).agg(points.alias("_p"))
     return rows.select(key, "chunk", *[F.col(f"_p.{c}").alias(n) for c, n in columns.items()])
 

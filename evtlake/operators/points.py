@@ -30,7 +30,7 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
         *[F.col(a).cast("double").alias(x) for a, x in zip(axes, AXES)],
         F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias("f"))
     rows = points.groupBy(key, F.expr(f"cast({pos} div {chunk} as int)").alias("chunk")).agg(
-        F.array_sort(F.collect_list(entry)).alias("pts"))
+        F.sort_array(F.collect_list(entry)).alias("pts"))
     of_cloud = Window.partitionBy(key)
     return rows.withColumns({
         "n": F.sum(F.size("pts").cast("long")).over(of_cloud), "chunks": F.count("*").over(of_cloud).cast("int")})
@@ -187,12 +187,12 @@ def _spread(big: DataFrame, key: str, tokens: int, k: int) -> DataFrame:
         return centres.select(
             key, "token_no", "pos", F.lit(None).cast("array<struct<pos:long,d2:double>>").alias("neighbours"),
             F.lit(None).cast("array<double>").alias("pooled"))
-    per_cloud = centres.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token_no", *AXES))).alias("_cs"))
+    per_cloud = centres.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token_no", *AXES))).alias("_cs"))
     chunks = _attach(big.select(key, "chunk", "pts"), per_cloud, heads, key, few)
 
     def best_of_chunk(c: Column) -> Column:
         found = F.transform("pts", lambda p: F.struct(gap(p, c).alias("d2"), p["pos"].alias("pos"), p["f"].alias("f")))
-        return F.struct(c["token_no"].alias("token_no"), F.slice(F.array_sort(found), 1, k).alias("near"))
+        return F.struct(c["token_no"].alias("token_no"), F.slice(F.sort_array(found), 1, k).alias("near"))
 
     candidates = (
         chunks.select(key, F.explode(F.transform("_cs", best_of_chunk)).alias("_t"))
@@ -200,7 +200,7 @@ def _spread(big: DataFrame, key: str, tokens: int, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key, "token_no").orderBy("d2", "pos"))
     merged = (
         candidates.withColumn("_r", rank).where(F.col("_r") <= k)
-        .groupBy(key, "token_no").agg(F.array_sort(F.collect_list(F.struct("d2", "pos", "f"))).alias("_n")))
+        .groupBy(key, "token_no").agg(F.sort_array(F.collect_list(F.struct("d2", "pos", "f"))).alias("_n")))
     top = F.reduce(
         F.slice("_n", 2, k), F.col("_n")[0]["f"], lambda a, n: F.zip_with(a, n["f"], lambda p, q: F.greatest(p, q)))
     clean = F.transform(top, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.functions.expr import finite
+from evtlake.plans import binning
 
 ACCURACY = 10_000
 
@@ -27,19 +28,21 @@ def exact_quantiles(
     """One row per key with one column per entry of ``probs``.
 
     ``linear`` interpolates between neighbours, ``lower`` takes the lower one. NULL, NaN
-    and infinite values are left out. ``keys`` must be few and non-null (bins, axes).
+    and infinite values are left out. ``keys`` must be few (bins, axes); a key
+    without values gets NULLs.
     """
     if method not in ("linear", "lower"):
         raise ValueError(f"unknown method {method!r}")
     keys = list(keys)
     names, ps = list(probs), list(probs.values())
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).select(
+        *keys, F.when(finite(F.col("_v")), F.col("_v")).alias("_v"))
     slack = 3.0 / accuracy
     bounds = [b for p in ps for b in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"))
+        F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"))
     if keys:
-        spread = rows.join(F.broadcast(sketch), keys)
+        spread = binning.attach(rows, sketch, keys, "inner")
     else:
         whole = sketch.select(F.struct("_n", "_b")).scalar()
         spread = rows.select("_v", whole["_n"].alias("_n"), whole["_b"].alias("_b"))
@@ -48,14 +51,15 @@ def exact_quantiles(
     marks = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
-            F.when(v < F.col("_b")[2 * i], 0).when(v <= F.col("_b")[2 * i + 1], 1).otherwise(2).alias("side"))
+            F.when(v < F.col("_b")[2 * i], 0).when(v <= F.col("_b")[2 * i + 1], 1)
+            .when(v.isNotNull(), 2).alias("side"))
         for i in range(len(ps))
     ])
     entry = ["_i", "_side", F.when(F.col("_side") == 1, v).alias("_at")]
     counted = (
         spread.select(*keys, "_n", "_v", F.inline(marks).alias("_i", "_side"))
         .groupBy(*keys, "_n", *entry)
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .agg(F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
     upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_at")
     h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("_i") + 1)
@@ -74,9 +78,9 @@ def exact_quantiles(
             .when((F.col("_side") == 1) & rank.between(first, last), F.col("_at")))
         return F.max(known)
 
-    neighbours = ranked.groupBy(*keys, "_i").agg(
+    neighbours = ranked.groupBy(*keys, "_n", "_i").agg(
         F.first(F.col("_h") - F.col("_k")).alias("_f"), at(F.col("_k")).alias("_lo"), at(F.col("_next")).alias("_hi"))
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    missed = F.when(F.col("_n") > 0, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
     result = low if method == "lower" else low + F.col("_f") * (high - low)
     picked = neighbours.select(*keys, "_i", result.alias("_q"))

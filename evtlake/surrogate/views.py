@@ -128,7 +128,17 @@ def nested_events(spark: SparkSession, sf: str, chunk: int = nested.CHUNK) -> Da
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).selectExpr(*_select(PREDICTION)).withColumn("logits", F.array("logit_0", "logit_1"))
+    rows = stored(stored(events(spark, sf)).selectExpr(*_select(PREDICTION)))
+    return rows.withColumn("logits", F.array("logit_0", "logit_1"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Let a view behave like a stored table: its expressions are evaluated once per row.
+
+    Otherwise every filter on a derived column is pushed below the view with all of the
+    view's nested expressions inlined in it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def group_points(spark: SparkSession, sf: str) -> DataFrame:
