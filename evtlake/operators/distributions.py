@@ -128,14 +128,14 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
     placed = binning.with_bin(rows.withColumn("_e", ends), "_x", "_e", bins, "bin")
     binned = placed.select(*keys, F.when(F.col("_x") < F.col("_e.hi"), F.col("bin")).alias("bin"), "_y")
     by = [*keys, "bin"]
-    stats = binned.groupBy(*by).agg(F.count("_y").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms"))
-    ranked = exact_quantiles(binned, "_y", PROFILE_PROBS, by)
+    stats = [F.count("_y").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms")]
+    found = exact_quantiles(binned, "_y", PROFILE_PROBS, by, stats=stats)
     if keys:
         cells = rows.select(*keys).distinct().select(
             *keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     else:
         cells = binning.grid(df, bin=bins)
-    out = binning.attach(binning.attach(cells, stats, by), ranked, by).na.fill(0, ["n"]).withColumn("_e", ends)
+    out = binning.attach(cells, found, by).na.fill(0, ["n"]).withColumn("_e", ends)
     middle = [binning.edge(F.col("_e"), bins, F.col("bin") + i) for i in (0, 1)]
     return out.withColumn("centre", (middle[0] + middle[1]) / 2.0).drop("_e")
 

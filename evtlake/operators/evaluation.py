@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -100,16 +100,6 @@ def roc_auc(df: DataFrame, probs: str, label: str, num_classes: int) -> DataFram
 # --- error summaries ------------------------------------------------------------------
 
 
-def _with_quantiles(df: DataFrame, stats: Sequence[Column], value: str, probs: Mapping[str, float],
-                    keys: Sequence[str]) -> DataFrame:
-    """Aggregates and exact quantiles of one column side by side."""
-    plain = df.groupBy(*keys).agg(*stats)
-    ranked = exact_quantiles(df, value, probs, keys)
-    if keys:
-        return binning.attach(plain, ranked, keys)
-    return plain.withColumns({n: ranked.select(n).scalar() for n in probs})
-
-
 def angular_errors(df: DataFrame, pred: Sequence[Column], true: Sequence[Column]) -> DataFrame:
     """Add ``error_deg``, ``kappa`` (length of the raw prediction) and ``cos_zenith`` of both sides.
 
@@ -127,7 +117,7 @@ def angular_summary(errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     stats = [
         F.avg("error_deg").alias("mean_deg"), F.stddev_pop("error_deg").alias("std_deg"),
         F.min("kappa").alias("min_kappa"), F.avg("kappa").alias("mean_kappa"), F.max("kappa").alias("max_kappa")]
-    return _with_quantiles(errors, stats, "error_deg", {"median_deg": 0.5}, keys)
+    return exact_quantiles(errors, "error_deg", {"median_deg": 0.5}, keys, stats=stats)
 
 
 def vertex_errors(df: DataFrame, pred: Sequence[Column], true: Sequence[Column], raw_sigma: Column) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +136,7 @@ def vertex_summary(errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     stats = [F.avg("distance").alias("mean_distance"), F.stddev_pop("distance").alias("std_distance")]
     for a in "xyz":
         stats += [F.avg(f"pull_{a}").alias(f"mean_pull_{a}"), F.stddev_pop(f"pull_{a}").alias(f"std_pull_{a}")]
-    return _with_quantiles(errors, stats, "distance", {"median_distance": 0.5}, keys)
+    return exact_quantiles(errors, "distance", {"median_distance": 0.5}, keys, stats=stats)
 
 
 def energy_errors(df: DataFrame, pred: Column, true: Column, raw_sigma: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -167,4 +157,4 @@ def energy_summary(errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     if "pull" in errors.columns:
         stats += [F.avg("sigma").alias("mean_sigma"), F.avg("pull").alias("pull_mean"),
                   F.stddev_pop("pull").alias("pull_std")]
-    return _with_quantiles(errors, stats, "abs_residual", {"median_ae": 0.5}, keys)
+    return exact_quantiles(errors, "abs_residual", {"median_ae": 0.5}, keys, stats=stats)

@@ -24,8 +24,11 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     method: str = "linear",
     accuracy: int = ACCURACY,
+    stats: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per key with one column per entry of ``probs``.
+    """One row per key with the aliased aggregates ``stats`` and one column per entry of ``probs``.
+
+    The aggregates ride along with the sketch, so both need two passes together.
 
     ``linear`` interpolates between neighbours, ``lower`` takes the lower one. NULL, NaN
     and infinite values are left out. ``keys`` must be few (bins, axes); a key
@@ -35,17 +38,19 @@ def exact_quantiles(
         raise ValueError(f"unknown method {method!r}")
     keys = list(keys)
     names, ps = list(probs), list(probs.values())
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).select(
-        *keys, F.when(finite(F.col("_v")), F.col("_v")).alias("_v"))
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    rows = rows.withColumn("_v", F.when(finite(F.col("_v")), F.col("_v")))
     slack = 3.0 / accuracy
     bounds = [b for p in ps for b in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"))
+        F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"), *stats)
+    carried = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
+    bracket = sketch.select(*keys, "_n", "_b")
     if keys:
-        spread = binning.attach(rows, sketch, keys, "inner")
+        spread = binning.attach(rows.select(*keys, "_v"), bracket, keys, "inner")
     else:
-        whole = sketch.select(F.struct("_n", "_b")).scalar()
-        spread = rows.select("_v", whole["_n"].alias("_n"), whole["_b"].alias("_b"))
+        whole = bracket.select(F.struct("_n", "_b")).scalar()
+        spread = rows.select("_v").withColumn("_s", whole).select("_v", "_s.*")
     # per probability a row is below, inside or above the bracket
     v = F.col("_v")
     marks = F.array(*[
@@ -84,5 +89,10 @@ def exact_quantiles(
     low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
     result = low if method == "lower" else low + F.col("_f") * (high - low)
     picked = neighbours.select(*keys, "_i", result.alias("_q"))
-    return picked.groupBy(*keys).agg(
+    wide = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    if not carried:
+        return wide
+    if keys:
+        return binning.attach(sketch.select(*keys, *carried), wide, keys)
+    return wide.withColumn("_s", sketch.select(F.struct(*carried)).scalar()).select("_s.*", *names)
