@@ -130,14 +130,15 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
     by = [*keys, "bin"]
     stats = [F.count("_y").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms")]
     found = exact_quantiles(binned, "_y", PROFILE_PROBS, by, stats=stats)
-    if keys:
-        cells = rows.select(*keys).distinct().select(
-            *keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    else:
-        cells = binning.grid(df, bin=bins)
-    out = binning.attach(cells, found, by).na.fill(0, ["n"]).withColumn("_e", ends)
+    measures = ["n", "rms", *PROFILE_PROBS]
+    # a key's few bins as a map, unfolded over all bins
+    known = F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct(*measures)))
+    cells = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(known)).alias("_m")).select(
+        *keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = cells.withColumns({"_c": F.try_element_at("_m", F.col("bin")), "_e": ends})
     middle = [binning.edge(F.col("_e"), bins, F.col("bin") + i) for i in (0, 1)]
-    return out.withColumn("centre", (middle[0] + middle[1]) / 2.0).drop("_e")
+    return out.select(
+        *keys, "bin", ((middle[0] + middle[1]) / 2.0).alias("centre"), "_c.*").na.fill(0, ["n"])
 
 
 def smooth_profile(profile: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), bins: int = 20,
@@ -166,18 +167,18 @@ def smooth_profile(profile: DataFrame, columns: Sequence[str], keys: Sequence[st
     offsets = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w"))
                         for j, w in zip(range(-radius, radius + 1), kernel)])
     # bin i of the result reads bin i + j, folded back at both ends
-    spread = filled.select(
-        *keys, F.col("bin").alias("_from"), *[f"_f_{c}" for c in columns], F.explode(
+    kept = [c for c in profile.columns if c not in (*keys, "bin")]
+    spread = filled.withColumnRenamed("bin", "_from").select(
+        *keys, "_from", *kept, *[f"_f_{c}" for c in columns], F.explode(
             F.sequence(F.lit(-radius), F.lit(bins - 1 + radius))).alias("_at"))
     folded = F.pmod(F.col("_at"), F.lit(2 * bins))
     source = F.when(folded < bins, folded).otherwise(2 * bins - 1 - folded)
-    taps = (
-        spread.where(source == F.col("_from"))
-        .select(*keys, "_at", *[f"_f_{c}" for c in columns], F.explode(offsets).alias("_w"))
-        .withColumn("bin", F.col("_at") - F.col("_w.j")).where(F.col("bin").between(0, bins - 1)))
-    smooth = taps.groupBy(*keys, "bin").agg(
+    taps = spread.where(source == F.col("_from")).withColumn("_w", F.explode(offsets)).withColumn(
+        "bin", F.col("_at") - F.col("_w.j")).where(F.col("bin").between(0, bins - 1))
+    own = (F.col("_at") == F.col("bin")) & (F.col("_w.j") == 0)
+    return taps.groupBy(*keys, "bin").agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in kept],
         *[F.sum(F.col("_w.w") * F.col(f"_f_{c}")).alias(f"{c}_smooth") for c in columns])
-    return profile.join(smooth, [*keys, "bin"], "left")
 
 
 def fractional_energy_error(df: DataFrame, pred_log: str, true_log: str, bins: int = 20,

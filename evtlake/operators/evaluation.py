@@ -32,9 +32,10 @@ def confusion_raw(df: DataFrame, raw_codes: Sequence[int], num_classes: int,
     """
     seen = df.where(F.col(raw).isin(*raw_codes) & F.col(predicted).between(0, num_classes - 1))
     counts = seen.groupBy(raw, predicted).count()
-    cells = counts.select(raw).distinct().select(
-        raw, F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))).alias(predicted))
-    return _with_row_share(binning.fill_grid(counts, cells, [raw, predicted], ["count"]), raw)
+    cells = binning.grid(df, **{predicted: num_classes}).withColumn(
+        raw, F.explode(F.array(*[F.lit(c) for c in raw_codes])))
+    out = _with_row_share(binning.fill_grid(counts, cells, [raw, predicted], ["count"]), raw)
+    return out.withColumn("_t", F.sum("count").over(Window.partitionBy(raw))).where(F.col("_t") > 0).drop("_t")
 
 
 def confusion_mapped(df: DataFrame, num_classes: int, label: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -129,9 +129,21 @@ def assign_batches(
     }).drop("_r")
 
 
+def to_sensors(sensors: DataFrame, events: DataFrame, key: str = "event_id", block: int = CHUNK) -> DataFrame:
+    """Join event columns to sensor rows, one join partition per ``block`` sensors of an event.
+
+    An event with more sensors is copied once per block, which its ``num_sensors`` tells
+    beforehand, so a giant event spreads over many tasks. Other events are copied once.
+    """
+    copies = events.withColumn(
+        "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(num_sensors - 1) div {block}"))))
+    return sensors.withColumn("_b", F.expr(f"pos div {block}")).join(copies, [key, "_b"]).drop("_b")
+
+
 def pack_batches(batched: DataFrame, sensors: DataFrame, key: str = "event_id") -> DataFrame:
     """Point rows of packed batches; ``event_in_batch`` is the segment id of every point."""
-    return sensors.join(batched.select(key, "batch_id", "event_in_batch"), key)
+    wanted = batched.where(F.col("num_sensors") > 0).select(key, "num_sensors", "batch_id", "event_in_batch")
+    return to_sensors(sensors, wanted, key).drop("num_sensors")
 
 
 def with_batch_coordinate(packed: DataFrame, coords: Sequence[str] = codes.COORDINATES) -> DataFrame:
@@ -140,22 +152,20 @@ def with_batch_coordinate(packed: DataFrame, coords: Sequence[str] = codes.COORD
         "coords", F.array(F.col("event_in_batch").cast("double"), *[F.col(c).cast("double") for c in coords]))
 
 
-def pack_padded(packed: DataFrame, counts: DataFrame, columns: Sequence[str], key: str = "event_id") -> DataFrame:
-    """Pad every event of a batch to the batch's largest one: zero rows with ``valid`` false.
+def pack_padded(batched: DataFrame, sensors: DataFrame, columns: Sequence[str], key: str = "event_id") -> DataFrame:
+    """Packed batches with every event padded to its batch's largest one: zero rows, ``valid`` false.
 
-    ``counts`` holds (batch_id, event_in_batch, key, num_sensors) of all batched events.
-    Only the padding is generated; the points themselves are not joined again.
+    Only the padding is generated; the points themselves are joined once.
     """
+    counts = batched.select("batch_id", "event_in_batch", key, F.col("num_sensors").cast("long").alias("num_sensors"))
     widest = counts.groupBy("batch_id").agg(F.max("num_sensors").alias("n_max"))
     sized = counts.join(widest, "batch_id")
-    padding = sized.where(F.col("num_sensors") < F.col("n_max")).select(
-        "batch_id", "event_in_batch", key, F.col("num_sensors").alias("count"), "n_max",
-        F.explode(F.sequence("num_sensors", F.col("n_max") - 1)).alias("pos"),
-        F.lit(False).alias("valid"), *[F.lit(0.0).alias(c) for c in columns])
-    points = packed.join(
-        sized.select(key, F.col("num_sensors").alias("count"), "n_max"), key
-    ).select(*padding.columns[:6], F.lit(True).alias("valid"), *columns)
-    return points.unionByName(padding)
+    head = ["batch_id", "event_in_batch", key, F.col("num_sensors").alias("count"), "n_max", "pos"]
+    padding = sized.where(F.col("num_sensors") < F.col("n_max")).withColumn(
+        "pos", F.explode(F.sequence("num_sensors", F.col("n_max") - 1))).select(
+        *head, F.lit(False).alias("valid"), *[F.lit(0.0).alias(c) for c in columns])
+    filled = to_sensors(sensors.select(key, "pos", *columns), sized.where(F.col("num_sensors") > 0), key)
+    return filled.select(*head, F.lit(True).alias("valid"), *columns).unionByName(padding)
 
 
 def batch_summary(batched: DataFrame) -> DataFrame:

@@ -31,9 +31,14 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
         F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias("f"))
     rows = points.groupBy(key, F.expr(f"cast({pos} div {chunk} as int)").alias("chunk")).agg(
         F.sort_array(F.collect_list(entry)).alias("pts"))
-    of_cloud = Window.partitionBy(key)
-    return rows.withColumns({
-        "n": F.sum(F.size("pts").cast("long")).over(of_cloud), "chunks": F.count("*").over(of_cloud).cast("int")})
+    big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    if big.isEmpty():
+        return rows.withColumns({"n": F.size("pts").cast("long"), "chunks": F.lit(1)})
+    # one row per chunk of a big cloud, so that joining sizes does not gather the cloud
+    big = ordering.cut_lineage(big.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")))
+    copies = big.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.join(copies, [key, "chunk"], "left").withColumns({
+        "n": F.coalesce("n", F.size("pts").cast("long")), "chunks": F.coalesce("chunks", F.lit(1))})
 
 
 # --- clouds inside one task ---------------------------------------------------------

@@ -13,19 +13,19 @@ def integrity_checks(index: DataFrame, sensors: DataFrame, source_events: DataFr
     that the conversion should have kept.
     """
     total = sensors.agg(F.count("*")).scalar()
-    converted = index.agg(
-        F.count("*").alias("events"),
+    counted = sensors.groupBy(key).agg(F.count("*").alias("_c"))
+    both = counted.join(index.withColumn("_i", F.lit(True)), key, "full_outer")
+    indexed, size = F.col("_i").isNotNull(), F.col("sensor_end_idx") - F.col("sensor_start_idx")
+    out = both.withColumn("_total", total).agg(
+        F.count("_i").alias("events"),
         F.sum("num_sensors").alias("header_sensors"),
-        F.count_if(F.col("sensor_start_idx") > F.col("sensor_end_idx")).alias("reversed_ranges"),
-        F.count_if(F.col("sensor_end_idx") > total).alias("ranges_past_end"),
-        F.count_if(F.col("sensor_end_idx") - F.col("sensor_start_idx") != F.col("num_sensors")).alias("size_mismatches"),
-    )
-    counted = sensors.groupBy(key).count()
-    orphans = counted.join(index, key, "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
-    bare = index.join(counted, key, "left_anti").agg(F.count("*")).scalar()
-    source = source_events.agg(F.count("*")).scalar()
-    out = converted.withColumns({
-        "sensors": total, "orphan_sensors": orphans, "events_without_sensors": bare, "source_events": source})
+        F.count_if(indexed & (size < 0)).alias("reversed_ranges"),
+        F.count_if(indexed & (F.col("sensor_end_idx") > F.col("_total"))).alias("ranges_past_end"),
+        F.count_if(indexed & (size != F.col("num_sensors"))).alias("size_mismatches"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("sensors"),
+        F.coalesce(F.sum(F.when(~indexed, F.col("_c"))), F.lit(0)).alias("orphan_sensors"),
+        F.count_if(indexed & F.col("_c").isNull()).alias("events_without_sensors"),
+    ).withColumn("source_events", source_events.agg(F.count("*")).scalar())
     return out.withColumn(
         "within_tolerance",
         F.abs(F.col("events") - F.col("source_events")) <= tolerance * F.greatest("source_events", F.lit(1)))

@@ -11,7 +11,7 @@ from evtlake.functions.codes import WeightTiers
 from evtlake.functions.expr import hash_fraction, seeded_hash
 from evtlake.plans import lookup, ordering
 
-DRAW_BLOCKS = 4096
+DRAWS_PER_BLOCK = 100_000
 
 
 def split_events(df: DataFrame, val: float = 0.2, seed: int = 42, key: str = "event_id") -> DataFrame:
@@ -92,7 +92,7 @@ def weighted_sample(
     events, named by the event keys; otherwise ``n`` draws named 0 to n-1. Events lie on a line as
     intervals of their weight, and a draw is a digest-made position on it.
     """
-    total = df.agg(F.sum(weight)).first()[0]
+    total, events = df.agg(F.sum(weight), F.count("*")).first()
     if not total:
         raise ValueError("weights sum to zero")
     hashed = ordering.hash_levels(df.select(key, weight).withColumn("_h", seeded_hash(seed, F.col(key))))
@@ -100,8 +100,9 @@ def weighted_sample(
     intervals = line.select(key, "_lo", (F.col("_lo") + F.col(weight)).alias("_hi"))
     names = df.select(F.col(key).alias("draw")) if n is None else df.sparkSession.range(n).toDF("draw")
     draws = names.withColumn("_u", hash_fraction(seeded_hash(f"{seed}-draw", F.col("draw"))) * F.lit(float(total)))
+    block = float(total) / max(16, (events if n is None else n) // DRAWS_PER_BLOCK)
     return lookup.interval_lookup(
-        draws, "_u", intervals, "_lo", "_hi", float(total) / DRAW_BLOCKS, contiguous=True
+        draws, "_u", intervals, "_lo", "_hi", block, contiguous=True
     ).select("draw", key)
 
 

@@ -28,7 +28,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with the aliased aggregates ``stats`` and one column per entry of ``probs``.
 
-    The aggregates ride along with the sketch, so both need two passes together.
+    The aggregates (plain numbers) ride along with the sketch, so all needs two passes.
 
     ``linear`` interpolates between neighbours, ``lower`` takes the lower one. NULL, NaN
     and infinite values are left out. ``keys`` must be few (bins, axes); a key
@@ -45,11 +45,10 @@ def exact_quantiles(
     sketch = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"), *stats)
     carried = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
-    bracket = sketch.select(*keys, "_n", "_b")
     if keys:
-        spread = binning.attach(rows.select(*keys, "_v"), bracket, keys, "inner")
+        spread = binning.attach(rows.select(*keys, "_v"), sketch, keys, "inner")
     else:
-        whole = bracket.select(F.struct("_n", "_b")).scalar()
+        whole = sketch.select(F.struct("*")).scalar()
         spread = rows.select("_v").withColumn("_s", whole).select("_v", "_s.*")
     # per probability a row is below, inside or above the bracket
     v = F.col("_v")
@@ -60,11 +59,12 @@ def exact_quantiles(
             .when(v.isNotNull(), 2).alias("side"))
         for i in range(len(ps))
     ])
+    same = [F.first(c).alias(c) for c in carried]
     entry = ["_i", "_side", F.when(F.col("_side") == 1, v).alias("_at")]
     counted = (
-        spread.select(*keys, "_n", "_v", F.inline(marks).alias("_i", "_side"))
+        spread.select(*keys, "_n", "_v", *carried, F.inline(marks).alias("_i", "_side"))
         .groupBy(*keys, "_n", *entry)
-        .agg(F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .agg(F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *same)
     )
     upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_at")
     h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("_i") + 1)
@@ -84,15 +84,11 @@ def exact_quantiles(
         return F.max(known)
 
     neighbours = ranked.groupBy(*keys, "_n", "_i").agg(
-        F.first(F.col("_h") - F.col("_k")).alias("_f"), at(F.col("_k")).alias("_lo"), at(F.col("_next")).alias("_hi"))
+        F.first(F.col("_h") - F.col("_k")).alias("_f"), at(F.col("_k")).alias("_lo"), at(F.col("_next")).alias("_hi"),
+        *same)
     missed = F.when(F.col("_n") > 0, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
     result = low if method == "lower" else low + F.col("_f") * (high - low)
-    picked = neighbours.select(*keys, "_i", result.alias("_q"))
-    wide = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
-    if not carried:
-        return wide
-    if keys:
-        return binning.attach(sketch.select(*keys, *carried), wide, keys)
-    return wide.withColumn("_s", sketch.select(F.struct(*carried)).scalar()).select("_s.*", *names)
+    picked = neighbours.select(*keys, "_i", result.alias("_q"), *carried)
+    return picked.groupBy(*keys).agg(
+        *same, *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])

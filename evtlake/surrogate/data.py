@@ -391,10 +391,7 @@ def pack_batches_coordinate(spark, sf):
     m="SELECT batch_id, max(num_sensors) AS n_max FROM b GROUP BY 1",
     g="SELECT unnest(generate_series(0, (SELECT max(n_max) FROM m)-1)) AS pos"))
 def pack_padded(spark, sf):
-    batched = batches(spark, sf)
-    packed = nested.pack_batches(batched, v.sensors(spark, sf))
-    counts = batched.select("batch_id", "event_in_batch", "event_id", "num_sensors")
-    return rounded(nested.pack_padded(packed, counts, ["x", "c_total"]), 4)
+    return rounded(nested.pack_padded(batches(spark, sf), v.sensors(spark, sf), ["x", "c_total"]), 4)
 
 
 @query(v.sql(
