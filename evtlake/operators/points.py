@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evtlake.plans import ordering
 
 CHUNK = 8_192
-SLAB = 1 << 18  # padded points handled together inside one task
+SLAB = 1 << 14  # padded points handled together inside one task
 BROADCAST_CLOUDS = 10_000
 STEPS_PER_CHECKPOINT = 8
 AXES = ("x", "y", "z", "t")
@@ -45,32 +45,45 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
 
 
 def _gaps(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Squared distances, summed axis by axis like the column expression below."""
-    d = points - centre
-    d *= d
-    return ((d[..., 0] + d[..., 1]) + d[..., 2]) + d[..., 3]
+    """Squared distances of arrays [4, ...], summed axis by axis like the column expression below."""
+    total = np.square(points[0] - centre[0])
+    for axis in (1, 2, 3):
+        total += np.square(points[axis] - centre[axis])
+    return total
 
 
 def farthest(slab: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-point picks [B, count] of padded clouds [B, N, 4].
+    """Farthest-point picks [B, count] of padded clouds [4, B, N].
 
     The first point starts; among equally far points the earlier one is taken.
     """
-    every = np.arange(len(slab))
-    picks = np.zeros((len(slab), count), dtype=np.int64)
+    every = np.arange(len(valid))
+    picks = np.zeros((len(valid), count), dtype=np.int64)
     closest = np.where(valid, np.inf, -1.0)
     for step in range(1, count):
-        centre = slab[every, picks[:, step - 1]][:, None, :]
-        closest = np.minimum(closest, _gaps(slab, centre))
+        centre = slab[:, every, picks[:, step - 1], None]
+        closest = np.fmin(closest, _gaps(slab, centre))
         picks[:, step] = closest.argmax(axis=1)
     return picks
 
 
-def nearest(points: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and squared distances of the k nearest points of each centre."""
-    gaps = _gaps(points[None, :, :], centres[:, None, :])
-    order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-    return order, np.take_along_axis(gaps, order, axis=1)
+def nearest(points: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and squared distances of the k points [4, N] nearest to each of the points ``at``.
+
+    Everything up to the k-th distance is a candidate, so equal distances go by position.
+    """
+    gaps = _gaps(points[:, None, :], points[:, at, None])
+    k = min(k, points.shape[1])
+    reach = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    if np.isnan(reach).any():
+        order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+        return order, np.take_along_axis(gaps, order, axis=1)
+    centre, pos = np.nonzero(gaps <= reach[:, None])
+    d2 = gaps[centre, pos]
+    by = np.lexsort((pos, d2, centre))
+    first = np.searchsorted(centre, np.arange(len(at)))
+    best = by[first[:, None] + np.arange(k)]
+    return pos[best], d2[best]
 
 
 def slabs(sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -93,19 +106,19 @@ def _reducer(tokens: int, k: int) -> Callable:
                 continue
             bounds = np.asarray(pts.offsets)
             flat = pts.values
-            xyzt = np.stack([np.asarray(flat.field(a)) for a in AXES], axis=1)
+            xyzt = np.stack([np.asarray(flat.field(a)) for a in AXES])
             width = len(flat.field("f")[0])
             feats = np.asarray(flat.field("f").flatten()).reshape(len(flat), width)
             sizes = np.diff(bounds)
             for rows in slabs(sizes):
-                slab = np.zeros((len(rows), sizes[rows].max(), 4))
-                valid = np.arange(slab.shape[1])[None, :] < sizes[rows][:, None]
-                slab[valid] = np.concatenate([xyzt[bounds[r]:bounds[r + 1]] for r in rows])
+                valid = np.arange(sizes[rows].max())[None, :] < sizes[rows][:, None]
+                slab = np.zeros((4, *valid.shape))
+                slab[:, valid] = np.concatenate([xyzt[:, bounds[r]:bounds[r + 1]] for r in rows], axis=1)
                 picks = farthest(slab, valid, tokens)
                 near, gaps, pooled = [], [], []
                 for row, at in zip(rows, picks) if k else ():
                     mine = slice(bounds[row], bounds[row + 1])
-                    order, d2 = nearest(xyzt[mine], xyzt[mine][at], k)
+                    order, d2 = nearest(xyzt[:, mine], at, k)
                     best = feats[mine][order].max(axis=1)
                     near.append(order)
                     gaps.append(d2)
