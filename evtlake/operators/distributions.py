@@ -42,15 +42,13 @@ def zenith_histograms(errors: DataFrame, bins: int = 50) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def kde_1d(df: DataFrame, value: str, points: int = 200, limits: Range = None) -> DataFrame:
+def kde_1d(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth by Scott's rule.
 
     Every value unfolds the grid and is summed map-side, so a shuffle carries one partial
     sum per grid point and task.
     """
     rows = df.select(F.col(value).cast("double").alias("_v")).where(finite(F.col("_v")))
-    if limits is not None:
-        rows = rows.where(F.col("_v").between(*limits))
     low, high = F.col("_f.e.lo"), F.col("_f.e.hi")
     facts = rows.agg(F.struct(
         F.count("*").alias("n"), F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("e"),

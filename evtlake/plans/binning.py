@@ -55,14 +55,17 @@ def grid(like: DataFrame, **sizes: int) -> DataFrame:
     return out
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe join on few keys. A plain one would add not-null filters on computed bins."""
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", small: bool = True) -> DataFrame:
+    """Null-safe join. A plain one would add not-null filters on computed bins.
+
+    ``small`` asks for a broadcast; the caller knows a bound for ``right``.
+    """
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         on = same if on is None else on & same
-    return left.join(F.broadcast(right), on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(F.broadcast(right) if small else right, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def fill_grid(counts: DataFrame, cells: DataFrame, axes: Sequence[str], measures: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -62,7 +63,9 @@ def running_totals(
     """
     keys, levels, names = list(keys), list(levels), list(values)
     valued = df.withColumns({f"_v_{n}": v for n, v in values.items()})
-    totals = valued.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
+    # the joins below imply not-null; saying so here keeps all uses of the totals one shuffle
+    known = valued.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, *levels)]))
+    totals = known.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = None
     for depth in range(1, len(levels) + 1):
         parent, here = keys + levels[: depth - 1], keys + levels[:depth]

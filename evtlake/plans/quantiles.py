@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.functions.expr import finite
-from evtlake.plans import binning
+from evtlake.plans import binning, ordering
 
 ACCURACY = 10_000
+BROADCAST_KEYS = 100_000
 
 
 def exact_quantiles(
@@ -31,8 +32,8 @@ def exact_quantiles(
     The aggregates (plain numbers) ride along with the sketch, so all needs two passes.
 
     ``linear`` interpolates between neighbours, ``lower`` takes the lower one. NULL, NaN
-    and infinite values are left out. ``keys`` must be few (bins, axes); a key
-    without values gets NULLs.
+    and infinite values are left out. A key without values gets NULLs. The
+    sketches of up to ``BROADCAST_KEYS`` keys are broadcast, more are joined by shuffle.
     """
     if method not in ("linear", "lower"):
         raise ValueError(f"unknown method {method!r}")
@@ -46,7 +47,9 @@ def exact_quantiles(
         F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"), *stats)
     carried = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
     if keys:
-        spread = binning.attach(rows.select(*keys, "_v"), sketch, keys, "inner")
+        sketch = ordering.cut_lineage(sketch)
+        small = sketch.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        spread = binning.attach(rows.select(*keys, "_v"), sketch, keys, "inner", small)
     else:
         whole = sketch.select(F.struct("*")).scalar()
         spread = rows.select("_v").withColumn("_s", whole).select("_v", "_s.*")

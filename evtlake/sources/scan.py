@@ -19,12 +19,18 @@ def scan_events(
     paths: Sequence[str],
     additional_columns: Iterable[str] = (),
     file_columns: bool = False,
+    tolerate_absent: bool = False,
 ) -> DataFrame:
     """Read event files, only the required columns and the named extras.
 
     ``file_columns`` adds ``file_path`` and ``row_index`` from the scan's metadata.
+    Files of one call share a version; ``tolerate_absent`` leaves columns out that this
+    version lacks, for ``conform_columns`` to fill.
     """
     wanted = list(dict.fromkeys([*REQUIRED, *additional_columns]))
+    if tolerate_absent:
+        present = set(spark.read.parquet(*paths).columns)
+        wanted = [c for c in wanted if c in present]
     if file_columns:
         wanted += [F.col("_metadata.file_path").alias("file_path"),
                    F.col("_metadata.row_index").alias("row_index")]

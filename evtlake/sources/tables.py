@@ -34,7 +34,7 @@ def event_tables(
     size, charge = nested.list_stats(
         codes.SENSOR_COLUMNS["x"], codes.SENSOR_COLUMNS["c_total"])
     sized = rows.select(*kept, size.alias("num_sensors"), charge.alias("total_charge"))
-    if base is not None:
+    if base is not None and not rows.where(F.col("first_pos") > 0).isEmpty():
         sized = sized.groupBy(*kept).agg(
             F.sum("num_sensors").alias("num_sensors"), F.sum("total_charge").alias("total_charge"))
     filled = labels.morphology_codes(sized.where(F.col("num_sensors") > 0))

@@ -137,6 +137,27 @@ def test_file_metadata_limit(spark, tmp_path):
     assert scan.limit_per_file(df, None).count() == 9
 
 
+def test_versions_with_absent_columns(spark, tmp_path):
+    frame(spark, event(1)).drop(S["t_std"], codes.MORPHOLOGY_COLUMN).write.parquet(str(tmp_path / "old"))
+    df = scan.scan_events(spark, [str(tmp_path / "old")], ["event_id"], tolerate_absent=True)
+    assert S["t_std"] not in df.columns and scan.conform_columns(df, ["event_id"]).first()[codes.MORPHOLOGY_COLUMN] == "Unknown"
+
+
+def test_standard_mix(spark):
+    paths = ["/m/21217/a.parquet", "/m/21316_extended/b.parquet", "/m/21316/c.parquet", "/m/22663/d.parquet"]
+    df = spark.createDataFrame([(p, m) for p in paths for m in ("0T1C", "0T0C")], "file_path string, mc_event_morphology string")
+    found = sorted((r.source, r.mc_event_morphology) for r in scan.training_mix(df, scan.STANDARD_MIX).collect())
+    assert found == [("muongun_21316_extended", "0T0C"), ("muongun_21316_extended", "0T1C"), ("nugen_21217", "0T0C"),
+                     ("nugen_21217", "0T1C"), ("nugen_22663_starting", "0T1C")]
+
+
+def test_giant_event_meets_its_sensors_in_blocks(spark):
+    events = spark.createDataFrame([(1, 10, 0), (2, 3, 1), (3, 0, 2)], "event_id long, num_sensors long, tag int")
+    sensors = spark.createDataFrame([(e, p) for e, n in ((1, 10), (2, 3)) for p in range(n)], "event_id long, pos long")
+    out = nested.to_sensors(sensors, events.where("num_sensors > 0"), block=4)
+    assert sorted((r.event_id, r.pos, r.tag) for r in out.collect()) == [(1, p, 0) for p in range(10)] + [(2, p, 1) for p in range(3)]
+
+
 def test_file_range_text():
     assert scan.parse_file_range("0-500") == (0, 500)
     assert scan.parse_file_range(None) is None

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evtlake.plans import binning, lookup, ordering
+from evtlake.plans import binning, lookup, ordering, quantiles
 from evtlake.plans.quantiles import exact_quantiles
 
 
@@ -58,8 +58,9 @@ def test_interval_lookup(spark):
         assert column(out, "p", "i") == sorted(expected)
 
 
-@pytest.mark.parametrize("method", ["linear", "lower"])
-def test_exact_quantiles(spark, method):
+@pytest.mark.parametrize("method,small", [("linear", 100), ("lower", 100), ("linear", 0)])
+def test_exact_quantiles(spark, method, small, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_KEYS", small)
     rng = np.random.default_rng(5)
     groups = {
         1: rng.normal(size=4000), 2: np.full(500, 3.0), 3: np.array([1.0, 2.0]), 4: np.array([7.5]),
