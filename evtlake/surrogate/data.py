@@ -14,15 +14,24 @@ from evtlake.surrogate.registry import query, r, rounded
 S = codes.SENSOR_COLUMNS
 NAMED = {"Background": 0, "BackGround": 0, "0T0C": 0, "1T0C": 0, "0T1C": 1, "0TnC": 1, "1T1C": 2, "1TnC": 2, "2TnC": -1}
 CODED = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: -1}
-RAW = ("CASE mc_event_morphology WHEN '0T0C' THEN 0 WHEN '0T1C' THEN 1 WHEN '0TnC' THEN 2 WHEN '1T0C' THEN 3 "
-       "WHEN '1T1C' THEN 4 WHEN '1TnC' THEN 5 WHEN '2TnC' THEN 6 WHEN 'Background' THEN 7 WHEN 'BackGround' THEN 7 "
-       "ELSE -1 END")
-TOPO = ("CASE WHEN mc_event_morphology IN ('0T0C','1T0C','Background','BackGround') THEN 0 "
-        "WHEN mc_event_morphology = '0T1C' THEN 1 WHEN mc_event_morphology IN ('0TnC','1T1C','1TnC','2TnC') THEN 2 "
-        "ELSE -1 END")
+
+
+def as_long(expression: str) -> str:
+    """Oracle integers as wide as the results."""
+    return f"CAST({expression} AS BIGINT)"
+
+
+RAW = as_long(
+    "CASE mc_event_morphology WHEN '0T0C' THEN 0 WHEN '0T1C' THEN 1 WHEN '0TnC' THEN 2 WHEN '1T0C' THEN 3 "
+    "WHEN '1T1C' THEN 4 WHEN '1TnC' THEN 5 WHEN '2TnC' THEN 6 WHEN 'Background' THEN 7 WHEN 'BackGround' THEN 7 "
+    "ELSE -1 END")
+TOPO = as_long(
+    "CASE WHEN mc_event_morphology IN ('0T0C','1T0C','Background','BackGround') THEN 0 "
+    "WHEN mc_event_morphology = '0T1C' THEN 1 WHEN mc_event_morphology IN ('0TnC','1T1C','1TnC','2TnC') THEN 2 "
+    "ELSE -1 END")
 START = "mc_event_morphology IN ('0T1C','0TnC','1T1C','1TnC','2TnC')"
-DATASET = "CASE dir WHEN '/data/v1/21217/' THEN 21217 WHEN '/data/v2/21316_extended/' THEN 21316 ELSE 0 END"
-LABEL = f"CASE WHEN {START} THEN 1 ELSE 0 END"
+DATASET = as_long("CASE dir WHEN '/data/v1/21217/' THEN 21217 WHEN '/data/v2/21316_extended/' THEN 21316 ELSE 0 END")
+LABEL = as_long(f"CASE WHEN {START} THEN 1 ELSE 0 END")
 WEIGHT = (f"CASE WHEN {START} AND mc_primary_dir_z > 0 THEN CASE WHEN mc_primary_energy >= 1e6 THEN 20.0e0 "
           "WHEN mc_primary_energy >= 1e5 THEN 10.0e0 WHEN mc_primary_energy >= 1e4 THEN 3.0e0 ELSE 1.0e0 END ELSE 1.0e0 END")
 CATEGORY = (f"CASE WHEN {START} AND mc_primary_dir_z > 0 THEN CASE WHEN mc_primary_energy >= 1e6 THEN 'very_high_upgoing' "
@@ -110,7 +119,7 @@ def sample_files_per_dir(spark, sf):
 @query(v.sql(
     "SELECT event_id, source_no, row_number() OVER (PARTITION BY source_no ORDER BY event_id)-1 AS local_idx, "
     "row_number() OVER (ORDER BY source_no, event_id)-1 AS global_idx FROM s", "ev",
-    s="SELECT event_id, CASE dir WHEN '/data/v1/21217/' THEN 0 WHEN '/data/v2/21316_extended/' THEN 1 ELSE 2 END AS source_no FROM ev"))
+    s="SELECT event_id, CAST(CASE dir WHEN '/data/v1/21217/' THEN 0 WHEN '/data/v2/21316_extended/' THEN 1 ELSE 2 END AS BIGINT) AS source_no FROM ev"))
 def union_sources(spark, sf):
     ev = v.events(spark, sf).select("event_id", "dir")
     parts = [ev.where(F.col("dir") == d) for d in ("/data/v1/21217/", "/data/v2/21316_extended/", "/data/charm/")]
@@ -169,8 +178,8 @@ def training_mix(spark, sf):
 
 
 @query(v.sql(
-    "SELECT coalesce(dataset_id,-1) AS dataset_id, CAST(sum(events) AS BIGINT) AS events, CAST(sum(sensors) AS BIGINT) AS sensors, "
-    "count(*) AS succeeded, 0 AS failed, CAST(grouping(dataset_id) AS BIGINT) AS is_total FROM d GROUP BY ROLLUP (dataset_id)", "ec",
+    "SELECT CAST(coalesce(dataset_id,-1) AS BIGINT) AS dataset_id, CAST(sum(events) AS BIGINT) AS events, CAST(sum(sensors) AS BIGINT) AS sensors, "
+    "count(*) AS succeeded, 0::BIGINT AS failed, CAST(grouping(dataset_id) AS BIGINT) AS is_total FROM d GROUP BY ROLLUP (dataset_id)", "ec",
     d=f"SELECT {DATASET} AS dataset_id, count(*) AS events, sum(num_sensors) AS sensors FROM ec WHERE num_sensors > 0 GROUP BY 1"))
 def dataset_manifest(spark, sf):
     index = full_events(spark, sf).withColumn("dataset_id", labels.dataset_id_from_path(F.col("file_path")))
@@ -192,10 +201,12 @@ def morphology_codes(spark, sf):
         "event_id", "morphology", "morphology_raw", "starting"))
 
 
-NAMED_SQL = ("CASE WHEN mc_event_morphology IN ('0T1C','0TnC') THEN 1 WHEN mc_event_morphology IN ('1T1C','1TnC') THEN 2 ELSE 0 END")
-NAMED_RANK = ("CASE mc_event_morphology WHEN '0T0C' THEN 0 WHEN '0T1C' THEN 1 WHEN '0TnC' THEN 2 WHEN '1T0C' THEN 3 "
-              "WHEN '1T1C' THEN 4 WHEN '1TnC' THEN 5 WHEN '2TnC' THEN 6 WHEN 'BackGround' THEN 7 WHEN 'Background' THEN 8 ELSE -1 END")
-CODED_SQL = f"CASE {RAW} WHEN 7 THEN 0 WHEN -1 THEN 0 WHEN 6 THEN -1 ELSE {RAW} END"
+NAMED_SQL = as_long(
+    "CASE WHEN mc_event_morphology IN ('0T1C','0TnC') THEN 1 WHEN mc_event_morphology IN ('1T1C','1TnC') THEN 2 ELSE 0 END")
+NAMED_RANK = as_long(
+    "CASE mc_event_morphology WHEN '0T0C' THEN 0 WHEN '0T1C' THEN 1 WHEN '0TnC' THEN 2 WHEN '1T0C' THEN 3 "
+    "WHEN '1T1C' THEN 4 WHEN '1TnC' THEN 5 WHEN '2TnC' THEN 6 WHEN 'BackGround' THEN 7 WHEN 'Background' THEN 8 ELSE -1 END")
+CODED_SQL = as_long(f"CASE {RAW} WHEN 7 THEN 0 WHEN -1 THEN 0 WHEN 6 THEN -1 ELSE {RAW} END")
 
 
 @query(v.sql(f"SELECT event_id, {NAMED_SQL} AS label, {NAMED_RANK} AS raw_index FROM ev", "ev"))
@@ -429,8 +440,8 @@ def batch_class_counts(spark, sf):
 
 
 @query(v.sql(
-    "SELECT count(*) AS events, CAST(sum(num_sensors) AS BIGINT) AS header_sensors, 0 AS reversed_ranges, 0 AS ranges_past_end, "
-    "0 AS size_mismatches, (SELECT count(*) FROM lineitem WHERE l_orderkey % 211 <> 0) AS sensors, "
+    "SELECT count(*) AS events, CAST(sum(num_sensors) AS BIGINT) AS header_sensors, 0::BIGINT AS reversed_ranges, 0 AS ranges_past_end, "
+    "0::BIGINT AS size_mismatches, (SELECT count(*) FROM lineitem WHERE l_orderkey % 211 <> 0) AS sensors, "
     "(SELECT count(*) FROM lineitem WHERE l_orderkey % 211 <> 0 AND l_orderkey NOT IN (SELECT event_id FROM ev)) AS orphan_sensors, "
     "(SELECT count(*) FROM ec WHERE num_sensors > 0 AND event_id % 211 = 0) AS events_without_sensors, count(*) AS source_events, "
     "true AS within_tolerance FROM ec WHERE num_sensors > 0", "ec").replace("0 AS ranges_past_end", (
@@ -453,7 +464,7 @@ def split_events(spark, sf):
     return sampling.split_events(full_events(spark, sf), 0.2, 42).select("event_id", "split")
 
 
-@query(v.sql("SELECT 0 AS overlap, count(*) AS covered, 0 AS missing, 0 AS extra, count(*) AS full_events FROM ec WHERE num_sensors > 0", "ec"))
+@query(v.sql("SELECT 0::BIGINT AS overlap, count(*) AS covered, 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) AS full_events FROM ec WHERE num_sensors > 0", "ec"))
 def split_checks(spark, sf):
     full = full_events(spark, sf).select("event_id")
     halves = sampling.split_events(full, 0.2, 42)

@@ -26,7 +26,7 @@ CLOUD = {
         "SELECT group_id, pos, x, y, z, t, d, step+1, CAST(first_value(pos) OVER (PARTITION BY group_id ORDER BY d DESC, pos) AS BIGINT) FROM "
         "(SELECT s.group_id, s.pos, s.x, s.y, s.z, s.t, least(s.d, " + GAP.format(a="s", b="c") + ") AS d, s.step "
         f"FROM st s JOIN lg c ON c.group_id = s.group_id AND c.pos = s.pick WHERE s.step < {TOKENS - 1}) q"),
-    "pk": "SELECT DISTINCT group_id, step AS token_no, pick AS pos FROM st",
+    "pk": "SELECT DISTINCT group_id, CAST(step AS BIGINT) AS token_no, pick AS pos FROM st",
 }
 NEAR = {
     **CLOUD,
@@ -111,7 +111,7 @@ DOT = "(pred_x*mc_primary_dir_x+pred_y*mc_primary_dir_y+pred_z*mc_primary_dir_z)
 ANG = f"acos(least(greatest({DOT}/{NORM}/{TNORM},-1+1e-7),1-1e-7))"
 D2 = "(" + "+".join(f"(pred_{a}-mc_primary_dir_{a})*(pred_{a}-mc_primary_dir_{a})" for a in "xyz") + ")"
 DIST = f"(500e0*sqrt({D2}))"
-LAB = f"CASE {RAW} WHEN -1 THEN 0 WHEN 6 THEN -1 ELSE CASE WHEN mc_event_morphology IN ('0T1C','0TnC','1T1C','1TnC') THEN 1 ELSE 0 END END"
+LAB = f"CAST(CASE {RAW} WHEN -1 THEN 0 WHEN 6 THEN -1 ELSE CASE WHEN mc_event_morphology IN ('0T1C','0TnC','1T1C','1TnC') THEN 1 ELSE 0 END END AS BIGINT)"
 BINARY = {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 6: -1, 7: 0}
 
 
@@ -202,7 +202,7 @@ def class_validation(spark, sf):
 
 # --- classification ---------------------------------------------------------------------------
 
-PREDICTED = (f"SELECT *, CASE WHEN logit_1 > logit_0 THEN 1 ELSE 0 END AS predicted, 1/(1+exp(logit_1-logit_0)) AS p0, "
+PREDICTED = (f"SELECT *, CAST(CASE WHEN logit_1 > logit_0 THEN 1 ELSE 0 END AS BIGINT) AS predicted, 1/(1+exp(logit_1-logit_0)) AS p0, "
              f"1/(1+exp(logit_0-logit_1)) AS p1 FROM (SELECT *, {LAB} AS label, {RAW} AS morphology_raw FROM pr) WHERE label <> -1")
 
 
@@ -220,7 +220,7 @@ def _cells(row: str, rows: str) -> str:
     return v.sql(
         f"SELECT {row}, predicted, coalesce(n,0) AS \"count\", round(CASE WHEN sum(coalesce(n,0)) OVER (PARTITION BY {row}) > 0 THEN "
         f"100e0*coalesce(n,0)/sum(coalesce(n,0)) OVER (PARTITION BY {row}) ELSE 0 END,6) AS percent FROM ({rows}) CROSS JOIN "
-        f"(SELECT unnest([0,1]) AS predicted) LEFT JOIN (SELECT {row}, predicted, count(*) AS n FROM c GROUP BY 1,2) USING ({row}, predicted)",
+        f"(SELECT unnest([0,1]::BIGINT[]) AS predicted) LEFT JOIN (SELECT {row}, predicted, count(*) AS n FROM c GROUP BY 1,2) USING ({row}, predicted)",
         "pr", c=PREDICTED)
 
 
@@ -229,7 +229,7 @@ def confusion_raw(spark, sf):
     return rounded(ev.confusion_raw(predicted(spark, sf), range(8), 2))
 
 
-@query(_cells("label", "SELECT unnest([0,1]) AS label"))
+@query(_cells("label", "SELECT unnest([0,1]::BIGINT[]) AS label"))
 def confusion_mapped(spark, sf):
     return rounded(ev.confusion_mapped(predicted(spark, sf), 2))
 
@@ -242,7 +242,7 @@ def class_accuracy(spark, sf):
 
 ROC = {
     "c": PREDICTED,
-    "s": "SELECT 0 AS class, round(p0,9) AS threshold, label = 0 AS hit FROM c UNION ALL SELECT 1, round(p1,9), label = 1 FROM c",
+    "s": "SELECT 0::BIGINT AS class, round(p0,9) AS threshold, label = 0 AS hit FROM c UNION ALL SELECT 1::BIGINT, round(p1,9), label = 1 FROM c",
     "g": "SELECT class, threshold, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS q FROM s GROUP BY 1,2",
     "k": "SELECT class, threshold, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY class) AS np, "
          "sum(q) OVER (PARTITION BY class) AS nq FROM g WINDOW w AS (PARTITION BY class ORDER BY threshold DESC)",

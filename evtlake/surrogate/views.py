@@ -128,7 +128,8 @@ def nested_events(spark: SparkSession, sf: str, chunk: int = nested.CHUNK) -> Da
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored(stored(events(spark, sf)).selectExpr(*_select(PREDICTION)))
+    labelled = events(spark, sf).drop("file_path", "o_orderpriority")
+    rows = stored(stored(labelled).selectExpr(*_select(PREDICTION)))
     return rows.withColumn("logits", F.array("logit_0", "logit_1"))
 
 
