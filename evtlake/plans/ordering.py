@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HASH_DIGITS = 3
 HOT_ROWS = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,6 +127,8 @@ def number_rows(
     if hot.isEmpty():
         return df.withColumn(out, number)
     hot = cut_lineage(hot)
+    if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)  # a shuffle by key would gather the very rows to be spread
     cold_rows = df.join(hot, keys, "left_anti").withColumn(out, number)
     hot_part = sorted_blocks(df.join(hot, keys, "left_semi"), [F.col(c) for c in keys + order])
     hot_part = row_positions(hot_part, out, ["_blk"], [F.col(c) for c in order], keys).drop("_blk")

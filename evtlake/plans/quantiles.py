@@ -15,7 +15,7 @@ from evtlake.functions.expr import finite
 from evtlake.plans import binning, ordering
 
 ACCURACY = 10_000
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = ordering.BROADCAST_KEYS
 
 
 def exact_quantiles(

@@ -125,14 +125,14 @@ def union_sources(
     if union.isEmpty():
         raise ValueError("no events: every source is empty")
     names = [f"_l{i}" for i in range(len(levels))]
-    if levels:
-        union = union.withColumns(dict(zip(names, levels)))
-        local = ordering.row_positions(union, "local_idx", names, [F.col(c) for c in order], ["source_no"])
-    else:
-        local = ordering.number_rows(union, ["source_no"], order, "local_idx")
     per_source = union.groupBy("source_no").agg(F.count("*").alias("_n"))
     before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_source.select("source_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if levels:
+        leveled = union.withColumns(dict(zip(names, levels)))
+        local = ordering.row_positions(leveled, "local_idx", names, [F.col(c) for c in order], ["source_no"])
+    else:
+        local = ordering.number_rows(union, ["source_no"], order, "local_idx")
     return (
         local.join(F.broadcast(starts), "source_no")
         .withColumn("global_idx", F.col("_start") + F.col("local_idx"))
