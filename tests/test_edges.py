@@ -343,3 +343,25 @@ def test_histogram_2d(spark):
 
 def test_shared_dir_reads_the_session(spark):
     assert ordering.scratch_path(spark, "t").startswith(ordering.shared_dir(spark))
+
+
+def test_files_to_draws(spark, tmp_path):
+    """The flow of the README on files with metadata order."""
+    frame(spark, *[event(i, i % 4, mc_primary_energy=10.0 ** (i % 7)) for i in range(40)]).repartition(3).drop(
+        "file_path").write.parquet(str(tmp_path / "21217"))
+    raw = scan.scan_events(spark, [str(tmp_path / "21217")], ["event_id"], file_columns=True)
+    events = scan.conform_columns(raw, ["event_id", "file_path", "row_index"]).withColumn(
+        "block", F.expr("row_index div 65536"))
+    index, sensors = tables.event_tables(events, "event_id", "file_path", ["file_path", "block"], ["row_index"])
+    tables.write_event_tables(index, sensors, str(tmp_path / "out"))
+    index, sensors = tables.read_event_tables(spark, str(tmp_path / "out"))
+    assert index.count() == 30 and sensors.count() == sum(i % 4 for i in range(40))
+    assert {r.dataset_id for r in index.select("dataset_id").distinct().collect()} == {21217}
+    spans = sorted((r.sensor_start_idx, r.sensor_end_idx) for r in index.collect())
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    coded = index.withColumn("label", labels.class_label(F.col("morphology_raw").cast("int"), None, "flat"))
+    train = sampling.split_events(coded, val=0.1, seed=42).where("split = 'train'")
+    assert train.count() == 27
+    weighted = sampling.sample_weights(train)
+    assert weighted.agg(F.max("weight")).first()[0] == 20.0
+    assert sampling.weighted_sample(weighted, seed=42).count() == 27
