@@ -10,8 +10,8 @@ table that is emptied when full.
 
 import base64
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,23 +78,46 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str | None], list[int]]:
+def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str | None], bytes]:
+    """A function from a text to its ids, as 32-bit integers one after the other."""
     split, table = regex.compile(pattern), {}
 
-    def ids_of(piece: str) -> list[int]:
-        ids = merge(piece.encode(), ranks)
+    def ids_of(piece: str) -> bytes:
+        ids = np.array(merge(piece.encode(), ranks), np.int32).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(table) >= TABLE_PIECES:
                 table.clear()
             table[piece] = ids
         return ids
 
-    def encode(text: str | None) -> list[int]:
-        return list(chain.from_iterable(table.get(p) or ids_of(p) for p in split.findall(text))) if text else []
+    def encode(text: str | None) -> bytes:
+        get = table.get
+        return b"".join([get(p) or ids_of(p) for p in split.findall(text)]) if text else b""
 
     return encode
 
 
+def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from ids to the bytes they stand for, and the number of bytes of each."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    flat, sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+    firsts = np.cumsum(sizes) - sizes
+
+    def decode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = sizes[ids]
+        shift = firsts[ids] - (np.cumsum(lengths) - lengths)
+        return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
+
+    return decode
+
+
+def _arrow_bytes(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, token_ids and the bytes ``decoded`` from these ids, one row per row of ``docs``.
 
@@ -108,21 +131,22 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = sent.value
-        encode, tokens = encoder(ranks, pattern), [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
+        encode, decode = encoder(sent.value, pattern), decoder(sent.value)
         for batch in batches:
             for part in slices(batch):
-                ids = [encode(t) for t in part.column(1).to_pylist()]
+                coded = [encode(t) for t in part.column(1).to_pylist()]
+                ids = np.frombuffer(b"".join(coded), np.int32)
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int64)
+                data, lengths = decode(ids)
+                upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([b"".join([tokens[i] for i in x]) for x in ids], pa.binary())],
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), _arrow_bytes(data, np.diff(upto))],
                     ["doc_id", "token_ids", "decoded"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, decoded binary")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that ids of a batch never stand in memory together."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
