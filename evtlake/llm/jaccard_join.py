@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.llm.common import add_facts, stored
 from evtlake.llm.words import gram_hashes, mix, word_hashes
@@ -64,22 +64,22 @@ def runs_for(threshold: float, recall: float) -> int:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, digest of the gram set ('' without words), number of grams and tokens."""
+    """doc_id, row key, digest of the gram set ('' without words), number of grams and tokens of ``docs`` (doc_id, key, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [grams_of(t, k) for t in part.column(1).to_pylist()]
+                sets = [grams_of(t, k) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0),
+                    part.column(0), part.column(1),
                     pa.array([hashlib.md5(g.tobytes()).digest() if len(g) else b"" for g in sets], pa.binary()),
                     pa.array([len(g) for g in sets], pa.int64()),
                     pa.array([tokens_of(g).tobytes() if len(g) else b"" for g in sets], pa.binary())],
-                    ["doc_id", "digest", "size", "tokens"])
+                    ["doc_id", "key", "digest", "size", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, size bigint, tokens binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, key string, digest binary, size bigint, tokens binary")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -203,7 +203,8 @@ def exact_links(members: DataFrame, texts: DataFrame, threshold: float, k: int,
     """
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    chosen = placed.join(texts, placed["doc_id"].eqNullSafe(texts["doc_id"])).select(
+    # always by a shuffle, so that the cost follows the input and never jumps where a broadcast ends
+    chosen = placed.join(texts.hint("merge"), placed["doc_id"].eqNullSafe(texts["doc_id"])).select(
         "cluster", "digest", "n", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.concat_ws(":", F.hex("cluster"), F.least("block", "other"), F.greatest("block", "other"))
     spread = chosen.select(key.alias("key"), "digest", "n", "block", "other", "text").repartition("key").sortWithinPartitions("key", "digest")
@@ -254,24 +255,22 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL,
-                    k: int = GRAM, bucket: int = BUCKET, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, class_id and n_links, one row per row of ``docs``.
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id of a row as text; a row without id goes by its text."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string")))
 
-    n_links counts the other documents whose gram set has at least the threshold's similarity,
-    equal sets included; class_id is the smallest id of the documents connected by links.
-    Texts without words (NULL, empty) link to nothing and are classes of their own. Repeated
-    rows are copies of each other. NULL ids take part and never name a class unless all its ids
-    are NULL. An empty table gives no rows; other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+def judged(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, recall: float = RECALL,
+           k: int = GRAM, bucket: int = BUCKET, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """``near_duplicates`` with the row key."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     known = stored(signed(rows, k), "signed")
     classes = stored(known.where("size > 0").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "classes")
     clusters = connected(candidate_edges(classes, threshold, recall, bucket))
     members = stored(clusters.join(classes, clusters["node"] == classes["digest"]).select(
         "digest", F.col("root").alias("cluster"), "doc_id", "n", "size"), "members")
-    links = stored(exact_links(members, rows, threshold, k, block_rows, block_grams), "links")
+    links = stored(exact_links(members, rows.select("doc_id", "text"), threshold, k, block_rows, block_grams), "links")
     parts = connected(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     linked = classes.select("digest", "doc_id", "n").join(counts, F.col("digest") == F.col("a"), "left").join(
@@ -280,19 +279,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = stored(linked, "linked")
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     facts = stored(linked.join(lowest, "root").select("digest", "n", "class_id", "n_links"), "class-facts")
-    out = add_facts(known.select("doc_id", "digest"), facts, "digest", "n", F.col("doc_id"))
+    out = add_facts(known.select("doc_id", "key", "digest"), facts, "digest", "n", F.col("key"))
     empty = F.length("digest") == 0
-    return out.select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "key", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, class_id and n_links, one row per row of ``docs``.
+
+    n_links counts the other documents whose gram set has at least the threshold's similarity,
+    equal sets included; class_id is the smallest id of the documents connected by links.
+    Texts without words (NULL, empty) link to nothing and are classes of their own. Repeated
+    rows are copies of each other. NULL ids take part and never name a class unless all its ids
+    are NULL. An empty table gives no rows; other columns are ignored. ``options`` are those of
+    ``judged``.
+    """
+    return judged(docs, id_col, text_col, **options).drop("key")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps its document of smallest id; repeated rows stay once.
+    """The rows of ``docs`` that stay when each class keeps its document of smallest id; of rows with one id, one stays.
 
     Rows without id stay when no document with an id is in their class, once per text.
     """
-    judged = near_duplicates(docs, id_col, text_col, **options)
-    kept = stored(judged.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    text = F.when(F.col(id_col).isNull(), F.col(text_col))
-    return stay.withColumn("_text", text).dropDuplicates([id_col, "_text"]).drop("_text")
+    kept = judged(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_kept")).distinct()
+    kept = stored(kept, "kept")
+    rows = docs.select(row_key(id_col, text_col).alias("_key"), F.struct("*").alias("_row"))
+    stay = rows.join(kept.hint("merge"), rows["_key"] == kept["_kept"], "left_semi")
+    # the join has put the rows of a key together already
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.col("_row")[text_col])))
+    return stay.withColumn("_first", first).where("_first = 1").select("_row.*")
