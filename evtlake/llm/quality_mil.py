@@ -155,7 +155,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     found, y = training_sample(docs, labels, per_class, id_col, text_col, label_col)
     weights = fit(found, y)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    # in double precision and rounded, so that a score does not depend on the texts beside it
+    sent = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float64) for k, v in weights.items()})
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -163,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             out = []
             for at in range(0, len(texts), 64):
                 x, starts = bags([passages(t) for t in texts[at:at + 64]])
-                out.append(_forward(sent.value, x, starts)["p"].astype(np.float64))
+                out.append(np.round(_forward(sent.value, x, starts)["p"], 9))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))

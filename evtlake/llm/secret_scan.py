@@ -28,7 +28,7 @@ KINDS = {kind: i for i, (kind, *_) in enumerate(BASE)} | {"literal": len(BASE)}
 NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 0.9,
     "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "access": 0.4, "api": 0.4, "key": 0.4, "signing": 0.4,
-    "encryption": 0.4, "pass": 0.6, "pin": 0.4, "salt": 0.5, "bearer": 0.7,
+    "encryption": 0.4, "pass": 0.8, "pin": 0.4, "salt": 0.5, "bearer": 0.7,
 }
 #: Words after which a name speaks about a secret instead of holding one.
 HARMLESS = {"length", "len", "size", "count", "field", "name", "file", "path", "url", "type", "policy", "id", "hint", "label", "expiry", "ttl"}
