@@ -48,6 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Inner join on ``columns`` where NULL equals NULL; the columns come from the left."""
+    other = right.withColumnsRenamed({c: f"_eq_{c}" for c in columns})
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_eq_{c}")) for c in columns])
+    return left.join(other, on).drop(*[f"_eq_{c}" for c in columns])
+
+
 def running_totals(
     df: DataFrame,
     values: Mapping[str, Column],
@@ -58,15 +65,13 @@ def running_totals(
 ) -> DataFrame:
     """Add one column per entry of ``values``: its sum over all earlier rows of the same ``keys``.
 
-    ``levels`` are non-null columns that coarsen ``order``: sorting by the levels and
-    then by ``order`` is the intended order. Every combination of keys and levels is
-    one block, and must be small enough for one task.
+    ``levels`` coarsen ``order``: sorting by the levels and then by ``order`` is the
+    intended order, NULL first. A NULL key or level is a value like any other. Every
+    combination of keys and levels is one block, and must be small enough for one task.
     """
     keys, levels, names = list(keys), list(levels), list(values)
     valued = df.withColumns({f"_v_{n}": v for n, v in values.items()})
-    # the joins below imply not-null; saying so here keeps all uses of the totals one shuffle
-    known = valued.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, *levels)]))
-    totals = known.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
+    totals = valued.groupBy(*keys, *levels).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = None
     for depth in range(1, len(levels) + 1):
         parent, here = keys + levels[: depth - 1], keys + levels[:depth]
@@ -77,13 +82,13 @@ def running_totals(
         level = level.select(*here, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
         if offsets is not None:
             above = offsets.withColumnsRenamed({f"_o_{n}": f"_p_{n}" for n in names})
-            level = level.join(above, parent).select(
+            level = null_safe_join(level, above, parent).select(
                 *here, *[(F.col(f"_o_{n}") + F.col(f"_p_{n}")).alias(f"_o_{n}") for n in names])
         offsets = level
     within = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     summed = {n: F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in names}
-    return valued.join(offsets, keys + levels).withColumns(summed).drop(
+    return null_safe_join(valued, offsets, keys + levels).withColumns(summed).drop(
         *[f"_{k}_{n}" for n in names for k in "vo"])
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evtlake.functions.expr import softmax
 from evtlake.plans import binning, lookup, ordering, quantiles
 from evtlake.plans.quantiles import exact_quantiles
 
@@ -93,3 +94,19 @@ def test_sorted_blocks_are_ordered(spark, skewed):
     ends = ordering.sorted_blocks(skewed.select("o"), [F.col("o").desc()]).groupBy("_blk").agg(
         F.min("o").alias("lo"), F.max("o").alias("hi")).orderBy("_blk").collect()
     assert all(a.lo > b.hi for a, b in zip(ends, ends[1:]))
+
+
+def test_rows_with_null_keys_and_levels_are_kept(spark):
+    rows = [(f, b, i) for f in ("a", None, "b") for b in (0, None, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "file string, block int, i int")
+    out = ordering.row_positions(df, "pos", ["file", "block"], [F.col("i")]).collect()
+    assert sorted(r.pos for r in out) == list(range(27))
+    assert [(r.file, r.block) for r in sorted(out, key=lambda r: r.pos)][:4] == [(None, None)] * 3 + [(None, 0)]
+    keyed = ordering.row_positions(df, "pos", ["block"], [F.col("i")], keys=["file"]).collect()
+    assert sorted(r.pos for r in keyed if r.file is None) == list(range(9))
+
+
+def test_softmax_of_many_classes(spark):
+    out = spark.range(2000).select(softmax(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: (i % 7).cast("double"))).alias("p")).select(
+        F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert abs(out[0] - 1) < 1e-9 and abs(out[1] - 1) < 1e-9
