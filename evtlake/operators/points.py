@@ -24,11 +24,15 @@ AXES = ("x", "y", "z", "t")
 
 def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str = "pos",
            axes: Sequence[str] = AXES, chunk: int = CHUNK) -> DataFrame:
-    """Point rows -> (key, chunk, chunks, n, pts); ``n`` counts the points of the whole cloud."""
+    """Point rows -> (key, chunk, chunks, n, pts); ``n`` counts the points of the whole cloud.
+
+    A NULL coordinate or feature is NaN, whatever the size of the cloud.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     entry = F.struct(
         F.col(pos).cast("long").alias("pos"),
-        *[F.col(a).cast("double").alias(x) for a, x in zip(axes, AXES)],
-        F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias("f"))
+        *[number(a).alias(x) for a, x in zip(axes, AXES)],
+        F.array(*[number(f) for f in features]).cast("array<double>").alias("f"))
     rows = points.groupBy(key, F.expr(f"cast({pos} div {chunk} as int)").alias("chunk")).agg(
         F.sort_array(F.collect_list(entry)).alias("pts"))
     big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk)

@@ -42,11 +42,8 @@ def rows(spark, clouds_data):
     return spark.createDataFrame(data, "key int, pos long, x double, y double, z double, t double, f0 double, f1 double").repartition(7)
 
 
-@pytest.mark.parametrize("chunk", [points.CHUNK, 11])
-@pytest.mark.parametrize("broadcast", [10_000, 0])
+@pytest.mark.parametrize("chunk, broadcast", [(points.CHUNK, 10_000), (11, 10_000), (11, 0)])
 def test_tokens(spark, rows, clouds_data, chunk, broadcast, monkeypatch):
-    if chunk == points.CHUNK and not broadcast:
-        pytest.skip("nothing is spread")
     monkeypatch.setattr(points, "BROADCAST_CLOUDS", broadcast)
     monkeypatch.setattr(points, "STEPS_PER_CHECKPOINT", 2)
     cloud = points.clouds(rows, "key", ["f0", "f1"], chunk=chunk)
