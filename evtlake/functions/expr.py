@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -59,14 +59,20 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def softmax(values: Column) -> Column:
-    shifted = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    return F.transform(shifted, lambda v: v / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    def shares(powers: Column) -> Column:
+        return bind(F.aggregate(powers, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(powers, lambda v: v / total))
+
+    return bind(F.array_max(values), lambda top: bind(F.transform(values, lambda v: F.exp(v - top)), shares))
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return bind(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
 
 def seeded_hash(seed: int | str, *ids: Column) -> Column:
