@@ -100,7 +100,7 @@ def weighted_sample(
     intervals = line.select(key, "_lo", (F.col("_lo") + F.col(weight)).alias("_hi"))
     names = df.select(F.col(key).alias("draw")) if n is None else df.sparkSession.range(n).toDF("draw")
     draws = names.withColumn("_u", hash_fraction(seeded_hash(f"{seed}-draw", F.col("draw"))) * F.lit(float(total)))
-    block = float(total) / max(16, (events if n is None else n) // DRAWS_PER_BLOCK)
+    block = float(total) / max(16, max(events, n or 0) // DRAWS_PER_BLOCK)
     return lookup.interval_lookup(
         draws, "_u", intervals, "_lo", "_hi", block, contiguous=True
     ).select("draw", key)
