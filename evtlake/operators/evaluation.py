@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evtlake.functions import codes
 from evtlake.functions.expr import angle, argmax, norm, softmax, softplus
 from evtlake.operators.labels import finite_only
 from evtlake.operators.losses import squared_distance
@@ -24,27 +25,42 @@ def _with_row_share(cells: DataFrame, row: str) -> DataFrame:
         "percent", F.when(total > 0, 100.0 * F.col("count") / total).otherwise(F.lit(0.0)))
 
 
+def _named(cells: DataFrame, names: Mapping[str, Mapping[int, str]]) -> DataFrame:
+    """Add ``<column>_name`` for every column of codes that has names."""
+    return cells.withColumns({
+        f"{column}_name": codes.lookup(dict(known), F.col(column), codes.UNKNOWN_NAME) for column, known in names.items() if known})
+
+
 def confusion_raw(df: DataFrame, raw_codes: Sequence[int], num_classes: int,
-                  raw: str = "morphology_raw", predicted: str = "predicted") -> DataFrame:
+                  raw: str = "morphology_raw", predicted: str = "predicted",
+                  class_names: Sequence[str] = (), raw_names: Mapping[int, str] | None = None) -> DataFrame:
     """Raw code x predicted class with counts and row percent; rows without events are left out.
 
-    Rows carry the raw code itself, so a partial mapping cannot mislabel them.
+    Rows carry the raw code itself, so a partial mapping cannot mislabel them. With
+    ``class_names`` the cells also name the class, and the raw code by ``raw_names``
+    (by default the usual names of the codes).
     """
     seen = df.where(F.col(raw).isin(*raw_codes) & F.col(predicted).between(0, num_classes - 1))
     counts = seen.groupBy(raw, predicted).count()
     cells = binning.grid(df, **{predicted: num_classes}).withColumn(
         raw, F.explode(F.array(*[F.lit(c) for c in raw_codes])))
     out = _with_row_share(binning.fill_grid(counts, cells, [raw, predicted], ["count"]), raw)
-    return out.withColumn("_t", F.sum("count").over(Window.partitionBy(raw))).where(F.col("_t") > 0).drop("_t")
+    out = out.withColumn("_t", F.sum("count").over(Window.partitionBy(raw))).where(F.col("_t") > 0).drop("_t")
+    if not class_names:
+        return out
+    return _named(out, {raw: raw_names or codes.names_by_code(), predicted: dict(enumerate(class_names))})
 
 
-def confusion_mapped(df: DataFrame, num_classes: int, label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Class x predicted class with zero cells present."""
+def confusion_mapped(df: DataFrame, num_classes: int, label: str = "label", predicted: str = "predicted",
+                     class_names: Sequence[str] = ()) -> DataFrame:
+    """Class x predicted class with zero cells present; ``class_names`` adds the names of both."""
     counts = df.where(
         F.col(label).between(0, num_classes - 1) & F.col(predicted).between(0, num_classes - 1)
     ).groupBy(label, predicted).count()
     cells = binning.grid(df, **{label: num_classes, predicted: num_classes})
-    return _with_row_share(binning.fill_grid(counts, cells, [label, predicted], ["count"]), label)
+    out = _with_row_share(binning.fill_grid(counts, cells, [label, predicted], ["count"]), label)
+    known = dict(enumerate(class_names))
+    return _named(out, {label: known, predicted: known})
 
 
 def class_accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -72,12 +88,28 @@ def _score_steps(df: DataFrame, probs: str, label: str, num_classes: int) -> tup
     return ranked, totals
 
 
-def roc_curve(df: DataFrame, probs: str, label: str, num_classes: int) -> DataFrame:
+def _corners(ranked: DataFrame) -> DataFrame:
+    """Steps after which the curve goes on with another step; the rest lie on a straight line.
+
+    The step after the last one of a block is the first of the class's next block.
+    """
+    step = F.struct("p", "q")
+    heads = ranked.groupBy("class", "_blk").agg(F.max_by(step, "threshold").alias("_head"))
+    heads = heads.withColumn("_head", F.lead("_head").over(Window.partitionBy("class").orderBy("_blk")))
+    falling = Window.partitionBy("class", "_blk").orderBy(F.col("threshold").desc())
+    following = ordering.null_safe_join(ranked.withColumn("_next", F.lead(step).over(falling)), heads, ["class", "_blk"])
+    return following.where(~F.coalesce("_next", "_head").eqNullSafe(step)).drop("_next", "_head")
+
+
+def roc_curve(df: DataFrame, probs: str, label: str, num_classes: int, thin: bool = False) -> DataFrame:
     """One-vs-rest points (class, threshold, fpr, tpr), one per distinct score.
 
     Every class with positives also has the starting point (0, 0), without a threshold.
+    ``thin`` leaves out points whose step equals the next one: the line stays the same.
     """
     ranked, totals = _score_steps(df, probs, label, num_classes)
+    if thin:
+        ranked = _corners(ranked)
     points = ranked.join(F.broadcast(totals), "class").select(
         "class", "threshold",
         F.try_divide(F.col("fp").cast("double"), "negatives").alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))

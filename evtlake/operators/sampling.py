@@ -14,13 +14,23 @@ from evtlake.plans import lookup, ordering
 DRAWS_PER_BLOCK = 100_000
 
 
-def split_events(df: DataFrame, val: float = 0.2, seed: int = 42, key: str = "event_id") -> DataFrame:
+def key_digest(seed: int | str, key: str | Sequence[str]) -> Column:
+    """Seeded digest of a key of one or more columns."""
+    names = [key] if isinstance(key, str) else list(key)
+    # in a key of several columns NULL and the borders between them count
+    parts = [F.col(names[0])] if len(names) == 1 else [F.to_json(F.struct(*names))]
+    return seeded_hash(seed, *parts)
+
+
+def split_events(df: DataFrame, val: float = 0.2, seed: int = 42, key: str | Sequence[str] = "event_id") -> DataFrame:
     """Add ``split``: exactly ``int(n * val)`` events are ``val``, chosen by digest.
 
     The digest at the cut is found from block counts; the split itself is a comparison
-    per row and moves nothing.
+    per row and moves nothing. ``key`` names an event: after a union of datasets, whose ids
+    repeat, it is (source, id). Rows that repeat the whole key are one event and stay together,
+    so the size is then off by less than the rows of the one key at the cut.
     """
-    hashed = df.withColumn("_h", seeded_hash(seed, F.col(key)))
+    hashed = df.withColumn("_h", key_digest(seed, key))
     counted = df.agg(F.count("*").alias("n"))
     n_train = counted.select(F.col("n") - F.floor(F.col("n") * F.lit(float(val)))).scalar()
     cut = ordering.hash_cutoff(hashed.select("_h"), "_h", n_train)
@@ -45,7 +55,7 @@ def split_files(
         rank = F.row_number().over(Window.orderBy(seeded_hash(seed, F.col(file)), file)) - 1
         n_train = F.floor(F.count("*").over(Window.partitionBy()) * F.lit(1.0 - val))
         sides = files.withColumn("split", F.when(rank < n_train, "train").otherwise("val"))
-    return df.join(sides.where(F.col("split").isNotNull()), file)
+    return df.join(ordering.broadcast_if_short(sides.where(F.col("split").isNotNull())), file)
 
 
 def sample_weights(
@@ -84,26 +94,30 @@ def weight_report(weighted: DataFrame) -> DataFrame:
 
 
 def weighted_sample(
-    df: DataFrame, seed: int = 42, n: int | None = None, key: str = "event_id", weight: str = "weight"
+    df: DataFrame, seed: int = 42, n: int | None = None, key: str | Sequence[str] = "event_id", weight: str = "weight"
 ) -> DataFrame:
     """Draw events with replacement, each draw with probability proportional to weight.
 
     One row per draw: ``draw`` and the drawn key. By default there are as many draws as
     events, named by the event keys; otherwise ``n`` draws named 0 to n-1. Events lie on a line as
-    intervals of their weight, and a draw is a digest-made position on it.
+    intervals of their weight, and a draw is a digest-made position on it. ``key`` may be several
+    columns, such as (source, id); ``draw`` is then a struct of them.
     """
+    names = [key] if isinstance(key, str) else list(key)
     total, events = df.agg(F.sum(weight), F.count("*")).first()
     if not total:
         raise ValueError("weights sum to zero")
-    hashed = ordering.hash_levels(df.select(key, weight).withColumn("_h", seeded_hash(seed, F.col(key))))
-    line = ordering.running_total(hashed, "_lo", F.col(weight), ["_hb"], [F.col("_h"), F.col(key)])
-    intervals = line.select(key, "_lo", (F.col("_lo") + F.col(weight)).alias("_hi"))
-    names = df.select(F.col(key).alias("draw")) if n is None else df.sparkSession.range(n).toDF("draw")
-    draws = names.withColumn("_u", hash_fraction(seeded_hash(f"{seed}-draw", F.col("draw"))) * F.lit(float(total)))
+    hashed = ordering.hash_levels(df.select(*names, weight).withColumn("_h", key_digest(seed, key)))
+    line = ordering.running_total(hashed, "_lo", F.col(weight), ["_hb"], [F.col("_h"), *map(F.col, names)])
+    intervals = line.select(*names, "_lo", (F.col("_lo") + F.col(weight)).alias("_hi"))
+    own = F.col(names[0]) if len(names) == 1 else F.struct(*names)
+    called = df.select(own.alias("draw")) if n is None else df.sparkSession.range(n).toDF("draw")
+    text = F.col("draw") if n is not None or len(names) == 1 else F.to_json("draw")
+    draws = called.withColumn("_u", hash_fraction(seeded_hash(f"{seed}-draw", text)) * F.lit(float(total)))
     block = float(total) / max(16, max(events, n or 0) // DRAWS_PER_BLOCK)
     return lookup.interval_lookup(
         draws, "_u", intervals, "_lo", "_hi", block, contiguous=True
-    ).select("draw", key)
+    ).select("draw", *names)
 
 
 def shuffle_by_file(

@@ -48,6 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_short(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` with a broadcast hint if a count finds at most ``rows`` rows; beyond that it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Inner join on ``columns`` where NULL equals NULL; the columns come from the left."""
     other = right.withColumnsRenamed({c: f"_eq_{c}" for c in columns})
@@ -131,9 +136,7 @@ def number_rows(
     number = (F.row_number().over(plain) - 1).cast("long")
     if hot.isEmpty():
         return df.withColumn(out, number)
-    hot = cut_lineage(hot)
-    if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)  # a shuffle by key would gather the very rows to be spread
+    hot = broadcast_if_short(cut_lineage(hot))  # a shuffle by key would gather the very rows to be spread
     cold_rows = df.join(hot, keys, "left_anti").withColumn(out, number)
     hot_part = sorted_blocks(df.join(hot, keys, "left_semi"), [F.col(c) for c in keys + order])
     hot_part = row_positions(hot_part, out, ["_blk"], [F.col(c) for c in order], keys).drop("_blk")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from evtlake.functions import codes
@@ -24,8 +27,9 @@ def scan_events(
     """Read event files, only the required columns and the named extras.
 
     ``file_columns`` adds ``file_path`` and ``row_index`` from the scan's metadata.
-    Files of one call share a version; ``tolerate_absent`` leaves columns out that this
-    version lacks, for ``conform_columns`` to fill.
+    All files of the call must share a version; ``tolerate_absent`` leaves columns out that
+    this version lacks, for ``conform_columns`` to fill. ``scan_versions`` reads files of any
+    mixture of versions.
     """
     wanted = list(dict.fromkeys([*REQUIRED, *additional_columns]))
     if tolerate_absent:
@@ -37,6 +41,54 @@ def scan_events(
     return spark.read.parquet(*paths).select(*wanted)
 
 
+def list_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """All data files below the paths, in path order, as Spark's own listing finds them; no data is read."""
+    return sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
+        "recursiveFileLookup", "true").load(list(paths)).inputFiles())
+
+
+def files_by_version(spark: SparkSession, files: Sequence[str], per_task: int = 200) -> list[tuple[frozenset[str], list[str]]]:
+    """Files grouped by the columns that their own footers name.
+
+    Tasks read the footers, ``per_task`` of them each; a row per file comes back.
+    """
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+        for batch in batches:
+            found = []
+            for file in batch["file"]:
+                store, path = fs.FileSystem.from_uri(file)
+                with store.open_input_file(path) as opened:
+                    found.append(sorted(parquet.read_schema(opened).names))
+            yield pd.DataFrame({"file": batch["file"], "names": found})
+
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(-(-len(files) // per_task) or 1)
+    versions: dict[frozenset[str], list[str]] = {}
+    for row in listed.mapInPandas(footers, "file string, names array<string>").collect():
+        versions.setdefault(frozenset(row.names), []).append(row.file)
+    return sorted(((names, sorted(own)) for names, own in versions.items()), key=lambda v: v[1])
+
+
+def scan_versions(
+    spark: SparkSession, paths: Sequence[str], keep: Sequence[str] = (), file_columns: bool = False
+) -> DataFrame:
+    """Events of files of any versions in the full schema of ``conform_columns``, plus ``keep``.
+
+    Every file decides by its own footer which columns it has, whatever stands beside it. A
+    ``keep`` column that a file lacks is NULL there. Each version is one pruned scan.
+    """
+    metadata = ["file_path", "row_index"] if file_columns else []
+    versions = files_by_version(spark, list_files(spark, paths))
+    if not versions:
+        raise ValueError("no event files")
+    parts = []
+    for names, files in versions:
+        wanted = [c for c in dict.fromkeys([*REQUIRED, *keep]) if c in names]
+        found = spark.read.parquet(*files).select(*wanted, *[F.col(f"_metadata.{c}").alias(c) for c in metadata])
+        parts.append(conform_columns(found, [*(c for c in keep if c in names), *metadata]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def conform_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Give a source of any version the full event schema.
 
@@ -76,10 +128,45 @@ def file_table(df: DataFrame, file: str = "file_path", within: Sequence[str] = (
     return df.select(*within, file).distinct().withColumn("file_no", F.row_number().over(order) - 1)
 
 
+def _digest(seed: int, text: str) -> str:
+    """``seeded_hash`` of one path."""
+    return hashlib.md5(f"{seed}-{text}".encode()).hexdigest()
+
+
+def choose_range(files: Sequence[str], start: int, end: int) -> list[str]:
+    """Files at positions ``[start, end)`` in path order, to be scanned alone."""
+    return sorted(files)[start:end]
+
+
+def choose_per_dir(files: Sequence[str], n: int, seed: int = 42) -> list[str]:
+    """At most ``n`` seeded-random files of every directory, in path order."""
+    by_dir: dict[str, list[str]] = {}
+    for file in files:
+        by_dir.setdefault(file.rpartition("/")[0], []).append(file)
+    return sorted(f for own in by_dir.values() for f in sorted(own, key=lambda f: (_digest(seed, f), f))[:n])
+
+
+def choose_split(files: Sequence[str], val: float = 0.1, seed: int = 42) -> tuple[list[str], list[str]]:
+    """Train and val files: ``int(n * (1 - val))`` of them train."""
+    shuffled = sorted(files, key=lambda f: (_digest(seed, f), f))
+    n_train = int(len(shuffled) * (1.0 - val))
+    return sorted(shuffled[:n_train]), sorted(shuffled[n_train:])
+
+
+def choose_mix(files: Sequence[str], recipe: Sequence[Source]) -> dict[str, list[str]]:
+    """Files of every recipe entry by its name; the first entry whose folder is in a path has the file."""
+    chosen: dict[str, list[str]] = {s.name: [] for s in recipe}
+    for file in sorted(files):
+        entry = next((s for s in recipe if s.folder in file.split("/")), None)
+        if entry:
+            chosen[entry.name].append(file)
+    return {s.name: chosen[s.name] if s.files is None else chosen[s.name][slice(*s.files)] for s in recipe}
+
+
 def file_range(df: DataFrame, start: int, end: int, file: str = "file_path") -> DataFrame:
     """Rows of the files at positions ``[start, end)`` in path order."""
     chosen = file_table(df, file).where((F.col("file_no") >= start) & (F.col("file_no") < end))
-    return df.join(chosen, file, "left_semi")
+    return df.join(ordering.broadcast_if_short(chosen), file, "left_semi")
 
 
 def limit_per_file(df: DataFrame, n: int | None, file: str = "file_path", row: str = "row_index") -> DataFrame:
@@ -104,7 +191,7 @@ def sample_files_per_dir(
         df.select(directory, file).distinct()
         .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
     )
-    return df.join(chosen, [directory, file], "left_semi")
+    return df.join(ordering.broadcast_if_short(chosen), [directory, file], "left_semi")
 
 
 def union_sources(
@@ -191,7 +278,7 @@ def training_mix(
         codes.lookup({i: s.name for i, s in enumerate(recipe)}, F.col("_entry"), "").alias("source"),
         codes.lookup({i: s.starting_only for i, s in enumerate(recipe)}, F.col("_entry"), False).alias("_only"))
     return (
-        df.join(chosen, file)
+        df.join(ordering.broadcast_if_short(chosen), file)
         .where(~F.col("_only") | F.col(morphology).isin(*codes.STARTING_NAMES))
         .drop("_only")
     )

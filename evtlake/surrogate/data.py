@@ -79,16 +79,19 @@ def scan_events(spark, sf):
     "CASE WHEN dir='/data/v2/21316_extended/' THEN 'Unknown' ELSE mc_event_morphology END AS morphology "
     f"FROM ev LEFT JOIN (SELECT event_id, {NESTED}, count(*) AS n FROM se GROUP BY 1,2) n USING (event_id)", "ev", "se"))
 def conform_columns(spark, sf):
-    full = v.nested_events(spark, sf)
+    """Files of three versions below one folder, read in one call."""
+    full = spark.read.parquet(nested_files(spark, sf)).select("event_id", "chunk", "dir", *scan.REQUIRED)
+    folder = ordering.scratch_path(spark, "versions")
+    changes = {
+        "/data/v1/21217/": full,
+        "/data/v2/21316_extended/": full.drop(codes.MORPHOLOGY_COLUMN, S["c_100ns"], "mc_primary_dir_x"),
+        "/data/charm/": full.withColumns({
+            S["x"]: F.when(F.col("event_id") % 10 != 0, F.col(S["x"])),
+            "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})}
+    for i, (name, df) in enumerate(changes.items()):
+        df.where(F.col("dir") == name).drop("dir").write.parquet(f"{folder}/{i}")
     keys = ["event_id", "chunk"]
-    v1 = full.where(F.col("dir") == "/data/v1/21217/")
-    v2 = full.where(F.col("dir") == "/data/v2/21316_extended/").drop(
-        codes.MORPHOLOGY_COLUMN, S["c_100ns"], "mc_primary_dir_x")
-    v3 = full.where(F.col("dir") == "/data/charm/").withColumns({
-        S["x"]: F.when(F.col("event_id") % 10 != 0, F.col(S["x"])),
-        "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})
-    out = scan.conform_columns(v1, keys).unionByName(scan.conform_columns(v2, keys)).unionByName(
-        scan.conform_columns(v3, keys))
+    out = scan.scan_versions(spark, [folder], keys)
     nan = F.isnan("mc_primary_energy")
     return out.select(
         *keys, "num_sensors", F.size(S["c_100ns"]).cast("long").alias("n_c100"), nan.alias("energy_is_nan"),

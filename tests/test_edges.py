@@ -365,3 +365,76 @@ def test_files_to_draws(spark, tmp_path):
     weighted = sampling.sample_weights(train)
     assert weighted.agg(F.max("weight")).first()[0] == 20.0
     assert sampling.weighted_sample(weighted, seed=42).count() == 27
+
+
+def test_versions_of_one_folder(spark, tmp_path):
+    """Every file decides by its own columns, whichever file is listed first."""
+    new, nulls = frame(spark, event(1), event(2)), frame(spark, event(3, mc_primary_energy=None), event(4))
+    old = frame(spark, event(5)).drop("mc_primary_energy", codes.MORPHOLOGY_COLUMN, S["x"])
+    for order in ((new, nulls, old), (old, new, nulls)):
+        folder = tmp_path / f"in{'new' if order[0] is new else 'old'}"
+        for i, df in enumerate(order):
+            df.coalesce(1).write.parquet(f"{folder}/{i}")
+        found = {r.event_id: r for r in scan.scan_versions(spark, [str(folder)], ["event_id"], file_columns=True).collect()}
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert math.isnan(found[3].mc_primary_energy) and found[5].mc_primary_energy == 0.0 and found[1].mc_primary_energy == 10.0
+        assert found[5].mc_event_morphology == "Unknown" and found[1].mc_event_morphology == "0T1C"
+        assert found[5].num_sensors == 3 and found[5][S["x"]] == [0.0] * 3 and found[1][S["x"]] == [0.0, 1.0, 2.0]
+    with pytest.raises(ValueError):
+        (tmp_path / "none").mkdir()
+        scan.scan_versions(spark, [str(tmp_path / "none")])
+
+
+def test_choice_of_files_before_the_scan(spark, tmp_path):
+    for d in ("21217", "charm"):
+        spark.range(12).repartition(6).write.parquet(str(tmp_path / d))
+    files = scan.list_files(spark, [str(tmp_path)])
+    assert files == sorted(files) and len(files) == 12
+    chosen = scan.choose_range(files, 2, 5)
+    assert sorted(spark.read.parquet(*chosen).inputFiles()) == files[2:5]
+    rows = spark.createDataFrame([(f, f.rpartition("/")[0]) for f in files], "file_path string, dir string")
+    names = lambda df: sorted(r.file_path for r in df.collect())
+    assert names(scan.file_range(rows, 2, 5)) == chosen
+    assert names(scan.sample_files_per_dir(rows, 2, 7)) == scan.choose_per_dir(files, 2, 7)
+    train, val = scan.choose_split(files, 0.25, 3)
+    split = sampling.split_files(rows, 0.25, 3)
+    assert names(split.where("split = 'train'")) == train and names(split.where("split = 'val'")) == val and len(val) == 3
+    recipe = (scan.Source("tracks", "21217", files=(1, 4)), scan.Source("charm", "charm"))
+    mix = scan.choose_mix(files, recipe)
+    mixed = scan.training_mix(rows.withColumn("mc_event_morphology", F.lit("0T1C")), recipe)
+    assert {s: names(mixed.where(F.col("source") == s)) for s in mix} == mix
+    assert "SortMergeJoin" not in scan.file_range(rows, 2, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_several_columns(spark):
+    df = spark.range(100).selectExpr("CAST(id % 10 AS STRING) AS source", "id div 10 AS event_id", "1.0D AS weight")
+    out = sampling.split_events(df, 0.25, 7, ["source", "event_id"])
+    assert out.where("split = 'val'").count() == 25 and out.count() == 100
+    together = sampling.split_events(df, 0.25, 7).groupBy("event_id").agg(F.countDistinct("split").alias("n"))
+    assert {r.n for r in together.collect()} == {1}
+    drawn = sampling.weighted_sample(df, 3, key=["source", "event_id"])
+    assert drawn.columns == ["draw", "source", "event_id"] and drawn.count() == 100
+    assert drawn.select("source", "event_id").distinct().count() > 40
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_thin_roc(spark, parts):
+    scores = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5), (1, 0.4), (0, 0.3), (0, 0.2), (0, 0.1)]
+    df = spark.createDataFrame([(l, [1 - s, s]) for l, s in scores], "label int, probs array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        full, thin = ([(r.fpr, r.tpr) for r in evaluation.roc_curve(df, "probs", "label", 2, thin=t).where("class = 1").orderBy(
+            "fpr", "tpr").collect()] for t in (False, True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(full) == 10
+    assert thin == [full[i] for i in (0, 3, 5, 6, 9)]
+
+
+def test_class_names_of_cells(spark):
+    df = spark.createDataFrame([(0, 0, 0), (4, 1, 0), (4, 1, 1)], "morphology_raw int, label int, predicted int")
+    names = codes.class_names({0: 0, 4: 1}, 2)
+    raw = {(r.morphology_raw_name, r.predicted_name): r["count"] for r in evaluation.confusion_raw(df, range(8), 2, class_names=names).collect()}
+    assert raw == {("0T0C", "0T0C"): 1, ("0T0C", "1T1C"): 0, ("1T1C", "0T0C"): 1, ("1T1C", "1T1C"): 1}
+    mapped = {(r.label_name, r.predicted_name): r["count"] for r in evaluation.confusion_mapped(df, 2, class_names=names).collect()}
+    assert mapped == raw
