@@ -6,8 +6,10 @@ join the turn before it (merge), and missing turns may be put in empty (insert).
 repair is a shortest path: states are the role of the last turn written, each input turn is a
 small matrix of costs between states, and costs of stretches multiply in the (min, +) sense.
 So a conversation is cut into blocks of turns, blocks are multiplied apart from each other,
-only block matrices are chained, and each block is then solved between its two states. The
-result is one row per written piece; pieces in order, put together, are the formatted chat.
+only block matrices are chained, and each block is then solved between its two states. Where
+there are many blocks, their matrices are multiplied in groups and so on upwards, so that no
+task ever holds more than one group of a conversation. The result is one row per written
+piece; pieces in order, put together, are the formatted chat.
 """
 
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, MERGE_OTHER, INSERT, RELABEL, NAME_UNKNOWN, SYSTEM_LATE = 1, 4, 2, 3, 2, 3
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 BLOCK_TURNS = 2048
+#: Block matrices of a conversation that one task chains; above that, groups of them are multiplied first.
+CHAINED = 1024
 NEVER = 1 << 40
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
@@ -83,11 +87,11 @@ FINAL = np.array([0, 2 * INSERT, INSERT, 0], np.int64)
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 
 
-def product(said: list[int]) -> np.ndarray:
-    """(min, +) product of the turns' matrices."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """(min, +) product."""
     out = np.where(np.eye(4, dtype=bool), 0, NEVER).astype(np.int64)
-    for s in said:
-        out = np.minimum((out[:, :, None] + COSTS[s][None, :, :]).min(axis=1), NEVER)
+    for m in matrices:
+        out = np.minimum((out[:, :, None] + m[None, :, :]).min(axis=1), NEVER)
     return out
 
 
@@ -104,12 +108,12 @@ def cheapest(said: list[int], entry: int, leave: int) -> list[int]:
     return states[::-1] if said else []
 
 
-def chain(matrices: list[np.ndarray]) -> list[int]:
-    """States at the ends of all blocks of a conversation on the cheapest path from START."""
-    costs = [np.array([0, NEVER, NEVER, NEVER], np.int64)]
+def chain(matrices: list[np.ndarray], entry: int, leave: int | None) -> list[int]:
+    """States at the ends of blocks on the cheapest path from ``entry`` to ``leave``, or to where ending is cheapest."""
+    costs = [np.where(np.arange(4) == entry, 0, NEVER)]
     for m in matrices:
         costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), NEVER))
-    here = int(np.argmin(costs[-1] + FINAL))
+    here = int(np.argmin(costs[-1] + FINAL)) if leave is None else leave
     states = [here]
     for i in range(len(matrices) - 1, 0, -1):
         here = int(np.argmin(costs[i] + matrices[i][:, here]))
@@ -117,6 +121,45 @@ def chain(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
+def ends_of_blocks(matrices: DataFrame, conv: str, chained: int) -> DataFrame:
+    """conv_id, block, entry, leave and last: the states between which each block of ``matrices`` (conv_id, block, m) is solved.
+
+    Groups of ``chained`` blocks are blocks of the level above, where there is more than one
+    group; that level fixes the states at the ends of each group.
+    """
+    groups = matrices.groupBy("conv_id", F.expr(f"block div {chained}").alias("upper")).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("b"))
+    groups = stored(groups, "chat-groups")
+    kinds = f"conv_id {conv}, block bigint, entry int, leave int, last boolean"
+    read = lambda b: [np.array(x["m"], np.int64).reshape(4, 4) for x in b]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = [product(read(b)).ravel().tolist() for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.list_(pa.int64()))], ["conv_id", "block", "m"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, which, entry, leave, last = [], [], [], [], []
+            for i, (b, start, end, ending) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)))):
+                states = chain(read(b), start, end)
+                ids += [i] * len(b)
+                which += [x["block"] for x in b]
+                entry += [start, *states[:-1]]
+                leave += states
+                last += [False] * (len(b) - 1) + [ending]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(which, pa.int64()), pa.array(entry, pa.int32()), pa.array(leave, pa.int32()), pa.array(last, pa.bool_())],
+                ["conv_id", "block", "entry", "leave", "last"])
+
+    if groups.where("upper > 0").isEmpty():
+        bound = groups.select("conv_id", "b", F.lit(START).alias("entry"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("last"))
+    else:
+        above = ends_of_blocks(groups.mapInArrow(multiply, f"conv_id {conv}, block bigint, m array<bigint>"), conv, chained)
+        above = above.withColumnsRenamed({"conv_id": "_c", "block": "_b"})
+        bound = groups.join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("upper") == F.col("_b"))).select("conv_id", "b", "entry", "leave", "last")
+    return bound.mapInArrow(follow, kinds)
+
+
 def _said(role: str | None) -> int:
     name = (role or "").strip().lower()
     name = ALIASES.get(name, name)
@@ -124,7 +167,7 @@ def _said(role: str | None) -> int:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-                 block_turns: int = BLOCK_TURNS) -> DataFrame:
+                 block_turns: int = BLOCK_TURNS, chained: int = CHAINED) -> DataFrame:
     """conv_id, pos, turn, said, role, action, n_inserted, rendered and cost, one row per row of ``turns``.
 
     ``rendered`` is the piece of the formatted chat that the turn adds: empty turns put in before
@@ -147,28 +190,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = [product(s).ravel().tolist() for s in batch.column(2).to_pylist()]
+            m = [product([COSTS[x] for x in s]).ravel().tolist() for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.list_(pa.int64()))], ["conv_id", "block", "m"])
 
     blocks = stored(roles, "chat-blocks")
     matrices = blocks.mapInArrow(multiply, f"conv_id {conv}, block bigint, m array<bigint>")
-    chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("b"))
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, which, entry, leave, last = [], [], [], [], []
-            for i, b in enumerate(batch.column(1).to_pylist()):
-                states = chain([np.array(x["m"], np.int64).reshape(4, 4) for x in b])
-                ids += [i] * len(b)
-                which += [x["block"] for x in b]
-                entry += [START, *states[:-1]]
-                leave += states
-                last += [False] * (len(b) - 1) + [True]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(which, pa.int64()), pa.array(entry, pa.int32()), pa.array(leave, pa.int32()), pa.array(last, pa.bool_())],
-                ["conv_id", "block", "entry", "leave", "last"])
-
-    bounds = chains.mapInArrow(follow, f"conv_id {conv}, block bigint, entry int, leave int, last boolean")
+    bounds = ends_of_blocks(matrices, conv, chained)
     both = blocks.join(bounds.withColumnsRenamed({"conv_id": "_c", "block": "_b"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -340,15 +340,15 @@ def brute_repair(said):
     return min(c + int(chat_format.FINAL[s]) for s, c in costs.items())
 
 
-@pytest.mark.parametrize("block", [1, 3, 2048])
-def test_chats(spark, block):
+@pytest.mark.parametrize("block, chained", [(1, 2), (1, 1024), (3, 1024), (2048, 1024)])
+def test_chats(spark, block, chained):
     rng = random.Random(6)
     roles = ["system", "user", "assistant", "Human", "bot", None, "tool", " USER "]
     rows = [(c if c else None, t if rng.random() < 0.9 else None, rng.choice(roles), rng.choice(["hi", "", None, "long " * 50]), "x", 0)
             for c in range(25) for t in range(rng.randint(1, 12))]
     rows += rows[:3]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, said string, block long")
-    out = chat_format.format_chats(frame, block_turns=block).collect()
+    out = chat_format.format_chats(frame, block_turns=block, chained=chained).collect()
     assert len(out) == len(rows)
     chats = collections.defaultdict(list)
     for r in out:
