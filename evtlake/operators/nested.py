@@ -140,9 +140,12 @@ def to_sensors(sensors: DataFrame, events: DataFrame, key: str = "event_id", blo
     return sensors.withColumn("_b", F.expr(f"pos div {block}")).join(copies, [key, "_b"]).drop("_b")
 
 
-def pack_batches(batched: DataFrame, sensors: DataFrame, key: str = "event_id") -> DataFrame:
-    """Point rows of packed batches; ``event_in_batch`` is the segment id of every point."""
-    wanted = batched.where(F.col("num_sensors") > 0).select(key, "num_sensors", "batch_id", "event_in_batch")
+def pack_batches(batched: DataFrame, sensors: DataFrame, key: str = "event_id", labels: Sequence[str] = ()) -> DataFrame:
+    """Point rows of packed batches; ``event_in_batch`` is the segment id of every point.
+
+    ``labels`` are columns of the event that every point carries along.
+    """
+    wanted = batched.where(F.col("num_sensors") > 0).select(key, "num_sensors", "batch_id", "event_in_batch", *labels)
     return to_sensors(sensors, wanted, key).drop("num_sensors")
 
 
@@ -152,19 +155,20 @@ def with_batch_coordinate(packed: DataFrame, coords: Sequence[str] = codes.COORD
         "coords", F.array(F.col("event_in_batch").cast("double"), *[F.col(c).cast("double") for c in coords]))
 
 
-def pack_padded(batched: DataFrame, sensors: DataFrame, columns: Sequence[str], key: str = "event_id") -> DataFrame:
+def pack_padded(batched: DataFrame, sensors: DataFrame, columns: Sequence[str], key: str = "event_id", block: int = CHUNK) -> DataFrame:
     """Packed batches with every event padded to its batch's largest one: zero rows, ``valid`` false.
 
-    Only the padding is generated; the points themselves are joined once.
+    Only the padding is generated, ``block`` rows at a time; the points themselves are joined once.
     """
     counts = batched.select("batch_id", "event_in_batch", key, F.col("num_sensors").cast("long").alias("num_sensors"))
     widest = counts.groupBy("batch_id").agg(F.max("num_sensors").alias("n_max"))
     sized = counts.join(widest, "batch_id")
     head = ["batch_id", "event_in_batch", key, F.col("num_sensors").alias("count"), "n_max", "pos"]
     padding = sized.where(F.col("num_sensors") < F.col("n_max")).withColumn(
-        "pos", F.explode(F.sequence("num_sensors", F.col("n_max") - 1))).select(
+        "_b", F.explode(F.expr(f"sequence(num_sensors div {block}, (n_max - 1) div {block})"))).withColumn(
+        "pos", F.explode(F.sequence(F.greatest("num_sensors", F.col("_b") * block), F.least("n_max", (F.col("_b") + 1) * block) - 1))).select(
         *head, F.lit(False).alias("valid"), *[F.lit(0.0).alias(c) for c in columns])
-    filled = to_sensors(sensors.select(key, "pos", *columns), sized.where(F.col("num_sensors") > 0), key)
+    filled = to_sensors(sensors.select(key, "pos", *columns), sized.where(F.col("num_sensors") > 0), key, block)
     return filled.select(*head, F.lit(True).alias("valid"), *columns).unionByName(padding)
 
 

@@ -282,6 +282,16 @@ def tokenize_events(cloud: DataFrame, key: str, tokens: int, k: int, width: int)
     return own.unionByName(pooled).unionByName(padding)
 
 
+def token_rows(tokens: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """One row per cloud: its ``valid`` flags and ``features`` in token order, with the columns of ``labels``.
+
+    That is what a predictor reads; a cloud has as many tokens as ``tokenize_events`` was asked for.
+    """
+    token = F.struct("token_no", "valid", "features")
+    rows = tokens.groupBy(key).agg(F.sort_array(F.collect_list(token)).alias("_t"))
+    return rows.select(key, F.col("_t.valid").alias("valid"), F.col("_t.features").alias("features")).join(labels, key)
+
+
 def score_events(df: DataFrame, predict: Callable, schema: str) -> DataFrame:
     """Apply a caller's batch predictor: a function from one pandas frame to another."""
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evtlake.functions import codes
 from evtlake.operators import labels, nested
+from evtlake.plans import ordering
 
+#: Sensors whose events are written to one file of the index.
+SLICE = 1 << 28
 INDEX_TYPES = {
     "sensor_start_idx": "long", "sensor_end_idx": "long", "num_sensors": "long", "total_charge": "float",
     **{c: "float" for c in codes.TRUTH_COLUMNS},
@@ -22,14 +25,22 @@ def event_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Conformed nested events -> (event index, sensors).
 
-    Events without sensors leave. Offsets run through all events in (``levels``, ``order``).
-    An event may span several rows (column ``first_pos``); its sensors keep one numbering.
+    Events without sensors leave. Offsets run through all events in (``levels``, ``order``, key),
+    which no two events may share. An event may span several rows (column ``first_pos``); its
+    sensors keep one numbering. ``sensor_idx`` of a sensor is its place in the offsets; sensors
+    come out in the blocks of ``levels``, so no shuffle is needed to write them together.
     """
     rows = labels.starting_only(nested_events) if starting_only else nested_events
     rows = rows.withColumn("dataset_id", labels.dataset_id_from_path(F.col(file)))
     base = F.col("first_pos") if "first_pos" in rows.columns else None
-    sensors = nested.explode_sensors(rows, [key, "dataset_id"], base).select(
-        key, "dataset_id", "pos", *[F.col(f).cast("float").alias(f) for f in codes.SENSOR_COLUMNS])
+    order = list(dict.fromkeys([*order, key]))
+    first = [] if base is None else ["first_pos"]
+    lists = dict.fromkeys([key, "dataset_id", *levels, *order, *first, *codes.SENSOR_COLUMNS.values()])
+    placed = ordering.running_total(
+        rows.select(*lists), "_at", F.size(codes.SENSOR_COLUMNS["x"]).cast("long"), levels, [F.col(c) for c in [*order, *first]])
+    sensors = nested.explode_sensors(placed, [key, "dataset_id", "_at", *first], base).select(
+        key, "dataset_id", "pos", (F.col("_at") + F.col("pos") - (F.lit(0) if base is None else base)).alias("sensor_idx"),
+        *[F.col(f).cast("float").alias(f) for f in codes.SENSOR_COLUMNS])
     kept = dict.fromkeys([key, file, "dataset_id", *levels, *order, *codes.TRUTH_COLUMNS, codes.MORPHOLOGY_COLUMN])
     size, charge = nested.list_stats(
         codes.SENSOR_COLUMNS["x"], codes.SENSOR_COLUMNS["c_total"])
@@ -43,9 +54,10 @@ def event_tables(
 
 
 def write_event_tables(index: DataFrame, sensors: DataFrame, path: str) -> None:
-    """Persist both tables, one directory per dataset."""
-    index.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/event_index")
-    sensors.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors")
+    """Persist both tables, one directory per dataset, in order of the offsets, so that a reader of a slice skips other row groups."""
+    near = index.repartition("dataset_id", F.expr(f"sensor_start_idx div {SLICE}")).sortWithinPartitions("dataset_id", "sensor_start_idx")
+    near.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/event_index")
+    sensors.sortWithinPartitions("dataset_id", "sensor_idx").write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors")
 
 
 def read_event_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

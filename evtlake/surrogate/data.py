@@ -147,13 +147,7 @@ F32 = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
        "FROM ec JOIN (SELECT event_id, sum(" + F32.format("c_total") + ") AS c FROM se GROUP BY 1) USING (event_id) "
        "WHERE num_sensors > 0")))
 def write_event_tables(spark, sf):
-    path = ordering.scratch_path(spark, "tables")
-    source = scan.scan_events(spark, [nested_files(spark, sf)], ["event_id", "file_path", "first_pos"])
-    conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "file_path", "first_pos"]))
-    index, sensors = tables.event_tables(
-        conformed, "event_id", "file_path", ["file_path", "block"], ["event_id"])
-    tables.write_event_tables(index, sensors, path)
-    index, sensors = tables.read_event_tables(spark, path)
+    index, sensors = written_tables(spark, sf)
     sums = sensors.groupBy("event_id").agg(
         F.sum("pos").alias("pos_sum"), F.sum(F.col("t20").cast("double")).alias("t_sum"))
     return rounded(index.join(sums, "event_id").select(
@@ -163,6 +157,29 @@ def write_event_tables(spark, sf):
         2, dir_x=5, t_sum=3)
 
 
+def written_tables(spark, sf):
+    """Event index and sensors, converted from nested files, written and read back."""
+    path = ordering.scratch_path(spark, "tables")
+    source = scan.scan_events(spark, [nested_files(spark, sf)], ["event_id", "file_path", "first_pos"])
+    conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "file_path", "first_pos"]))
+    index, sensors = tables.event_tables(
+        conformed, "event_id", "file_path", ["file_path", "block"], ["event_id"])
+    tables.write_event_tables(index, sensors, path)
+    return tables.read_event_tables(spark, path)
+
+
+@query(v.sql(
+    f"SELECT {DATASET} AS dataset_id, CAST(e - num_sensors + pos AS BIGINT) AS sensor_idx, event_id, pos, round({F32.format('c_total')},2) AS c_total "
+    f"FROM (SELECT event_id, dir, num_sensors, sum(num_sensors) OVER ({TABLE_ORDER}) AS e FROM ec WHERE num_sensors > 0) JOIN se USING (event_id)", "ec", "se"))
+def written_slices(spark, sf):
+    """Sensors of the written table, given back to their events by the offsets of the written index."""
+    index, sensors = written_tables(spark, sf)
+    joined = nested.slice_join(
+        sensors.select("dataset_id", "sensor_idx", "c_total"),
+        index.select("dataset_id", "event_id", "sensor_start_idx", "sensor_end_idx"), keys=["dataset_id"])
+    return rounded(joined.select("dataset_id", "sensor_idx", "event_id", "pos", "c_total"), 2)
+
+
 RECIPE = (
     scan.Source("tracks", "21217", files=(0, 12)),
     scan.Source("muons", "21316_extended", files=(3, 15)),
@@ -391,6 +408,12 @@ def pack_batches(spark, sf):
     return rounded(packed.select("batch_id", "event_in_batch", "event_id", "pos", "x", "c_total"), 4)
 
 
+@query(v.sql("SELECT batch_id, event_in_batch, event_id, pos, label, round(x,4) AS x FROM se JOIN b USING (event_id)", "ec", "se", b=BATCHED))
+def pack_batches_labelled(spark, sf):
+    packed = nested.pack_batches(batches(spark, sf), v.sensors(spark, sf), labels=["label"])
+    return rounded(packed.select("batch_id", "event_in_batch", "event_id", "pos", "label", "x"), 4)
+
+
 @query(v.sql("SELECT batch_id, event_id, pos, CAST(event_in_batch AS DOUBLE) AS c0, round(x,4) AS c1, round(y,4) AS c2, "
              "round(z,4) AS c3, round(t_first,4) AS c4 FROM se JOIN b USING (event_id)", "ec", "se", b=BATCHED))
 def pack_batches_coordinate(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evtlake.functions import codes
 from evtlake.operators import distributions as dist
 from evtlake.operators import evaluation as ev
-from evtlake.operators import labels, losses, points
+from evtlake.operators import labels, losses, points, report
 from evtlake.surrogate import views as v
 from evtlake.surrogate.data import CODED, RAW
 from evtlake.surrogate.registry import query, r, rounded
@@ -18,25 +18,38 @@ FEATURES = ("c_total", "c_500ns", "t_last")
 # --- point clouds -------------------------------------------------------------------
 
 GAP = "({a}.x-{b}.x)*({a}.x-{b}.x)+({a}.y-{b}.y)*({a}.y-{b}.y)+({a}.z-{b}.z)*({a}.z-{b}.z)+({a}.t-{b}.t)*({a}.t-{b}.t)"
-CLOUD = {
-    "sz": "SELECT group_id, count(*) AS n FROM gp GROUP BY 1",
-    "lg": f"SELECT gp.* FROM gp JOIN sz USING (group_id) WHERE n > {TOKENS}",
-    "st": (
-        "SELECT group_id, pos, x, y, z, t, CAST('inf' AS DOUBLE) AS d, 0 AS step, CAST(0 AS BIGINT) AS pick FROM lg UNION ALL "
-        "SELECT group_id, pos, x, y, z, t, d, step+1, CAST(first_value(pos) OVER (PARTITION BY group_id ORDER BY d DESC, pos) AS BIGINT) FROM "
-        "(SELECT s.group_id, s.pos, s.x, s.y, s.z, s.t, least(s.d, " + GAP.format(a="s", b="c") + ") AS d, s.step "
-        f"FROM st s JOIN lg c ON c.group_id = s.group_id AND c.pos = s.pick WHERE s.step < {TOKENS - 1}) q"),
-    "pk": "SELECT DISTINCT group_id, CAST(step AS BIGINT) AS token_no, pick AS pos FROM st",
-}
-NEAR = {
-    **CLOUD,
-    "nn": ("SELECT group_id, token_no, rn-1 AS rank, pos, d2 FROM (SELECT k.group_id, k.token_no, p.pos, "
-           + GAP.format(a="p", b="c") + " AS d2, row_number() OVER (PARTITION BY k.group_id, k.token_no ORDER BY "
-           + GAP.format(a="p", b="c") + ", p.pos) AS rn FROM pk k JOIN lg c ON c.group_id=k.group_id AND c.pos=k.pos "
-           f"JOIN lg p ON p.group_id=k.group_id) WHERE rn <= {NEIGHBOURS}"),
-    "po": ("SELECT nn.group_id, nn.token_no, max(c_total) AS f0, max(c_500ns) AS f1, max(t_last) AS f2 FROM nn JOIN lg "
-           "ON lg.group_id = nn.group_id AND lg.pos = nn.pos GROUP BY 1,2"),
-}
+
+
+def cloud_sql(source: str, tokens: int) -> dict[str, str]:
+    """Farthest-point picks of the clouds of a view."""
+    return {
+        "sz": f"SELECT group_id, count(*) AS n FROM {source} GROUP BY 1",
+        "lg": f"SELECT {source}.* FROM {source} JOIN sz USING (group_id) WHERE n > {tokens}",
+        "st": (
+            "SELECT group_id, pos, x, y, z, t, CAST('inf' AS DOUBLE) AS d, 0 AS step, CAST(0 AS BIGINT) AS pick FROM lg UNION ALL "
+            "SELECT group_id, pos, x, y, z, t, d, step+1, CAST(first_value(pos) OVER (PARTITION BY group_id ORDER BY d DESC, pos) AS BIGINT) FROM "
+            "(SELECT s.group_id, s.pos, s.x, s.y, s.z, s.t, least(s.d, " + GAP.format(a="s", b="c") + ") AS d, s.step "
+            f"FROM st s JOIN lg c ON c.group_id = s.group_id AND c.pos = s.pick WHERE s.step < {tokens - 1}) q"),
+        "pk": "SELECT DISTINCT group_id, CAST(step AS BIGINT) AS token_no, pick AS pos FROM st",
+    }
+
+
+def near_sql(source: str, tokens: int, neighbours: int) -> dict[str, str]:
+    """The same with nearest neighbours and pooled features."""
+    return {
+        **cloud_sql(source, tokens),
+        "nn": ("SELECT group_id, token_no, rn-1 AS rank, pos, d2 FROM (SELECT k.group_id, k.token_no, p.pos, "
+               + GAP.format(a="p", b="c") + " AS d2, row_number() OVER (PARTITION BY k.group_id, k.token_no ORDER BY "
+               + GAP.format(a="p", b="c") + ", p.pos) AS rn FROM pk k JOIN lg c ON c.group_id=k.group_id AND c.pos=k.pos "
+               f"JOIN lg p ON p.group_id=k.group_id) WHERE rn <= {neighbours}"),
+        "po": ("SELECT nn.group_id, nn.token_no, max(c_total) AS f0, max(c_500ns) AS f1, max(t_last) AS f2 FROM nn JOIN lg "
+               "ON lg.group_id = nn.group_id AND lg.pos = nn.pos GROUP BY 1,2"),
+    }
+
+
+CLOUD, NEAR = cloud_sql("gp", TOKENS), near_sql("gp", TOKENS, NEIGHBOURS)
+#: Clouds of suppliers: more tokens, and chunks small enough that a cloud spreads over several rows.
+WIDE_TOKENS, WIDE_NEIGHBOURS, WIDE_CHUNK = 12, 8, 256
 
 
 def _clouds(spark, sf):
@@ -71,6 +84,25 @@ def tokenize_events(spark, sf):
         "group_id", "token_no", "valid", "pos", *[F.col("features")[i].alias(f"f{i}") for i in range(3)]), 4)
 
 
+def _wide_clouds(spark, sf, chunk):
+    return points.clouds(v.supplier_points(spark, sf), "group_id", FEATURES, chunk=chunk)
+
+
+@query(v.sql("SELECT group_id, token_no, rank, pos, round(d2,4) AS d2 FROM nn", "sp", **near_sql("sp", WIDE_TOKENS, WIDE_NEIGHBOURS)))
+def knn_wide(spark, sf):
+    """Large clouds, each inside one task."""
+    return rounded(points.knn(_wide_clouds(spark, sf, points.CHUNK), "group_id", WIDE_TOKENS, WIDE_NEIGHBOURS), 4)
+
+
+@query(v.sql("SELECT group_id, token_no, true AS valid, pos, round(f0,4) AS f0, round(f1,4) AS f1, round(f2,4) AS f2 FROM po JOIN pk USING (group_id, token_no) "
+             f"UNION ALL SELECT group_id, pos, true, pos, round(c_total,4), round(c_500ns,4), round(t_last,4) FROM sp JOIN sz USING (group_id) WHERE n <= {WIDE_TOKENS}",
+             "sp", **near_sql("sp", WIDE_TOKENS, WIDE_NEIGHBOURS)))
+def tokenize_spread(spark, sf):
+    """The same clouds, spread over several rows each."""
+    tokens = points.tokenize_events(_wide_clouds(spark, sf, WIDE_CHUNK), "group_id", WIDE_TOKENS, WIDE_NEIGHBOURS, len(FEATURES))
+    return rounded(tokens.where("valid").select("group_id", "token_no", "valid", "pos", *[F.col("features")[i].alias(f"f{i}") for i in range(3)]), 4)
+
+
 LINEAR = {"num_sensors": 0.05, "total_charge": 1e-6, "mc_primary_dir_z": -0.5}
 
 
@@ -89,6 +121,28 @@ def score_events(spark, sf):
     return rounded(scored, 5)
 
 
+TOKEN_VALUES = (
+    "SELECT group_id, f0 FROM po UNION ALL SELECT group_id, c_total FROM gp JOIN sz USING (group_id) WHERE n <= " + str(TOKENS))
+SCORED_TOKENS = ("SELECT t.group_id, 3+sum(f0)/count(*)*5e-5 AS pred, l.true_log FROM tv t JOIN "
+                 "(SELECT group_id, log10(greatest(avg(mc_primary_energy),1e-6)) AS true_log FROM ev GROUP BY 1) l USING (group_id) GROUP BY 1, 3")
+
+
+@query(v.sql("SELECT round(avg(abs(pred-true_log)),5) AS mae, round(median(abs(pred-true_log)),5) AS median_ae, "
+             "round(sqrt(avg((pred-true_log)*(pred-true_log))),5) AS rms, round(avg(pred-true_log),5) AS bias FROM s", "gp", **NEAR,
+             tv=TOKEN_VALUES, s=SCORED_TOKENS))
+def score_tokens(spark, sf):
+    """Tokens with their labels go through a predictor, and its predictions through the energy report."""
+    tokens = points.tokenize_events(_clouds(spark, sf), "group_id", TOKENS, NEIGHBOURS, len(FEATURES))
+    truth = v.events(spark, sf).groupBy("group_id").agg(F.log10(F.greatest(F.avg("mc_primary_energy"), F.lit(1e-6))).alias("true_log"))
+
+    def predict(frame):
+        charge = [sum(f[0] for f, ok in zip(fs, valid) if ok) / sum(valid) for fs, valid in zip(frame["features"], frame["valid"])]
+        return frame[["group_id", "true_log"]].assign(pred=[3 + c * 5e-5 for c in charge])
+
+    scored = points.score_events(points.token_rows(tokens, truth, "group_id"), predict, "group_id long, true_log double, pred double")
+    return rounded(report.evaluate("energy_reco", scored, "pred", "true_log")["summary"], 5)
+
+
 # --- losses and validation, per directory -------------------------------------------------
 
 
@@ -216,6 +270,22 @@ def predict_class(spark, sf):
         "event_id", "predicted", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1")))
 
 
+SEVEN = ", ".join(f"(event_id*{3 + 2 * i}) % {17 + i}/5e0" for i in range(7))
+
+
+@query(v.sql("SELECT label, count(*) AS n, CAST(sum(k) AS BIGINT) AS predicted_sum, round(avg(exp(list_max(l)-m)),6) AS p_top, "
+             "round(avg(m-l[label+1]),6) AS loss FROM (SELECT *, list_position(l, list_max(l))-1 AS k, "
+             "list_max(l)+ln(list_sum(list_transform(l, lambda x: exp(x-list_max(l))))) AS m FROM q) GROUP BY label", "ev",
+             q=f"SELECT [{SEVEN}] AS l, event_id % 7 AS label FROM ev"))
+def seven_classes(spark, sf):
+    """Predictions and cross entropy of seven classes."""
+    rows = v.events(spark, sf).select(F.expr(f"array({SEVEN})").alias("logits"), F.expr("cast(event_id % 7 as int)").alias("label"))
+    predicted = ev.predict_class(rows, F.col("logits"), "label")
+    return rounded(predicted.groupBy("label").agg(
+        F.count("*").alias("n"), F.sum("predicted").alias("predicted_sum"), F.avg(F.array_max("probs")).alias("p_top"),
+        losses.cross_entropy(F.col("logits"), F.col("label")).alias("loss")))
+
+
 def _cells(row: str, rows: str) -> str:
     return v.sql(
         f"SELECT {row}, predicted, coalesce(n,0) AS \"count\", round(CASE WHEN sum(coalesce(n,0)) OVER (PARTITION BY {row}) > 0 THEN "

@@ -84,6 +84,9 @@ CTES = {
            "AS BIGINT) AS pos, se.x, se.y, se.z, se.t_first AS t, se.c_total, se.c_500ns, se.t_last "
            "FROM se JOIN ev USING (event_id)"),
 }
+CTES["sp"] = ("SELECT l_suppkey AS group_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate)-1 "
+              f"AS BIGINT) AS pos, {SENSOR['x']} AS x, {SENSOR['y']} AS y, {SENSOR['z']} AS z, {SENSOR['t_first']} AS t, {SENSOR['c_total']} AS c_total, "
+              f"{SENSOR['c_500ns']} AS c_500ns, {SENSOR['t_last']} AS t_last FROM lineitem")
 _NEEDS = {"pr": ["ev"], "ec": ["ev"], "gp": ["ev", "se"]}
 
 
@@ -149,5 +152,12 @@ def group_points(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.number_rows(rows, ["group_id"], ["event_id", *TIE]).drop(*TIE)
 
 
+def supplier_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors of a supplier as one cloud: several hundred points each."""
+    rows = sensor_rows(spark, sf).withColumn("t", F.col("t_first")).withColumnRenamed("l_suppkey", "group_id")
+    order = ["event_id", "l_linenumber", "l_partkey", "l_shipdate"]
+    return ordering.number_rows(rows, ["group_id"], order).drop(*order)
+
+
 def in_blocks(events: DataFrame) -> DataFrame:
     return events.withColumn("block", F.expr(f"event_id div {EVENT_BLOCK}"))

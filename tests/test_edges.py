@@ -129,6 +129,14 @@ def test_chunked_events_give_the_same_tables(spark):
     assert out[0][1].exceptAll(out[1][1]).count() == 0
 
 
+def test_padding_in_blocks(spark):
+    batched = spark.createDataFrame([(1, 0, 0, 7), (2, 0, 1, 0), (3, 0, 2, 3), (4, 1, 0, 2)], "event_id long, batch_id long, event_in_batch long, num_sensors long")
+    sensors = batched.select("event_id", F.expr("explode(filter(sequence(0L, num_sensors), x -> x < num_sensors)) as pos"), F.lit(1.5).alias("x"))
+    whole, cut = ({tuple(r) for r in nested.pack_padded(batched, sensors, ["x"], block=b).collect()} for b in (65_536, 2))
+    assert whole == cut and len(whole) == 3 * 7 + 2
+    assert {r.event_id: r.n for r in nested.pack_padded(batched, sensors, ["x"], block=2).where("valid").groupBy("event_id").agg(F.count("*").alias("n")).collect()} == {1: 7, 3: 3, 4: 2}
+
+
 def test_file_metadata_limit(spark, tmp_path):
     for i in range(3):
         frame(spark, *[event(10 * i + j) for j in range(4 if i else 1)]).coalesce(1).write.parquet(str(tmp_path / f"d{i}"))
@@ -359,6 +367,10 @@ def test_files_to_draws(spark, tmp_path):
     assert {r.dataset_id for r in index.select("dataset_id").distinct().collect()} == {21217}
     spans = sorted((r.sensor_start_idx, r.sensor_end_idx) for r in index.collect())
     assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert sorted(r.sensor_idx for r in sensors.collect()) == list(range(sensors.count()))
+    at = sensors.select("sensor_idx", "pos", F.col("event_id").alias("owner"))
+    sliced = nested.slice_join(at.drop("pos"), index.select("event_id", "sensor_start_idx", "sensor_end_idx")).join(at.select("sensor_idx", F.col("pos").alias("said")), "sensor_idx")
+    assert sliced.count() == sensors.count() and sliced.where("event_id != owner or pos != said").isEmpty()
     coded = index.withColumn("label", labels.class_label(F.col("morphology_raw").cast("int"), None, "flat"))
     train = sampling.split_events(coded, val=0.1, seed=42).where("split = 'train'")
     assert train.count() == 27

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evtlake.operators.report import evaluate
+from evtlake.operators.report import Tables, evaluate
 from evtlake.surrogate import reco
 from evtlake.surrogate import views
 
@@ -37,6 +37,13 @@ def test_classification_report(spark):
     assert out["confusion_mapped"].count() == 4 and out["confusion_raw"].count() > 0 and out["roc_curve"].count() > 2
 
 
+def test_tables_are_planned_when_asked_for(spark):
+    made = []
+    tables = Tables({name: lambda name=name: made.append(name) or name for name in "abc"})
+    assert list(tables) == ["a", "b", "c"] and len(tables) == 3 and not made
+    assert (tables["b"], tables["b"]) == ("b", "b") and made == ["b"]
+
+
 def test_unknown_task(spark):
     with pytest.raises(ValueError):
         evaluate("deposited_energy_reco", spark.range(1))
