@@ -33,8 +33,12 @@ NAME_WEIGHTS = {
 #: Words after which a name speaks about a secret instead of holding one.
 HARMLESS = {"length", "len", "size", "count", "field", "name", "file", "path", "url", "type", "policy", "id", "hint", "label", "expiry", "ttl"}
 PLACEHOLDER = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|change_me|example|placeholder|redacted|x+|\*+|\.+|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|%s)\Z")
+#: Names whose quoted values may be several words.
+PHRASES = {"password", "passwd", "pwd", "passphrase", "pass"}
 LEAST_SCORE = 0.6
 
+#: The rest of a quoted literal after its opening quote. A quote before a letter is an apostrophe.
+QUOTED = {q: re.compile(rf"""((?:[^{q}\\\n]|\\.)*+){q}(?!\w)""") for q in "\"'"}
 STATEMENT = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]*+)["']?(?:[ \t]*+\[[^\]\n]{0,64}\])?[ \t]*+(=>|:=|=(?![=~>])|:(?![:/]))[ \t]*+""", re.A)
 TERM = re.compile(r"""(?:[rbufRBUF]{0,2}"((?:[^"\\\n]|\\.)*+)"|[rbufRBUF]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s,;#"'`{}\[\]()+]++))[ \t]*+(\+|\.\.)?[ \t]*+""")
 NAME = re.compile(r"\A[A-Za-z_][\w.\-]*\Z", re.A)
@@ -49,9 +53,9 @@ def name_weight(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(w, 0.0) for w in set(words)))
 
 
-def value_weight(value: str, quoted: bool) -> float:
-    """0 to 1: how much a literal looks like a secret: long, mixed, without blanks."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
+def value_weight(value: str, quoted: bool, phrase: bool = False) -> float:
+    """0 to 1: how much a literal looks like a secret: long, mixed, without blanks unless it may be a ``phrase``."""
+    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value) and not (quoted and phrase):
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     mixed = bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
@@ -67,11 +71,14 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     own: dict[str, list[tuple[int, int, bool]]] = {}
     refers: dict[str, list[str]] = {}
     weights: dict[str, float] = {}
+    phrases: set[str] = set()
     at = 0
     while m := STATEMENT.search(text, at):
         at = m.end()
         key = m[1].rsplit(".", 1)[-1]
         weights[key] = max(weights.get(key, 0.0), name_weight(m[1]))
+        if not PHRASES.isdisjoint(w.lower() for w in WORD.findall(m[1])):
+            phrases.add(key)
         while t := TERM.match(text, at):
             quoted = t[4] is None
             group = next(g for g in (1, 2, 3, 4) if t[g] is not None)
@@ -94,7 +101,7 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         while todo:
             here = todo.pop()
             for start, end, quoted in own.get(here, ()):
-                score = weight * value_weight(text[start:end], quoted)
+                score = weight * value_weight(text[start:end], quoted, target in phrases)
                 if score >= LEAST_SCORE:
                     best[start, end] = max(best.get((start, end), 0.0), score)
             new = [r for r in refers.get(here, ()) if r not in seen and r in weights]
@@ -108,20 +115,24 @@ def scan(text: str | None) -> list[dict]:
     found: list[dict] = []
     if not text:
         return found
+    spans = {(start, end): score for start, end, score in literals(text)}
     for kind, pattern, group, least in BASE:
         if kind == "access" and "AKIA" not in text or kind == "hex" and not HEX_RUN.search(text):
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
                 found.append({"kind": kind, "start": m.start(), "end": m.end(), "value_start": m.start(group), "score": 1.0})
-    covered = sorted((f["start"], f["end"]) for f in found)
+                # the value of a quoted assignment goes on to the closing quote
+                if kind == "assign" and (rest := QUOTED.get(text[m.start(group) - 1])) and (whole := rest.match(text, m.start(group))):
+                    spans.setdefault(whole.span(1), 1.0)
+    covered = sorted((f["value_start"], f["end"]) for f in found)
     reach, ends = 0, []
     for _, end in covered:
         reach = max(reach, end)
         ends.append(reach)
-    for start, end, score in literals(text):
-        i = bisect_left(covered, (end, -1))
-        if not i or ends[i - 1] <= start:
+    for (start, end), score in spans.items():
+        i = bisect_left(covered, (start + 1, -1))
+        if not i or ends[i - 1] < end:  # no base value holds all of it
             found.append({"kind": "literal", "start": start, "end": end, "value_start": start, "score": score})
     return sorted(found, key=lambda f: (f["start"], KINDS[f["kind"]], f["end"]))
 
