@@ -2,8 +2,8 @@
 
 A page is read once into blocks. Every word scores its trust, the probability that words in its
 place are content; every tag between blocks costs by the same measure. The run of blocks with the
-largest sum, found by one linear scan, is the content region. If it lies in an element that
-holds one article, the region is that whole element. Inside the region, pieces in places that are
+largest sum, found by one linear scan, is the content region. An article that it begins or ends
+in is taken up to its own first or last block. Inside the region, pieces in places that are
 never content (menus, adverts, forms, comments and so on) are left out.
 
 Trust is learned: pages that mark their article (``<article>`` or ``<main>``) are the labelled
@@ -177,16 +177,29 @@ def region(blocks: list[Block]) -> tuple[int, int]:
     return where
 
 
+def whole_articles(blocks: list[Block], first: int, last: int) -> tuple[int, int]:
+    """The run, extended at both ends to the outermost trusted block of the article that it begins or ends in."""
+    if first == last:
+        return first, last
+    for i in range(first - 1, -1, -1):
+        if not blocks[i].article or blocks[i].article != blocks[i + 1].article:
+            break
+        if 2 * blocks[i].score >= blocks[i].words:
+            first = i
+    for i in range(last, len(blocks)):
+        if not blocks[i].article or blocks[i].article != blocks[i - 1].article:
+            break
+        if 2 * blocks[i].score >= blocks[i].words:
+            last = i + 1
+    return first, last
+
+
 def extract(html: str | None, trust: dict[str, float]) -> str:
     if not html:
         return ""
     blocks = read(html, trust)
     first, last = region(blocks)
-    weights: dict[int, float] = defaultdict(float)
-    for b in blocks[first:last]:
-        weights[b.article] += b.score
-    main = max(weights, key=lambda a: (weights[a], -a), default=0)
-    chosen = [b for b in blocks if b.article == main] if main else blocks[first:last]
+    chosen = blocks[slice(*whole_articles(blocks, first, last))]
     return "\n\n".join(t for t in (" ".join("".join(b.pieces).split()) for b in chosen) if t)
 
 

@@ -227,6 +227,19 @@ def test_main_text_of_all_pages(spark):
     assert got == {r.page_id: expected(r.html) for r in pages.collect()}
 
 
+LONG = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 80), ("b", 40), ("c", 30))]
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<nav>Menu</nav>" + "".join(f"<article><p>{t}</p></article>" for t in LONG) + "<footer>End</footer>", "\n\n".join(LONG)),
+    (f"<main><p>{LONG[1]}</p><article><p>{LONG[0]}</p></article><p>{LONG[2]}</p></main>", "\n\n".join((LONG[1], LONG[0], LONG[2]))),
+    (f"<div><p>{LONG[0]}</p><p>{LONG[1]}</p></div>", "\n\n".join(LONG[:2])),
+    (f"<article><h1>One</h1><p>{LONG[0]}</p><div id=x></div><p>End</p></article>", f"One\n\n{LONG[0]}\n\nEnd"),
+], ids=["siblings", "main around an article", "no article", "short ends"])
+def test_best_run_over_articles(html, text):
+    assert html_text.extract(html, {}) == text
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_sharding(spark, seed):
     rng = random.Random(seed)
