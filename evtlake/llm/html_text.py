@@ -8,12 +8,17 @@ never content (menus, adverts, forms, comments and so on) are left out.
 
 Trust is learned: pages that mark their article (``<article>`` or ``<main>``) are the labelled
 pages, and words inside and outside it are counted per place. Fixed prior counts stand in for
-places that the labelled pages do not show.
+places that the labelled pages do not show: elements such as nav and aside are always left out,
+class, id and role tokens made of words such as sidebar or advert only as long as the labelled
+pages do not show content there; an id inside an article (often that of a heading) says nothing
+unless it is learned. An article or main element
+below such a token is read afresh.
 """
 
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -22,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 #: Labelled pages to learn from, taken by a digest of their keys; places kept and least words to believe a place.
 SAMPLE_PAGES, MOST_PLACES, LEAST_WORDS = 2000, 5000, 50
 TAG_COST = 3.0
+#: Trust below which a token of OUT_WORDS is never content.
+LEAST_TRUST = 0.2
 
 # fixed: HTML elements by role, and words in class, id and role attributes
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "object", "math", "canvas"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
              "h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACES = {"br", "td", "th", "img", "wbr"}
@@ -35,30 +42,40 @@ SEMANTIC = {"article", "main", *NEVER, "header"}
 OUT_WORDS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus "
                 "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
                 "recommended related replies reply respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar "
-                "widget widgets alert login discussion form skip".split())
+                "widget widgets alert login form skip".split())
 IN_WORDS = set("article body content entry main post story text".split())
 TAG_TRUST = {"p": 0.9, "h1": 0.8, "h2": 0.8, "h3": 0.8, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.6, "li": 0.3, "a": 0.2, "td": 0.4}
 
 _TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<>]*+>)|<[!?][^>]*+>""")
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _places(name: str, attributes: str) -> list[str]:
-    """What tells the role of an element: its name, where that means something, and words of its attributes."""
-    out = [f"<{name}>"] if name in SEMANTIC else []
+def _places(name: str, attributes: str) -> tuple[list[str], set[str]]:
+    """What tells the role of an element: its name, where that means something, and whole tokens of its attributes; also those that are ids only."""
+    out, ids, others = [f"<{name}>"] if name in SEMANTIC else [], set(), set()
     if attributes and "=" in attributes:
         for m in _NAMES.finditer(attributes):
-            out += [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or ""))]
-    return out
+            tokens = [w.lower() for w in _CAMEL.sub("-", m[2] or m[3] or m[4] or "").split() if _WORD.search(w)]
+            (ids if m[1].lower() == "id" else others).update(tokens)
+            out += tokens
+    return out, ids - others
 
 
+def outside(place: str) -> bool:
+    """Whether a token is made of nothing but words for what is not content."""
+    words = _WORD.findall(place)
+    return bool(words) and place[0] != "<" and all(w in OUT_WORDS and w not in IN_WORDS for w in words)
+
+
+@lru_cache(65536)
 def prior(place: str) -> tuple[float, float]:
     """Counts of words inside and outside content to start with."""
-    if place in ("<article>", "<main>") or place in IN_WORDS:
+    words = _WORD.findall(place) if place[0] != "<" else []
+    if place in ("<article>", "<main>") or any(w in IN_WORDS for w in words) and not any(w in OUT_WORDS for w in words):
         return 20.0, 1.0
-    if place.strip("<>") in NEVER or place in OUT_WORDS:
+    if place.strip("<>") in NEVER or outside(place):
         return 0.5, 20.0
     return 2.0, 2.0
 
@@ -73,7 +90,7 @@ class Block:
 def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | None = None) -> list[Block]:
     """Blocks of a page in order. With ``counts``, words per place are added to it, [inside, outside] an article."""
     blocks, block, cost = [], Block(), 0.0
-    stack: list[tuple[str, float | None, bool, int, tuple[str, ...]]] = []  # name, trust (None: unknown), vetoed, article, places
+    stack: list[tuple[str, float | None, str, int, tuple[str, ...]]] = []  # name, trust (None: unknown), vetoed by ("", "word", "element"), article, places
     at, size, articles = 0, len(html), 0
     seen: list[tuple[tuple[str, ...], bool, int]] = []
 
@@ -81,10 +98,10 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
         if not raw:
             return
         value = unescape(raw) if "&" in raw else raw
-        own, vetoed, article = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (None, False, 0)
+        own, vetoed, article = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (None, "", 0)
         words = len(value.split())
         if counts is not None and words:
-            seen.append((tuple(p for s in stack for p in s[4]), article > 0 and not vetoed, words))
+            seen.append((tuple(p for s in stack for p in s[4]), article > 0 and vetoed != "element", words))
         if not vetoed:
             block.pieces.append(value)
             block.words += words
@@ -135,15 +152,23 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
                         stack.pop()
                 if name == "body":
                     stack.clear()
-                parent = stack[-1] if stack else ("", None, False, 0, ())
-                places = _places(name, m[3])
+                parent = stack[-1] if stack else ("", None, "", 0, ())
+                places, ids = _places(name, m[3])
                 if name == "header" and parent[3]:
                     places = [p for p in places if p not in ("<header>", "header")]  # an article's own heading
                 elif name == "header":
                     places.append("header")
-                known = [trust[p] if p in trust else (lambda a, b: a / (a + b))(*prior(p)) for p in places if p in trust or prior(p) != (2.0, 2.0)]
-                vetoed = parent[2] or name in NEVER or (name not in ("article", "main") or not parent[3]) and any(p in OUT_WORDS and p not in IN_WORDS for p in places) and name not in ("main",)
-                lowest = min([*known, *([parent[1]] if parent[1] is not None else [])], default=None)
+                known = {p: trust[p] if p in trust else (lambda a, b: a / (a + b))(*prior(p)) for p in places
+                         if p in trust or prior(p) != (2.0, 2.0) and not (parent[3] and p in ids)}
+                afresh = name in ("article", "main") and not parent[3]
+                vetoed = "" if afresh and parent[2] == "word" else parent[2]
+                if name in NEVER:
+                    vetoed = "element"
+                elif not vetoed and name != "main" and not (name == "article" and parent[3]) and any(
+                        outside(p) and known.get(p, 1.0) < LEAST_TRUST for p in places):
+                    vetoed = "word"
+                above = [] if parent[1] is None or afresh and parent[2] != "element" else [parent[1]]
+                lowest = min([*known.values(), *above], default=None)
                 article = parent[3]
                 if name in ("article", "main") and not vetoed and (not article or name == "article" and stack and not any(s[0] == "article" for s in stack)):
                     articles += 1

@@ -240,6 +240,26 @@ def test_best_run_over_articles(html, text):
     assert html_text.extract(html, {}) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f'<div class="site right-sidebar"><article><p>{LONG[0]}</p></article></div>', LONG[0]),
+    (f'<div class="layout has-sidebar"><p>{LONG[0]}</p></div>', LONG[0]),
+    (f'<div class="sidebar"><article><p>{LONG[0]}</p></article><div>{LONG[1]}</div></div>', LONG[0]),
+    (f'<article><p>{LONG[0]}</p><section id="discussion"><p>{LONG[1]}</p></section><p class="share-price">{LONG[2]}</p><p class="share">Tell</p></article>', "\n\n".join(LONG)),
+    (f'<article><p>{LONG[0]}</p><section id="response"><p>Short</p></section></article>', f"{LONG[0]}\n\nShort"),
+    (f"<article><p>{LONG[0]} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>a film</object> <canvas>a chart</canvas></p></article>", f"{LONG[0]} x=1 and a film a chart"),
+    (f'<div class="sidebar-widget">{LONG[1]}</div><article><p>{LONG[0]}</p></article>', LONG[0]),
+], ids=["wrapper", "wrapper without article", "article below", "parts", "id", "fallback", "compound"])
+def test_names_do_not_hide_content(html, text):
+    assert html_text.extract(html, {}) == text
+
+
+def test_labels_correct_names(spark):
+    page = f'<nav>{LONG[1]}</nav><article><p>{LONG[0]}</p><div class="notice"><p>{LONG[1]}</p></div></article><div class="widget">{LONG[2]} {LONG[2]}</div>'
+    trust = html_text.learn(spark.createDataFrame([(i, page) for i in range(5)], "id long, html string"))
+    assert trust["notice"] > 0.5 > html_text.LEAST_TRUST > trust["widget"]
+    assert html_text.extract(page, trust) == f"{LONG[0]}\n\n{LONG[1]}"
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_sharding(spark, seed):
     rng = random.Random(seed)
