@@ -212,6 +212,8 @@ def exact_links(members: DataFrame, texts: DataFrame, threshold: float, k: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
             seen, sets, n, block = [], [], [], []
+            # the key tells whether a block meets itself, as the other block may have no rows here
+            inside = group.column(3)[0].as_py() == group.column(4)[0].as_py()
             for digest, docs, own, text in zip(*(group.column(i).to_pylist() for i in (1, 2, 3, 5))):
                 if seen and seen[-1] == digest:
                     continue  # another row of the same document
@@ -222,7 +224,7 @@ def exact_links(members: DataFrame, texts: DataFrame, threshold: float, k: int,
                 continue
             linked = similar(sets, threshold)
             block, n = np.array(block), np.array(n, np.int64)
-            if block.min() != block.max():
+            if not inside:
                 linked &= block[:, None] != block[None, :]
             np.fill_diagonal(linked, False)
             docs = (linked * n[None, :]).sum(axis=1)

@@ -95,6 +95,15 @@ def test_near_duplicates_in_one_large_group(spark):
     assert jaccard_join.one_of_each(df, bucket=8, block_rows=16).collect()[0].doc_id == 0
 
 
+@pytest.mark.parametrize("block_grams", [60, 120])
+def test_links_are_counted_once_when_blocks_are_empty(spark, block_grams):
+    rng = random.Random(11)
+    pairs = [prose(rng, 120, 100000) for _ in range(12)]
+    rows = rows_of([t for p in pairs for t in (p, p + " end")])
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), block_grams=block_grams).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == {i: (i - i % 2, 1) for i in range(24)}
+
+
 def test_recall_of_runs():
     assert jaccard_join.runs_for(0.8, 0.9999) == 4
     assert jaccard_join.runs_for(1.0, 0.9999) == 1
