@@ -2,7 +2,7 @@
 
 Two kinds of findings. Base patterns find values by their own shape. The lexer reads source
 and configuration syntax (``name = "literal"``, ``name: value``, ``"name": "literal"``,
-``name := a + "literal"``) into pairs of a target name and terms, follows constants from name
+``name := a + "literal"``, ``name: type = "literal"``, ``table["name"] = "literal"``, ``name = ["literal", name]``) into pairs of a target name and terms, follows constants from name
 to name, and scores every literal that ends up in a sensitively named target by that name.
 """
 
@@ -26,20 +26,30 @@ KINDS = {kind: i for i, (kind, *_) in enumerate(BASE)} | {"literal": len(BASE)}
 
 #: Weights of words in a target name, after splitting at case changes and punctuation.
 NAME_WEIGHTS = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 0.9,
-    "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "access": 0.4, "api": 0.4, "key": 0.4, "signing": 0.4,
+    "password": 1.0, "passwords": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passphrases": 1.0, "secret": 1.0, "secrets": 1.0, "token": 0.9, "tokens": 0.7, "apikey": 0.9,
+    "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "access": 0.4, "api": 0.4, "key": 0.4, "keys": 0.4, "signing": 0.4,
     "encryption": 0.4, "pass": 0.8, "pin": 0.4, "salt": 0.5, "bearer": 0.7,
 }
 #: Words after which a name speaks about a secret instead of holding one.
 HARMLESS = {"length", "len", "size", "count", "field", "name", "file", "path", "url", "type", "policy", "id", "hint", "label", "expiry", "ttl"}
 PLACEHOLDER = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|change_me|example|placeholder|redacted|x+|\*+|\.+|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|%s)\Z")
 #: Names whose quoted values may be several words.
-PHRASES = {"password", "passwd", "pwd", "passphrase", "pass"}
+PHRASES = {"password", "passwords", "passwd", "pwd", "passphrase", "passphrases", "pass"}
 LEAST_SCORE = 0.6
 
 #: The rest of a quoted literal after its opening quote. A quote before a letter is an apostrophe.
 QUOTED = {q: re.compile(rf"""((?:[^{q}\\\n]|\\.)*+){q}(?!\w)""") for q in "\"'"}
-STATEMENT = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]*+)["']?(?:[ \t]*+\[[^\]\n]{0,64}\])?[ \t]*+(=>|:=|=(?![=~>])|:(?![:/]))[ \t]*+""", re.A)
+# subscripts, a type after the colon (db_pwd: str | None =), a type between blanks (password string =), and what starts a term
+SUBSCRIPTS = r"""(?:[ \t]*+\[(?:"[^"\n]*+"|'[^'\n]*+'|[^\[\]"'\n])*+\])*+"""
+ONE_TYPE = r"""[&*]*+(?:'\w++[ \t]++)?(?:\[\])*+[A-Za-z_][\w.]*+(?:::\w++)*+(?:<(?:[^<>=\n]|<[^<>=\n]*+>)*+>|\[(?:[^\[\]=\n]|\[[^\[\]=\n]*+\])*+\])*+[?!]?"""
+STATEMENT = re.compile(
+    r"""(?<![\w.\-])(?:(?:var|const|let|static|final)[ \t]++(?P<first>[A-Za-z_]\w*+)[ \t]++(?:\[\]|\*)*+(?=[A-Za-z_]))?"""
+    rf"""["']?(?P<name>[A-Za-z_][\w.\-]*+)["']?(?P<keys>{SUBSCRIPTS})"""
+    rf"""(?:[?!]?[ \t]*+:[ \t]*+(?P<type>{ONE_TYPE}(?:[ \t]*+\|[ \t]*+{ONE_TYPE})*+)[ \t]*+=(?![=~>])(?=[ \t]*+[\w"'`\[])"""
+    r"""|(?:[ \t]++(?:\[\]|\*)*+(?:string|byte|rune))?[ \t]*+(?:=>|:=|=(?![=~>])|:(?![:/])))[ \t]*+""", re.A)
+KEY = re.compile(r"""\[[ \t]*+(?:[rbufRBUF]{0,2}"([^"\n]++)"|[rbufRBUF]{0,2}'([^'\n]++)'|:([A-Za-z_]\w*+))[ \t]*+\]""", re.A)
+#: What may stand between the values of a list: blanks, commas, line ends, comments, arguments of a call.
+BETWEEN = re.compile(r"""(?:[\s,]|#[^\n]*+|//[^\n]*+|\([^()\n]*+\))*+""")
 TERM = re.compile(r"""(?:[rbufRBUF]{0,2}"((?:[^"\\\n]|\\.)*+)"|[rbufRBUF]{0,2}'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s,;#"'`{}\[\]()+]++))[ \t]*+(\+|\.\.)?[ \t]*+""")
 NAME = re.compile(r"\A[A-Za-z_][\w.\-]*\Z", re.A)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -75,24 +85,56 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     at = 0
     while m := STATEMENT.search(text, at):
         at = m.end()
-        key = m[1].rsplit(".", 1)[-1]
-        weights[key] = max(weights.get(key, 0.0), name_weight(m[1]))
-        if not PHRASES.isdisjoint(w.lower() for w in WORD.findall(m[1])):
-            phrases.add(key)
-        while t := TERM.match(text, at):
+        keys = ["".join(k) for k in KEY.findall(m["keys"])]
+        names = [".".join([m["name"], *keys])]
+        # of two words before the sign either may be the name: var password string, const String password, INFO: password
+        if (other := m["first"] or m["type"]) and not name_weight(names[0]) and HARMLESS.isdisjoint(w.lower() for w in WORD.findall(names[0])[-1:]):
+            names.append(other)
+        targets = {n.rsplit(".", 1)[-1]: n for n in names}
+        for key, name in targets.items():
+            weights[key] = max(weights.get(key, 0.0), name_weight(name))
+            if not PHRASES.isdisjoint(w.lower() for w in WORD.findall(name)):
+                phrases.add(key)
+
+        def take(start: int, end: int, quoted: bool) -> None:
+            value = text[start:end]
+            named = not quoted and NAME.match(value)
+            for key in targets:
+                if not named or re.search(r"\d", value):
+                    own.setdefault(key, []).append((start, end, quoted))
+                if named:
+                    refers.setdefault(key, []).append(value.rsplit(".", 1)[-1])
+
+        if m["type"] and text[at:at + 1] not in "\"'`[":
+            take(*m.span("type"), False)
+        # statements inside a list are read by themselves as well
+        depth, inner = 0, at if text.startswith("[", at) else None
+        while True:
+            while (depth or text.startswith("[", at)) and (sign := BETWEEN.match(text, at)).end() < len(text):
+                at = sign.end()
+                if text[at] not in "[]":
+                    break
+                depth += 1 if text[at] == "[" else -1
+                at += 1
+                if not depth:
+                    break
+            if depth == 0 and text[at - 1] == "]":
+                break
+            t = TERM.match(text, at)
+            if not t:
+                break
             quoted = t[4] is None
             group = next(g for g in (1, 2, 3, 4) if t[g] is not None)
-            if not quoted and NAME.match(t[4]) and not re.search(r"\d", t[4]):
-                refers.setdefault(key, []).append(t[4].rsplit(".", 1)[-1])
-            elif not quoted and STATEMENT.match(text, at):
+            if not quoted and (depth or not NAME.match(t[4]) or re.search(r"\d", t[4])) and STATEMENT.match(text, at):
+                break
+            if quoted and depth and text[t.end():t.end() + 1] in (":", "="):
                 break
-            else:
-                own.setdefault(key, []).append((*t.span(group), quoted))
-                if not quoted and NAME.match(t[4]):
-                    refers.setdefault(key, []).append(t[4].rsplit(".", 1)[-1])
+            take(*t.span(group), quoted)
             at = t.end()
-            if not t[5]:
+            if not t[5] and not depth:
                 break
+        if inner is not None:
+            at = inner
     best: dict[tuple[int, int], float] = {}
     for target in sorted(weights, key=lambda k: -weights[k]):
         weight, seen, todo = weights[target], {target}, [target]

@@ -342,6 +342,18 @@ SOURCES = {
     '{"client_credential": "p0o9i8u7y6"}': ["p0o9i8u7y6"],
     "db_pwd: q1w2e3r4t5": ["q1w2e3r4t5"],
     'password_length = "abcdef12345"': [], 'The key: we saw that it was so.': [], 'db_pwd = "${PWD}"': [], "db_pwd=none": [],
+    'db_pwd: str = "q1w2e3r4t5"': ["q1w2e3r4t5"], 'db_pwd: Optional[list[str]] | None = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    'const clientPwd: string = "q1w2e3r4t5";': ["q1w2e3r4t5"], 'val x: String = "q1w2e3r4t5"\nlogin_pass = x': ["q1w2e3r4t5"],
+    "const DB_PWD: &'static str = \"q1w2e3r4t5\";": ["q1w2e3r4t5"], 'const apiKey: string = "q1w2e3r4t5"': ["string", "q1w2e3r4t5"],
+    'api_token: str = "q1w2e3r4t5"': ["q1w2e3r4t5"], 'INFO: db_pwd = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    'var password string = "q1w2e3r4t5"': ["q1w2e3r4t5"], 'dbPwd string = "q1w2e3r4t5"': ["q1w2e3r4t5"], 'const String dbPwd = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    'config["db_pwd"] = "q1w2e3r4t5"': ["q1w2e3r4t5"], 'os.environ["DB_PASSWORD"] = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    "cfg['a'][\"b\"]['db_pwd'] = 'q1w2e3r4t5'": ["q1w2e3r4t5"], f'db_pwd[{"x" * 90}] = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    'config["db_pwd_length"] = "q1w2e3r4t5"': [], 'config["size"] = "q1w2e3r4t5"': [], 'items: [open\n  db_pwd = "q1w2e3r4t5"': ["q1w2e3r4t5"],
+    '["db_pwd": "q1w2e3r4t5"]\nx = [f(db_pwd="z9y8x7w6v5"), "a",  # my_pwd = "a1b2c3d4e5"\n]': ["q1w2e3r4t5", "z9y8x7w6v5", "a1b2c3d4e5"],
+    'db_pwd = ["q1w2e3r4t5", "z9y8x7w6v5"]': ["q1w2e3r4t5", "z9y8x7w6v5"], 'other = ["q1w2e3r4t5"]': [],
+    'K = "q1w2e3r4t5"\npasswords = [\n  K,  # "first"\n  get("x"), ["z9y8x7w6v5"],\n  "correct horse",\n]\nx = "abcdef12345"': ["q1w2e3r4t5", "z9y8x7w6v5", "correct horse"],
+    'users = [{"db_pwd": "q1w2e3r4t5"}, {"db_pwd": "z9y8x7w6v5"}]': ["q1w2e3r4t5", "z9y8x7w6v5"],
     "a = b\nb = a\npassphrase = a": [], "": [], None: [],
 }
 
