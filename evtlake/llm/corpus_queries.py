@@ -1,10 +1,10 @@
-"""Queries over the statistics of a whole corpus: importance weights."""
+"""Queries over the statistics of a whole corpus: importance weights, collocations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evtlake.llm import importance
+from evtlake.llm import collocations, importance
 from evtlake.llm.common import table
 from evtlake.llm.queries import WORDS_SQL
 from evtlake.llm.registry import query
@@ -45,3 +45,34 @@ FROM scored s LEFT JOIN ranked k ON k.doc_id = s.doc_id
 @query(IMPORTANCE_SQL)
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS g FROM lists, (SELECT unnest(range(1, 6)) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY 1, 2 HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY 1),
+inner_parts AS (
+  SELECT DISTINCT c.lang, c.g[i : i + k - 1] AS g, c.f
+  FROM counts c, (SELECT unnest(range(2, 5)) AS k), LATERAL (SELECT unnest(range(1, len(c.g) - k + 2)) AS i) WHERE k < len(c.g)),
+kept AS (
+  SELECT c.* FROM counts c WHERE len(c.g) >= 2 AND NOT EXISTS (SELECT 1 FROM inner_parts b WHERE b.lang = c.lang AND b.g = c.g AND 100 * b.f >= 100 * c.f)),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM kept c, LATERAL (SELECT unnest(range(1, len(c.g))) AS k) JOIN counts x ON x.lang = c.lang AND x.g = c.g[1 : k]
+  JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, t.n, score FROM best b JOIN totals t ON t.lang = b.lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query(COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
