@@ -1,14 +1,20 @@
-"""Queries over the statistics of a whole corpus: importance weights, collocations."""
+"""Queries over the statistics of a whole corpus: language-model scores, importance weights, collocations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evtlake.llm import collocations, importance
+from evtlake.llm import collocations, importance, pitman_yor
 from evtlake.llm.common import table
 from evtlake.llm.queries import WORDS_SQL
 from evtlake.llm.registry import query
 
+
+@query()
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(table(spark, sf_dir, "documents"))
+
+
 IMPORTANCE_SQL = f"""
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),

@@ -53,7 +53,8 @@ def _parts(raw: bytes, classes: Classes, ahead: int, step: int) -> Iterator[tupl
     at = 0
     while len(raw) - at > 2 * step:
         found = classes.gap.search(raw, at + step)
-        if found is None:
+        # what holds no further word stays with the last one
+        if found is None or classes.next_word.match(raw, found.start()) is None:
             break
         cut = end = found.start()
         for _ in range(ahead):
