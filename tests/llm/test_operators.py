@@ -64,7 +64,7 @@ def test_oracle(spark, name):
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
 
 
 def brute_links(rows):
