@@ -1,16 +1,17 @@
 """Phrase collocations: counts of word runs by vertical partitioning, scored by their weakest cut.
 
-Words get 64-bit ids (checked to be distinct) and texts are written once as slices of codes. Runs
-of up to ``depth`` words are suffixes of the text, cut off at that depth. Prefixes of suffixes are
-counted; a prefix with more suffixes than one task's memory budget is replaced by its extensions by
-one word, and the rest are packed, in order of their keys, into groups of the budget's size. Every
-group is one independent task: its suffixes, with equal ones of a slice already merged, are sorted,
-which lays out the group's subtree, and the count of a node is the total of its leaves.
-
-The range read per suffix is elastic: a first round builds subtrees of two words, and the second
-one, of full depth, only reads on where neighbouring words make a frequent pair. A phrase of rare
-words or pairs cannot be frequent, so nothing is lost. Frequent words and pairs reach the tasks as
-bits of bounded number; a bit shared by chance costs time, never a count.
+Words get 64-bit ids (those of frequent words are checked to be distinct) and texts are written once
+as slices of codes. Runs of up to ``depth`` words are suffixes of the text, cut off at that depth.
+Prefixes of suffixes are counted; a prefix with more suffixes than one task's memory budget is
+replaced by its extensions by one word, and the rest are packed, in order of their keys, into groups
+of the budget's size. Every group is one independent task: its suffixes, with equal ones of a slice
+already merged, are sorted, which lays out the group's subtree, and the count of a node is the total
+of its leaves.
+
+The range read per suffix is elastic: it ends before a rare word, and before a pair of neighbours
+that is rare by the counts of fingerprints, which are never too small. A phrase of rare words or
+pairs cannot be frequent, so nothing is lost. Frequent words and pairs reach the tasks as bits of
+bounded number; a bit shared by chance costs time, never a count.
 """
 
 from collections.abc import Iterator
@@ -22,54 +23,51 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.llm.common import stored
 from evtlake.llm.jaccard_join import sorted_groups
+from evtlake.llm.keys import Sieve, bits_for, extended, fingerprints, recurring
 from evtlake.llm.word_slices import Classes, slices
-from evtlake.llm.words import mix
 from evtlake.plans import ordering
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group, and how many groups there are at most; beyond that the groups grow.
-BUDGET, MOST_GROUPS = 2_000_000, 1 << 20
-#: Frequent words or pairs are sent as this many bits at most.
-MOST_BITS = 28
+BUDGET, MOST_GROUPS = 1_000_000, 1 << 20
+STEP = 1 << 21
 NO_LANG = "und"
 WORDS = Classes(b" \t", b".,;:!?\n\x0b\x0c\r")
-_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- texts as codes -----------------------------------------------------------------
 
 
 def coded(docs: DataFrame, text_col: str, lang_col: str, seed: int, ahead: int) -> DataFrame:
-    """Two kinds of rows: words (lang, word, id, n) counted per slice, and slices (ids, codes).
+    """Two kinds of rows: words (lang, word, id, n) counted per slice, and slices (lang, n words, ids, codes).
 
     A code is the 1-based place among the slice's ids, negative for context words, 0 for a break.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 2048):
                 by_lang: dict[str, list[str | None]] = {}
-                part = batch.slice(at, 512)
+                part = batch.slice(at, 2048)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     by_lang.setdefault(lang, []).append(text)
                 for lang, texts in by_lang.items():
-                    for s in slices(texts, WORDS, ahead):
+                    for s in slices(texts, WORDS, ahead, STEP):
                         if not len(s.codes):
                             continue
-                        words = s.words.to_pylist()
                         name = lang.encode() + b"\0"
-                        ids = np.array([xxhash.xxh3_64_intdigest(name + w, seed) or 1 for w in words], np.uint64).view(np.int64)
-                        n = np.bincount(s.codes[s.owned], minlength=len(words))
+                        ids = np.array([xxhash.xxh3_64_intdigest(name + w, seed) or 1 for w in s.words.to_pylist()], np.uint64).view(np.int64)
+                        n = np.bincount(s.codes[s.owned], minlength=len(ids))
                         codes = np.zeros(len(s.codes) + int((~s.follows).sum()), np.int32)
                         codes[np.arange(len(s.codes)) + np.cumsum(~s.follows) - ~s.follows] = np.where(s.owned, s.codes + 1, -1 - s.codes)
                         some = np.flatnonzero(n)
-                        size = len(some) + 1
                         none = pa.nulls(len(some), pa.binary())
+                        last = lambda kind, x: pa.array([x], kind)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([False] * len(some) + [True]), pa.array([lang] * size),
-                            pa.array([words[i] for i in some] + [None], pa.binary()),
-                            pa.array([*ids[some].tolist(), None], pa.int64()), pa.array([*n[some].tolist(), None], pa.int64()),
-                            pa.chunked_array([none, pa.array([ids.tobytes()])]).combine_chunks(),
-                            pa.chunked_array([none, pa.array([codes.tobytes()])]).combine_chunks()],
+                            pa.array(np.arange(len(some) + 1) == len(some)), pa.array([lang] * (len(some) + 1)),
+                            pa.concat_arrays([s.words.take(pa.array(some)).cast(pa.binary()), last(pa.binary(), None)]),
+                            pa.concat_arrays([pa.array(ids[some]), last(pa.int64(), None)]),
+                            pa.concat_arrays([pa.array(n[some]), last(pa.int64(), int(n.sum()))]),
+                            pa.concat_arrays([none, last(pa.binary(), ids.tobytes())]), pa.concat_arrays([none, last(pa.binary(), codes.tobytes())])],
                             ["is_slice", "lang", "word", "id", "n", "ids", "codes"])
 
     rows = docs.select(F.coalesce(lang_col, F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
@@ -82,42 +80,33 @@ def as_key(id_col: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)]))
 
 
-def coded_corpus(docs: DataFrame, text_col: str, lang_col: str, ahead: int) -> tuple[DataFrame, DataFrame]:
-    """Slices (ids, codes), and words (lang, word, id, n) counted over all texts; ids are distinct."""
+def coded_corpus(docs: DataFrame, text_col: str, lang_col: str, ahead: int, least: int) -> tuple[DataFrame, DataFrame, Sieve]:
+    """Slices (lang, n, ids, codes), the frequent words (lang, word, id, n), and their ids, which are distinct."""
+    spark = docs.sparkSession
     for seed in range(16):
-        rows = stored(coded(docs, text_col, lang_col, seed, ahead), "coded")
-        words = stored(rows.where("not is_slice").groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")
-        if words.groupBy("id").count().where("count > 1").isEmpty():
-            return rows.where("is_slice").select("ids", "codes"), words
+        rows = stored(coded(docs, text_col, lang_col, seed, ahead), "coded", "zstd")
+        often = rows.where("not is_slice").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        known = Sieve(stored(often.select("id"), "frequent-ids"))
+        sent = spark.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(sent.value.holds(batch.column(2).to_numpy())))
+
+        spelled = rows.where("not is_slice").select("lang", "word", "id", "n").mapInArrow(run, "lang string, word binary, id bigint, n bigint")
+        # a word is frequent or it is not: two words of one id are told apart here, and then another seed is tried
+        words = stored(spelled.groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")
+        shared = words.groupBy("id").agg(F.count("*").alias("words"), F.sum("n").alias("n")).where((F.col("words") > 1) & (F.col("n") >= least))
+        if shared.isEmpty():
+            return rows.where("is_slice").select("lang", "n", "ids", "codes"), words.where(F.col("n") >= least), known
     raise RuntimeError("no seed gives distinct word ids")
 
 
 # --- sieves and routes --------------------------------------------------------------
 
 
-def extended(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Key of a prefix with one more word."""
-    return mix(key.view(np.uint64) * _P + word.view(np.uint64)).view(np.int64)
-
-
-class Sieve:
-    """A set of keys as bits, one bit each; a key outside may share a bit, a key inside is always found."""
-
-    def __init__(self, keys: DataFrame):
-        n = keys.count()
-        self.bits = min(max(int(n * 16).bit_length(), 12), MOST_BITS)
-        self.masks = np.zeros(1 << (self.bits - 6), np.uint64)
-        at = F.shiftrightunsigned(keys.columns[0], 64 - self.bits)
-        rows = keys.select(at.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")).toArrow()
-        self.masks[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        p = keys.view(np.uint64) >> np.uint64(64 - self.bits)
-        return (self.masks[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def suffixes(ids: np.ndarray, codes: np.ndarray, depth: int, words: Sieve, pairs: Sieve | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes of a slice, [n, depth] ids with 0 after their end, and how often each occurs.
+    """Distinct suffixes of a slice in order of their digests, [n, depth] ids with 0 after their end, and how often each occurs.
 
     They end before a word or a pair that the sieves do not hold; those of one word are left out.
     """
@@ -138,13 +127,28 @@ def suffixes(ids: np.ndarray, codes: np.ndarray, depth: int, words: Sieve, pairs
     digest = out[0]
     for j in range(1, depth):
         digest = extended(digest, out[j])
-    order = np.argsort(digest)
+    order = np.argsort(digest.view(np.uint64))
     out = out[:, order]
     # suffixes of one digest are neighbours, and they are compared themselves
     first = np.flatnonzero(np.append(True, (out[:, 1:] != out[:, :-1]).any(axis=0))) if len(order) else order
     return out[:, first].T, np.diff(np.append(first, len(order)))
 
 
+def frequent_pairs(corpus: DataFrame, words: Sieve, least: int, budget: int) -> Sieve:
+    """Pairs of frequent words that occur ``least`` times or more by the counts of their fingerprints."""
+    total = corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = bits_for(total, budget)
+    sent = corpus.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, codes in zip(*(column.to_pylist() for column in batch.columns)):
+                rows, n = suffixes(np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int32), 2, sent.value, None)
+                yield fingerprints(extended(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])).view(np.uint64), n, bits)
+
+    return recurring(corpus.select("ids", "codes").mapInArrow(run, "bucket bigint, prints binary, n binary"), bits, least)
+
+
 def route(rows: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key of the prefix that a suffix belongs to, and how many shorter prefixes of it were too large."""
     key, levels, on = rows[:, 0], np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
@@ -162,7 +166,7 @@ def route(rows: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- groups and their subtrees ------------------------------------------------------
 
 
-def group_prefixes(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def group_prefixes(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of prefixes that are too large for a group, and the first key of every group but the first.
 
     Both have about as many entries as there are groups, MOST_GROUPS at most.
@@ -183,7 +187,7 @@ def group_prefixes(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve | N
                     keys, of = np.unique(key[here], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, n[here], len(keys)).astype(np.int64))], ["key", "n"])
 
-        found = stored(corpus.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "prefixes")
+        found = stored(corpus.select("ids", "codes").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "prefixes")
         if level == 1:
             total = found.agg(F.sum("n")).first()[0] or 0
             budget = max(budget, -(-total // MOST_GROUPS))
@@ -201,8 +205,8 @@ def group_prefixes(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve | N
     return hot, np.sort(np.array([r.key for r in firsts.collect()], np.int64))
 
 
-def subtree_counts(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve | None, least: int, budget: int) -> DataFrame:
-    """phrase (ids of 2 to ``depth`` words, eight bytes each), key and n of all runs that occur ``least`` times or more."""
+def subtree_counts(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve, least: int, budget: int) -> DataFrame:
+    """phrase (ids of 2 to ``depth`` words, eight bytes each) and n of all runs that occur ``least`` times or more."""
     hot, bounds = group_prefixes(corpus, depth, words, pairs, budget)
     sent = corpus.sparkSession.sparkContext.broadcast((hot, bounds, words, pairs))
 
@@ -240,14 +244,11 @@ def subtree_counts(corpus: DataFrame, depth: int, words: Sieve, pairs: Sieve | N
                 # a prefix that was too large has leaves in other groups too
                 keep = np.flatnonzero((nodes[-1] != 0) & ((total >= least) | ((levels >= level) & (level < depth))))
                 if len(keep):
-                    key = nodes[0, keep]
-                    for j in range(1, level):
-                        key = extended(key, nodes[j, keep])
                     flat = np.ascontiguousarray(nodes[:, keep].T)
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in flat], pa.binary()), pa.array(key), pa.array(total[keep])], ["phrase", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in flat], pa.binary()), pa.array(total[keep])], ["phrase", "n"])
 
-    dealt = corpus.mapInArrow(deal, "group int, rows binary, n binary").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(build, "phrase binary, key bigint, n bigint").groupBy("phrase", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    dealt = corpus.select("ids", "codes").mapInArrow(deal, "group int, rows binary, n binary").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(build, "phrase binary, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 # --- phrases ------------------------------------------------------------------------
@@ -269,14 +270,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts have no words; a NULL language is ``und``; repeated rows count repeatedly. A table without
     frequent phrases gives no rows; other columns are ignored.
     """
-    corpus, words = coded_corpus(docs, text_col, lang_col, depth - 1)
-    frequent = words.where(F.col("n") >= least)
-    known = Sieve(frequent.select("id"))
-    pairs = stored(subtree_counts(corpus, 2, known, None, least, budget), "pairs")
-    phrases = pairs.select("phrase", "n")
-    if depth > 2:
-        longer = subtree_counts(corpus, depth, known, Sieve(pairs.select("key")), least, budget)
-        phrases = stored(phrases.unionByName(longer.where(F.length("phrase") > 16).select("phrase", "n")), "phrases")
+    corpus, frequent, known = coded_corpus(docs, text_col, lang_col, depth - 1, least)
+    pairs = frequent_pairs(corpus, known, least, budget)
+    phrases = stored(subtree_counts(corpus, depth, known, pairs, least, budget), "phrases")
     singles = frequent.select(as_key(F.col("id")).alias("phrase"), "lang", "word", "n")
     counts = phrases.unionByName(singles.select("phrase", "n"))
     size = (F.length("phrase") / 8).cast("int")
@@ -288,7 +284,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     right = counts.select(F.col("phrase").alias("_r"), F.col("n").alias("r"))
     cut = cuts.join(left, part(F.col("phrase"), 0, F.col("k")) == F.col("_l")).join(
         right, part(F.col("phrase"), F.col("k"), F.col("size") - F.col("k")) == F.col("_r"))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = corpus.groupBy("lang").agg(F.sum("n").alias("total"))
     owner = singles.select(F.col("phrase").alias("_w"), "lang").join(totals, "lang")
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cut.join(owner, part(F.col("phrase"), 0, 1) == F.col("_w")).withColumns(

@@ -13,10 +13,10 @@ from evtlake.plans.ordering import scratch_path
 HOT_SHARE = 1e-3
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back: lineage ends, and its size is known."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
