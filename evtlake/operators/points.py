@@ -1,8 +1,12 @@
 """Point clouds: farthest points, nearest neighbours, neighbour pooling, tokens.
 
 Clouds are rows of at most ``chunk`` points. A cloud of one row is reduced inside its
-task by NumPy over Arrow batches. A larger cloud stays spread over its rows and goes
-through distributed steps that give the same picks, so no cloud has to fit in one task.
+task by NumPy over Arrow batches. A larger cloud stays spread over its rows, so no cloud has
+to fit in one task. Its farthest points are picked in rounds: every row offers its farthest
+points, CANDIDATES of the whole cloud together, and tells how far its other points can be; one
+task picks among the offered points as long as no other can come before, which is the exact
+order of picks. A cloud of up to CANDIDATES points needs one round. Neighbours are searched
+per row in a k-d partition, nearest boxes first, and the best of all rows are kept.
 """
 
 from __future__ import annotations
@@ -11,15 +15,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from evtlake.plans import ordering
+from evtlake.operators import boxes
+from evtlake.operators.boxes import gaps
+from evtlake.plans import arrow, ordering
 
 CHUNK = 8_192
 SLAB = 1 << 14  # padded points handled together inside one task
 BROADCAST_CLOUDS = 10_000
-STEPS_PER_CHECKPOINT = 8
+CANDIDATES = 1 << 16
+TOKEN_BLOCK = 64  # centres whose neighbours are merged together
 AXES = ("x", "y", "z", "t")
+CENTRES = "array<struct<pos:long,x:double,y:double,z:double,t:double>>"
 
 
 def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str = "pos",
@@ -35,11 +43,8 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
         F.array(*[number(f) for f in features]).cast("array<double>").alias("f"))
     rows = points.groupBy(key, F.expr(f"cast({pos} div {chunk} as int)").alias("chunk")).agg(
         F.sort_array(F.collect_list(entry)).alias("pts"))
-    big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    if big.isEmpty():
-        return rows.withColumns({"n": F.size("pts").cast("long"), "chunks": F.lit(1)})
     # one row per chunk of a big cloud, so that joining sizes does not gather the cloud
-    big = ordering.cut_lineage(big.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")))
+    big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     copies = big.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return rows.join(copies, [key, "chunk"], "left").withColumns({
         "n": F.coalesce("n", F.size("pts").cast("long")), "chunks": F.coalesce("chunks", F.lit(1))})
@@ -48,14 +53,6 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
 # --- clouds inside one task ---------------------------------------------------------
 
 
-def _gaps(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Squared distances of arrays [4, ...], summed axis by axis like the column expression below."""
-    total = np.square(points[0] - centre[0])
-    for axis in (1, 2, 3):
-        total += np.square(points[axis] - centre[axis])
-    return total
-
-
 def farthest(slab: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
     """Farthest-point picks [B, count] of padded clouds [4, B, N].
 
@@ -66,7 +63,7 @@ def farthest(slab: np.ndarray, valid: np.ndarray, count: int) -> np.ndarray:
     closest = np.where(valid, np.inf, -1.0)
     for step in range(1, count):
         centre = slab[:, every, picks[:, step - 1], None]
-        closest = np.fmin(closest, _gaps(slab, centre))
+        closest = np.fmin(closest, gaps(slab, centre))
         picks[:, step] = closest.argmax(axis=1)
     return picks
 
@@ -76,18 +73,21 @@ def nearest(points: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
     Everything up to the k-th distance is a candidate, so equal distances go by position.
     """
-    gaps = _gaps(points[:, None, :], points[:, at, None])
-    k = min(k, points.shape[1])
-    reach = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    n = points.shape[1]
+    k = min(k, n)
+    if n >= boxes.MANY and np.isfinite(points).all():
+        return boxes.nearest(boxes.Boxes(points, leaf=boxes.NEAR_LEAF), points[:, at], k)
+    d2 = gaps(points[:, None, :], points[:, at, None])
+    reach = np.partition(d2, k - 1, axis=1)[:, k - 1]
     if np.isnan(reach).any():
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        return order, np.take_along_axis(gaps, order, axis=1)
-    centre, pos = np.nonzero(gaps <= reach[:, None])
-    d2 = gaps[centre, pos]
-    by = np.lexsort((pos, d2, centre))
+        order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        return order, np.take_along_axis(d2, order, axis=1)
+    centre, pos = np.nonzero(d2 <= reach[:, None])
+    found = d2[centre, pos]
+    by = np.lexsort((pos, found, centre))
     first = np.searchsorted(centre, np.arange(len(at)))
     best = by[first[:, None] + np.arange(k)]
-    return pos[best], d2[best]
+    return pos[best], found[best]
 
 
 def slabs(sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -100,6 +100,13 @@ def slabs(sizes: np.ndarray) -> Iterator[np.ndarray]:
             start = stop
 
 
+def _points(flat: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates [4, n], positions and features [n, width] of point structs."""
+    width = len(flat.field("f")[0]) if len(flat) else 0
+    return (np.stack([np.asarray(flat.field(a)) for a in AXES]), np.asarray(flat.field("pos")),
+            np.asarray(flat.field("f").flatten()).reshape(len(flat), width))
+
+
 def _reducer(tokens: int, k: int) -> Callable:
     """Arrow batches (key, pts) of whole clouds -> rows (key, token_no, at, nbr_pos, nbr_d2, pooled)."""
 
@@ -109,23 +116,21 @@ def _reducer(tokens: int, k: int) -> Callable:
             if len(keys) == 0:
                 continue
             bounds = np.asarray(pts.offsets)
-            flat = pts.values
-            xyzt = np.stack([np.asarray(flat.field(a)) for a in AXES])
-            width = len(flat.field("f")[0])
-            feats = np.asarray(flat.field("f").flatten()).reshape(len(flat), width)
+            xyzt, _, feats = _points(pts.values)
+            width = feats.shape[1]
             sizes = np.diff(bounds)
             for rows in slabs(sizes):
                 valid = np.arange(sizes[rows].max())[None, :] < sizes[rows][:, None]
                 slab = np.zeros((4, *valid.shape))
                 slab[:, valid] = np.concatenate([xyzt[:, bounds[r]:bounds[r + 1]] for r in rows], axis=1)
                 picks = farthest(slab, valid, tokens)
-                near, gaps, pooled = [], [], []
+                near, away, pooled = [], [], []
                 for row, at in zip(rows, picks) if k else ():
                     mine = slice(bounds[row], bounds[row + 1])
                     order, d2 = nearest(xyzt[:, mine], at, k)
                     best = feats[mine][order].max(axis=1)
                     near.append(order)
-                    gaps.append(d2)
+                    away.append(d2)
                     pooled.append(np.where(np.isfinite(best), best, 0.0))
                 count = len(rows) * tokens
                 lengths = [o.shape[1] for o in near for _ in range(tokens)] if k else [0] * count
@@ -135,7 +140,7 @@ def _reducer(tokens: int, k: int) -> Callable:
                     pa.array(np.tile(np.arange(tokens, dtype=np.int32), len(rows))),
                     pa.array(picks.ravel()),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate([o.ravel() for o in near]) if k else [], pa.int64())),
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g.ravel() for g in gaps]) if k else [], pa.float64())),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g.ravel() for g in away]) if k else [], pa.float64())),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(count + 1) * (width if k else 0), pa.int32()),
                         pa.array(np.concatenate([p.ravel() for p in pooled]) if k else [], pa.float64())),
@@ -157,15 +162,6 @@ def _local(whole: DataFrame, key: str, tokens: int, k: int) -> DataFrame:
 # --- clouds spread over rows --------------------------------------------------------
 
 
-def gap(a: Column | None, b: Column | None, prefix: str = "") -> Column:
-    """Squared distance between structs, or between columns and prefixed columns."""
-    total = None
-    for axis in AXES:
-        d = (a[axis] if a is not None else F.col(axis)) - (b[axis] if b is not None else F.col(prefix + axis))
-        total = d * d if total is None else total + d * d
-    return total
-
-
 def _attach(rows: DataFrame, small: DataFrame, heads: DataFrame, key: str, few: bool) -> DataFrame:
     """Give every row of a cloud its cloud's ``small`` row without gathering the cloud.
 
@@ -178,59 +174,135 @@ def _attach(rows: DataFrame, small: DataFrame, heads: DataFrame, key: str, few:
     return rows.join(copies, [key, "chunk"])
 
 
+def _offered(kind: str, key: str, rows: DataFrame) -> DataFrame:
+    """Every row's farthest points from the centres so far, and the first of those it keeps back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, chunks, pts, centres = (batch.column(c)[i] for c in range(1, 5))
+                xyzt, pos, _ = _points(pts.values)
+                known = np.array([[c[a] for a in AXES] for c in centres.as_py()]).T
+                closest = np.full(len(pos), np.inf)
+                if known.size:
+                    near = boxes.Field(xyzt, pos)
+                    for centre in known.T:
+                        near.add(centre)
+                    closest[near.at[near.here]] = near.closest[near.here]
+                order = np.lexsort((pos, -closest))
+                share = max(1, CANDIDATES // chunks.as_py())
+                some, rest = order[:share], order[share:]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(i, 1), pa.array([pos[some]], pa.list_(pa.int64())), pa.array([xyzt[:, some].ravel()], pa.list_(pa.float64())),
+                    pa.array([closest[some]], pa.list_(pa.float64())), pa.array([closest[rest[0]] if len(rest) else -np.inf]),
+                    pa.array([pos[rest[0]] if len(rest) else boxes.NONE], pa.int64()),
+                    batch.column(4).slice(i, 1) if chunk.as_py() == 0 else pa.array([[]], batch.column(4).type)],
+                    ["_k", "pos", "xyzt", "closest", "far", "who", "centres"])
+
+    return rows.select(key, "chunk", "chunks", "pts", "centres").mapInArrow(
+        run, f"{key} {kind}, pos array<long>, xyzt array<double>, closest array<double>, far double, who long, centres {CENTRES}")
+
+
+def _picked(kind: str, key: str, offers: DataFrame, tokens: int) -> DataFrame:
+    """Centres with the picks of one round: up to the first that a point kept back might precede."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in arrow.groups(batches):
+            table = pa.Table.from_batches(group)
+            whole = lambda name: np.concatenate([np.asarray(x.values) for x in table[name]])  # noqa: E731, B023
+            xyzt = np.concatenate([np.asarray(x.values).reshape(4, -1) for x in table["xyzt"]], axis=1)
+            near = boxes.field(xyzt, whole("pos"), whole("closest"))
+            back = max(zip(table["far"].to_pylist(), (-w for w in table["who"].to_pylist())))
+            centres = [c for row in table["centres"].to_pylist() for c in row]
+            while len(centres) < tokens:
+                far, who = near.best()
+                if (far, -who) < back:
+                    break
+                at = near.point(who)
+                centres.append({"pos": who, **dict(zip(AXES, at.tolist()))})
+                near.add(at)
+            yield pa.RecordBatch.from_arrays([group[0].column(0).slice(0, 1), pa.array([centres], table.schema.field("centres").type)], ["_k", "centres"])
+
+    return offers.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, centres {CENTRES}")
+
+
 def _spread_centres(big: DataFrame, heads: DataFrame, key: str, tokens: int, few: bool) -> DataFrame:
-    """Farthest points of spread clouds: one distributed maximum per pick."""
-    state = ordering.cut_lineage(
-        big.select(key, "chunk", F.explode("pts").alias("_p"))
-        .select(key, "chunk", "_p.pos", *[f"_p.{a}" for a in AXES], F.lit(float("inf")).alias("_d")))
-    chosen = F.struct("pos", *AXES)
-    pick = state.where(F.col("pos") == 0).select(key, chosen.alias("_c"))
-    picks = [ordering.cut_lineage(pick)]
-    for step in range(1, tokens):
-        last = picks[-1].select(key, *[F.col(f"_c.{a}").alias(f"_c{a}") for a in AXES])
-        state = _attach(state, last, heads, key, few).withColumn(
-            "_d", F.least("_d", gap(None, None, "_c"))).drop(*[f"_c{a}" for a in AXES])
-        if step % STEPS_PER_CHECKPOINT == 0:
-            state = ordering.cut_lineage(state)
-        best = F.max_by(chosen, F.struct("_d", (-F.col("pos")).alias("_e")))
-        picks.append(ordering.cut_lineage(state.groupBy(key).agg(best.alias("_c"))))
-    out = None
-    for i, pick in enumerate(picks):
-        row = pick.select(key, F.lit(i).alias("token_no"), "_c.*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(key, centres) of spread clouds. Each round picks at least one point of every open cloud, and more the smaller the cloud."""
+    kind = big.schema[key].dataType.simpleString()
+    rows, out = big.withColumn("centres", F.array().cast(CENTRES)), None
+    while True:
+        found = ordering.cut_lineage(_picked(kind, key, _offered(kind, key, rows), tokens))
+        done = found.where(F.size("centres") == tokens)
+        out = done if out is None else out.unionByName(done)
+        open_ = found.where(F.size("centres") < tokens)
+        if open_.isEmpty():
+            return out
+        rows = _attach(big, open_, heads, key, few)
+
+
+def _spread_neighbours(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, token_no, pos, neighbours, pooled) of rows (key, pts, centres): the best of every row, then of all rows."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xyzt, pos, feats = _points(batch.column(1)[i].values)
+                centres = batch.column(2)[i].as_py()
+                at = np.array([c["pos"] for c in centres], np.int64)
+                near, d2 = boxes.nearest_of(xyzt, pos, np.array([[c[a] for a in AXES] for c in centres]).T, k)
+                order = np.argsort(pos)
+                own = feats[order[np.minimum(np.searchsorted(pos, near, sorter=order), len(pos) - 1)]]
+                for first in range(0, len(at), TOKEN_BLOCK):
+                    some = slice(first, first + TOKEN_BLOCK)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(i, 1), pa.array([first], pa.int32()), pa.array([at[some]], pa.list_(pa.int64())),
+                        pa.array([near[some].ravel()], pa.list_(pa.int64())), pa.array([d2[some].ravel()], pa.list_(pa.float64())),
+                        pa.array([own[some].ravel()], pa.list_(pa.float64()))], ["_k", "first", "at", "near", "d2", "f"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, key_of, state = None, None, None
+        for name, run in arrow.runs(batches, 2):
+            if current is not None and name != current:
+                yield out(key_of, current[1], *state)
+                state = None
+            current, key_of = name, run.column(0).slice(0, 1)
+            for i in range(run.num_rows):
+                at = np.asarray(run.column(2)[i].values)
+                near, d2 = (np.asarray(run.column(c)[i].values).reshape(len(at), k) for c in (3, 4))
+                f = np.asarray(run.column(5)[i].values).reshape(len(at), k, -1)
+                if state is not None:
+                    near, d2, f = (np.concatenate([a, b], axis=1) for a, b in zip(state[1:], (near, d2, f)))
+                    order = np.lexsort((near, d2), axis=1)[:, :k]
+                    near, d2, f = np.take_along_axis(near, order, 1), np.take_along_axis(d2, order, 1), np.take_along_axis(f, order[:, :, None], 1)
+                state = at, near, d2, f
+        if state is not None:
+            yield out(key_of, current[1], *state)
+
+    def out(key_of: pa.Array, first: int, at: np.ndarray, near: np.ndarray, d2: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        there = near != boxes.NONE
+        pooled = np.where(there[:, :, None], f, -np.inf).max(axis=1)
+        ends = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32())
+        return pa.RecordBatch.from_arrays([
+            key_of.take(pa.array(np.zeros(len(at), np.int64))), pa.array(np.arange(first, first + len(at)), pa.int32()), pa.array(at),
+            pa.ListArray.from_arrays(ends, pa.array(near[there])), pa.ListArray.from_arrays(ends, pa.array(d2[there])),
+            pa.array(list(np.where(np.isfinite(pooled), pooled, 0.0)), pa.list_(pa.float64()))], ["_k", "token_no", "pos", "nbr_pos", "nbr_d2", "pooled"])
+
+    found = rows.select(key, "pts", "centres").mapInArrow(
+        find, f"{key} {kind}, first int, at array<long>, near array<long>, d2 array<double>, f array<double>")
+    merged = found.repartition(key, "first").sortWithinPartitions(key, "first").mapInArrow(
+        best, f"{key} {kind}, token_no int, pos long, nbr_pos array<long>, nbr_d2 array<double>, pooled array<double>")
+    return merged.select(key, "token_no", "pos", F.arrays_zip(F.col("nbr_pos").alias("pos"), F.col("nbr_d2").alias("d2")).alias("neighbours"), "pooled")
 
 
 def _spread(big: DataFrame, key: str, tokens: int, k: int) -> DataFrame:
-    heads = ordering.cut_lineage(big.select(key, "chunks").distinct())
+    big = ordering.cut_lineage(big.select(key, "chunk", "chunks", "pts"))
+    heads = big.where(F.col("chunk") == 0).select(key, "chunks")
     few = heads.limit(BROADCAST_CLOUDS + 1).count() <= BROADCAST_CLOUDS
-    centres = ordering.cut_lineage(_spread_centres(big, heads, key, tokens, few))
-    if not k:
-        return centres.select(
-            key, "token_no", "pos", F.lit(None).cast("array<struct<pos:long,d2:double>>").alias("neighbours"),
-            F.lit(None).cast("array<double>").alias("pooled"))
-    per_cloud = centres.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token_no", *AXES))).alias("_cs"))
-    chunks = _attach(big.select(key, "chunk", "pts"), per_cloud, heads, key, few)
-
-    def best_of_chunk(c: Column) -> Column:
-        found = F.transform("pts", lambda p: F.struct(gap(p, c).alias("d2"), p["pos"].alias("pos"), p["f"].alias("f")))
-        return F.struct(c["token_no"].alias("token_no"), F.slice(F.sort_array(found), 1, k).alias("near"))
-
-    candidates = (
-        chunks.select(key, F.explode(F.transform("_cs", best_of_chunk)).alias("_t"))
-        .select(key, "_t.token_no", F.explode("_t.near").alias("_n")).select(key, "token_no", "_n.*"))
-    rank = F.row_number().over(Window.partitionBy(key, "token_no").orderBy("d2", "pos"))
-    merged = (
-        candidates.withColumn("_r", rank).where(F.col("_r") <= k)
-        .groupBy(key, "token_no").agg(F.sort_array(F.collect_list(F.struct("d2", "pos", "f"))).alias("_n")))
-    top = F.reduce(
-        F.slice("_n", 2, k), F.col("_n")[0]["f"], lambda a, n: F.zip_with(a, n["f"], lambda p, q: F.greatest(p, q)))
-    clean = F.transform(top, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
-    pooled = merged.select(
-        key, "token_no",
-        F.transform("_n", lambda n: F.struct(n["pos"].alias("pos"), n["d2"].alias("d2"))).alias("neighbours"),
-        clean.alias("pooled"))
-    return centres.select(key, "token_no", "pos").join(pooled, [key, "token_no"])
+    centres = _spread_centres(big, heads, key, tokens, few)
+    if k:
+        return _spread_neighbours(_attach(big, centres, heads, key, few), key, k)
+    return centres.select(key, F.posexplode("centres").alias("token_no", "_c")).select(
+        key, "token_no", "_c.pos", F.lit(None).cast("array<struct<pos:long,d2:double>>").alias("neighbours"),
+        F.lit(None).cast("array<double>").alias("pooled"))
 
 
 def _reduced(cloud: DataFrame, key: str, tokens: int, k: int) -> DataFrame:

@@ -49,7 +49,7 @@ def near_sql(source: str, tokens: int, neighbours: int) -> dict[str, str]:
 
 CLOUD, NEAR = cloud_sql("gp", TOKENS), near_sql("gp", TOKENS, NEIGHBOURS)
 #: Clouds of suppliers: more tokens, and chunks small enough that a cloud spreads over several rows.
-WIDE_TOKENS, WIDE_NEIGHBOURS, WIDE_CHUNK = 12, 8, 256
+WIDE_TOKENS, WIDE_NEIGHBOURS, WIDE_CHUNK = 196, 8, 256
 
 
 def _clouds(spark, sf):

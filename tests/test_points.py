@@ -42,10 +42,12 @@ def rows(spark, clouds_data):
     return spark.createDataFrame(data, "key int, pos long, x double, y double, z double, t double, f0 double, f1 double").repartition(7)
 
 
-@pytest.mark.parametrize("chunk, broadcast", [(points.CHUNK, 10_000), (11, 10_000), (11, 0)])
-def test_tokens(spark, rows, clouds_data, chunk, broadcast, monkeypatch):
+@pytest.mark.parametrize("chunk, broadcast, candidates", [
+    (points.CHUNK, 10_000, 1 << 16), (11, 10_000, 1 << 16), (11, 0, 60), (11, 10_000, 1), (1, 0, 30), (256, 10_000, 1 << 16)])
+def test_tokens(spark, rows, clouds_data, chunk, broadcast, candidates, monkeypatch):
     monkeypatch.setattr(points, "BROADCAST_CLOUDS", broadcast)
-    monkeypatch.setattr(points, "STEPS_PER_CHECKPOINT", 2)
+    monkeypatch.setattr(points, "CANDIDATES", candidates)
+    monkeypatch.setattr(points, "TOKEN_BLOCK", 4)
     cloud = points.clouds(rows, "key", ["f0", "f1"], chunk=chunk)
     far, near, tokens = {}, {}, {}
     for r in points.farthest_points(cloud, "key", TOKENS).orderBy("key", "token_no").collect():
