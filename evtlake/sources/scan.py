@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from evtlake.functions import codes
@@ -29,7 +28,7 @@ def scan_events(
     ``file_columns`` adds ``file_path`` and ``row_index`` from the scan's metadata.
     All files of the call must share a version; ``tolerate_absent`` leaves columns out that
     this version lacks, for ``conform_columns`` to fill. ``scan_versions`` reads files of any
-    mixture of versions.
+    mixture of versions, and ``files.scan_files`` those that a file table chooses.
     """
     wanted = list(dict.fromkeys([*REQUIRED, *additional_columns]))
     if tolerate_absent:
@@ -47,46 +46,17 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
         "recursiveFileLookup", "true").load(list(paths)).inputFiles())
 
 
-def files_by_version(spark: SparkSession, files: Sequence[str], per_task: int = 200) -> list[tuple[frozenset[str], list[str]]]:
-    """Files grouped by the columns that their own footers name.
-
-    Tasks read the footers, ``per_task`` of them each; a row per file comes back.
-    """
-    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs, parquet
-        for batch in batches:
-            found = []
-            for file in batch["file"]:
-                store, path = fs.FileSystem.from_uri(file)
-                with store.open_input_file(path) as opened:
-                    found.append(sorted(parquet.read_schema(opened).names))
-            yield pd.DataFrame({"file": batch["file"], "names": found})
-
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(-(-len(files) // per_task) or 1)
-    versions: dict[frozenset[str], list[str]] = {}
-    for row in listed.mapInPandas(footers, "file string, names array<string>").collect():
-        versions.setdefault(frozenset(row.names), []).append(row.file)
-    return sorted(((names, sorted(own)) for names, own in versions.items()), key=lambda v: v[1])
-
-
 def scan_versions(
     spark: SparkSession, paths: Sequence[str], keep: Sequence[str] = (), file_columns: bool = False
 ) -> DataFrame:
     """Events of files of any versions in the full schema of ``conform_columns``, plus ``keep``.
 
-    Every file decides by its own footer which columns it has, whatever stands beside it. A
-    ``keep`` column that a file lacks is NULL there. Each version is one pruned scan.
+    Every file decides by its own footer which columns of which types it has, whatever stands
+    beside it. A ``keep`` column that a file lacks is NULL there. Each version is one pruned scan.
+    Files that cannot be used are left out; ``files.file_table`` and ``files.failures`` name them.
     """
-    metadata = ["file_path", "row_index"] if file_columns else []
-    versions = files_by_version(spark, list_files(spark, paths))
-    if not versions:
-        raise ValueError("no event files")
-    parts = []
-    for names, files in versions:
-        wanted = [c for c in dict.fromkeys([*REQUIRED, *keep]) if c in names]
-        found = spark.read.parquet(*files).select(*wanted, *[F.col(f"_metadata.{c}").alias(c) for c in metadata])
-        parts.append(conform_columns(found, [*(c for c in keep if c in names), *metadata]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    from evtlake.sources import files
+    return files.scan_files(spark, ordering.cut_lineage(files.file_table(spark, paths)), keep, file_columns)
 
 
 def conform_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -64,17 +64,25 @@ def read_event_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return spark.read.parquet(f"{path}/event_index"), spark.read.parquet(f"{path}/sensors")
 
 
-def dataset_manifest(index: DataFrame, dataset: str = "dataset_id", sources: DataFrame | None = None) -> DataFrame:
+def dataset_manifest(index: DataFrame, dataset: str = "dataset_id", sources: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """Events, sensors and success per dataset, and grand totals in the row without a dataset.
 
-    With ``sources`` (the datasets asked for) a dataset that gave no events counts as failed.
+    With ``sources`` (the datasets asked for) a dataset that gave no events counts as failed. With
+    ``files`` (a file table) its datasets are asked for, and ``files`` and ``failed_files`` are counted.
     """
     counts = index.groupBy(dataset).agg(
         F.count("*").alias("events"), F.sum("num_sensors").cast("long").alias("sensors"))
+    measures = ["events", "sensors"]
+    if files is not None:
+        own = files.groupBy(labels.dataset_id_from_path(F.col("file")).cast(index.schema[dataset].dataType).alias(dataset)).agg(
+            F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed_files"))
+        measures += ["files", "failed_files"]
+        counts = counts.join(own, dataset, "full_outer").na.fill(0, measures)
     if sources is not None:
-        counts = sources.select(dataset).distinct().join(counts, dataset, "left").na.fill(0, ["events", "sensors"])
+        counts = sources.select(dataset).distinct().join(counts, dataset, "left").na.fill(0, measures)
     return counts.rollup(dataset).agg(
         F.sum("events").alias("events"), F.sum("sensors").alias("sensors"),
         F.count_if(F.col("events") > 0).alias("succeeded"),
         F.count_if(F.col("events") == 0).alias("failed"),
+        *[F.sum(c).alias(c) for c in measures[2:]],
         F.grouping_id().cast("int").alias("is_total"))

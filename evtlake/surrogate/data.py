@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evtlake.functions import codes
 from evtlake.operators import labels, nested, quality, sampling
 from evtlake.plans import ordering
-from evtlake.sources import scan, tables
+from evtlake.sources import files, scan, tables
 from evtlake.surrogate import views as v
 from evtlake.surrogate.registry import query, r, rounded
 
@@ -46,11 +46,69 @@ def full_events(spark, sf):
     return v.in_blocks(labels.morphology_codes(kept))
 
 
-def nested_files(spark, sf):
-    """Nested events as files, the form that sources arrive in."""
-    path = ordering.scratch_path(spark, "nested")
-    v.nested_events(spark, sf).write.parquet(path)
-    return path
+FOLDERS = {"/data/charm/": "charm", "/data/v1/21217/": "v1/21217", "/data/v2/21316_extended/": "v2/21316_extended"}
+PARTS = sorted(f"part_{i}.parquet" for i in range(20))
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark, sf, name, write):
+    """The folder that ``write`` fills, once per session: sources are given to a query as files."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        path = ordering.scratch_path(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def source_files(spark, sf):
+    """Nested events as files, the form that sources arrive in: three folders of up to 20 files, numbered as their names are ordered."""
+    def write(path):
+        part = F.array_position(F.array(*map(F.lit, PARTS)), F.substring_index("file_path", "/", -1)) - 1
+        rows = v.nested_events(spark, sf).withColumn("origin", F.col("file_path")).withColumn("_part", part.cast("int"))
+        rows = rows.repartitionById(len(PARTS), "_part").sortWithinPartitions("event_id", "chunk").drop("_part", "file_path")
+        for folder, name in FOLDERS.items():
+            rows.where(F.col("dir") == folder).write.parquet(f"{path}/{name}")
+    return once(spark, sf, "sources", write)
+
+
+def source_folders(spark, sf):
+    return [f"{source_files(spark, sf)}/{name}" for name in FOLDERS.values()]
+
+
+def source_table(spark, sf):
+    """The files of the sources as their footers describe them."""
+    path = once(spark, sf, "file-table", lambda path: files.file_table(spark, [source_files(spark, sf)]).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def version_files(spark, sf):
+    """Sources of three versions, one without some columns and with other types, and a fourth whose coordinates are no numbers."""
+    def write(path):
+        full = spark.read.parquet(*source_folders(spark, sf)).select("event_id", "chunk", "dir", *scan.REQUIRED)
+        changes = {
+            "/data/v1/21217/": full,
+            "/data/v2/21316_extended/": full.drop(codes.MORPHOLOGY_COLUMN, S["c_100ns"], "mc_primary_dir_x").withColumns({
+                "mc_primary_dir_z": F.col("mc_primary_dir_z").cast("float"), S["t_std"]: F.col(S["t_std"]).cast("array<float>"),
+                S["t_last"]: F.col(S["t_last"]).cast("array<int>")}),
+            "/data/charm/": full.withColumns({
+                S["x"]: F.when(F.col("event_id") % 10 != 0, F.col(S["x"])),
+                "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})}
+        for name, df in changes.items():
+            df.where(F.col("dir") == name).drop("dir").write.parquet(f"{path}/{FOLDERS[name]}")
+        full.drop("dir").withColumn(S["x"], F.col(S["x"]).cast("array<string>")).coalesce(1).write.parquet(f"{path}/v3/99999")
+    return once(spark, sf, "versions", write)
+
+
+def source_name():
+    """The name that a source file stands for, which does not change when the files are written anew."""
+    folder = F.regexp_replace("dir", "^.*/(charm|v1/21217|v2/21316_extended)$", "/data/$1/")
+    return F.concat(folder, F.element_at(F.array(*map(F.lit, PARTS)), F.regexp_extract("file", "part-([0-9]+)-", 1).cast("int") + 1))
+
+
+def first_chunks(found):
+    """Of an event that takes several rows, the first one."""
+    return found.where("chunk = 0").drop("chunk")
 
 
 # --- sources ------------------------------------------------------------------------
@@ -61,8 +119,7 @@ def nested_files(spark, sf):
     "round(mc_primary_energy,4) AS energy, mc_event_morphology AS morphology FROM ev LEFT JOIN "
     f"(SELECT event_id, {NESTED}, count(*) AS n, sum(c_total) AS c FROM se GROUP BY 1,2) n USING (event_id)", "ev", "se"))
 def scan_events(spark, sf):
-    path = nested_files(spark, sf)
-    found = scan.scan_events(spark, [path], ["event_id", "chunk"])
+    found = scan.scan_events(spark, source_folders(spark, sf), ["event_id", "chunk"])
     return found.select(
         "event_id", "chunk", F.size(S["x"]).cast("long").alias("n_points"),
         r(F.aggregate(S["c_total"], F.lit(0.0), lambda a, c: a + c), 4, "charge"),
@@ -79,17 +136,8 @@ def scan_events(spark, sf):
     "CASE WHEN dir='/data/v2/21316_extended/' THEN 'Unknown' ELSE mc_event_morphology END AS morphology "
     f"FROM ev LEFT JOIN (SELECT event_id, {NESTED}, count(*) AS n FROM se GROUP BY 1,2) n USING (event_id)", "ev", "se"))
 def conform_columns(spark, sf):
-    """Files of three versions below one folder, read in one call."""
-    full = spark.read.parquet(nested_files(spark, sf)).select("event_id", "chunk", "dir", *scan.REQUIRED)
-    folder = ordering.scratch_path(spark, "versions")
-    changes = {
-        "/data/v1/21217/": full,
-        "/data/v2/21316_extended/": full.drop(codes.MORPHOLOGY_COLUMN, S["c_100ns"], "mc_primary_dir_x"),
-        "/data/charm/": full.withColumns({
-            S["x"]: F.when(F.col("event_id") % 10 != 0, F.col(S["x"])),
-            "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})}
-    for i, (name, df) in enumerate(changes.items()):
-        df.where(F.col("dir") == name).drop("dir").write.parquet(f"{folder}/{i}")
+    """Files of three versions below one folder, one of them of other types, beside a file that cannot be used: one call reads all good rows."""
+    folder = version_files(spark, sf)
     keys = ["event_id", "chunk"]
     out = scan.scan_versions(spark, [folder], keys)
     nan = F.isnan("mc_primary_energy")
@@ -102,21 +150,23 @@ def conform_columns(spark, sf):
 @query(v.sql("SELECT event_id, file_path FROM ev JOIN f USING (file_path) WHERE n >= 5 AND n < 25", "ev",
              f="SELECT file_path, row_number() OVER (ORDER BY file_path)-1 AS n FROM (SELECT DISTINCT file_path FROM ev)"))
 def file_range(spark, sf):
-    return scan.file_range(v.events(spark, sf), *scan.parse_file_range("5-25")).select("event_id", "file_path")
+    chosen = files.in_range(source_table(spark, sf), *scan.parse_file_range("5-25"))
+    return first_chunks(files.scan_files(spark, chosen, ["event_id", "chunk", "origin"])).select("event_id", F.col("origin").alias("file_path"))
 
 
 @query(v.sql("SELECT event_id, file_path FROM (SELECT event_id, file_path, row_number() OVER "
              "(PARTITION BY file_path ORDER BY event_id) AS n FROM ev) WHERE n <= 10", "ev"))
 def limit_per_file(spark, sf):
-    return scan.first_rows_per_file(
-        v.events(spark, sf).select("event_id", "file_path"), 10, ["event_id"])
+    found = files.scan_files(spark, source_table(spark, sf), ["event_id", "chunk", "origin"], limit=10)
+    return first_chunks(found).select("event_id", F.col("origin").alias("file_path"))
 
 
 @query(v.sql("SELECT event_id, file_path FROM ev JOIN f USING (file_path) WHERE n <= 7", "ev",
              f="SELECT file_path, row_number() OVER (PARTITION BY dir ORDER BY md5(concat('42-',file_path)), file_path) AS n "
                "FROM (SELECT DISTINCT dir, file_path FROM ev)"))
 def sample_files_per_dir(spark, sf):
-    return scan.sample_files_per_dir(v.events(spark, sf), 7, seed=42).select("event_id", "file_path")
+    chosen = files.per_folder(source_table(spark, sf), 7, 42, source_name())
+    return first_chunks(files.scan_files(spark, chosen, ["event_id", "chunk", "origin"])).select("event_id", F.col("origin").alias("file_path"))
 
 
 @query(v.sql(
@@ -159,13 +209,12 @@ def write_event_tables(spark, sf):
 
 def written_tables(spark, sf):
     """Event index and sensors, converted from nested files, written and read back."""
-    path = ordering.scratch_path(spark, "tables")
-    source = scan.scan_events(spark, [nested_files(spark, sf)], ["event_id", "file_path", "first_pos"])
-    conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "file_path", "first_pos"]))
-    index, sensors = tables.event_tables(
-        conformed, "event_id", "file_path", ["file_path", "block"], ["event_id"])
-    tables.write_event_tables(index, sensors, path)
-    return tables.read_event_tables(spark, path)
+    def write(path):
+        source = scan.scan_events(spark, source_folders(spark, sf), ["event_id", "origin", "first_pos"])
+        conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "origin", "first_pos"]))
+        index, sensors = tables.event_tables(conformed, "event_id", "origin", ["origin", "block"], ["event_id"])
+        tables.write_event_tables(index, sensors, path)
+    return tables.read_event_tables(spark, once(spark, sf, "tables", write))
 
 
 @query(v.sql(
@@ -194,16 +243,23 @@ RECIPE = (
     "ev", f="SELECT file_path, row_number() OVER (PARTITION BY dir ORDER BY file_path)-1 AS n FROM "
             "(SELECT DISTINCT dir, file_path FROM ev)"))
 def training_mix(spark, sf):
-    return scan.training_mix(v.events(spark, sf), RECIPE).select("event_id", "source")
+    found = first_chunks(files.scan_files(spark, files.mix(source_table(spark, sf), RECIPE), ["event_id", "chunk"], carry=["source", "only_starting"]))
+    return labels.starting_only(found.where("only_starting")).unionByName(found.where("not only_starting")).select("event_id", "source")
 
 
 @query(v.sql(
     "SELECT CAST(coalesce(dataset_id,-1) AS BIGINT) AS dataset_id, CAST(sum(events) AS BIGINT) AS events, CAST(sum(sensors) AS BIGINT) AS sensors, "
-    "count(*) AS succeeded, 0::BIGINT AS failed, CAST(grouping(dataset_id) AS BIGINT) AS is_total FROM d GROUP BY ROLLUP (dataset_id)", "ec",
-    d=f"SELECT {DATASET} AS dataset_id, count(*) AS events, sum(num_sensors) AS sensors FROM ec WHERE num_sensors > 0 GROUP BY 1"))
+    "count(*) FILTER (events > 0) AS succeeded, count(*) FILTER (events = 0) AS failed, CAST(sum(failed_files) AS BIGINT) AS failed_files, "
+    "CAST(grouping(dataset_id) AS BIGINT) AS is_total FROM d GROUP BY ROLLUP (dataset_id)", "ec",
+    k="SELECT *, num_sensors > 0 AND NOT (dir='/data/charm/' AND event_id % 10 = 0) AS good FROM ec",
+    d=f"SELECT {DATASET} AS dataset_id, count(*) FILTER (good) AS events, coalesce(sum(num_sensors) FILTER (good), 0) AS sensors, 0 AS failed_files "
+      "FROM k GROUP BY 1 UNION ALL SELECT 99999, 0, 0, 1"))
 def dataset_manifest(spark, sf):
-    index = full_events(spark, sf).withColumn("dataset_id", labels.dataset_id_from_path(F.col("file_path")))
-    return rounded(tables.dataset_manifest(index).na.fill(-1, ["dataset_id"]))
+    """What came of every dataset of the folder, also of the one whose only file cannot be used."""
+    table = ordering.cut_lineage(files.file_table(spark, [version_files(spark, sf)]))
+    events, _ = labels.drop_empty_events(files.scan_files(spark, table, ["event_id", "chunk"], file_columns=True), F.col("num_sensors"))
+    whole = events.groupBy("event_id", labels.dataset_id_from_path(F.col("file_path")).alias("dataset_id")).agg(F.sum("num_sensors").alias("num_sensors"))
+    return rounded(tables.dataset_manifest(whole, files=table).drop("files").na.fill(-1, ["dataset_id"]))
 
 
 # --- projections and filters ------------------------------------------------------------
@@ -532,7 +588,8 @@ def weight_report(spark, sf):
                "row_number() OVER (ORDER BY md5(concat('42-',file_path)), file_path) AS rn, count(*) OVER () AS n FROM "
                "(SELECT DISTINCT file_path FROM ev))"))
 def split_files(spark, sf):
-    return sampling.split_files(v.events(spark, sf), 0.1, 42).select("event_id", "split")
+    chosen = files.split(source_table(spark, sf), 0.1, 42, name=source_name())
+    return first_chunks(files.scan_files(spark, chosen, ["event_id", "chunk"], carry=["split"])).select("event_id", "split")
 
 
 @query(v.sql("SELECT event_id, category, weight FROM w", "ec", w=WEIGHTED))
