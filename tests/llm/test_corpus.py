@@ -9,10 +9,10 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evtlake.llm import collocations, importance, pitman_yor, word_slices
-from evtlake.llm.common import stored
 
 SCHEMA = ("doc_id long, text string, lang string, row long, word string, id long, n long, ids string, codes string, slice string, held string, "
           "score string, rank string, weight string, buckets string, n_words string, phrase string, key string, owner string, _place string")
@@ -192,61 +192,72 @@ def test_slices_and_buckets_do_not_change_scores(spark, rows):
     assert first.keys() == again.keys() and all(abs(first[k] - again[k]) < 1e-5 for k in first)
 
 
-def test_scores_follow_the_sampled_restaurants(spark, rows, monkeypatch):
+@pytest.mark.parametrize("share", [1e-9, 1e-3, 2.0])
+def test_scores_follow_the_sampled_restaurants(spark, rows, monkeypatch, share):
     """A plain loop over tokens with the tables of the samples gives the same scores, and probabilities sum to one."""
     kept = {}
     plain = pitman_yor.sampled
 
-    def spy(words, pairs, *options):
-        names = {r.id: None if r.id == 2 else bytes(r.word).decode() if r.word is not None else "" for r in words.collect()}
-        out = plain(words, pairs, *options)
-        kept.update(names=names, pairs=stored(out[0], "p").collect(), facts=[f.collect() for f in out[1]], totals=out[2], lone=pairs.collect())
-        return out
+    def spy(*options):
+        state, totals = plain(*options)
+        kept.update(blocks=[pitman_yor.Block(r.asDict()) for r in state.collect()], totals=totals)
+        return state, totals
 
     monkeypatch.setattr(pitman_yor, "sampled", spy)
-    # one slice only would leave all pairs alone; small ones let most of them meet
-    found = {(r.doc_id, r.n_tokens): r for r in pitman_yor.lm_scores(table(spark, rows), step=200).collect()}
+    found = {(r.doc_id, r.n_tokens): r for r in pitman_yor.lm_scores(table(spark, rows), context_share=share, step=200, bucket=300).collect()}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    c = collections.Counter(p for i, t, _ in rows if not held(i) for p in zip(["", *tokens(t)], tokens(t)))
-    totals, names = kept["totals"], kept["names"]
-    ids = {w: i for i, w in names.items()}
-    tables = {(names[r.u], names[r.w]): r.ts for r in kept["pairs"]}
-    customers = {(names[r.u], names[r.w]): r.c for r in kept["pairs"]}
-    assert all(customers[p] == c[p] for p in customers)
-    assert all(c[p] == 1 for p in c if p not in customers)
-    d, a = totals["leaf"]["discount"], totals["leaf"]["strength"]
-    size = collections.Counter()
-    for (u, _), n in c.items():
-        size[u] += n
+    train = [tokens(t) for i, t, _ in rows if not held(i)]
+    n = collections.Counter(w for t in train for w in t)
+    size = sum(n.values())
+    contexts = {"", *(w for w in n if w is not None and n[w] >= share * size)}
+    c = collections.Counter(p for t in train for p in zip(["", *t], t) if p[0] in contexts)
+    name = {int(np.array([xxhash.xxh3_64_intdigest(w.encode(), pitman_yor.SEED)], np.uint64).view(np.int64)[0]): w for w in n if w is not None}
+    name |= {pitman_yor.BEGIN: "", pitman_yor.END: None}
+    order = sorted(i for i, w in name.items() if w in contexts)
+    totals, samples = kept["totals"], len(kept["totals"]["roots"])
+    tables, ends = [{} for _ in range(samples)], [{} for _ in range(samples)]
+    for b in kept["blocks"]:
+        for s in range(samples):
+            for owner, ctx, customers, t in zip(b.owner, b.ctx, b.c, b.t[1 + s]):
+                u, w = name[order[ctx]], name[int(b.names[owner])]
+                assert customers == c[u, w] and 1 <= t <= customers
+                tables[s][u, w] = int(t)
+            for i, (cw, tw) in zip(b.names, b.root[1 + s].T):
+                ends[s][name[int(i)]] = int(cw), int(tw)
+    assert all(t.keys() == c.keys() for t in tables) and all(e.keys() == n.keys() for e in ends)
+    leaf = totals["leaf"]
+    d, a = leaf["discount"], leaf["strength"]
+    served, opened = collections.Counter(), [collections.Counter() for _ in range(samples)]
+    for (u, w), k in c.items():
+        served[u] += k
+        for s in range(samples):
+            opened[s][u] += tables[s][u, w]
+    after = collections.Counter(w for _, w in c.elements())
+    for s, root in enumerate(totals["roots"]):
+        of = collections.Counter()
+        for (_, w), t in tables[s].items():
+            of[w] += t
+        # customers of the root: tables, and tokens after words without a restaurant
+        assert all(cw == of[w] + n[w] - after[w] and 1 <= tw <= cw for w, (cw, tw) in ends[s].items())
+        assert (root["customers"], root["tables"]) == (sum(x for x, _ in ends[s].values()), sum(x for _, x in ends[s].values()))
 
     def probability(u, w):
         total = 0.0
-        for s, (facts, root) in enumerate(zip(kept["facts"], totals["roots"])):
-            cw = sum(tables[p][s] if p in tables else 1 for p in c if p[1] == w) if w not in cache[s] else cache[s][w]
-            cache[s][w] = cw
-            fact = by_id[s].get(ids.get(w, -1))
-            assert (fact.cw if fact else 0) == cw and (fact is None or (1 if cw else 0) <= fact.tw <= cw)
-            p = ((cw - root["discount"] * fact.tw if cw else 0) + (root["strength"] + root["discount"] * root["tables"]) * root["base"]) / (root["strength"] + root["customers"])
-            tu = opened[s][u]
-            t = tables[u, w][s] if (u, w) in tables else c[u, w]
-            total += (c[u, w] - d * t + (a + d * tu) * p) / (a + size[u])
-        return total / len(kept["facts"])
-
-    cache = [{} for _ in kept["facts"]]
-    by_id = [{r.id: r for r in facts} for facts in kept["facts"]]
-    opened = []
-    for s in range(len(kept["facts"])):
-        opened.append(collections.Counter())
-        for u, w in c:
-            opened[-1][u] += tables[u, w][s] if (u, w) in tables else 1
+        for s, root in enumerate(totals["roots"]):
+            cw, tw = ends[s].get(w, (0, 0))
+            p = (max(cw - root["discount"] * tw, 0) + (root["strength"] + root["discount"] * root["tables"]) / (len(n) + 1)) / (root["strength"] + root["customers"])
+            if u in contexts:
+                p = (c[u, w] - d * tables[s].get((u, w), 0) + (a + d * opened[s][u]) * p) / (a + served[u])
+            total += p
+        return total / samples
+
     for i, t, _ in rows:
         if t and len(t) > 5000:
             continue
         score = sum(math.log10(probability(u, w)) for u, w in zip(["", *tokens(t)], tokens(t)))
         assert abs(score - found[i, len(tokens(t))].score) < 1e-5
-    known = [w for w in {w for _, w in c}]
     for u in ["", "a1", "b2", "never seen"]:
-        assert abs(sum(probability(u, w) for w in known) + probability(u, "never seen") - 1) < 1e-9
+        assert abs(sum(probability(u, w) for w in n) + probability(u, "never seen") - 1) < 1e-9
 
 
 @pytest.mark.parametrize("c,rate,more,discount", [(2, 0.3, 0.1, 0.5), (30, 0.8, 0.2, 0.7), (200, 2.0, 0.0, 0.3), (50, 0.01, 0.3, 0.9)])
