@@ -137,7 +137,7 @@ def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, keys: Sequence
     binned = placed.select(*keys, F.when(F.col("_x") < F.col("_e.hi"), F.col("bin")).alias("bin"), "_y")
     by = [*keys, "bin"]
     stats = [F.count("_y").alias("n"), F.sqrt(F.avg(F.col("_y") * F.col("_y"))).alias("rms")]
-    found = exact_quantiles(binned, "_y", PROFILE_PROBS, by, stats=stats)
+    found = exact_quantiles(binned, "_y", PROFILE_PROBS, by, stats=stats, few=None if keys else True)
     measures = ["n", "rms", *PROFILE_PROBS]
     # a key's few bins as a map, unfolded over all bins
     known = F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct(*measures)))

@@ -11,11 +11,11 @@ per row in a k-d partition, nearest boxes first, and the best of all rows are ke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from evtlake.operators import boxes
 from evtlake.operators.boxes import gaps
@@ -372,3 +372,16 @@ def score_events(df: DataFrame, predict: Callable, schema: str) -> DataFrame:
             yield predict(frame)
 
     return df.mapInPandas(run, schema)
+
+
+def score_batches(df: DataFrame, load: Callable, inputs: Mapping[str, Sequence[int]], returns: str, batch: int = 1024, out: str = "prediction") -> DataFrame:
+    """Add the predictions of a model that is loaded once per worker process.
+
+    ``load`` returns the predictor, a function from one array of ``batch`` rows or fewer per input to
+    an array or a dictionary of arrays; ``inputs`` names array or number columns with the shape of a
+    row, () for a number. ``returns`` is the type of a prediction.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    shapes = {i: list(shape) for i, shape in enumerate(inputs.values()) if len(shape)}
+    predict = predict_batch_udf(load, return_type=T.DataType.fromDDL(returns), batch_size=batch, input_tensor_shapes=shapes)
+    return df.withColumn(out, predict(*inputs))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evtlake.functions.codes import WeightTiers
-from evtlake.functions.expr import hash_fraction, seeded_hash
+from evtlake.functions.expr import bind, hash_fraction, seeded_hash
 from evtlake.plans import lookup, ordering
 
 DRAWS_PER_BLOCK = 100_000
+#: The keyed permutation: rounds, the prime of its mixing function, and how often a cell may walk on.
+ROUNDS, PRIME, WALK = 4, (1 << 31) - 1, 16
 
 
 def key_digest(seed: int | str, key: str | Sequence[str]) -> Column:
@@ -129,11 +132,54 @@ def shuffle_by_file(
         hashed, "position", ["_h", *levels], [F.col(c) for c in order]).drop("_h")
 
 
-def shuffle_events(df: DataFrame, seed: int, key: str = "event_id") -> DataFrame:
-    """Add ``position`` for a seeded full shuffle."""
-    hashed = ordering.hash_levels(df.withColumn("_h", seeded_hash(seed, F.col(key))))
-    return ordering.row_positions(
-        hashed, "position", ["_hb"], [F.col("_h"), F.col(key)]).drop("_h", "_hb")
+def whole_div(x: Column, y: Column) -> Column:
+    """Integer quotient of numbers from 0, exact beyond the 53 bits of a double."""
+    return F.call_function("div", x, y)
+
+
+def round_constants(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int, int]]:
+    """Three numbers below PRIME for each half round."""
+    digests = [hashlib.md5(f"{seed}-{k}".encode()).hexdigest() for k in range(2 * rounds)]
+    return [tuple(1 + int(d[i:i + 10], 16) % (PRIME - 1) for i in (0, 10, 20)) for d in digests]
+
+
+def permuted(index: Column, n: Column, seed: int) -> Column:
+    """Position of row ``index`` in a seeded shuffle of the numbers 0 to n-1: a permutation, computed row by row.
+
+    A Feistel network on pairs (left, right) of a grid of a * b cells that is just larger than n: each
+    half is shifted by a keyed function of the other one. A cell beyond the end walks on through the
+    network until it is inside. For n up to 4e18.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = whole_div(n + a - 1, a)
+
+    def mixed(x: Column, c: Column) -> Column:
+        return bind((x + c["u"]) % PRIME, lambda y: ((y * y) % PRIME * c["v"] + c["w"]) % PRIME)
+
+    keys = round_constants(seed)
+    number = lambda k: F.struct(*[F.lit(v).cast("long").alias(name) for name, v in zip("uvw", k)])
+    rounds = F.array(*[F.struct(number(first).alias("l"), number(second).alias("r")) for first, second in zip(keys[::2], keys[1::2])])
+
+    def through(x: Column) -> Column:
+        def step(state: Column, key: Column) -> Column:
+            left = (state["l"] + mixed(state["r"], key["l"])) % a
+            return bind(left, lambda v: F.struct(v.alias("l"), ((state["r"] + mixed(v, key["r"])) % b).alias("r")))
+        start = F.struct(whole_div(x, b).alias("l"), (x % b).alias("r"))
+        return F.aggregate(rounds, start, step, lambda s: s["l"] * b + s["r"])
+
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), through(index), lambda x, _: F.when(x < n, x).otherwise(through(x)))
+    return bind(inside, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a cell did not come back inside")).cast("long")))
+
+
+def shuffle_events(df: DataFrame, seed: int, index: str, n: Column | int) -> DataFrame:
+    """Add ``position`` for a seeded full shuffle of ``n`` rows that ``index`` numbers from 0.
+
+    Nothing is sorted or moved, and another epoch is another seed. A file table gives the numbers of
+    written rows: the start of the file and the index of the row in it.
+    """
+    # a total from a subquery cannot stand inside the rounds themselves
+    counted = df.withColumn("_n", F.lit(n).cast("long") if isinstance(n, int) else n)
+    return counted.withColumn("position", permuted(F.col(index).cast("long"), F.col("_n"), seed)).drop("_n")
 
 
 def lay_out(df: DataFrame, position: str = "position") -> DataFrame:

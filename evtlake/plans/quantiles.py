@@ -1,21 +1,41 @@
-"""Exact quantiles from one sketch pass and one counting pass.
+"""Exact quantiles by radix selection.
 
-The built-in exact percentile keeps every distinct value of a group in one task. Here a
-quantile sketch with a known rank error brackets each wanted rank, the second pass counts
-the rows on both sides and the values inside it, and only those few values are sorted.
+The built-in exact percentile keeps every distinct value of a group in one task. Here the bits of a
+double, turned so that they sort like the value, are selected digit by digit: a round counts the
+values of every key by their next digit, map-side, and the counts tell in which digit each wanted
+rank lies; only values with that prefix are counted again. After three rounds the digits are the
+value. No value is ever collected or ordered, and a window holds the counts of one prefix, 2 ** 22
+at most, however many rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evtlake.functions.expr import finite
 from evtlake.plans import binning, ordering
 
-ACCURACY = 10_000
+#: Bits that are still to be known after every round.
+ROUNDS = (42, 21, 0)
 BROADCAST_KEYS = ordering.BROADCAST_KEYS
+_FLIP = np.int64((1 << 63) - 1)
+
+
+@F.pandas_udf(T.LongType())
+def _bits(values: pd.Series) -> pd.Series:
+    """Integers that sort like the doubles; both zeros are one value."""
+    raw = (values.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(np.where(raw < 0, raw ^ _FLIP, raw))
+
+
+@F.pandas_udf(T.DoubleType())
+def _value(bits: pd.Series) -> pd.Series:
+    raw = bits.to_numpy(np.int64)
+    return pd.Series(np.where(raw < 0, raw ^ _FLIP, raw).view(np.float64))
 
 
 def exact_quantiles(
@@ -24,74 +44,49 @@ def exact_quantiles(
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
     method: str = "linear",
-    accuracy: int = ACCURACY,
     stats: Sequence[Column] = (),
+    few: bool | None = None,
 ) -> DataFrame:
     """One row per key with the aliased aggregates ``stats`` and one column per entry of ``probs``.
 
-    The aggregates (plain numbers) ride along with the sketch, so all needs two passes.
-
     ``linear`` interpolates between neighbours, ``lower`` takes the lower one. NULL, NaN
-    and infinite values are left out. A key without values gets NULLs. The
-    sketches of up to ``BROADCAST_KEYS`` keys are broadcast, more are joined by shuffle.
+    and infinite values are left out. A key without values gets NULLs. ``few`` says that the
+    caller knows a bound for the number of keys, whose prefixes are then broadcast; otherwise
+    a count of up to ``BROADCAST_KEYS`` keys decides, and more are joined by shuffle.
     """
     if method not in ("linear", "lower"):
         raise ValueError(f"unknown method {method!r}")
-    keys = list(keys)
     names, ps = list(probs), list(probs.values())
     rows = df.withColumn("_v", F.col(value).cast("double"))
     rows = rows.withColumn("_v", F.when(finite(F.col("_v")), F.col("_v")))
-    slack = 3.0 / accuracy
-    bounds = [b for p in ps for b in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b"), *stats)
-    carried = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
-    if keys:
-        sketch = ordering.cut_lineage(sketch)
-        small = sketch.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        spread = binning.attach(rows.select(*keys, "_v"), sketch, keys, "inner", small)
-    else:
-        whole = sketch.select(F.struct("*")).scalar()
-        spread = rows.select("_v").withColumn("_s", whole).select("_v", "_s.*")
-    # per probability a row is below, inside or above the bracket
-    v = F.col("_v")
-    marks = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(v < F.col("_b")[2 * i], 0).when(v <= F.col("_b")[2 * i + 1], 1)
-            .when(v.isNotNull(), 2).alias("side"))
-        for i in range(len(ps))
-    ])
-    same = [F.first(c).alias(c) for c in carried]
-    entry = ["_i", "_side", F.when(F.col("_side") == 1, v).alias("_at")]
-    counted = (
-        spread.select(*keys, "_n", "_v", *carried, F.inline(marks).alias("_i", "_side"))
-        .groupBy(*keys, "_n", *entry)
-        .agg(F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *same)
-    )
-    upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_at")
-    h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("_i") + 1)
-    ranked = (
-        counted.withColumn("_u", F.sum("_c").over(upto))
-        .withColumn("_h", h).withColumn("_k", F.floor("_h"))
-        .withColumn("_next", F.least(F.col("_k") + 1, F.col("_n") - 1))
-    )
-
-    def at(rank: Column) -> Column:
-        """Value at a rank: of an inside value, or next to the bracket."""
-        first, last = F.col("_u") - F.col("_c"), F.col("_u") - 1
-        known = (
-            F.when((F.col("_side") == 0) & (rank == last), F.col("_max"))
-            .when((F.col("_side") == 2) & (rank == first), F.col("_min"))
-            .when((F.col("_side") == 1) & rank.between(first, last), F.col("_at")))
-        return F.max(known)
-
-    neighbours = ranked.groupBy(*keys, "_n", "_i").agg(
-        F.first(F.col("_h") - F.col("_k")).alias("_f"), at(F.col("_k")).alias("_lo"), at(F.col("_next")).alias("_hi"),
-        *same)
-    missed = F.when(F.col("_n") > 0, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    low, high = F.coalesce("_lo", missed), F.coalesce("_hi", missed)
-    result = low if method == "lower" else low + F.col("_f") * (high - low)
-    picked = neighbours.select(*keys, "_i", result.alias("_q"), *carried)
-    return picked.groupBy(*keys).agg(
-        *same, *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    keys = list(keys)
+    if few is None:
+        few = not keys or rows.select(*keys).distinct().limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    by = keys or ["_all"]
+    base = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), *stats)
+    if not keys:
+        rows, base = rows.withColumn("_all", F.lit(0)), base.withColumn("_all", F.lit(0))
+    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in ps]
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(e).alias("_e"), F.least(F.floor(x) + e, F.col("_n") - 1).alias("_r"))
+                      for i, x in enumerate(h) for e in ((0,) if method == "lower" else (0, 1))])
+    bits = rows.where(F.col("_v").isNotNull()).select(*by, _bits("_v").alias("_b"))
+    wanted = base.where("_n > 0").select(*by, F.inline(ranks))
+    within, last = by, None
+    for shift in ROUNDS:
+        left = bits
+        if last is not None:
+            left = bits.withColumn("_p", F.shiftright("_b", last))
+            left = binning.attach(left, wanted.select(*within).distinct(), within, "inner", few)
+        counts = left.groupBy(*within, F.shiftright("_b", shift).alias("_d")).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*within).orderBy("_d"))
+        found = binning.attach(counts.withColumn("_u", upto), wanted, within, "inner", False)
+        inside = found.where((F.col("_r") < F.col("_u")) & (F.col("_r") >= F.col("_u") - F.col("_c")))
+        wanted = inside.select(*by, "_i", "_e", (F.col("_r") - F.col("_u") + F.col("_c")).alias("_r"), F.col("_d").alias("_p"))
+        within, last = [*by, "_p"], shift
+    at = wanted.withColumn("_x", _value("_p"))
+    ends = at.groupBy(*by).agg(*[F.max(F.when((F.col("_i") == i) & (F.col("_e") == e), F.col("_x"))).alias(f"_q{i}_{e}") for i in range(len(ps)) for e in (0, 1)])
+    joined = binning.attach(base, ends, by, "left", False)
+    carried = [c for c in base.columns if c not in (*by, "_n")]
+    low, high = [F.col(f"_q{i}_0") for i in range(len(ps))], [F.col(f"_q{i}_1") for i in range(len(ps))]
+    linear = [a + (x - F.floor(x)) * (b - a) for a, b, x in zip(low, high, h)]
+    return joined.select(*keys, *carried, *[q.alias(n) for q, n in zip(low if method == "lower" else linear, names)])

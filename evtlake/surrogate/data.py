@@ -614,6 +614,29 @@ def shuffle_by_file(spark, sf):
         v.in_blocks(v.events(spark, sf)), 7, ["event_id"], ["block"]).select("event_id", "position")
 
 
-@query(v.sql("SELECT event_id, row_number() OVER (ORDER BY md5(concat('7-',CAST(event_id AS VARCHAR))), event_id)-1 AS position FROM ev", "ev"))
+def feistel_sql(source: str, seed: int, walks: int = 3) -> dict[str, str]:
+    """The rounds of the keyed permutation over a view (event_id, i, n), written out."""
+    p = sampling.PRIME
+    steps, last = {"w0": f"SELECT event_id, n, i AS x, false AS done, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM {source}"}, "w0"
+    for walk in range(walks):
+        steps[f"s{walk}"] = (f"SELECT event_id, n, a, (n + a - 1) // a AS b, x, done, x // ((n + a - 1) // a) AS l, x % ((n + a - 1) // a) AS r FROM {last}")
+        last = f"s{walk}"
+        for k, (u, c, w) in enumerate(sampling.round_constants(seed)):
+            mixed = "(((({x} + {u}) % {p}) * (({x} + {u}) % {p})) % {p} * {c} + {w}) % {p}".format(x="lr"[(k + 1) % 2], u=u, c=c, w=w, p=p)
+            halves = f"(l + {mixed}) % a AS l, r" if k % 2 == 0 else f"l, (r + {mixed}) % b AS r"
+            steps[f"r{walk}_{k}"] = f"SELECT event_id, n, a, b, x, done, {halves} FROM {last}"
+            last = f"r{walk}_{k}"
+        # a cell that is inside already stays
+        steps[f"w{walk + 1}"] = f"SELECT event_id, n, a, CASE WHEN done THEN x ELSE l * b + r END AS x, done OR l * b + r < n AS done FROM {last}"
+        last = f"w{walk + 1}"
+    return steps
+
+
+@query(v.sql("SELECT event_id, x AS position FROM w3", "ev",
+             nr="SELECT event_id, row_number() OVER (ORDER BY file_path, event_id)-1 AS i, count(*) OVER () AS n FROM ev", **feistel_sql("nr", 7)))
 def shuffle_events(spark, sf):
-    return sampling.shuffle_events(v.events(spark, sf).select("event_id"), 7)
+    """A shuffle of the written rows: their numbers come from the file table and their places in the files."""
+    table = files.cumulative(files.usable(source_table(spark, sf)))
+    found = files.scan_files(spark, table, ["event_id", "chunk"], file_columns=True, carry=["start"])
+    numbered = found.withColumn("i", F.col("start") + F.col("row_index"))
+    return first_chunks(sampling.shuffle_events(numbered, 7, "i", table.agg(F.sum("rows")).scalar())).select("event_id", "position")

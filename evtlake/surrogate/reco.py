@@ -135,11 +135,15 @@ def score_tokens(spark, sf):
     tokens = points.tokenize_events(_clouds(spark, sf), "group_id", TOKENS, NEIGHBOURS, len(FEATURES))
     truth = v.events(spark, sf).groupBy("group_id").agg(F.log10(F.greatest(F.avg("mc_primary_energy"), F.lit(1e-6))).alias("true_log"))
 
-    def predict(frame):
-        charge = [sum(f[0] for f, ok in zip(fs, valid) if ok) / sum(valid) for fs, valid in zip(frame["features"], frame["valid"])]
-        return frame[["group_id", "true_log"]].assign(pred=[3 + c * 5e-5 for c in charge])
+    rows = points.token_rows(tokens, truth, "group_id").select(
+        "group_id", "true_log", F.flatten("features").alias("features"), F.transform("valid", lambda v: v.cast("double")).alias("valid"))
+
+    def load():
+        def predict(features, valid):
+            return 3 + (features[:, :, 0] * valid).sum(axis=1) / valid.sum(axis=1) * 5e-5
+        return predict
 
-    scored = points.score_events(points.token_rows(tokens, truth, "group_id"), predict, "group_id long, true_log double, pred double")
+    scored = points.score_batches(rows, load, {"features": (TOKENS, len(FEATURES)), "valid": (TOKENS,)}, "double", out="pred")
     return rounded(report.evaluate("energy_reco", scored, "pred", "true_log")["summary"], 5)
 
 

@@ -222,9 +222,9 @@ def test_weighted_sample_follows_weights(spark):
 
 def test_shuffles_are_permutations(spark):
     df = spark.range(500).select(F.col("id").alias("event_id"), (F.col("id") % 7).cast("string").alias("file_path"))
-    for out in (sampling.shuffle_events(df, 1), sampling.shuffle_by_file(df, 1, ["event_id"])):
+    for out in (sampling.shuffle_events(df, 1, "event_id", df.count()), sampling.shuffle_by_file(df, 1, ["event_id"])):
         assert sorted(r.position for r in out.collect()) == list(range(500))
-    laid = sampling.lay_out(sampling.shuffle_events(df, 1)).select("position", F.spark_partition_id().alias("p")).collect()
+    laid = sampling.lay_out(sampling.shuffle_events(df, 1, "event_id", df.count())).select("position", F.spark_partition_id().alias("p")).collect()
     assert [r.position for r in laid] == sorted(r.position for r in laid)
 
 
@@ -450,3 +450,24 @@ def test_class_names_of_cells(spark):
     assert raw == {("0T0C", "0T0C"): 1, ("0T0C", "1T1C"): 0, ("1T1C", "0T0C"): 1, ("1T1C", "1T1C"): 1}
     mapped = {(r.label_name, r.predicted_name): r["count"] for r in evaluation.confusion_mapped(df, 2, class_names=names).collect()}
     assert mapped == raw
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 17, 100, 101, 997])
+def test_permutations_of_any_size(spark, n):
+    df = spark.range(n).toDF("i")
+    found = {seed: [r.position for r in sampling.shuffle_events(df, seed, "i", n).orderBy("i").collect()] for seed in (1, 2)}
+    assert all(sorted(p) == list(range(n)) for p in found.values())
+    if n > 90:
+        assert found[1] != found[2]
+        # positions are spread: neighbours do not stay together
+        assert np.mean(np.abs(np.diff(found[1])) < n / 10) < 0.4
+
+
+def test_a_shuffle_sorts_nothing(spark):
+    df = spark.range(1000).toDF("i")
+    plan = sampling.shuffle_events(df, 3, "i", df.agg(F.count("*")).scalar())
+    assert "Sort" not in plan._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert sorted(r.position for r in plan.collect()) == list(range(1000))
+    large = spark.createDataFrame([(10 ** 18 - 1,), (0,)], "i long")
+    out = [r.position for r in sampling.shuffle_events(large, 3, "i", 10 ** 18).collect()]
+    assert all(0 <= p < 10 ** 18 for p in out) and len(set(out)) == 2

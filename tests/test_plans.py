@@ -70,7 +70,7 @@ def test_exact_quantiles(spark, method, small, monkeypatch):
     rows += [(1, float("nan")), (1, float("inf")), (1, None), (9, None)]
     df = spark.createDataFrame(rows, "k int, v double").repartition(5)
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
-    found = {r.k: r for r in exact_quantiles(df, "v", probs, ["k"], method, accuracy=200, stats=[F.sum("k").alias("s")]).collect()}
+    found = {r.k: r for r in exact_quantiles(df, "v", probs, ["k"], method, stats=[F.sum("k").alias("s")]).collect()}
     for k, xs in groups.items():
         expected = np.quantile(xs, list(probs.values()), method=method)
         assert np.allclose([found[k][n] for n in probs], expected, rtol=1e-12), k
@@ -79,6 +79,18 @@ def test_exact_quantiles(spark, method, small, monkeypatch):
     assert flat.m == (2.5 if method == "linear" else 2.0)
 
 
+def test_quantiles_of_all_kinds_of_doubles(spark):
+    values = [-1e308, -2.5, -1e-310, -0.0, 0.0, 5e-324, 1e-9, 1.0, 1.0 + 2 ** -52, 1e308]
+    df = spark.createDataFrame([(x,) for x in values * 3], "v double")
+    probs = {f"q{i}": i / 29 for i in range(30)}
+    row = exact_quantiles(df, "v", probs, method="lower").first()
+    assert [row[n] for n in probs] == sorted(values * 3)
+    plan = exact_quantiles(df, "v", {"m": 0.5}, few=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    empty = exact_quantiles(df.where("v > 1e308"), "v", {"m": 0.5}, stats=[F.count("v").alias("n")]).first()
+    assert empty.m is None and empty.n == 0
+
+
 @pytest.mark.parametrize("bins", [1, 7, 50])
 def test_bins_follow_numpy(spark, bins):
     rng = np.random.default_rng(1)

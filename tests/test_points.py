@@ -84,3 +84,23 @@ def test_score_events(spark):
     df = spark.range(10).select("id", F.col("id").cast("double").alias("v"))
     out = points.score_events(df, lambda frame: frame.assign(s=frame.v * 2)[["id", "s"]], "id long, s double")
     assert {r.id: r.s for r in out.collect()} == {i: 2.0 * i for i in range(10)}
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def predict(x, v):
+            assert x.shape[1:] == (2, 3) and len(x) <= 7
+            return x.sum(axis=(1, 2)) + v
+        return predict
+
+    df = spark.range(200).repartition(20).select("id", F.array_repeat(F.col("id").cast("double"), 6).alias("x"), (F.col("id") * 0.5).alias("v"))
+    out = points.score_batches(df, load, {"x": (2, 3), "v": ()}, "double", batch=7)
+    assert all(r.prediction == r.id * 6.5 for r in out.collect())
+    loads = [name.split("-")[0] for name in __import__("os").listdir(folder)]
+    assert len(loads) == len(set(loads)) < 20
