@@ -17,7 +17,16 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back: lineage ends, and its size is known."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote as ``table``, when all that was made of it is stored itself."""
+    hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(table.stored_at)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:

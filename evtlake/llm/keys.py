@@ -20,6 +20,17 @@ def extended(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(key.view(np.uint64) * _P + word.view(np.uint64)).view(np.int64)
 
 
+def shrunk(values: np.ndarray) -> bytes:
+    """An array as compressed bytes: counts are mostly small, and a column of them crosses the network whole."""
+    raw = np.ascontiguousarray(values)
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
 def packed(keys: np.ndarray, bits: int, *columns: np.ndarray) -> list[tuple[int, list[bytes]]]:
     """Columns cut by the leading ``bits`` of ``keys`` (unsigned), which are in order."""
     bucket = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
