@@ -198,13 +198,13 @@ def connected(edges: DataFrame) -> DataFrame:
 def exact_links(members: DataFrame, texts: DataFrame, threshold: float, k: int, block_rows: int, block_grams: int) -> DataFrame:
     """Per class: edges (digest, first) of linked classes and the number of documents linked through them.
 
-    ``members``: digest, cluster, doc_id to read the text by, n documents, size. Large clusters are
+    ``members``: digest, cluster, key of a row to read the text by, n documents, size. Large clusters are
     cut into blocks, and every two blocks meet in one group; each pair is compared once.
     """
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # always by a shuffle, so that the cost follows the input and never jumps where a broadcast ends
-    chosen = placed.join(texts.hint("merge"), placed["doc_id"].eqNullSafe(texts["doc_id"])).select(
+    chosen = placed.join(texts.hint("merge"), F.col("key") == F.col("_key")).select(
         "cluster", "digest", "n", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.concat_ws(":", F.hex("cluster"), F.least("block", "other"), F.greatest("block", "other"))
     spread = chosen.select(key.alias("key"), "digest", "n", "block", "other", "text").repartition("key").sortWithinPartitions("key", "digest")
@@ -258,21 +258,22 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """The id of a row as text; a row without id goes by its text."""
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string")))
+    """What tells a row from others: its id, or that it has none, and its text by 128 bits."""
+    own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-"))
+    return F.concat(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), own)
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, recall: float = RECALL,
            k: int = GRAM, bucket: int = BUCKET, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``near_duplicates`` with the row key."""
+    """``near_duplicates`` with the row key and the ``root`` of the class, NULL of a text without words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     known = stored(signed(rows, k), "signed")
     classes = stored(known.where("size > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "classes")
+        F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "classes")
     clusters = connected(candidate_edges(classes, threshold, recall, bucket))
     members = stored(clusters.join(classes, clusters["node"] == classes["digest"]).select(
-        "digest", F.col("root").alias("cluster"), "doc_id", "n", "size"), "members")
-    links = stored(exact_links(members, rows.select("doc_id", "text"), threshold, k, block_rows, block_grams), "links")
+        "digest", F.col("root").alias("cluster"), "key", "n", "size"), "members")
+    links = stored(exact_links(members, rows.select(F.col("key").alias("_key"), "text"), threshold, k, block_rows, block_grams), "links")
     parts = connected(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     linked = classes.select("digest", "doc_id", "n").join(counts, F.col("digest") == F.col("a"), "left").join(
@@ -280,10 +281,10 @@ def judged(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRES
         "digest", "doc_id", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "digest").alias("root"))
     linked = stored(linked, "linked")
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    facts = stored(linked.join(lowest, "root").select("digest", "n", "class_id", "n_links"), "class-facts")
+    facts = stored(linked.join(lowest, "root").select("digest", "n", "class_id", "n_links", "root"), "class-facts")
     out = add_facts(known.select("doc_id", "key", "digest"), facts, "digest", "n", F.col("key"))
     empty = F.length("digest") == 0
-    return out.select("doc_id", "key", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "key", "root", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -297,18 +298,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are NULL. An empty table gives no rows; other columns are ignored. ``options`` are those of
     ``judged``.
     """
-    return judged(docs, id_col, text_col, **options).drop("key")
+    return judged(docs, id_col, text_col, **options).drop("key", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps its document of smallest id; of rows with one id, one stays.
+    """The rows of ``docs`` that stay when each class keeps its document of smallest id.
 
-    Rows without id stay when no document with an id is in their class, once per text.
+    Different texts under one id are different documents: where they are in different classes, each
+    class keeps its own; where they are in one class, one of them stays. A class without any id keeps
+    one row. Of rows that repeat id and text one stays, also of texts without words.
     """
-    kept = judged(docs, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_kept")).distinct()
-    kept = stored(kept, "kept")
-    rows = docs.select(row_key(id_col, text_col).alias("_key"), F.struct("*").alias("_row"))
-    stay = rows.join(kept.hint("merge"), rows["_key"] == kept["_kept"], "left_semi")
+    rows = judged(docs, id_col, text_col, **options)
+    first = rows.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("key").alias("_kept")).select("_kept")
+    kept = stored(first.unionByName(rows.where(F.col("root").isNull()).select(F.col("key").alias("_kept")).distinct()), "kept")
+    whole = docs.select(row_key(id_col, text_col).alias("_key"), F.struct("*").alias("_row"))
+    stay = whole.join(kept.hint("merge"), F.col("_key") == F.col("_kept"), "left_semi")
     # the join has put the rows of a key together already
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(F.col("_row")[text_col])))
-    return stay.withColumn("_first", first).where("_first = 1").select("_row.*")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
+    return stay.withColumn("_place", place).where("_place = 1").select("_row.*")

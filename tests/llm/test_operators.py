@@ -113,7 +113,20 @@ def test_one_of_each(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(0) == 1 and not {1, 2, 3} & set(ids) and ids.count(7) == 1
+    # three different texts have the id 7, two of them without words
+    assert ids.count(0) == 1 and not {1, 2, 3} & set(ids) and ids.count(7) == 3
+
+
+@pytest.mark.parametrize("null", [False, True])
+def test_no_text_is_lost_where_ids_repeat(spark, null):
+    """Different texts under one id are different documents, also where one of them has a copy under another id."""
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 90, 100000) for _ in range(3))
+    one = None if null else 1
+    rows = [(one, a), (one, b), (2, a), (one, c), (one, c), (one, a + " end"), (3, ""), (3, " "), (3, "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted((r.text.removesuffix(" end"), r.doc_id) for r in kept)
+    assert texts == sorted([(a, 2 if null else 1), (b, one), (c, one), ("", 3), (" ", 3)], key=lambda r: r[0])
 
 
 def test_quality_scores(spark, docs):
