@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Blocks whose last starts are accumulated together.
+RUN = 1024
+
 
 def interval_lookup(
     points: DataFrame,
@@ -39,8 +42,13 @@ def interval_lookup(
     last_of_block = starts.groupBy(*keys, "_b").agg(F.max_by("_iv", "_at").alias("_last"))
     # every block with probes needs the last start before it, also blocks without starts
     blocks = probes.select(*keys, "_b").distinct().join(last_of_block, [*keys, "_b"], "full_outer")
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_iv"))
+    # in two levels, so that no task orders all blocks of a key: runs of blocks, and blocks of a run
+    blocks = blocks.withColumn("_run", F.floor(F.col("_b") / RUN))
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = blocks.groupBy(*keys, "_run").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("_iv"))
+    ahead = runs.select(*keys, "_run", F.last("_iv", ignorenulls=True).over(earlier(keys, "_run")).alias("_ahead"))
+    inside = F.last("_last", ignorenulls=True).over(earlier([*keys, "_run"], "_b"))
+    carry = blocks.withColumn("_in", inside).join(ahead, [*keys, "_run"]).select(*keys, "_b", F.coalesce("_in", "_ahead").alias("_iv"))
     opening = carry.where(F.col("_iv").isNotNull()).select(
         *keys, "_b", F.lit(None).cast(points.schema[at].dataType).alias("_at"), F.lit(0).alias("_k"), "_iv")
     merged = starts.unionByName(opening).unionByName(probes, allowMissingColumns=True)

@@ -127,8 +127,8 @@ def number_rows(
 ) -> DataFrame:
     """0-based position of every row among the rows of its key.
 
-    One window does it, except for keys of more than ``hot_rows`` rows, which are cut
-    into sorted blocks. One map-side aggregated count finds out whether there are any.
+    One window does it, except for keys of more than ``hot_rows`` rows, NULL among them,
+    which are cut into sorted blocks. One map-side aggregated count finds out whether there are any.
     """
     keys, order = list(keys), list(order)
     hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
@@ -136,9 +136,10 @@ def number_rows(
     number = (F.row_number().over(plain) - 1).cast("long")
     if hot.isEmpty():
         return df.withColumn(out, number)
-    hot = broadcast_if_short(cut_lineage(hot))  # a shuffle by key would gather the very rows to be spread
-    cold_rows = df.join(hot, keys, "left_anti").withColumn(out, number)
-    hot_part = sorted_blocks(df.join(hot, keys, "left_semi"), [F.col(c) for c in keys + order])
+    hot = broadcast_if_short(cut_lineage(hot).withColumnsRenamed({k: f"_hot_{k}" for k in keys}))  # a shuffle by key would gather the very rows to be spread
+    is_hot = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    cold_rows = df.join(hot, is_hot, "left_anti").withColumn(out, number)
+    hot_part = sorted_blocks(df.join(hot, is_hot, "left_semi"), [F.col(c) for c in keys + order])
     hot_part = row_positions(hot_part, out, ["_blk"], [F.col(c) for c in order], keys).drop("_blk")
     return cold_rows.unionByName(hot_part)
 

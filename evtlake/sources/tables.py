@@ -12,6 +12,8 @@ from evtlake.plans import ordering
 
 #: Sensors whose events are written to one file of the index.
 SLICE = 1 << 28
+#: Sensors of one file of the sensor table, at most.
+ZONE = 1 << 22
 INDEX_TYPES = {
     "sensor_start_idx": "long", "sensor_end_idx": "long", "num_sensors": "long", "total_charge": "float",
     **{c: "float" for c in codes.TRUTH_COLUMNS},
@@ -27,8 +29,7 @@ def event_tables(
 
     Events without sensors leave. Offsets run through all events in (``levels``, ``order``, key),
     which no two events may share. An event may span several rows (column ``first_pos``); its
-    sensors keep one numbering. ``sensor_idx`` of a sensor is its place in the offsets; sensors
-    come out in the blocks of ``levels``, so no shuffle is needed to write them together.
+    sensors keep one numbering. ``sensor_idx`` of a sensor is its place in the offsets.
     """
     rows = labels.starting_only(nested_events) if starting_only else nested_events
     rows = rows.withColumn("dataset_id", labels.dataset_id_from_path(F.col(file)))
@@ -53,17 +54,46 @@ def event_tables(
     return index.select(key, *[F.col(c).cast(t).alias(c) for c, t in INDEX_TYPES.items()]), sensors
 
 
-def write_event_tables(index: DataFrame, sensors: DataFrame, path: str) -> None:
-    """Persist both tables, one directory per dataset, in order of the offsets, so that a reader of a slice skips other row groups."""
+def write_event_tables(index: DataFrame, sensors: DataFrame, path: str, zone: int = ZONE) -> None:
+    """Persist both tables, one directory per dataset, in order of the offsets, and the map of the sensors' files.
+
+    Sensors are dealt by ranges of (dataset, sensor_idx), so a file holds one run of them, ``zone`` at
+    most. The map, written beside the tables, says for every file its first and last ``sensor_idx``.
+    """
     near = index.repartition("dataset_id", F.expr(f"sensor_start_idx div {SLICE}")).sortWithinPartitions("dataset_id", "sensor_start_idx")
     near.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/event_index")
-    sensors.sortWithinPartitions("dataset_id", "sensor_idx").write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors")
+    ranged = sensors.repartitionByRange("dataset_id", F.expr(f"sensor_idx div {max(1, zone // 64)}")).sortWithinPartitions("dataset_id", "sensor_idx")
+    ranged.write.option("maxRecordsPerFile", zone).partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors")
+    zone_map(sensors.sparkSession, f"{path}/sensors").coalesce(1).write.mode("errorifexists").parquet(f"{path}/zones")
+
+
+def zone_map(spark: SparkSession, sensors: str) -> DataFrame:
+    """dataset_id, file, first, last and rows of every file of a written sensor table; one column is read."""
+    found = spark.read.parquet(sensors).select("dataset_id", "sensor_idx", F.col("_metadata.file_path").alias("file"))
+    return found.groupBy("dataset_id", "file").agg(F.min("sensor_idx").alias("first"), F.max("sensor_idx").alias("last"), F.count("*").alias("rows"))
 
 
 def read_event_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/event_index"), spark.read.parquet(f"{path}/sensors")
 
 
+def read_slices(spark: SparkSession, path: str, events: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The sensors of the chosen ``events`` (rows of the written index), with event columns and ``pos``.
+
+    The map tells which files hold their offsets; only these are opened. A row of the map is a file
+    of up to ZONE sensors, so it is broadcast to the events behind a count.
+    """
+    zones = ordering.broadcast_if_short(spark.read.parquet(f"{path}/zones").withColumnsRenamed({"dataset_id": "_set"}))
+    wanted = events.select("dataset_id", "sensor_start_idx", "sensor_end_idx").where("sensor_end_idx > sensor_start_idx")
+    overlap = (F.col("_set") == F.col("dataset_id")) & (F.col("first") < F.col("sensor_end_idx")) & (F.col("last") >= F.col("sensor_start_idx"))
+    files = sorted(r.file for r in wanted.join(zones, overlap).select("file").distinct().collect())
+    schema = spark.read.parquet(f"{path}/sensors").schema
+    sensors = spark.read.schema(schema).option("basePath", f"{path}/sensors").parquet(*files) if files else spark.createDataFrame([], schema)
+    if columns is not None:
+        sensors = sensors.select("dataset_id", "sensor_idx", *columns)
+    return nested.slice_join(sensors, events, keys=["dataset_id"])
+
+
 def dataset_manifest(index: DataFrame, dataset: str = "dataset_id", sources: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """Events, sensors and success per dataset, and grand totals in the row without a dataset.
 

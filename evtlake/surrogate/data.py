@@ -48,6 +48,7 @@ def full_events(spark, sf):
 
 FOLDERS = {"/data/charm/": "charm", "/data/v1/21217/": "v1/21217", "/data/v2/21316_extended/": "v2/21316_extended"}
 PARTS = sorted(f"part_{i}.parquet" for i in range(20))
+TABLE_ZONE = 65_536
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -197,7 +198,7 @@ F32 = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
        "FROM ec JOIN (SELECT event_id, sum(" + F32.format("c_total") + ") AS c FROM se GROUP BY 1) USING (event_id) "
        "WHERE num_sensors > 0")))
 def write_event_tables(spark, sf):
-    index, sensors = written_tables(spark, sf)
+    index, sensors = tables.read_event_tables(spark, table_folder(spark, sf))
     sums = sensors.groupBy("event_id").agg(
         F.sum("pos").alias("pos_sum"), F.sum(F.col("t20").cast("double")).alias("t_sum"))
     return rounded(index.join(sums, "event_id").select(
@@ -207,14 +208,14 @@ def write_event_tables(spark, sf):
         2, dir_x=5, t_sum=3)
 
 
-def written_tables(spark, sf):
-    """Event index and sensors, converted from nested files, written and read back."""
+def table_folder(spark, sf):
+    """Event index and sensors, converted from nested files and written."""
     def write(path):
         source = scan.scan_events(spark, source_folders(spark, sf), ["event_id", "origin", "first_pos"])
         conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "origin", "first_pos"]))
         index, sensors = tables.event_tables(conformed, "event_id", "origin", ["origin", "block"], ["event_id"])
-        tables.write_event_tables(index, sensors, path)
-    return tables.read_event_tables(spark, once(spark, sf, "tables", write))
+        tables.write_event_tables(index, sensors, path, zone=TABLE_ZONE)
+    return once(spark, sf, "tables", write)
 
 
 @query(v.sql(
@@ -222,13 +223,27 @@ def written_tables(spark, sf):
     f"FROM (SELECT event_id, dir, num_sensors, sum(num_sensors) OVER ({TABLE_ORDER}) AS e FROM ec WHERE num_sensors > 0) JOIN se USING (event_id)", "ec", "se"))
 def written_slices(spark, sf):
     """Sensors of the written table, given back to their events by the offsets of the written index."""
-    index, sensors = written_tables(spark, sf)
+    index, sensors = tables.read_event_tables(spark, table_folder(spark, sf))
     joined = nested.slice_join(
         sensors.select("dataset_id", "sensor_idx", "c_total"),
         index.select("dataset_id", "event_id", "sensor_start_idx", "sensor_end_idx"), keys=["dataset_id"])
     return rounded(joined.select("dataset_id", "sensor_idx", "event_id", "pos", "c_total"), 2)
 
 
+CHOSEN = "sensor_start_idx % 997 < 100 AND morphology_raw = 4"
+
+
+@query(v.sql(
+    f"SELECT {DATASET} AS dataset_id, event_id, pos, round({F32.format('c_total')},2) AS c_total "
+    f"FROM (SELECT event_id, dir, mc_event_morphology, CAST(e - num_sensors AS BIGINT) AS sensor_start_idx, {RAW} AS morphology_raw FROM "
+    f"(SELECT *, sum(num_sensors) OVER ({TABLE_ORDER}) AS e FROM ec WHERE num_sensors > 0)) JOIN se USING (event_id) WHERE {CHOSEN}", "ec", "se"))
+def chosen_slices(spark, sf):
+    """The sensors of some events of the written index, from the files that hold them."""
+    path = table_folder(spark, sf)
+    chosen = tables.read_event_tables(spark, path)[0].where(CHOSEN).select("dataset_id", "event_id", "sensor_start_idx", "sensor_end_idx")
+    return rounded(tables.read_slices(spark, path, chosen, ["c_total"]).select("dataset_id", "event_id", "pos", "c_total"), 2)
+
+
 RECIPE = (
     scan.Source("tracks", "21217", files=(0, 12)),
     scan.Source("muons", "21316_extended", files=(3, 15)),

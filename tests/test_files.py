@@ -149,3 +149,34 @@ def test_no_files(spark, folder):
     with pytest.raises(ValueError):
         files.scan_files(spark, files.file_table(spark, [f"{folder}/99999"]))
     assert files.file_table(spark, [f"{folder}/none"]).first().rows == 0
+
+
+def test_slices_open_the_files_that_hold_them(spark, tmp_path):
+    rng = __import__("random").Random(4)
+    sizes = [rng.randrange(0, 9) for _ in range(400)]
+    starts = [sum(sizes[:i]) for i in range(400)]
+    index = spark.createDataFrame([(i, 5 if i < 300 else 6, starts[i], starts[i] + sizes[i]) for i in range(400)], "event_id long, dataset_id long, sensor_start_idx long, sensor_end_idx long")
+    rows = [(5 if i < 300 else 6, starts[i] + k, float(10 * i + k)) for i in range(400) for k in range(sizes[i])]
+    rng.shuffle(rows)
+    sensors = spark.createDataFrame(rows, "dataset_id long, sensor_idx long, c_total double")
+    path = f"{tmp_path}/t"
+    tables.write_event_tables(index, sensors, path, zone=128)
+    zones = spark.read.parquet(f"{path}/zones").orderBy("dataset_id", "first").collect()
+    assert sum(z.rows for z in zones) == len(rows) and len(zones) > 8
+    assert all(z.last - z.first + 1 == z.rows <= 128 for z in zones)
+    for some in ([7], [7, 8, 150], [399], list(range(250, 320)), [i for i in range(400) if sizes[i] == 0][:2], list(range(400))):
+        found = tables.read_slices(spark, path, index.where(F.col("event_id").isin(some)), ["c_total"])
+        assert sorted((r.event_id, r.pos, r.c_total) for r in found.collect()) == [(i, k, float(10 * i + k)) for i in some for k in range(sizes[i])]
+        opened = {f.rsplit("/", 1)[-1] for f in found.select("c_total").inputFiles() if "/sensors/" in f}
+        held = {z.file.rsplit("/", 1)[-1] for z in zones for i in some if sizes[i] and z.dataset_id == (5 if i < 300 else 6) and z.first < starts[i] + sizes[i] and z.last >= starts[i]}
+        assert opened == held
+
+
+def test_lookup_over_many_blocks(spark, monkeypatch):
+    from evtlake.plans import lookup
+    monkeypatch.setattr(lookup, "RUN", 4)
+    intervals = spark.createDataFrame([(1, 0, 300, "a"), (1, 300, 305, "b"), (1, 600, 900, "c"), (2, 10, 20, "d")], "k int, s long, e long, name string")
+    points = spark.range(0, 1000, 7).crossJoin(spark.createDataFrame([(1,), (2,)], "k int")).withColumnRenamed("id", "p")
+    found = {(r.k, r.p): r.name for r in lookup.interval_lookup(points, "p", intervals, "s", "e", 10, ["k"]).collect()}
+    name = lambda k, p: next((n for kk, s, e, n in [(1, 0, 300, "a"), (1, 300, 305, "b"), (1, 600, 900, "c"), (2, 10, 20, "d")] if kk == k and s <= p < e), None)
+    assert found == {(k, p): name(k, p) for k in (1, 2) for p in range(0, 1000, 7) if name(k, p)}
