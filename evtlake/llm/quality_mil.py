@@ -4,18 +4,21 @@ A document is a bag of passages and only the bag has a label. Every passage of t
 encoded (shares of bytes, shape of its words, repetition), a small network maps it to a hidden
 vector, gated attention weighs the passages of a document, and the weighted sum is scored.
 
-The network is fitted by the driver on a bounded sample of labelled documents; scoring reads
-every passage of every document in Spark tasks, with the fitted weights sent to them.
+The network is fitted by the driver on a bounded sample of labelled documents, each with all its
+passages; scoring reads every passage of every document in Spark tasks, with the fitted weights sent
+to them. A long text is read STEP bytes at a time, and its attention is summed up as it goes.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bytes of a passage; labelled documents per class and passages of each that the fit sees.
-PASSAGE, SAMPLE_DOCS, SAMPLE_PASSAGES = 512, 2500, 48
+#: Bytes of a passage, and of a text that are read at a time.
+PASSAGE, STEP = 512, 1 << 20
+#: The fit sees so many labelled documents per class at most, and so many passages of all of them together.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 2500, 100_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 12, 128, 4e-3, 1e-4
 SHAPES = 12
 FEATURES = 256 + SHAPES
@@ -23,10 +26,21 @@ FEATURES = 256 + SHAPES
 
 def passages(text: str | None) -> np.ndarray:
     """One row of FEATURES per passage of PASSAGE bytes; a text without bytes is one empty passage."""
+    return np.concatenate(list(passage_parts(text)))
+
+
+def passage_parts(text: str | None, step: int = STEP) -> Iterator[np.ndarray]:
+    """The rows of ``passages``, those of ``step`` bytes at a time."""
     data = np.frombuffer((text or "").encode(), np.uint8)
-    n = max(1, -(-len(data) // PASSAGE))
     if not len(data):
-        return np.zeros((1, FEATURES), np.float32)
+        yield np.zeros((1, FEATURES), np.float32)
+    for at in range(0, len(data), step):
+        yield _features(data[at:at + step], data[max(at - 1, 0):at], len(data))
+
+
+def _features(data: np.ndarray, before: np.ndarray, total: int) -> np.ndarray:
+    """Features of the passages of ``data``, which follows the byte ``before`` (if any) in a text of ``total`` bytes."""
+    n = -(-len(data) // PASSAGE)
     where = np.arange(len(data)) // PASSAGE
     counts = np.bincount(where * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float32)
     sizes = counts.sum(axis=1, keepdims=True)
@@ -38,17 +52,18 @@ def passages(text: str | None) -> np.ndarray:
     shape[:, 4] = counts[:, 33:48].sum(axis=1) + counts[:, 58:65].sum(axis=1) + counts[:, 91:97].sum(axis=1) + counts[:, 123:127].sum(axis=1)
     shape[:, 5] = counts[:, 128:].sum(axis=1)
     shape /= sizes
-    blank = (data == 32) | (data == 10)
-    follows = blank[1:] & blank[:-1]
-    shape[:, 6] = np.bincount(where[1:][follows], minlength=n) / sizes[:, 0]
-    words = np.maximum(1, np.bincount(where[1:][~blank[1:] & blank[:-1]], minlength=n))
+    # pairs of neighbours belong to the passage of the second byte
+    joined = np.concatenate([before, data])
+    owner = where[1 - len(before):]
+    blank = (joined == 32) | (joined == 10)
+    shape[:, 6] = np.bincount(owner[blank[1:] & blank[:-1]], minlength=n) / sizes[:, 0]
+    words = np.maximum(1, np.bincount(owner[~blank[1:] & blank[:-1]], minlength=n))
     shape[:, 7] = np.minimum(sizes[:, 0] / words, 40) / 10
-    pairs = data[:-1].astype(np.int64) << 8 | data[1:]
-    owner = where[1:] << 16
-    distinct = np.bincount(np.unique(owner + pairs) >> 16, minlength=n) if len(pairs) else np.zeros(n)
+    pairs = joined[:-1].astype(np.int64) << 8 | joined[1:]
+    distinct = np.bincount(np.unique((owner << 16) + pairs) >> 16, minlength=n) if len(pairs) else np.zeros(n)
     shape[:, 8] = distinct / sizes[:, 0]
     shape[:, 9] = np.log1p(sizes[:, 0]) / 6
-    shape[:, 10] = np.log1p(len(data)) / 12
+    shape[:, 10] = np.log1p(total) / 12
     shape[:, 11] = (counts[:, :32].sum(axis=1) - counts[:, 10]) / sizes[:, 0]
     return np.concatenate([np.sqrt(counts / sizes), shape], axis=1)
 
@@ -63,17 +78,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    sizes = np.diff(np.append(starts, len(x)))
+def _hidden(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hidden vectors of passages, the two sides of their gated attention, and its logits."""
     h = np.tanh(((x - w["mean"]) / w["scale"]) @ w["W"] + w["b"])
     t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-    a = (t * g) @ w["a"]
+    return h, t, g, (t * g) @ w["a"]
+
+
+def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    sizes = np.diff(np.append(starts, len(x)))
+    h, t, g, a = _hidden(w, x)
     e = np.exp(a - np.repeat(np.maximum.reduceat(a, starts), sizes))
     alpha = e / np.repeat(np.add.reduceat(e, starts), sizes)
     z = np.add.reduceat(alpha[:, None] * h, starts, axis=0)
     return {"h": h, "t": t, "g": g, "alpha": alpha, "z": z, "p": _sigmoid(z @ w["c"] + w["c0"]), "sizes": sizes}
 
 
+def _forward_in_parts(w: dict[str, np.ndarray], parts: Iterator[np.ndarray]) -> float:
+    """The score of one document whose passages come in parts: sums relative to the greatest logit so far."""
+    top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in parts:
+        h, _, _, a = _hidden(w, x)
+        now = max(top, a.max())
+        e = np.exp(a - now)
+        total, z, top = total * np.exp(top - now) + e.sum(), z * np.exp(top - now) + e @ h, now
+    return float(_sigmoid(z / total @ w["c"] + w["c0"])[0])
+
+
 def _gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     f = _forward(w, x, starts)
     d = (f["p"] - y) * weight / weight.sum()
@@ -121,39 +152,44 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Passages and labels of at most ``per_class`` documents of each class that are not held out, taken by a digest of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_passages: int, id_col: str, text_col: str, label_col: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """All passages, and labels, of documents that are not held out: ``per_class`` of each class at most, in order of a digest
+    of the id, as long as those of a class have half of ``most_passages`` together. Rows that repeat id and text count once."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
-        F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+        F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).distinct()
+
+    def first(rows: DataFrame, order: list[Column]) -> DataFrame:
+        return rows.where("y = 0").orderBy(*order).limit(per_class).unionByName(rows.where("y = 1").orderBy(*order).limit(per_class))
+
     order = [F.xxhash64("id"), F.col("id")]
-    chosen = usable.where("y = 0").orderBy(*order).limit(per_class).unionByName(usable.where("y = 1").orderBy(*order).limit(per_class))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(first(usable, order)), "id").select(
+        "id", "y", F.md5(F.col("text").cast("binary")).alias("key"), "text")
+    size = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1))
+    sized = first(rows.select("id", "y", "key", size.alias("n")).distinct(), [*order, F.col("key")])
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy(*order, "key"))
+    kept = sized.withColumn("_upto", upto).where(F.col("_upto") <= most_passages // 2).select("id", "y", "key")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                x = passages(text)
-                if len(x) > SAMPLE_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-                out.append(x.tobytes())
-            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": out})
+            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "key": batch["key"], "x": [passages(t).tobytes() for t in batch["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text").mapInPandas(
-        encode, "id string, y int, x binary").limit(4 * per_class).collect()
-    rows.sort(key=lambda r: (r.id, r.y, r.x))
-    return [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows], np.array([r.y for r in rows], np.float32)
+    found = rows.join(F.broadcast(kept), ["id", "y", "key"], "left_semi").mapInPandas(encode, "id string, y int, key string, x binary").groupBy(
+        "id", "y", "key").agg(F.first("x").alias("x")).collect()
+    found.sort(key=lambda r: (r.id, r.y, r.key))
+    return [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in found], np.array([r.y for r in found], np.float32)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                   per_class: int = SAMPLE_DOCS) -> DataFrame:
+                   per_class: int = SAMPLE_DOCS, most_passages: int = SAMPLE_PASSAGES) -> DataFrame:
     """doc_id, held_out, score and predicted, one row per row of ``docs``.
 
     Labels of held-out ids (crc32 of the id mod 3 is 1) are never read; the score sees the text
     alone, so equal texts score alike. NULL and empty texts are one empty passage. Without labels
-    every score is 0.5, with one class only it is a constant. NULL ids are not held out; repeated
-    labels count repeatedly; an empty table gives no rows; other columns are ignored.
+    every score is 0.5, with one class only it is a constant. NULL ids are not held out; labels that
+    are repeated count once; an empty table gives no rows; other columns are ignored.
     """
-    found, y = training_sample(docs, labels, per_class, id_col, text_col, label_col)
+    found, y = training_sample(docs, labels, per_class, most_passages, id_col, text_col, label_col)
     weights = fit(found, y)
     # in double precision and rounded, so that a score does not depend on the texts beside it
     sent = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float64) for k, v in weights.items()})
@@ -163,8 +199,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for texts in batches:
             out = []
             for at in range(0, len(texts), 64):
-                x, starts = bags([passages(t) for t in texts[at:at + 64]])
-                out.append(np.round(_forward(sent.value, x, starts)["p"], 9))
+                some = texts.iloc[at:at + 64].tolist()
+                scores = np.empty(len(some))
+                short = [i for i, t in enumerate(some) if not t or len(t) <= STEP // 4]
+                if short:
+                    scores[short] = _forward(sent.value, *bags([passages(some[i]) for i in short]))["p"]
+                for i in set(range(len(some))).difference(short):
+                    scores[i] = _forward_in_parts(sent.value, passage_parts(some[i]))
+                out.append(np.round(scores, 9))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))

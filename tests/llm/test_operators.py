@@ -5,6 +5,7 @@ import hashlib
 import html as html_lib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -163,6 +164,50 @@ def test_mil_gradient():
         assert abs(slope - g[name][at]) < 1e-6
 
 
+def test_mil_scores_by_a_plain_loop():
+    """Attention and score of every document, passage by passage."""
+    rng = random.Random(7)
+    w = {k: v.astype(np.float64) for k, v in quality_mil.fit([quality_mil.passages(prose(rng, 200)) for _ in range(4)], np.array([0, 1, 0, 1]), seed=2).items()}
+    texts = ["", "a", prose(rng, 50), prose(rng, 3000), "é " * 700, "x\n\n y" * 900]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    expected = []
+    for text in texts:
+        hidden, logits = [], []
+        for row in quality_mil.passages(text):
+            h = np.tanh(((row - w["mean"]) / w["scale"]) @ w["W"] + w["b"])
+            hidden.append(h)
+            logits.append(sum(float(a) * np.tanh(h @ v) * sigmoid(h @ u) for a, v, u in zip(w["a"], w["V"].T, w["U"].T)))
+        weights = [np.exp(x) / sum(np.exp(y) for y in logits) for x in logits]
+        expected.append(float(sigmoid(sum(a * h for a, h in zip(weights, hidden)) @ w["c"] + w["c0"][0])))
+    together = quality_mil._forward(w, *quality_mil.bags([quality_mil.passages(t) for t in texts]))["p"]
+    assert np.allclose(together, expected, atol=1e-12)
+    parts = [quality_mil._forward_in_parts(w, quality_mil.passage_parts(t, 1024)) for t in texts]
+    assert np.allclose(parts, expected, atol=1e-12)
+    for text in texts:
+        assert np.array_equal(np.concatenate(list(quality_mil.passage_parts(text, 512))), quality_mil.passages(text))
+
+
+def test_a_late_passage_is_learned(spark):
+    """Labels that rest on one passage late in a long text: nothing of a training text is left out."""
+    rng = random.Random(2)
+    def text(good, at):
+        return "".join(prose(rng, 60) if good or i != at else "#$%&!?" * 85 for i in range(120))
+    rows = [(i, text(i % 2, rng.randrange(100, 120))) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    out = quality_mil.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in out]) > 0.9
+
+
+def test_the_sample_is_of_whole_rows(spark):
+    docs = spark.createDataFrame([(i, "word " * (100 if i % 3 else 4000)) for i in range(90)] + [(5, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] * 2, "doc_id long, quality int")
+    for per_class, most in ((1000, 100_000), (7, 100_000), (1000, 60)):
+        found, y = quality_mil.training_sample(docs, labels, per_class, most, "doc_id", "text", "quality")
+        assert {len(x) for x in found} <= {1, -(-500 // 512), -(-20000 // 512)}
+        assert max(collections.Counter(y.tolist()).values()) <= per_class and sum(map(len, found)) <= most
+    assert len(quality_mil.training_sample(docs, labels, 1000, 100_000, "doc_id", "text", "quality")[0]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(90)) + (zlib.crc32(b"5") % 3 != 1)
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
