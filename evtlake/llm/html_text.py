@@ -16,7 +16,7 @@ below such a token is read afresh.
 """
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -36,7 +36,6 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
              "h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACES = {"br", "td", "th", "img", "wbr"}
 TRACKED = {"article", "main", "nav", "aside", "footer", "header", "form", "head", "title", "menu", "dialog", "button", "select", "div", "section", "ul", "ol", "table", "span", "p"}
-VOID_OK = {"p"}
 NEVER = {"nav", "aside", "footer", "form", "head", "title", "menu", "dialog", "button", "select"}
 SEMANTIC = {"article", "main", *NEVER, "header"}
 OUT_WORDS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus "
@@ -46,7 +45,8 @@ OUT_WORDS = set("ad ads adv advert adverts advertisement advertising banner brea
 IN_WORDS = set("article body content entry main post story text".split())
 TAG_TRUST = {"p": 0.9, "h1": 0.8, "h2": 0.8, "h3": 0.8, "blockquote": 0.8, "pre": 0.8, "figcaption": 0.6, "li": 0.3, "a": 0.2, "td": 0.4}
 
-_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<>]*+>)|<[!?][^>]*+>""")
+_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<]*"|'[^'<]*'|"[^">]*"|'[^'>]*')*+>|[^<>]*+>)|<[!?][^>]*+>""")
+_COMMENT_END = re.compile("--!?>")
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -92,6 +92,8 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
     blocks, block, cost = [], Block(), 0.0
     stack: list[tuple[str, float | None, str, int, tuple[str, ...]]] = []  # name, trust (None: unknown), vetoed by ("", "word", "element"), article, places
     at, size, articles = 0, len(html), 0
+    opened: Counter[str] = Counter()  # open elements by name, so that an end without a start needs no search
+    unended: set[str] = set()  # raw elements that have no further end
     seen: list[tuple[tuple[str, ...], bool, int]] = []
 
     def text(raw: str) -> None:
@@ -108,6 +110,10 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
             block.score += words * (own if own is not None else TAG_TRUST.get(tag, 0.5))
             block.article = article
 
+    def cut(depth: int) -> None:
+        opened.subtract(s[0] for s in stack[depth:])
+        del stack[depth:]
+
     def flush() -> None:
         nonlocal block, cost
         if block.words:
@@ -125,15 +131,17 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
             break
         at = m.end()
         if m[0] == "<!--":
-            end = html.find("-->", at)
-            at = end + 3 if end >= 0 else size
+            end = _COMMENT_END.search(html, at)
+            at = end.end() if end else size
             continue
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
             if not m[3].endswith("/>"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                end = None if name in unended else re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                if end is None:
+                    unended.add(name)
                 at = end.end() if end else (size if name in ("script", "style") else at)
             continue
         if name in BLOCKS:
@@ -143,15 +151,15 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
         own = stack[-1][1] if stack else None
         if name in TRACKED:
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened[name] else None
                 if depth is not None and not (name == "p" and any(s[0] != "span" for s in stack[depth + 1:])):
-                    del stack[depth:]
+                    cut(depth)
             else:
                 if name in BLOCKS and name not in ("span",):
                     while stack and stack[-1][0] == "p":  # a block ends a paragraph
-                        stack.pop()
+                        cut(len(stack) - 1)
                 if name == "body":
-                    stack.clear()
+                    cut(0)
                 parent = stack[-1] if stack else ("", None, "", 0, ())
                 places, ids = _places(name, m[3])
                 if name == "header" and parent[3]:
@@ -170,12 +178,13 @@ def read(html: str, trust: dict[str, float], counts: dict[str, list[float]] | No
                 above = [] if parent[1] is None or afresh and parent[2] != "element" else [parent[1]]
                 lowest = min([*known.values(), *above], default=None)
                 article = parent[3]
-                if name in ("article", "main") and not vetoed and (not article or name == "article" and stack and not any(s[0] == "article" for s in stack)):
+                if name in ("article", "main") and not vetoed and (not article or name == "article" and stack and not opened["article"]):
                     articles += 1
                     article = articles
                 stack.append((name, lowest, vetoed, article, tuple(places)))
+                opened[name] += 1
         elif name == "body" and not closing:
-            stack.clear()
+            cut(0)
         here = stack[-1][1] if stack else None
         worth = min(x for x in (own, here, 1.0) if x is not None) if own is not None or here is not None else TAG_TRUST.get(name, 0.5)
         cost += TAG_COST * (1.0 - worth)

@@ -136,10 +136,16 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         if inner is not None:
             at = inner
     best: dict[tuple[int, int], float] = {}
+    # names come in falling weight, so what one has reached no later one of its kind can raise
+    reached: dict[bool, set[str]] = {False: set(), True: set()}
     for target in sorted(weights, key=lambda k: -weights[k]):
-        weight, seen, todo = weights[target], {target}, [target]
+        weight, seen = weights[target], reached[target in phrases]
         if weight < LEAST_SCORE:
             break
+        if target in seen:
+            continue
+        seen.add(target)
+        todo = [target]
         while todo:
             here = todo.pop()
             for start, end, quoted in own.get(here, ()):

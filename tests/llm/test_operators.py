@@ -327,6 +327,54 @@ def test_labels_correct_names(spark):
     assert html_text.extract(page, trust) == f"{LONG[0]}\n\n{LONG[1]}"
 
 
+def linear(run, make, n):
+    """Time of a text of twice the length, in times of the single one (the least of three)."""
+    import time
+    def least(size):
+        text, best = make(size), 1e9
+        for _ in range(3):
+            began = time.process_time()
+            run(text)
+            best = min(best, time.process_time() - began)
+        return best
+    return least(2 * n) / least(n)
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<p>x" + "</div>" * n, lambda n: "<svg>a " * n, lambda n: "<div>" * n + "</span>" * n, lambda n: "<article><p>x" * n,
+    lambda n: "<p a='" * n, lambda n: '<p a="1<2">x</p>' * n, lambda n: "<!-- a" * n])
+def test_pages_take_linear_time(make):
+    assert linear(lambda t: html_text.read(t, {}), make, 6000) < 3.2
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "".join(f"k{i}=k{i + 1}\n" for i in range(n)) + f'k{n}="q1w2e3r4t5y6"\n' + "".join(f"pwd{i} = k0\n" for i in range(n)),
+    lambda n: "".join(f"pwd{i} = pwd{i + 1}\n" for i in range(n)), lambda n: 'token = "' * n, lambda n: "a[" * n])
+def test_secrets_take_linear_time(make):
+    assert linear(secret_scan.scan, make, 1500) < 3.2
+
+
+def test_constants_reach_all_names():
+    """Constants are followed as a plain search from every sensitive name would follow them."""
+    rng = random.Random(6)
+    for _ in range(30):
+        names = [f"k{i}" for i in range(8)] + ["db_pwd", "api_secret", "passphrase"]
+        links = [(rng.choice(names), rng.choice(names)) for _ in range(10)]
+        values = {n: "".join(rng.choice("abcdefgh0123456789QWERT") for _ in range(16)) for n in rng.sample(names, 4)}
+        source = "".join(f"{a} = {b}\n" for a, b in links) + "".join(f'{n} = "{v}"\n' for n, v in values.items())
+        found = {source[a:b] for a, b, _ in secret_scan.literals(source)}
+        reach, grown = {n for n in names if not n.startswith("k")}, True
+        while grown:
+            more = {b for a, b in links if a in reach} - reach
+            grown = bool(more)
+            reach |= more
+        assert found == {v for n, v in values.items() if n in reach}
+
+
+def test_markup_in_attributes_is_no_text():
+    assert html_text.extract('<article><p data-x="1<2">Hello <b title=\'a<b\'>you</b></p></article>', {}) == "Hello you"
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_sharding(spark, seed):
     rng = random.Random(seed)
