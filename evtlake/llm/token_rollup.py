@@ -1,8 +1,9 @@
 """Token counts kept up to date by signed deltas.
 
 A batch of changes says for each document and tokenizer version: ``insert`` a count, ``revise``
-it, or ``delete`` the document. A batch is turned into signed rows: an insert adds the new
-count, a delete takes off the count on record, a revision does both. The rows of a batch are
+it, or ``delete`` the document. A batch is reduced to one change per document and version and turned
+into signed rows: an insert adds the new count, a delete takes off the count on record, a revision
+does both. The rows of a batch are
 written as one ledger partition and its additive totals by source, language and tokenizer
 version as one rollup partition; the totals of all committed batches add up to the truth.
 
@@ -11,8 +12,6 @@ whole, so a batch that failed half way is simply run again, and one that is comm
 applied a second time.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -53,28 +52,52 @@ class Rollup:
         return self.ledger().groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
     def signed(self, changes: DataFrame) -> DataFrame:
-        """Signed ledger rows of ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens)."""
-        new = changes.where("op in ('insert', 'revise')").select(
+        """Signed ledger rows of ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens).
+
+        What is on record of a changed document and tokenizer is taken off, and a count that is inserted or
+        revised is put on: an insert of what is on record revises it, and a revision of what is not inserts it.
+        """
+        changes = reduced(changes)
+        # a delete without a tokenizer is one of the whole document
+        gone = changes.where("op = 'delete' and tokenizer is null").select(F.col("doc_id").alias("_id"))
+        whole = F.col("doc_id").eqNullSafe(F.col("_id"))
+        single = changes.where("op <> 'delete' or tokenizer is not null").join(gone, whole, "left_anti")
+        new = single.where("op in ('insert', 'revise')").select(
             "doc_id", *KEYS, F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-        undone = changes.where("op in ('delete', 'revise')").select(F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_tokenizer")).distinct()
-        match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tokenizer").isNull() | (F.col("tokenizer") == F.col("_tokenizer")))
-        old = self.on_record().join(undone, match, "left_semi").select("doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
-        return new.unionByName(old)
+        touched = single.select(F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_tokenizer"))
+        record = self.on_record()
+        old = record.join(touched, whole & F.col("tokenizer").eqNullSafe(F.col("_tokenizer")), "left_semi").unionByName(record.join(gone, whole, "left_semi"))
+        return new.unionByName(old.select("doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False when it is committed already."""
-        if batch in self.committed():
+        """Apply a batch once; False when it is committed already.
+
+        The counts taken off are those on record when the batch began: if another batch has been
+        committed since, this one is refused with a RuntimeError and can be run again.
+        """
+        before = self.committed()
+        if batch in before:
             return False
         rows = self.signed(changes.withColumn("doc_id", F.col("doc_id").cast("string")))
         rows.write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
         written = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{batch}")
         totals = written.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         totals.write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
+        if self.committed() != before:
+            raise RuntimeError(f"batch {batch} was read before another one was committed; run it again")
         fs, path = self._file(f"commits/{batch}")
         fs.create(path, False).close()
         return True
 
 
+def reduced(changes: DataFrame) -> DataFrame:
+    """One change per document and tokenizer: of several, a delete wins over a revision and that over an insert, then the larger count, source and language."""
+    rank = F.when(F.col("op") == "delete", 3).when(F.col("op") == "revise", 2).otherwise(1)
+    own = F.struct("op", "source", "lang", "n_tokens")
+    last = F.max_by(own, F.struct(rank.alias("rank"), F.coalesce("n_tokens", F.lit(0)).alias("n"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang")))
+    return changes.where("op in ('insert', 'revise', 'delete')").groupBy("doc_id", "tokenizer").agg(last.alias("_c")).select("doc_id", "tokenizer", "_c.*")
+
+
 def counted(docs: DataFrame, versions: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and tokenizer version with its count; a version is a pattern whose matches are tokens.
 
@@ -83,7 +106,3 @@ def counted(docs: DataFrame, versions: dict[str, str], id_col: str = "doc_id", t
     counts = [F.struct(F.lit(name).alias("tokenizer"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(pattern)).cast("long").alias("n_tokens"))
               for name, pattern in versions.items()]
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), "source", "lang", F.inline(F.array(*counts)))
-
-
-def new_batch() -> str:
-    return f"batch-{uuid.uuid4().hex}"

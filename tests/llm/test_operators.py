@@ -255,6 +255,49 @@ def test_rollup(spark, tmp_path, docs):
     assert sorted(r.n_tokens for r in counts.collect()) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect())
 
 
+def test_rollup_against_a_plain_ledger(spark, tmp_path):
+    """Random batches with repeated and mixed changes of the same documents, against a dictionary."""
+    rng = random.Random(12)
+    rollup, held = token_rollup.Rollup(spark, str(tmp_path / "r")), {}
+    for batch in range(5):
+        changes = [(rng.choice(["insert", "revise", "delete"]), rng.choice([None, "1", "2", "3", "4"]), rng.choice("st"), "en", rng.choice("vw"), rng.choice([None, 3, 5, 7])) for _ in range(12)]
+        changes += [("delete", rng.choice("12"), None, None, None, None)] * (batch % 2) + changes[:2]
+        assert rollup.apply(str(batch), spark.createDataFrame(changes, "op string, doc_id string, source string, lang string, tokenizer string, n_tokens long"))
+        assert not rollup.apply(str(batch), spark.createDataFrame(changes, "op string, doc_id string, source string, lang string, tokenizer string, n_tokens long"))
+        gone = {c[1] for c in changes if c[0] == "delete" and c[4] is None}
+        last = {}
+        for c in changes:
+            order = (["insert", "revise", "delete"].index(c[0]), c[5] or 0, c[2] or "", c[3] or "")
+            last[c[1], c[4]] = max(last.get((c[1], c[4]), (order, c)), (order, c), key=lambda x: x[0])
+        for (doc, tokenizer), (_, c) in last.items():
+            if tokenizer is not None and doc not in gone:
+                held.pop((doc, tokenizer), None)
+                if c[0] != "delete":
+                    held[doc, tokenizer] = (c[2], c[3], c[5] or 0)
+        held = {k: v for k, v in held.items() if k[0] not in gone}
+        totals = collections.defaultdict(lambda: [0, 0])
+        for (_, tokenizer), (source, lang, n) in held.items():
+            totals[source, lang, tokenizer][0] += 1
+            totals[source, lang, tokenizer][1] += n
+        assert {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == totals
+
+
+def test_a_batch_read_before_another_commit_is_refused(spark, tmp_path, monkeypatch):
+    rollup = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("revise", "1", "s", "en", "v", 5)], "op string, doc_id string, source string, lang string, tokenizer string, n_tokens long")
+    plain, other = rollup.signed, token_rollup.Rollup(spark, rollup.path)
+    def late(changes):
+        rows = plain(changes)
+        monkeypatch.setattr(rollup, "signed", plain)
+        assert other.apply("b", one)
+        return rows
+    monkeypatch.setattr(rollup, "signed", late)
+    with pytest.raises(RuntimeError):
+        rollup.apply("a", one)
+    assert rollup.apply("a", one)
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(1, 5)]
+
+
 def test_bpe(docs, spark):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     extra = spark.createDataFrame(rows_of(["a" * 20000, "<|endoftext|>", "🙂🙂   \x1c x", "it's\r\n  12 3"], range(100, 104)), SCHEMA)
