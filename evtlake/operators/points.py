@@ -43,11 +43,13 @@ def clouds(points: DataFrame, key: str, features: Sequence[str] = (), pos: str =
         F.array(*[number(f) for f in features]).cast("array<double>").alias("f"))
     rows = points.groupBy(key, F.expr(f"cast({pos} div {chunk} as int)").alias("chunk")).agg(
         F.sort_array(F.collect_list(entry)).alias("pts"))
-    # one row per chunk of a big cloud, so that joining sizes does not gather the cloud
     big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    if big.isEmpty():
+        return rows.withColumns({"n": F.size("pts").cast("long"), "chunks": F.lit(1)})
+    # one row per chunk of a big cloud, so that joining sizes does not gather the cloud; rounds read the rows again and again
     copies = big.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.join(copies, [key, "chunk"], "left").withColumns({
-        "n": F.coalesce("n", F.size("pts").cast("long")), "chunks": F.coalesce("chunks", F.lit(1))})
+    return ordering.kept(rows.join(copies, [key, "chunk"], "left").withColumns({
+        "n": F.coalesce("n", F.size("pts").cast("long")), "chunks": F.coalesce("chunks", F.lit(1))}), "clouds")
 
 
 # --- clouds inside one task ---------------------------------------------------------
@@ -294,7 +296,7 @@ def _spread_neighbours(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _spread(big: DataFrame, key: str, tokens: int, k: int) -> DataFrame:
-    big = ordering.cut_lineage(big.select(key, "chunk", "chunks", "pts"))
+    big = big.select(key, "chunk", "chunks", "pts")
     heads = big.where(F.col("chunk") == 0).select(key, "chunks")
     few = heads.limit(BROADCAST_CLOUDS + 1).count() <= BROADCAST_CLOUDS
     centres = _spread_centres(big, heads, key, tokens, few)

@@ -6,6 +6,8 @@ them as common table expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evtlake.functions import codes
@@ -47,6 +49,8 @@ SENSOR = {
     "c_100ns": "l_extendedprice*(1-l_discount)*(1-l_tax)",
 }
 TIE = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+#: The columns that SENSOR is made of. They are moved, and SENSOR is computed where it is needed.
+RAW = ("l_linenumber", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
 PREDICTION = {
     "event_id": "event_id", "mc_event_morphology": "mc_event_morphology", "group_id": "group_id", "dir": "dir",
     "true_log_energy": "log10(greatest(mc_primary_energy,1e-6))",
@@ -112,22 +116,37 @@ def sensor_rows(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey AS event_id", *TIE, *_select(SENSOR))
 
 
+def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors before anything is computed of them: what is moved between tasks."""
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), *dict.fromkeys([*TIE, *RAW]))
+
+
 def sensors(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.number_rows(sensor_rows(spark, sf), ["event_id"], TIE).drop(*TIE)
+    return ordering.number_rows(raw_rows(spark, sf), ["event_id"], TIE).selectExpr("event_id", *_select(SENSOR), "pos")
 
 
 def events_with_stats(spark: SparkSession, sf: str) -> DataFrame:
     return nested.with_event_stats(events(spark, sf), sensor_rows(spark, sf))
 
 
+def raw_nested(spark: SparkSession, sf: str, chunk: int = nested.CHUNK) -> DataFrame:
+    """Rows of orders with lists of the RAW columns of their sensors; giant events continue in further rows."""
+    numbered = ordering.number_rows(raw_rows(spark, sf), ["event_id"], TIE)
+    lists = nested.nest_points(numbered, "event_id", {c: c for c in RAW}, chunk=chunk)
+    found = spark.read.parquet(f"{sf}/orders.parquet").join(lists, F.col("o_orderkey") == F.col("event_id"), "left")
+    return found.drop("event_id").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("long")))
+
+
+def computed(rows: DataFrame, chunk: int = nested.CHUNK) -> DataFrame:
+    """``raw_nested`` rows as events with their sensor lists."""
+    of_point = lambda e: re.sub(r"\bl_\w+", r"p.\g<0>", e)
+    lists = [f"coalesce(transform(_points, p -> {of_point(SENSOR[f])}), cast(array() AS array<double>)) AS {c}" for f, c in codes.SENSOR_COLUMNS.items()]
+    return rows.withColumn("_points", F.arrays_zip(*RAW)).selectExpr(*_select(EVENT), "chunk", *lists, f"chunk * {chunk} AS first_pos")
+
+
 def nested_events(spark: SparkSession, sf: str, chunk: int = nested.CHUNK) -> DataFrame:
     """One row per event with its sensor lists; giant events continue in further rows."""
-    lists = nested.nest_points(sensors(spark, sf), "event_id", codes.SENSOR_COLUMNS, chunk=chunk)
-    empty = F.array().cast("array<double>")
-    return events(spark, sf).join(lists, "event_id", "left").withColumns({
-        "chunk": F.coalesce("chunk", F.lit(0).cast("long")),
-        **{c: F.coalesce(c, empty) for c in codes.SENSOR_COLUMNS.values()},
-    }).withColumn("first_pos", F.col("chunk") * chunk)
+    return computed(raw_nested(spark, sf, chunk), chunk)
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,16 +166,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 def group_points(spark: SparkSession, sf: str) -> DataFrame:
     """Sensors of all events of a customer as one cloud."""
-    owner = events(spark, sf).select("event_id", "group_id")
-    rows = sensor_rows(spark, sf).join(owner, "event_id").withColumn("t", F.col("t_first"))
-    return ordering.number_rows(rows, ["group_id"], ["event_id", *TIE]).drop(*TIE)
+    rows, owner = raw_rows(spark, sf), events(spark, sf).select("event_id", "group_id")
+    n = rows.count()
+    owned = ordering.spread(rows, n, "event_id").join(ordering.spread(owner, n, "event_id"), "event_id")
+    return _points(ordering.number_rows(owned, ["group_id"], ["event_id", *TIE]))
 
 
 def supplier_points(spark: SparkSession, sf: str) -> DataFrame:
     """Sensors of a supplier as one cloud: several hundred points each."""
-    rows = sensor_rows(spark, sf).withColumn("t", F.col("t_first")).withColumnRenamed("l_suppkey", "group_id")
-    order = ["event_id", "l_linenumber", "l_partkey", "l_shipdate"]
-    return ordering.number_rows(rows, ["group_id"], order).drop(*order)
+    rows = raw_rows(spark, sf).withColumnRenamed("l_suppkey", "group_id")
+    return _points(ordering.number_rows(rows, ["group_id"], ["event_id", "l_linenumber", "l_partkey", "l_shipdate"]))
+
+
+def _points(numbered: DataFrame) -> DataFrame:
+    return numbered.selectExpr("event_id", *_select(SENSOR), "group_id", f"{_T} AS t", "pos")
 
 
 def in_blocks(events: DataFrame) -> DataFrame:

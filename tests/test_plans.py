@@ -122,3 +122,36 @@ def test_softmax_of_many_classes(spark):
     out = spark.range(2000).select(softmax(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: (i % 7).cast("double"))).alias("p")).select(
         F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert abs(out[0] - 1) < 1e-9 and abs(out[1] - 1) < 1e-9
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 20)
+    rows = spark.range(900).selectExpr("id % 70 as k", "id as o")
+    numbered = ordering.number_rows(rows, ["k"], ["o"])
+    assert numbered.rdd.getNumPartitions() == 45 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.k, r.o): r.pos for r in numbered.collect()} == {(i % 70, i): i // 70 for i in range(900)}
+
+
+def test_running_total_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 50)
+    sizes = [(i * 7) % 5 for i in range(300)]
+    files_ = [f"f{i // 100}" if i % 50 else None for i in range(300)]
+    rows = spark.createDataFrame([(files_[i], i // 10, i, sizes[i]) for i in range(300)], "f string, b int, i int, n int").repartition(7)
+    order = sorted(range(300), key=lambda i: (files_[i] is not None, files_[i] or "", i // 10, i))
+    expected, at = {}, 0
+    for i in order:
+        expected[i], at = at, at + sizes[i]
+    for few in (100_000, 0):
+        monkeypatch.setattr(ordering, "BROADCAST_KEYS", few)
+        found = ordering.running_total_in_ranges(rows, "at", F.col("n"), ["f", "b"], [F.col("i")])
+        assert {r.i: r["at"] for r in found.collect()} == expected
+        runs = found.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("z"), F.sum("n").alias("n")).orderBy("a").collect()
+        assert len(runs) > 5 and all(r.z - r.a == r.n for r in runs)
+
+
+def test_raw_columns_are_moved(spark):
+    """What is computed of a sensor is computed where it is needed, not before rows are sorted and moved."""
+    from evtlake.surrogate import views
+    for df in (views.sensors, views.group_points, views.supplier_points):
+        plan = df(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "c_100ns" not in plan[plan.index("Window"):]

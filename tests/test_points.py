@@ -104,3 +104,10 @@ def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
     assert all(r.prediction == r.id * 6.5 for r in out.collect())
     loads = [name.split("-")[0] for name in __import__("os").listdir(folder)]
     assert len(loads) == len(set(loads)) < 20
+
+
+def test_clouds_of_one_row_are_not_searched_for_larger_ones(spark, rows):
+    whole, cut = points.clouds(rows, "key", ["f0"]), points.clouds(rows, "key", ["f0"], chunk=11)
+    assert "LocalRelation <empty>" in whole.where("chunks > 1")._jdf.queryExecution().optimizedPlan().toString()
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and cut.count() > whole.count()
