@@ -70,11 +70,14 @@ def sensor_offsets(
 
 
 def slice_join(
-    sensors: DataFrame, index: DataFrame, row: str = "sensor_idx", keys: Sequence[str] = (), block: int = 65_536
+    sensors: DataFrame, index: DataFrame, row: str = "sensor_idx", keys: Sequence[str] = (), block: int = 65_536, rows: int = 0
 ) -> DataFrame:
-    """Attach to every sensor row the event whose offsets contain it, and its place there."""
+    """Attach to every sensor row the event whose offsets contain it, and its place there.
+
+    ``rows`` is the number of sensors where it is known: it tells how many tasks they need.
+    """
     joined = lookup.interval_lookup(
-        sensors, row, index, "sensor_start_idx", "sensor_end_idx", block, keys)
+        sensors, row, index, "sensor_start_idx", "sensor_end_idx", block, keys, rows=rows)
     return joined.withColumn("pos", F.col(row) - F.col("sensor_start_idx"))
 
 

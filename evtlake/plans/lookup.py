@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from evtlake.plans import ordering
+
 #: Blocks whose last starts are accumulated together.
 RUN = 1024
 
@@ -19,6 +21,7 @@ def interval_lookup(
     block: float,
     keys: Sequence[str] = (),
     contiguous: bool = False,
+    rows: int = 0,
 ) -> DataFrame:
     """Join every point to the one interval with ``start <= at < end``.
 
@@ -28,6 +31,7 @@ def interval_lookup(
     row, so a giant interval spreads over as many blocks as it covers.
     Points outside every interval are dropped; ``contiguous`` says that there are none, so
     that rounding in computed bounds cannot open gaps. Columns of both sides are returned.
+    ``rows`` is the number of points where it is known, so that they get as many tasks as they need.
     """
     keys = list(keys)
     payload = [c for c in intervals.columns if c not in keys]
@@ -51,7 +55,7 @@ def interval_lookup(
     carry = blocks.withColumn("_in", inside).join(ahead, [*keys, "_run"]).select(*keys, "_b", F.coalesce("_in", "_ahead").alias("_iv"))
     opening = carry.where(F.col("_iv").isNotNull()).select(
         *keys, "_b", F.lit(None).cast(points.schema[at].dataType).alias("_at"), F.lit(0).alias("_k"), "_iv")
-    merged = starts.unionByName(opening).unionByName(probes, allowMissingColumns=True)
+    merged = ordering.spread(starts.unionByName(opening).unionByName(probes, allowMissingColumns=True), rows, *keys, "_b")
     seen = Window.partitionBy(*keys, "_b").orderBy(F.col("_at").asc_nulls_first(), "_k").rowsBetween(
         Window.unboundedPreceding, 0)
     matched = merged.withColumn("_iv", F.last("_iv", ignorenulls=True).over(seen))

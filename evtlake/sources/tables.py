@@ -29,7 +29,8 @@ def event_tables(
 
     Events without sensors leave. Offsets run through all events in (``levels``, ``order``, key),
     which no two events may share. An event may span several rows (column ``first_pos``); its
-    sensors keep one numbering. ``sensor_idx`` of a sensor is its place in the offsets.
+    sensors keep one numbering. ``sensor_idx`` of a sensor is its place in the offsets. Both come
+    dealt by ranges of the offsets; sensors are moved once, in lists of the floats that the table holds.
     """
     rows = labels.starting_only(nested_events) if starting_only else nested_events
     rows = rows.withColumn("dataset_id", labels.dataset_id_from_path(F.col(file)))
@@ -37,8 +38,9 @@ def event_tables(
     order = list(dict.fromkeys([*order, key]))
     first = [] if base is None else ["first_pos"]
     lists = dict.fromkeys([key, "dataset_id", *levels, *order, *first, *codes.SENSOR_COLUMNS.values()])
-    placed = ordering.running_total(
-        rows.select(*lists), "_at", F.size(codes.SENSOR_COLUMNS["x"]).cast("long"), levels, [F.col(c) for c in [*order, *first]])
+    single = {c: F.col(c).cast("array<float>") for c in codes.SENSOR_COLUMNS.values()}
+    placed = ordering.running_total_in_ranges(
+        rows.select(*lists).withColumns(single), "_at", F.size(codes.SENSOR_COLUMNS["x"]).cast("long"), levels, [F.col(c) for c in [*order, *first]])
     sensors = nested.explode_sensors(placed, [key, "dataset_id", "_at", *first], base).select(
         key, "dataset_id", "pos", (F.col("_at") + F.col("pos") - (F.lit(0) if base is None else base)).alias("sensor_idx"),
         *[F.col(f).cast("float").alias(f) for f in codes.SENSOR_COLUMNS])
@@ -50,20 +52,24 @@ def event_tables(
         sized = sized.groupBy(*kept).agg(
             F.sum("num_sensors").alias("num_sensors"), F.sum("total_charge").alias("total_charge"))
     filled = labels.morphology_codes(sized.where(F.col("num_sensors") > 0))
-    index = nested.sensor_offsets(filled, levels, order)
+    offsets = ordering.running_total_in_ranges(filled, "sensor_start_idx", F.col("num_sensors").cast("long"), levels, [F.col(c) for c in order])
+    index = offsets.withColumn("sensor_end_idx", F.col("sensor_start_idx") + F.col("num_sensors"))
     return index.select(key, *[F.col(c).cast(t).alias(c) for c, t in INDEX_TYPES.items()]), sensors
 
 
-def write_event_tables(index: DataFrame, sensors: DataFrame, path: str, zone: int = ZONE) -> None:
+def write_event_tables(index: DataFrame, sensors: DataFrame, path: str, zone: int = ZONE, in_ranges: bool = False) -> None:
     """Persist both tables, one directory per dataset, in order of the offsets, and the map of the sensors' files.
 
     Sensors are dealt by ranges of (dataset, sensor_idx), so a file holds one run of them, ``zone`` at
-    most. The map, written beside the tables, says for every file its first and last ``sensor_idx``.
+    most; ``in_ranges`` says that both come in ranges, as ``event_tables`` gives them. The map, written beside
+    the tables, says for every file its first and last ``sensor_idx``.
     """
-    near = index.repartition("dataset_id", F.expr(f"sensor_start_idx div {SLICE}")).sortWithinPartitions("dataset_id", "sensor_start_idx")
-    near.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/event_index")
-    ranged = sensors.repartitionByRange("dataset_id", F.expr(f"sensor_idx div {max(1, zone // 64)}")).sortWithinPartitions("dataset_id", "sensor_idx")
-    ranged.write.option("maxRecordsPerFile", zone).partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors")
+    near = index if in_ranges else index.repartition("dataset_id", F.expr(f"sensor_start_idx div {SLICE}"))
+    near = near.sortWithinPartitions("dataset_id", "sensor_start_idx")
+    near.write.partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/event_index", compression="zstd")
+    ranged = sensors if in_ranges else sensors.repartitionByRange("dataset_id", F.expr(f"sensor_idx div {max(1, zone // 64)}"))
+    ranged = ranged.sortWithinPartitions("dataset_id", "sensor_idx")
+    ranged.write.option("maxRecordsPerFile", zone).partitionBy("dataset_id").mode("errorifexists").parquet(f"{path}/sensors", compression="zstd")
     zone_map(sensors.sparkSession, f"{path}/sensors").coalesce(1).write.mode("errorifexists").parquet(f"{path}/zones")
 
 
@@ -91,7 +97,7 @@ def read_slices(spark: SparkSession, path: str, events: DataFrame, columns: Sequ
     sensors = spark.read.schema(schema).option("basePath", f"{path}/sensors").parquet(*files) if files else spark.createDataFrame([], schema)
     if columns is not None:
         sensors = sensors.select("dataset_id", "sensor_idx", *columns)
-    return nested.slice_join(sensors, events, keys=["dataset_id"])
+    return nested.slice_join(sensors, events, keys=["dataset_id"], rows=sensors.count())
 
 
 def dataset_manifest(index: DataFrame, dataset: str = "dataset_id", sources: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:

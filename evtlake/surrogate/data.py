@@ -49,6 +49,8 @@ def full_events(spark, sf):
 FOLDERS = {"/data/charm/": "charm", "/data/v1/21217/": "v1/21217", "/data/v2/21316_extended/": "v2/21316_extended"}
 PARTS = sorted(f"part_{i}.parquet" for i in range(20))
 TABLE_ZONE = 65_536
+#: Event ids of one ordering block of a source file, which has one of every 60 events.
+TABLE_BLOCK = 60 * v.EVENT_BLOCK
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -63,13 +65,21 @@ def once(spark, sf, name, write):
 
 
 def source_files(spark, sf):
-    """Nested events as files, the form that sources arrive in: three folders of up to 20 files, numbered as their names are ordered."""
+    """Nested events as files, the form that sources arrive in: three folders of up to 20 files, numbered as their names are ordered.
+
+    Events meet their sensors once, for all folders, in a table of raw columns; the sensor lists are computed where they are written.
+    """
     def write(path):
+        events = v.raw_nested(spark, sf).selectExpr("*", f"{v.EVENT['dir']} AS dir", f"{v.EVENT['file_path']} AS file_path")
         part = F.array_position(F.array(*map(F.lit, PARTS)), F.substring_index("file_path", "/", -1)) - 1
-        rows = v.nested_events(spark, sf).withColumn("origin", F.col("file_path")).withColumn("_part", part.cast("int"))
-        rows = rows.repartitionById(len(PARTS), "_part").sortWithinPartitions("event_id", "chunk").drop("_part", "file_path")
-        for folder, name in FOLDERS.items():
-            rows.where(F.col("dir") == folder).write.parquet(f"{path}/{name}")
+        folder = F.array_position(F.array(*map(F.lit, FOLDERS)), F.col("dir"))
+        kept, columns = ordering.scratch_path(spark, "nested"), [c for c in events.columns if c not in ("dir", "file_path")]
+        events.select(*columns, part.cast("int").alias("_part"), folder.alias("_folder")).write.partitionBy("_folder").parquet(kept, compression="zstd")
+        stored = spark.read.parquet(kept)
+        for number, name in enumerate(FOLDERS.values(), 1):
+            rows = stored.where(F.col("_folder") == number).drop("_folder")
+            rows = rows.repartitionById(len(PARTS), "_part").sortWithinPartitions("o_orderkey", "chunk")
+            v.computed(rows).withColumn("origin", F.col("file_path")).drop("file_path").write.parquet(f"{path}/{name}", compression="zstd")
     return once(spark, sf, "sources", write)
 
 
@@ -96,8 +106,8 @@ def version_files(spark, sf):
                 S["x"]: F.when(F.col("event_id") % 10 != 0, F.col(S["x"])),
                 "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})}
         for name, df in changes.items():
-            df.where(F.col("dir") == name).drop("dir").write.parquet(f"{path}/{FOLDERS[name]}")
-        full.drop("dir").withColumn(S["x"], F.col(S["x"]).cast("array<string>")).coalesce(1).write.parquet(f"{path}/v3/99999")
+            df.where(F.col("dir") == name).drop("dir").write.parquet(f"{path}/{FOLDERS[name]}", compression="zstd")
+        full.drop("dir").withColumn(S["x"], F.col(S["x"]).cast("array<string>")).coalesce(1).write.parquet(f"{path}/v3/99999", compression="zstd")
     return once(spark, sf, "versions", write)
 
 
@@ -212,9 +222,9 @@ def table_folder(spark, sf):
     """Event index and sensors, converted from nested files and written."""
     def write(path):
         source = scan.scan_events(spark, source_folders(spark, sf), ["event_id", "origin", "first_pos"])
-        conformed = v.in_blocks(scan.conform_columns(source, ["event_id", "origin", "first_pos"]))
+        conformed = scan.conform_columns(source, ["event_id", "origin", "first_pos"]).withColumn("block", F.expr(f"event_id div {TABLE_BLOCK}"))
         index, sensors = tables.event_tables(conformed, "event_id", "origin", ["origin", "block"], ["event_id"])
-        tables.write_event_tables(index, sensors, path, zone=TABLE_ZONE)
+        tables.write_event_tables(index, sensors, path, zone=TABLE_ZONE, in_ranges=True)
     return once(spark, sf, "tables", write)
 
 
@@ -226,7 +236,7 @@ def written_slices(spark, sf):
     index, sensors = tables.read_event_tables(spark, table_folder(spark, sf))
     joined = nested.slice_join(
         sensors.select("dataset_id", "sensor_idx", "c_total"),
-        index.select("dataset_id", "event_id", "sensor_start_idx", "sensor_end_idx"), keys=["dataset_id"])
+        index.select("dataset_id", "event_id", "sensor_start_idx", "sensor_end_idx"), keys=["dataset_id"], rows=sensors.count())
     return rounded(joined.select("dataset_id", "sensor_idx", "event_id", "pos", "c_total"), 2)
 
 

@@ -180,3 +180,14 @@ def test_lookup_over_many_blocks(spark, monkeypatch):
     found = {(r.k, r.p): r.name for r in lookup.interval_lookup(points, "p", intervals, "s", "e", 10, ["k"]).collect()}
     name = lambda k, p: next((n for kk, s, e, n in [(1, 0, 300, "a"), (1, 300, 305, "b"), (1, 600, 900, "c"), (2, 10, 20, "d")] if kk == k and s <= p < e), None)
     assert found == {(k, p): name(k, p) for k in (1, 2) for p in range(0, 1000, 7) if name(k, p)}
+
+
+def test_sources_meet_their_sensors_once(spark, monkeypatch):
+    """Three folders of sources are one pass over the sensors, not one each."""
+    from evtlake.surrogate import data
+    kind, passes = type(spark.range(0).write), []
+    write = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, *a, **k: (passes.append(any("lineitem" in f for f in self._df.inputFiles())), write(self, *a, **k))[1])
+    monkeypatch.setattr(data, "_written", {})
+    found = spark.read.parquet(*data.source_folders(spark, "/root/testdata/sf0.001"))
+    assert sum(passes) == 1 and found.where("chunk = 0").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
