@@ -1,20 +1,23 @@
-"""Hierarchical Pitman-Yor language model: restaurants of frequent preceding words, all sharing the root.
-
-A word that makes up CONTEXT_SHARE of the training tokens or more, or the begin of a text, has a
-restaurant: its customers are the tokens that follow the word. Tokens after other words are customers
-of the root, and so is each table of a restaurant; the root's base is uniform over the training tokens
-and one unknown token. Seating is sampled by blocked Gibbs sweeps: in a sweep, all customers of a dish
-leave their restaurant and are seated again one after the other, given the tables of the restaurant's
-other dishes and the root's probability of the dish, and then the dish's customers at the root.
-Dishes of a sweep are seated side by side, each seeing the totals that the sweep before has left.
+"""Hierarchical Pitman-Yor language model: a restaurant for every preceding word, all sharing the root.
+
+Every word, and the begin of a text, has a restaurant: its customers are the tokens that follow the
+word. Each table of a restaurant is a customer of the root, whose base is uniform over the training
+tokens and one unknown token. Seating is sampled by blocked Gibbs sweeps: in a sweep, all customers of
+a dish leave their restaurant and are seated again one after the other, given the tables of the
+restaurant's other dishes and the root's probability of the dish, and then the dish's customers at the
+root. Dishes of a sweep are seated side by side, each seeing the totals that the sweep before has left.
 Runs of customers that join existing tables are skipped by thinning, so a dish costs about as much as
 it has tables, however many customers there are. The predictive probabilities of the last sweeps are
 averaged for each token.
 
-Texts are written once as slices of codes. Counts of slices meet in blocks of words, each word with
-its restaurants: there are at most 1 / CONTEXT_SHARE of them, so no word is large, the root's customers
-of a word are in its block, and a sweep moves nothing but totals, one row per restaurant. In the end
-the slices' words and pairs are looked up in the blocks, and their probabilities come back.
+Texts are written once as slices of codes. Counts of slices meet in blocks. Restaurants of heavy words,
+which make up CONTEXT_SHARE of the training tokens or more, are dealt by the word that follows: there
+are at most 1 / CONTEXT_SHARE of them, so no word is large, the root's customers of a word are in its
+block, and their totals are one row per restaurant. Restaurants of all other words are whole in the
+block of their word (``Light``), so their totals move nowhere. There a dish of one customer has one
+table whatever happens; for the others the root's counts of their words come from the blocks of words
+before each sweep, and their tables go back. In the end the slices' words and pairs are looked up in
+the blocks, and what the slices need for their probabilities comes back.
 """
 
 from collections.abc import Iterator
@@ -32,15 +35,21 @@ from evtlake.llm.word_slices import Classes, slices
 from evtlake.llm.words import mix
 
 BURN_IN, SAMPLES, STRENGTH, SEED = 1, 3, 1.0, 5
-#: Least share of the training tokens of a word with a restaurant of its own.
+#: Least share of the training tokens of a word whose restaurant is dealt by the words that follow.
 CONTEXT_SHARE = 2e-4
 STEP = 1 << 22
 #: Words of slices that one task handles at a time.
 BUCKET = 250_000
+#: Training tokens in a block of other restaurants.
+LIGHT_BUCKET = 2_000_000
 BEGIN, END = 1, 2
 WORDS = Classes(b" \t\n\x0b\x0c\r")
 ASKS = "bucket bigint, slice bigint, names binary, n binary, m binary, ctx binary, c binary"
-BLOCKS = "bucket bigint, names binary, n binary, m binary, ctx binary, c binary, t binary, root binary"
+BLOCKS = "bucket bigint, names binary, n binary, m binary, ctx binary, c binary, fixed binary, routes binary, places binary, t binary, root binary"
+LIGHT_ASKS = "bucket bigint, slice bigint, names binary, m binary, words binary, w binary, c binary"
+LIGHT = "bucket bigint, kind int, slice bigint, names binary, once binary, m binary, words binary, w binary, c binary, t binary"
+#: Kinds of LIGHT rows: all pairs of a block; those with several customers; places of a slice's pairs; words for a block of words; their tables.
+PAIRS, LIVE, PLACES, WORDS_OF, TABLES_OF = range(5)
 
 
 # --- texts as slices ----------------------------------------------------------------
@@ -103,6 +112,13 @@ def context_of(ids: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return np.where(contexts[place] == ids, place, -1).astype(np.int32)
 
 
+def cuts(ids: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Bucket, begin and end of the runs of sorted ids that share their leading bits."""
+    key = ids.view(np.uint64)
+    own, firsts = np.unique((key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)).astype(np.int64), return_index=True)
+    return list(zip(own.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(key)]))
+
+
 class Counts:
     """Words of a slice, and its distinct pairs of a context and a word, by word and context."""
 
@@ -122,15 +138,19 @@ class Counts:
         self.c = np.bincount(of, train[inside], len(distinct)).astype(np.int64)
         self.owner, self.ctx = np.divmod(distinct, contexts)
         self.m = np.bincount(self.owner, minlength=len(own))
+        self.rest, self.train, self.before, self.size = np.flatnonzero(~inside), train, codes[at].astype(np.int64) - 1, len(own)
+
+    def light(self) -> tuple[np.ndarray, ...]:
+        """Distinct pairs after other words, by that word and the next: both words, training count; and the pair of every token in ``rest``."""
+        distinct, of = np.unique(self.before[self.rest] * self.size + self.word[self.rest], return_inverse=True)
+        c = np.bincount(of, self.train[self.rest], len(distinct)).astype(np.int64)
+        return *np.divmod(distinct, max(1, self.size)), c, of
 
     def packed(self, ids: np.ndarray, bits: int) -> list[tuple[int, list[bytes]]]:
         """Names, counts, numbers of pairs, contexts and their counts by bucket of the word."""
-        key = ids.view(np.uint64)
-        bucket = (key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)).astype(np.int64)
-        own, firsts = np.unique(bucket, return_index=True)
         ends = np.concatenate([[0], np.cumsum(self.m)])
         out = []
-        for name, i, j in zip(own.tolist(), firsts, np.append(firsts[1:], len(key))):
+        for name, i, j in cuts(ids, bits):
             pairs = slice(ends[i], ends[j])
             out.append((name, [ids[i:j].tobytes(), *map(shrunk, (self.n[i:j], self.m[i:j], self.ctx[pairs].astype(np.int32), self.c[pairs]))]))
         return out
@@ -156,11 +176,17 @@ def _columns(row: dict) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["names"], np.int64), *(grown(row[c], kind) for c, kind in (("n", np.int64), ("m", np.int64), ("ctx", np.int32), ("c", np.int64)))
 
 
-def blocks(asks: DataFrame, contexts: int) -> DataFrame:
-    """Blocks of training words: their counts and pairs with customers, one table each to begin with."""
+def blocks(asks: DataFrame, contexts: int, told: DataFrame | None) -> DataFrame:
+    """Blocks of training words: their counts and pairs with customers, one table each to begin with.
+
+    ``told`` are the words of other restaurants; without it, tokens after other words are customers of the root.
+    """
+    with_light = told is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
-            rows = [_columns(row) for row in group.select(["names", "n", "m", "ctx", "c"]).to_pylist()]
+            every = group.to_pylist()
+            rows = [_columns(row) for row in every if row["slice"] >= 0]
             names, n, m, ctx, c = (np.concatenate(x) for x in zip(*rows))
             words, of = np.unique(names.view(np.uint64), return_inverse=True)
             n = np.bincount(of, n, len(words)).astype(np.int64)
@@ -171,13 +197,26 @@ def blocks(asks: DataFrame, contexts: int) -> DataFrame:
                 continue
             pairs, c = pairs[c > 0], c[c > 0]
             owner, ctx = np.divmod(pairs, contexts)
-            m = np.bincount(owner, minlength=len(words))
-            # customers of the root: tokens after words without a restaurant, and one for each table
-            cw = n - np.bincount(owner, c, len(words)).astype(np.int64) + m
-            parts = [words.view(np.int64)[keep], n[keep], m[keep], ctx.astype(np.int32), c, np.ones_like(c), np.stack([cw[keep], np.ones(int(keep.sum()), np.int64)])]
+            m = np.bincount(owner, minlength=len(words))[keep]
+            size, kept = int(keep.sum()), words[keep]
+            # customers of the root: one for each table, and tokens after words without a restaurant
+            fixed = (n - np.bincount(owner, c, len(words)).astype(np.int64))[keep] * (not with_light)
+            cw, routes, places = fixed + m, [], [np.zeros(0, np.int32)]
+            for row in every:
+                if row["slice"] < 0:
+                    at = np.searchsorted(kept, np.frombuffer(row["names"], np.uint64))
+                    once, many = grown(row["once"], np.int64), grown(row["many"], np.int64)
+                    fixed[at] += once
+                    cw[at] += once + many
+                    if many.any():
+                        places.append(at[many > 0].astype(np.int32))
+                        routes.append((-1 - row["slice"], len(places[-1])))
+            parts = [kept.view(np.int64), n[keep], m, ctx.astype(np.int32), c, fixed, np.array(routes, np.int64), np.concatenate(places), np.ones_like(c), np.stack([cw, np.ones(size, np.int64)])]
             yield pa.RecordBatch.from_arrays([group.column(0).slice(0, 1).combine_chunks(), pa.array([parts[0].tobytes()], pa.binary()), *[pa.array([shrunk(x)], pa.binary()) for x in parts[1:]]],
-                                             ["bucket", "names", "n", "m", "ctx", "c", "t", "root"])
+                                             ["bucket", "names", "n", "m", "ctx", "c", "fixed", "routes", "places", "t", "root"])
 
+    if with_light:
+        asks = asks.unionByName(told, allowMissingColumns=True)
     return asks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, BLOCKS)
 
 
@@ -235,6 +274,15 @@ class Block:
         states = len(root) // max(1, 2 * len(self.names))
         self.root = root.reshape(states, 2, len(self.names))
         self.t = grown(row["t"], np.int64).reshape(states, len(self.c))
+        self.fixed = grown(row["fixed"], np.int64)
+
+    @staticmethod
+    def routes(row: dict) -> Iterator[tuple[int, np.ndarray]]:
+        """Every block of other restaurants that seats words of this one, and their places."""
+        places, at = grown(row["places"], np.int32), 0
+        for light, size in grown(row["routes"], np.int64).reshape(-1, 2).tolist():
+            yield light, places[at:at + size]
+            at += size
 
     def totals(self, contexts: int) -> np.ndarray:
         """Tables and customers per restaurant, and of the root at the end."""
@@ -242,29 +290,39 @@ class Block:
         return np.column_stack([np.append(s, r.sum()) for s, r in zip(sides, self.root[0][::-1])]).astype(np.int64)
 
 
-def swept(state: DataFrame, tables: np.ndarray, root: dict, leaf: dict, seed: int, keep: bool) -> DataFrame:
-    """``state`` after a sweep; ``tables`` are those of every restaurant, and the new ones are appended where ``keep`` is set."""
+def swept(state: DataFrame, ups: DataFrame | None, tables: np.ndarray, root: dict, leaf: dict, seed: int, keep: bool) -> DataFrame:
+    """``state`` after a sweep; ``tables`` are those of every restaurant, and the new ones are appended where ``keep`` is set.
+
+    ``ups`` are the tables that blocks of other restaurants have for words of a block.
+    """
     sent = state.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
-                b = Block(row)
-                cw, tw = b.root[0]
-                p = root_probability(cw, tw, root)[b.owner]
-                d = leaf["discount"]
-                key = mix(b.names[b.owner].view(np.uint64) + mix(b.ctx.astype(np.uint64) + np.uint64(1))).view(np.int64)
-                t = seat(b.c, (leaf["strength"] + d * (sent.value[b.ctx] - b.t[0])) * p, d * p, d, key, 2 * seed)
-                cw = cw + np.bincount(b.owner, t - b.t[0], len(cw)).astype(np.int64)
-                rate = (root["strength"] + root["discount"] * (root["tables"] - tw)) * root["base"]
-                tw = seat(cw, rate, root["discount"] * root["base"], root["discount"], b.names, 2 * seed + 1)
-                ends = np.stack([cw, tw])
-                old_t, old_root = b.t[1:], b.root[1:]
-                t = np.concatenate([t[None], old_t, *([t[None]] if keep else [])])
-                ends = np.concatenate([ends[None], old_root, *([ends[None]] if keep else [])])
-                yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:6]] + [pa.array([shrunk(x)], pa.binary()) for x in (t, ends)],
-                                                 ["bucket", "names", "n", "m", "ctx", "c", "t", "root"])
-
+        for group in sorted_groups(batches):
+            row, *others = group.to_pylist()
+            b = Block(row)
+            cw, tw = b.root[0]
+            p = root_probability(cw, tw, root)[b.owner]
+            d = leaf["discount"]
+            key = mix(b.names[b.owner].view(np.uint64) + mix(b.ctx.astype(np.uint64) + np.uint64(1))).view(np.int64)
+            t = seat(b.c, (leaf["strength"] + d * (sent.value[b.ctx] - b.t[0])) * p, d * p, d, key, 2 * seed)
+            cw = b.fixed + np.bincount(b.owner, t, len(cw)).astype(np.int64)
+            places = dict(Block.routes(row))
+            for other in others:
+                cw[places[other["slice"]]] += grown(other["up"], np.int64)
+            rate = (root["strength"] + root["discount"] * (root["tables"] - tw)) * root["base"]
+            tw = seat(cw, rate, root["discount"] * root["base"], root["discount"], b.names, 2 * seed + 1)
+            ends = np.stack([cw, tw])
+            old_t, old_root = b.t[1:], b.root[1:]
+            t = np.concatenate([t[None], old_t, *([t[None]] if keep else [])])
+            ends = np.concatenate([ends[None], old_root, *([ends[None]] if keep else [])])
+            names = ["bucket", "names", "n", "m", "ctx", "c", "fixed", "routes", "places"]
+            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int64()), *[pa.array([row[c]], pa.binary()) for c in names[1:]], *[pa.array([shrunk(x)], pa.binary()) for x in (t, ends)]],
+                                             [*names, "t", "root"])
+
+    if ups is not None:
+        rows = state.withColumn("slice", F.lit(-1).cast("long")).unionByName(ups, allowMissingColumns=True)
+        state = rows.repartition("bucket").sortWithinPartitions("bucket", "slice")
     return state.mapInArrow(run, BLOCKS)
 
 
@@ -298,9 +356,11 @@ def sizes(state: DataFrame) -> tuple[int, ...]:
     return tuple(found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]).first())
 
 
-def sampled(state: DataFrame, distinct: int, contexts: int, burn_in: int, samples: int, strength: float) -> tuple[DataFrame, dict]:
-    """Blocks with the seating of every sample, and the totals that go with them."""
+def sampled(state: DataFrame, light: "Light | None", distinct: int, contexts: int, burn_in: int, samples: int, strength: float) -> tuple[DataFrame, dict]:
+    """Blocks with the seating of every sample, and the totals that go with them; ``light`` is seated along."""
     pairs_once, pairs_twice, words_once, words_twice = sizes(state)
+    if light:
+        pairs_once, pairs_twice = (x + y for x, y in zip((pairs_once, pairs_twice), light.sizes()))
     leaf = {"strength": strength, "discount": discount_of(pairs_once, pairs_twice)}
     root = {"strength": strength, "discount": discount_of(words_once, words_twice), "base": 1.0 / (distinct + 1)}
     totals = {"leaf": leaf, "roots": [], "tables": []}
@@ -312,16 +372,179 @@ def sampled(state: DataFrame, distinct: int, contexts: int, burn_in: int, sample
             totals["tables"].append(sums[:-1, 0])
         totals["customers"] = sums[:-1, 1]
         if sweep < burn_in + samples:
-            before, state = state, stored(swept(state, sums[:-1, 0], root, leaf, sweep, sweep >= burn_in), "seating")
+            ups = light.sweep(state, root, leaf, sweep, sweep >= burn_in) if light else None
+            before, state = state, stored(swept(state, ups, sums[:-1, 0], root, leaf, sweep, sweep >= burn_in), "seating")
             release(before)
     return state, totals
 
 
+# --- restaurants of other words -----------------------------------------------------
+
+
+def light_asks(corpus: DataFrame, contexts: np.ndarray, bits: int) -> DataFrame:
+    """The pairs of every slice after words that are not in ``contexts``, packed by bucket of that word."""
+    sent = corpus.sparkSession.sparkContext.broadcast(contexts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, codes, held in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, np.int64)
+                before, word, c, _ = Counts(context_of(ids, sent.value), codes, held, len(sent.value)).light()
+                m = np.bincount(before, minlength=len(ids))
+                own = np.flatnonzero(m)
+                ends = np.concatenate([[0], np.cumsum(m[own])])
+                rows = []
+                for name, i, j in cuts(ids[own], bits):
+                    pairs = slice(ends[i], ends[j])
+                    words, w = np.unique(word[pairs], return_inverse=True)
+                    rows.append((name, [ids[own[i:j]].tobytes(), shrunk(m[own[i:j]]), ids[words].tobytes(), shrunk(w.astype(np.int32)), shrunk(c[pairs])]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()),
+                    *[pa.array([x[i] for _, x in rows], pa.binary()) for i in range(5)]], ["bucket", "slice", "names", "m", "words", "w", "c"])
+
+    return corpus.select("slice", "ids", "codes", "held").mapInArrow(run, LIGHT_ASKS)
+
+
+def light_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(bucket, kind, slice, {column: bytes}) as rows of LIGHT."""
+    names = [c.split()[0] for c in LIGHT.split(", ")]
+    return pa.RecordBatch.from_arrays([
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
+        *[pa.array([r[3].get(c) for r in rows], pa.binary()) for c in names[3:]]], names)
+
+
+def light_blocks(asks: DataFrame, bits: int) -> DataFrame:
+    """Rows of LIGHT for every block of restaurants; ``bits`` are those of blocks of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            rows = group.to_pylist()
+            bucket = rows[0]["bucket"]
+            names, before = np.unique(np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]), return_inverse=True)
+            words, of = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
+            starts = np.cumsum([0, *(len(r["words"]) // 8 for r in rows)])
+            parts = [grown(r["w"], np.int32) for r in rows]
+            word = of[np.concatenate([x + at for x, at in zip(parts, starts)])]
+            m = np.concatenate([grown(r["m"], np.int64) for r in rows])
+            pairs, place = np.unique(np.repeat(before, m) * len(words) + word, return_inverse=True)
+            c = np.bincount(place, np.concatenate([grown(r["c"], np.int64) for r in rows]), len(pairs)).astype(np.int64)
+            ctx, word = np.divmod(pairs, len(words))
+            out = [(bucket, PAIRS, -2, {"m": shrunk(np.bincount(ctx, minlength=len(names))), "c": shrunk(c)})]
+            ends = np.cumsum([0, *map(len, parts)])
+            for row, i, j in zip(rows, ends, ends[1:]):
+                out.append((bucket, PLACES, row["slice"], {"w": shrunk(np.diff(place[i:j], prepend=0).astype(np.int32))}))
+            live = np.flatnonzero(c > 1)
+            if len(live):
+                own, at = np.unique(ctx[live], return_inverse=True)
+                dishes, w = np.unique(word[live], return_inverse=True)
+                out.append((bucket, LIVE, -1, {
+                    "names": names[own].tobytes(), "once": shrunk(np.bincount(ctx[c == 1], minlength=len(names))[own]), "m": shrunk(np.bincount(at)),
+                    "words": words[dishes].tobytes(), "w": shrunk(w.astype(np.int32)), "c": shrunk(c[live]), "t": shrunk(np.ones(len(live), np.int64))}))
+            once, many = (np.bincount(word[x], minlength=len(words)) for x in (c == 1, c > 1))
+            there = np.flatnonzero(once + many)
+            for to, i, j in cuts(words[there], bits):
+                some = there[i:j]
+                out.append((to, WORDS_OF, -1 - bucket, {"names": words[some].tobytes(), "once": shrunk(once[some]), "m": shrunk(many[some])}))
+            yield light_rows(out)
+
+    return asks.repartition("bucket").sortWithinPartitions("bucket", "slice").mapInArrow(run, LIGHT)
+
+
+class Light:
+    """Restaurants of words that are not heavy, each whole in the block of its word.
+
+    ``rows`` hold the pairs, ``live`` the seating of those with several customers: the last state first,
+    then the samples'. All others have as many tables as customers, one or none.
+    """
+
+    def __init__(self, asks: DataFrame, bits: int):
+        self.bits, self.rows = bits, stored(light_blocks(asks, bits), "light")
+        self.seated = None
+
+    @property
+    def live(self) -> DataFrame:
+        return (self.rows if self.seated is None else self.seated).where(F.col("kind") == LIVE)
+
+    def told(self) -> DataFrame:
+        """Words of the restaurants, for their blocks: how many have one customer, and how many have several."""
+        return self.rows.where(F.col("kind") == WORDS_OF).select("bucket", "slice", "names", "once", F.col("m").alias("many"))
+
+    def sizes(self) -> tuple[int, int]:
+        """How many pairs have one and two customers."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2, np.int64)
+            for batch in batches:
+                for c in batch.column(0).to_pylist():
+                    c = grown(c, np.int64)
+                    total += [np.count_nonzero(c == 1), np.count_nonzero(c == 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], ["a", "b"])
+
+        found = self.rows.where(F.col("kind") == PAIRS).select("c").mapInArrow(run, "a bigint, b bigint")
+        return tuple(found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "ab"]).first())
+
+    def sweep(self, state: DataFrame, root: dict, leaf: dict, seed: int, keep: bool) -> DataFrame:
+        """Seat all dishes anew, given the root in ``state``; their tables by block of words come back."""
+        def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ends = grown(row["root"], np.int64)[:2 * (len(row["names"]) // 8)].reshape(2, -1)
+                    found = [(light, shrunk(ends[:, places])) for light, places in Block.routes(row)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([x[0] for x in found], pa.int64()), pa.array([row["bucket"]] * len(found), pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["bucket", "slice", "down"])
+
+        bits = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches):
+                row, *others = group.to_pylist()
+                names, words = (np.frombuffer(row[x], np.uint64) for x in ("names", "words"))
+                once, m, c = (grown(row[x], np.int64) for x in ("once", "m", "c"))
+                w, t = grown(row["w"], np.int32), grown(row["t"], np.int64).reshape(-1, len(c))
+                ctx = np.repeat(np.arange(len(names)), m)
+                # blocks of words come in order, as the words do
+                ends = np.concatenate([grown(x["down"], np.int64).reshape(2, -1) for x in others], axis=1)
+                p, d = root_probability(*ends, root)[w], leaf["discount"]
+                tables = once + np.bincount(ctx, t[0], len(names)).astype(np.int64)
+                key = mix(words[w] + mix(names[ctx])).view(np.int64)
+                new = seat(c, (leaf["strength"] + d * (tables[ctx] - t[0])) * p, d * p, d, key, 2 * seed)
+                sums = np.bincount(w, new, len(words)).astype(np.int64)
+                out = [(row["bucket"], LIVE, -1, {**{x: row[x] for x in ("names", "once", "m", "words", "w", "c")}, "t": shrunk(np.concatenate([new[None], t[1:], *([new[None]] if keep else [])]))})]
+                yield light_rows(out + [(to, TABLES_OF, row["bucket"], {"t": shrunk(sums[i:j])}) for to, i, j in cuts(words, bits)])
+
+        downs = state.select("bucket", "names", "routes", "places", "root").mapInArrow(down, "bucket bigint, slice bigint, down binary")
+        rows = self.live.drop("kind").unionByName(downs, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "slice")
+        before, self.seated = self.seated, stored(rows.mapInArrow(run, LIGHT), "light-seating")
+        if before is not None:
+            release(before)
+        return self.seated.where(F.col("kind") == TABLES_OF).select("bucket", "slice", F.col("t").alias("up"))
+
+    def answers(self, samples: int) -> DataFrame:
+        """For every slice: customers and tables of its pairs (tables only where there are several customers), and customers and tables of their restaurants."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches):
+                base, *rows = group.to_pylist()
+                m, c = grown(base["m"], np.int64), grown(base["c"], np.int64)
+                ctx, t = np.repeat(np.arange(len(m)), m), np.repeat((c > 0).astype(np.int64)[None], samples, axis=0)
+                if rows[0]["slice"] < 0:
+                    t[:, c > 1] = grown(rows.pop(0)["t"], np.int64).reshape(samples + 1, -1)[1:]
+                facts = np.stack([np.bincount(ctx, x, len(m)).astype(np.int64) for x in (c, *t)])
+                for row in rows:
+                    place = np.cumsum(grown(row["w"], np.int32), dtype=np.int64)
+                    of = c[place]
+                    parts = of, t[:, place[of > 1]], facts[:, np.unique(ctx[place])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["slice"]], pa.int64()), pa.array([2], pa.int32()), pa.array([row["bucket"]], pa.int64()), *[pa.array([shrunk(x)], pa.binary()) for x in parts]],
+                        ["slice", "kind", "bucket", "c", "t", "facts"])
+
+        rows = self.rows.where(F.col("kind").isin(PAIRS, PLACES)).select("bucket", "slice", "m", "c", "w").unionByName(
+            self.live.select("bucket", "slice", "t"), allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "slice")
+        return rows.mapInArrow(run, "slice bigint, kind int, bucket bigint, c binary, t binary, facts binary")
+
+
 # --- scores -------------------------------------------------------------------------
 
 
 def looked_up(asks: DataFrame, state: DataFrame, totals: dict, contexts: int) -> DataFrame:
-    """For every packed row of a slice: training counts of its words, their log10 probabilities at the root, and those of its pairs."""
+    """For every packed row of a slice: training counts of its words, customers and tables of the root for every sample, and log10 probabilities of its pairs."""
     sent = asks.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +554,7 @@ def looked_up(asks: DataFrame, state: DataFrame, totals: dict, contexts: int) ->
         for group in sorted_groups(batches):
             rows = group.to_pylist()
             known = [Block(row) for row in rows if row["slice"] < 0]
-            block = known[0] if known else Block({**{c: b"" for c in ("names", "n", "m", "ctx", "c", "t", "root")}})
+            block = known[0] if known else Block({**{c: b"" for c in ("names", "n", "m", "ctx", "c", "fixed", "t", "root")}})
             keys = block.owner * contexts + block.ctx
             size = len(block.names)
             out = []
@@ -351,32 +574,33 @@ def looked_up(asks: DataFrame, state: DataFrame, totals: dict, contexts: int) ->
                 at = np.where(found, at, 0)
                 pick = lambda values, where, ok: np.where(ok, values[where], 0) if len(values) else np.zeros(len(ok), np.int64)
                 c = pick(block.c, at, found)
-                root_mean, pair_mean = np.zeros(len(names)), np.zeros(len(wanted))
+                pair_mean, at_root = np.zeros(len(wanted)), []
                 for s, root in enumerate(totals["roots"]):
                     ends = block.root[1 + s] if size else np.zeros((2, 0), np.int64)
-                    p = root_probability(pick(ends[0], place, there), pick(ends[1], place, there), root)
+                    at_root.append([pick(x, place, there) for x in ends])
+                    p = root_probability(*at_root[-1], root)
                     t = pick(block.t[1 + s], at, found) if len(block.c) else 0
-                    root_mean += p
                     pair_mean += (np.maximum(c - d * t, 0) + (a + d * tables[s][ctx]) * p[word]) / (a + customers[ctx])
                 with np.errstate(divide="ignore"):
-                    logs = [np.log10(x / len(totals["roots"])).astype(np.float32) for x in (root_mean, pair_mean)]
-                out.append((row["slice"], row["bucket"], [shrunk(x) for x in (pick(block.n, place, there).astype(np.int64), *logs)]))
+                    logs = np.log10(pair_mean / len(totals["roots"])).astype(np.float32)
+                out.append((row["slice"], row["bucket"], [shrunk(x) for x in (pick(block.n, place, there).astype(np.int64), np.array(at_root, np.int64), logs)]))
             if out:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in out], pa.int64()), pa.array([1] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64()),
                     *[pa.array([x[2][i] for x in out], pa.binary()) for i in range(3)]], ["slice", "kind", "bucket", "n", "root", "pair"])
 
-    offers = state.withColumn("slice", F.lit(-1).cast("long"))
+    offers = state.drop("routes", "places").withColumn("slice", F.lit(-1).cast("long"))
     rows = asks.unionByName(offers, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "slice")
     return rows.mapInArrow(run, "slice bigint, kind int, bucket bigint, n binary, root binary, pair binary")
 
 
-def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, tokens: int, distinct: int) -> DataFrame:
+def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, totals: dict, tokens: int, distinct: int) -> DataFrame:
     """owner, doc_id, held_out, n_tokens, n_known, base_score and score of every part of a text."""
     spark, kind = corpus.sparkSession, corpus.schema["doc_ids"].dataType.elementType.simpleString()
     sent = spark.sparkContext.broadcast(contexts)
+    roots, d, a = totals["roots"], totals["leaf"]["discount"], totals["leaf"]["strength"]
 
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shrunk(context_of(np.frombuffer(ids, np.int64), sent.value)) for ids in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -389,11 +613,23 @@ def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, tokens:
             at = kinds.index(0)
             doc_ids, owners, held, own, codes = (group.column(c)[at].as_py() for c in ("doc_ids", "owners", "held", "own", "codes"))
             found = Counts(grown(own, np.int32), codes, held, len(sent.value))
-            whole = lambda c, t: np.concatenate([grown(group.column(c)[i].as_py(), t) for i, k in enumerate(kinds) if k])  # noqa: E731, B023
-            n, root, pair = whole("n", np.int64), whole("root", np.float32).astype(np.float64), whole("pair", np.float32).astype(np.float64)
+            every = lambda c, t, kind, *shape: [grown(group.column(c)[i].as_py(), t).reshape(*shape, -1) for i, k in enumerate(kinds) if k == kind]  # noqa: E731, B023
+            n, pair = (np.concatenate(every(c, t, 1), axis=-1).ravel() for c, t in (("n", np.int64), ("pair", np.float32)))
+            ends = np.concatenate(every("root", np.int64, 1, len(roots), 2), axis=2)
+            at_root = [root_probability(*x, root) for x, root in zip(ends, roots)]
+            root = np.log10(sum(at_root) / len(roots))
             base = np.log10((n + 0.5) / (tokens + 0.5 * (distinct + 1)))
             token, size = found.word, len(found.held)
-            score = np.where(found.pair >= 0, np.append(pair, 0.0)[found.pair], root[token])
+            score = np.where(found.pair >= 0, np.append(pair.astype(np.float64), 0.0)[found.pair], root[token])
+            if 2 in kinds:
+                before, word, _, of = found.light()
+                before = np.unique(before, return_inverse=True)[1]
+                c = np.concatenate(every("c", np.int64, 2), axis=-1).ravel()
+                t = np.repeat((c > 0).astype(np.int64)[None], len(roots), axis=0)
+                t[:, c > 1] = np.concatenate(every("t", np.int64, 2, len(roots)), axis=1)
+                customers, *tables = np.concatenate(every("facts", np.int64, 2, len(roots) + 1), axis=1)
+                mean = sum((np.maximum(c - d * t[s], 0) + (a + d * tables[s][before]) * at_root[s][word]) / (a + customers[before]) for s in range(len(roots))) / len(roots)
+                score[found.rest] = np.log10(mean)[of]
             sums = [np.bincount(found.part, x, size) for x in (np.ones(len(token)), n[token] > 0, base[token], score)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.frombuffer(owners, np.int64)), pa.array(doc_ids, group.schema.field("doc_ids").type.value_type), pa.array(found.held),
@@ -401,7 +637,7 @@ def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, tokens:
                 ["owner", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     own = corpus.select("slice", "doc_ids", "owners", "held", "ids", "codes").mapInArrow(
-        light, f"slice bigint, kind int, bucket bigint, doc_ids array<{kind}>, owners binary, held binary, own binary, codes binary")
+        own_codes, f"slice bigint, kind int, bucket bigint, doc_ids array<{kind}>, owners binary, held binary, own binary, codes binary")
     rows = own.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "kind", "bucket")
     return rows.mapInArrow(run, f"owner bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
@@ -414,7 +650,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES,
-              strength: float = STRENGTH, context_share: float = CONTEXT_SHARE, seed: int = SEED, step: int = STEP, bucket: int = BUCKET) -> DataFrame:
+              strength: float = STRENGTH, context_share: float | None = None, seed: int = SEED, step: int = STEP, bucket: int = BUCKET,
+              heavy_share: float = CONTEXT_SHARE, light_bucket: int = LIGHT_BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``.
 
     Scores are log10 probabilities of the whole text with its end: ``base_score`` by smoothed counts
@@ -422,20 +659,29 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     copies counted as often as they occur; NULL ids are not held out. NULL and empty texts are one
     end. Without training rows every token has probability 1. Words are told apart by 64-bit keys.
     An empty table gives no rows; other columns are ignored. Perplexity is
-    10 ** (-sum(score) / sum(n_tokens)).
+    10 ** (-sum(score) / sum(n_tokens)). Every preceding word has a restaurant, unless ``context_share``
+    asks for a smaller model: tokens after words of a lesser share of the training tokens are then
+    customers of the root. ``heavy_share`` and ``light_bucket`` say where restaurants are kept, and
+    change no more of the result than which random numbers are drawn.
     """
+    share = heavy_share if context_share is None else context_share
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     found = stored(sliced(rows, seed, step), "slices")
     words = stored(found.where("slice is null").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "words", "zstd")
     tokens, distinct = words.where(F.col("id") != BEGIN).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = words.where((F.col("id") == BEGIN) | (F.col("id") != END) & (F.col("n") >= context_share * tokens)).select("id").collect()
+    frequent = words.where((F.col("id") == BEGIN) | (F.col("id") != END) & (F.col("n") >= share * tokens)).select("id").collect()
     contexts = np.unique(np.array([BEGIN, *(r.id for r in frequent)], np.int64))
     corpus = found.where("slice is not null")
     bits = bits_for(corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bucket)
     corpus = corpus.drop("id", "n")
     asks = dealt(corpus, contexts, bits)
-    state, totals = sampled(stored(blocks(asks, len(contexts)), "blocks"), distinct, len(contexts), burn_in, samples, strength)
-    parts = scored(corpus, looked_up(asks, state, totals, len(contexts)), contexts, tokens, distinct)
+    light = Light(light_asks(corpus, contexts, bits_for(tokens, light_bucket)), bits) if context_share is None else None
+    state = stored(blocks(asks, len(contexts), light.told() if light else None), "blocks")
+    state, totals = sampled(state, light, distinct, len(contexts), burn_in, samples, strength)
+    answers = looked_up(asks, state, totals, len(contexts))
+    if light:
+        answers = answers.unionByName(light.answers(samples), allowMissingColumns=True)
+    parts = scored(corpus, answers, contexts, totals, tokens, distinct)
     whole = parts.groupBy("owner").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),

@@ -260,6 +260,101 @@ def test_scores_follow_the_sampled_restaurants(spark, rows, monkeypatch, share):
         assert abs(sum(probability(u, w) for w in n) + probability(u, "never seen") - 1) < 1e-9
 
 
+@pytest.mark.parametrize("heavy", [1e-9, 0.02, 2.0])
+def test_every_preceding_word_has_a_restaurant(spark, rows, monkeypatch, heavy):
+    """Whichever blocks a restaurant is kept in, a plain loop over tokens with the tables of the samples gives the same scores."""
+    kept = {}
+    plain = pitman_yor.sampled
+
+    def spy(state, light, *options):
+        state, totals = plain(state, light, *options)
+        kept.update(blocks=[pitman_yor.Block(r.asDict()) for r in state.collect()], live=[r.asDict() for r in light.live.collect()], totals=totals)
+        return state, totals
+
+    monkeypatch.setattr(pitman_yor, "sampled", spy)
+    found = {(r.doc_id, r.n_tokens): r for r in pitman_yor.lm_scores(table(spark, rows), heavy_share=heavy, step=200, bucket=300, light_bucket=5000).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    train = [tokens(t) for i, t, _ in rows if not held(i)]
+    n = collections.Counter(w for t in train for w in t)
+    c = collections.Counter(p for t in train for p in zip(["", *t], t))
+    name = {int(np.array([xxhash.xxh3_64_intdigest(w.encode(), pitman_yor.SEED)], np.uint64).view(np.int64)[0]): w for w in n if w is not None}
+    name |= {pitman_yor.BEGIN: "", pitman_yor.END: None}
+    heavies = {"", *(w for w in n if w is not None and n[w] >= heavy * sum(n.values()))}
+    order = sorted(i for i, w in name.items() if w in heavies)
+    totals, samples = kept["totals"], len(kept["totals"]["roots"])
+    tables, ends = [{} for _ in range(samples)], [{} for _ in range(samples)]
+    for b in kept["blocks"]:
+        for s in range(samples):
+            for owner, ctx, customers, t in zip(b.owner, b.ctx, b.c, b.t[1 + s]):
+                u, w = name[order[ctx]], name[int(b.names[owner])]
+                assert customers == c[u, w]
+                tables[s][u, w] = int(t)
+            for i, (cw, tw) in zip(b.names, b.root[1 + s].T):
+                ends[s][name[int(i)]] = int(cw), int(tw)
+    assert {u for u, _ in tables[0]} == heavies
+    for row in kept["live"]:
+        names, words = (np.frombuffer(row[x], np.int64) for x in ("names", "words"))
+        before = np.repeat(names, pitman_yor.grown(row["m"], np.int64))
+        after, customers = words[pitman_yor.grown(row["w"], np.int32)], pitman_yor.grown(row["c"], np.int64)
+        for s, t in enumerate(pitman_yor.grown(row["t"], np.int64).reshape(samples + 1, -1)[1:]):
+            for u, w, k, x in zip(before, after, customers, t):
+                assert c[name[int(u)], name[int(w)]] == k and (name[int(u)], name[int(w)]) not in tables[s]
+                tables[s][name[int(u)], name[int(w)]] = int(x)
+    for t in tables:
+        assert all(c[p] == 1 for p in c.keys() - t.keys())
+        t |= dict.fromkeys(c.keys() - t.keys(), 1)
+        assert t.keys() == c.keys() and all(1 <= t[p] <= c[p] for p in c)
+    d, a = totals["leaf"]["discount"], totals["leaf"]["strength"]
+    assert d == pitman_yor.discount_of(sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values()))
+    served, opened = collections.Counter(), [collections.Counter() for _ in range(samples)]
+    for (u, w), k in c.items():
+        served[u] += k
+        for s in range(samples):
+            opened[s][u] += tables[s][u, w]
+    for s, root in enumerate(totals["roots"]):
+        of = collections.Counter()
+        for (_, w), t in tables[s].items():
+            of[w] += t
+        # every customer of the root is a table
+        assert {w: cw for w, (cw, _) in ends[s].items()} == of and all(1 <= tw <= cw for cw, tw in ends[s].values())
+        assert (root["customers"], root["tables"]) == (of.total(), sum(x for _, x in ends[s].values()))
+
+    def probability(u, w):
+        total = 0.0
+        for s, root in enumerate(totals["roots"]):
+            cw, tw = ends[s].get(w, (0, 0))
+            p = (max(cw - root["discount"] * tw, 0) + (root["strength"] + root["discount"] * root["tables"]) / (len(n) + 1)) / (root["strength"] + root["customers"])
+            total += (c[u, w] - d * tables[s].get((u, w), 0) + (a + d * opened[s][u]) * p) / (a + served[u])
+        return total / samples
+
+    for i, t, _ in rows:
+        if t and len(t) > 5000:
+            continue
+        score = sum(math.log10(probability(u, w)) for u, w in zip(["", *tokens(t)], tokens(t)))
+        assert abs(score - found[i, len(tokens(t))].score) < 1e-5
+    for u in ["", "a1", "b2", "never seen"]:
+        assert abs(sum(probability(u, w) for w in n) + probability(u, "never seen") - 1) < 1e-9
+
+
+def test_blocks_of_rare_words_do_not_change_scores(spark, rows):
+    first, again = ({(r.doc_id, r.n_tokens): r.score for r in pitman_yor.lm_scores(table(spark, rows), heavy_share=0.02, **sizes).collect()}
+                    for sizes in ({}, {"step": 300, "bucket": 200, "light_bucket": 1000}))
+    assert first.keys() == again.keys() and all(abs(first[k] - again[k]) < 1e-5 for k in first)
+
+
+def test_rare_words_tell_what_follows_them(spark):
+    """Each of 6,000 words makes up less than CONTEXT_SHARE of the tokens, and is always followed by the same one."""
+    rng = random.Random(4)
+
+    def text():
+        at = rng.randrange(6000)
+        return " ".join(f"w{(at + i) % 6000}" for i in range(200))
+
+    docs = [(i, text(), None) for i in range(600)]
+    found = pitman_yor.lm_scores(table(spark, docs)).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert 10 ** (-found[0] / found[1]) < 4
+
+
 @pytest.mark.parametrize("c,rate,more,discount", [(2, 0.3, 0.1, 0.5), (30, 0.8, 0.2, 0.7), (200, 2.0, 0.0, 0.3), (50, 0.01, 0.3, 0.9)])
 def test_tables_are_those_of_customers_seated_one_by_one(c, rate, more, discount):
     n = 4000
