@@ -52,11 +52,26 @@ LIGHT = "bucket bigint, kind int, slice bigint, names binary, once binary, m bin
 PAIRS, LIVE, PLACES, WORDS_OF, TABLES_OF = range(5)
 
 
+#: Spark removes the shuffles of a write when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``stored``, after which the shuffles that led to it are removed."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        return stored(df, name, compression)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
+
+
 # --- texts as slices ----------------------------------------------------------------
 
 
 def sliced(docs: DataFrame, seed: int, step: int) -> DataFrame:
-    """Word rows (id, n training tokens) and slice rows of ``docs`` (doc_id, held_out, text).
+    """Slices of ``docs`` (doc_id, held_out, text): their words' ids with counts of training tokens, and codes; ``n`` is the number of words.
 
     The codes of a part are the 1-based places of its words among the slice's sorted ids, with BEGIN and
     END at the ends of a text; a negative code is context of a cut part, 0 ends a part.
@@ -91,19 +106,26 @@ def sliced(docs: DataFrame, seed: int, step: int) -> DataFrame:
                 n = np.bincount(s.codes[s.owned & ~held[s.part]], minlength=len(ids) - 2)
                 n = np.concatenate([[(opens & ~held).sum(), (s.last & ~held).sum()], n]).astype(np.int64)[order]
                 ids = ids[order]
-                size, none = len(ids), pa.nulls(len(ids), pa.binary())
-                one = lambda x: pa.array([x], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([pa.nulls(size, pa.int64()), one(at)]),
-                    pa.concat_arrays([pa.array(ids), one(None)]), pa.concat_arrays([pa.array(n), one(size)]),
-                    pa.concat_arrays([pa.nulls(size, pa.list_(batch.column(0).type)), pa.ListArray.from_arrays(pa.array([0, parts], pa.int32()), batch.column(0).take(pa.array(s.rows)))]),
-                    *[pa.concat_arrays([none, pa.array([x], pa.binary())]) for x in ((row + s.rows).tobytes(), held.tobytes(), ids.tobytes(), shrunk(codes))]],
-                    ["slice", "id", "n", "doc_ids", "owners", "held", "ids", "codes"])
+                    pa.array([at], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, parts], pa.int32()), batch.column(0).take(pa.array(s.rows))),
+                    *[pa.array([x], pa.binary()) for x in ((row + s.rows).tobytes(), held.tobytes(), ids.tobytes(), shrunk(n), shrunk(codes))]],
+                    ["slice", "n", "doc_ids", "owners", "held", "ids", "counts", "codes"])
                 at += 1
             row += batch.num_rows
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        run, f"slice bigint, id bigint, n bigint, doc_ids array<{kind}>, owners binary, held binary, ids binary, codes binary")
+        run, f"slice bigint, n bigint, doc_ids array<{kind}>, owners binary, held binary, ids binary, counts binary, codes binary")
+
+
+def word_counts(corpus: DataFrame) -> DataFrame:
+    """id and n of every training word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, n in zip(*(c.to_pylist() for c in batch.columns)):
+                n = grown(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)[n > 0]), pa.array(n[n > 0])], ["id", "n"])
+
+    return corpus.select("ids", "counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def context_of(ids: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -373,7 +395,7 @@ def sampled(state: DataFrame, light: "Light | None", distinct: int, contexts: in
         totals["customers"] = sums[:-1, 1]
         if sweep < burn_in + samples:
             ups = light.sweep(state, root, leaf, sweep, sweep >= burn_in) if light else None
-            before, state = state, stored(swept(state, ups, sums[:-1, 0], root, leaf, sweep, sweep >= burn_in), "seating")
+            before, state = state, settled(swept(state, ups, sums[:-1, 0], root, leaf, sweep, sweep >= burn_in), "seating")
             release(before)
     return state, totals
 
@@ -457,7 +479,7 @@ class Light:
     """
 
     def __init__(self, asks: DataFrame, bits: int):
-        self.bits, self.rows = bits, stored(light_blocks(asks, bits), "light")
+        self.bits, self.rows = bits, settled(light_blocks(asks, bits), "light")
         self.seated = None
 
     @property
@@ -512,11 +534,16 @@ class Light:
 
         downs = state.select("bucket", "names", "routes", "places", "root").mapInArrow(down, "bucket bigint, slice bigint, down binary")
         rows = self.live.drop("kind").unionByName(downs, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "slice")
-        before, self.seated = self.seated, stored(rows.mapInArrow(run, LIGHT), "light-seating")
+        before, self.seated = self.seated, settled(rows.mapInArrow(run, LIGHT), "light-seating")
         if before is not None:
             release(before)
         return self.seated.where(F.col("kind") == TABLES_OF).select("bucket", "slice", F.col("t").alias("up"))
 
+    def release(self) -> None:
+        for table in (self.rows, self.seated):
+            if table is not None:
+                release(table)
+
     def answers(self, samples: int) -> DataFrame:
         """For every slice: customers and tables of its pairs (tables only where there are several customers), and customers and tables of their restaurants."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -595,7 +622,7 @@ def looked_up(asks: DataFrame, state: DataFrame, totals: dict, contexts: int) ->
 
 
 def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, totals: dict, tokens: int, distinct: int) -> DataFrame:
-    """owner, doc_id, held_out, n_tokens, n_known, base_score and score of every part of a text."""
+    """owner, doc_id, held_out, n_tokens, n_known, base_score and score of every part of a text; ``corpus`` is released."""
     spark, kind = corpus.sparkSession, corpus.schema["doc_ids"].dataType.elementType.simpleString()
     sent = spark.sparkContext.broadcast(contexts)
     roots, d, a = totals["roots"], totals["leaf"]["discount"], totals["leaf"]["strength"]
@@ -636,8 +663,9 @@ def scored(corpus: DataFrame, answers: DataFrame, contexts: np.ndarray, totals:
                 pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])],
                 ["owner", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    own = corpus.select("slice", "doc_ids", "owners", "held", "ids", "codes").mapInArrow(
-        own_codes, f"slice bigint, kind int, bucket bigint, doc_ids array<{kind}>, owners binary, held binary, own binary, codes binary")
+    own = settled(corpus.select("slice", "doc_ids", "owners", "held", "ids", "codes").mapInArrow(
+        own_codes, f"slice bigint, kind int, bucket bigint, doc_ids array<{kind}>, owners binary, held binary, own binary, codes binary"), "own")
+    release(corpus)
     rows = own.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "kind", "bucket")
     return rows.mapInArrow(run, f"owner bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
@@ -666,21 +694,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     share = heavy_share if context_share is None else context_share
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    found = stored(sliced(rows, seed, step), "slices")
-    words = stored(found.where("slice is null").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "words", "zstd")
+    corpus = stored(sliced(rows, seed, step), "slices")
+    words = settled(word_counts(corpus), "words", "zstd")
     tokens, distinct = words.where(F.col("id") != BEGIN).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = words.where((F.col("id") == BEGIN) | (F.col("id") != END) & (F.col("n") >= share * tokens)).select("id").collect()
     contexts = np.unique(np.array([BEGIN, *(r.id for r in frequent)], np.int64))
-    corpus = found.where("slice is not null")
+    release(words)
     bits = bits_for(corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bucket)
-    corpus = corpus.drop("id", "n")
     asks = dealt(corpus, contexts, bits)
     light = Light(light_asks(corpus, contexts, bits_for(tokens, light_bucket)), bits) if context_share is None else None
-    state = stored(blocks(asks, len(contexts), light.told() if light else None), "blocks")
+    state = settled(blocks(asks, len(contexts), light.told() if light else None), "blocks")
     state, totals = sampled(state, light, distinct, len(contexts), burn_in, samples, strength)
     answers = looked_up(asks, state, totals, len(contexts))
     if light:
         answers = answers.unionByName(light.answers(samples), allowMissingColumns=True)
+    answers = settled(answers, "answers")
+    release(state)
+    if light:
+        light.release()
     parts = scored(corpus, answers, contexts, totals, tokens, distinct)
     whole = parts.groupBy("owner").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
