@@ -705,12 +705,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     light = Light(light_asks(corpus, contexts, bits_for(tokens, light_bucket)), bits) if context_share is None else None
     state = settled(blocks(asks, len(contexts), light.told() if light else None), "blocks")
     state, totals = sampled(state, light, distinct, len(contexts), burn_in, samples, strength)
-    answers = looked_up(asks, state, totals, len(contexts))
-    if light:
-        answers = answers.unionByName(light.answers(samples), allowMissingColumns=True)
-    answers = settled(answers, "answers")
+    # one kind after the other: the shuffles and tables that led to the first are gone when the second is made
+    answers = settled(looked_up(asks, state, totals, len(contexts)), "answers")
     release(state)
     if light:
+        answers = answers.unionByName(settled(light.answers(samples), "light-answers"), allowMissingColumns=True)
         light.release()
     parts = scored(corpus, answers, contexts, totals, tokens, distinct)
     whole = parts.groupBy("owner").agg(

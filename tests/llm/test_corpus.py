@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -342,6 +343,24 @@ def test_blocks_of_rare_words_do_not_change_scores(spark, rows):
     assert first.keys() == again.keys() and all(abs(first[k] - again[k]) < 1e-5 for k in first)
 
 
+def test_answers_are_stored_one_kind_after_the_other(spark, rows, monkeypatch):
+    """No stored table waits for the shuffles of both kinds of restaurants, and the seating of heavy words is gone before the others answer."""
+    plain, exchanges, seatings, left = pitman_yor.stored, {}, [], {}
+
+    def spy(df, name, *options):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        left[name] = [path for path in seatings if pathlib.Path(path.removeprefix("file:")).exists()]
+        out = plain(df, name, *options)
+        if name in ("blocks", "seating"):
+            seatings.append(out.stored_at)
+        return out
+
+    monkeypatch.setattr(pitman_yor, "stored", spy)
+    assert pitman_yor.lm_scores(table(spark, rows), heavy_share=0.02).count() == len(rows)
+    assert len(left["answers"]) == 1 and exchanges["answers"] == exchanges["light-answers"] == 1
+    assert seatings and not left["light-answers"] and not left["own"]
+
+
 def test_rare_words_tell_what_follows_them(spark):
     """Each of 6,000 words makes up less than CONTEXT_SHARE of the tokens, and is always followed by the same one."""
     rng = random.Random(4)
