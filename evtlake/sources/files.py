@@ -88,6 +88,29 @@ def failures(files: DataFrame) -> DataFrame:
     return files.where("error is not null").select("file", "error")
 
 
+def write_whole(spark: SparkSession, parts: str, file: str) -> None:
+    """One Parquet file of all rows of the Parquet files in the folder ``parts``, which is beside ``file`` and stays there.
+
+    The file is a footer: its row groups name the parts that hold their columns, as the format allows, so no task
+    moves rows. Footers of parts, a few kB each, are put together here.
+    """
+    from pyarrow import fs, parquet
+    folder = parts.rstrip("/").rpartition("/")[2]
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(parts).select("path").sort("path")
+    whole = None
+    for row in found.toLocalIterator():
+        store, path = fs.FileSystem.from_uri(row.path)
+        with store.open_input_file(path) as opened:
+            footer = parquet.read_metadata(opened)
+        footer.set_file_path(f"{folder}/{path.rpartition('/')[2]}")
+        if whole is None:
+            whole, target = footer, f"{path.rpartition(f'/{folder}/')[0]}/{file.rpartition('/')[2]}"
+        else:
+            whole.append_row_groups(footer)
+    with store.open_output_stream(target) as out:
+        whole.write_metadata_file(out)
+
+
 # --- plans over the table -----------------------------------------------------------
 
 

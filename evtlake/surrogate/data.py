@@ -107,7 +107,9 @@ def version_files(spark, sf):
                 "mc_primary_energy": F.when(F.col("event_id") % 10 != 1, F.col("mc_primary_energy"))})}
         for name, df in changes.items():
             df.where(F.col("dir") == name).drop("dir").write.parquet(f"{path}/{FOLDERS[name]}", compression="zstd")
-        full.drop("dir").withColumn(S["x"], F.col(S["x"]).cast("array<string>")).coalesce(1).write.parquet(f"{path}/v3/99999", compression="zstd")
+        rows = f"{path}/v3/99999/_rows"
+        full.drop("dir").withColumn(S["x"], F.col(S["x"]).cast("array<string>")).write.parquet(rows, compression="zstd")
+        files.write_whole(spark, rows, f"{path}/v3/99999/part-0.parquet")
     return once(spark, sf, "versions", write)
 
 

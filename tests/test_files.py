@@ -68,6 +68,27 @@ def test_manifest_counts_failed_files(spark, table):
     assert (rows[None].events, rows[None].failed_files, rows[None].is_total) == (23, 3, 1)
 
 
+def test_one_file_of_many_parts(spark, tmp_path):
+    """A file of all rows that no task holds whole is one file of the table, with all its rows."""
+    from pyarrow import dataset
+    root = f"{tmp_path}/whole/99999"
+    events(spark, range(20)).withColumn("mc_primary_energy", F.lit("high")).repartition(4).write.parquet(f"{root}/_rows")
+    files.write_whole(spark, f"{root}/_rows", f"{root}/part-0.parquet")
+    (found,) = files.file_table(spark, [f"{tmp_path}/whole"]).collect()
+    assert (found.rows, found.error, len(found.row_groups)) == (20, "no numbers in mc_primary_energy", 4)
+    assert sorted(dataset.parquet_dataset(f"{root}/part-0.parquet").to_table(columns=["event_id"])["event_id"].to_pylist()) == list(range(20))
+
+
+def test_the_unusable_version_is_not_read_by_one_task(spark):
+    """Its rows lie in several parts, and it is still one file."""
+    from evtlake.surrogate import data
+    root = data.version_files(spark, "/root/testdata/sf0.01").removeprefix("file:")
+    (bad,) = files.file_table(spark, [f"{root}/v3"]).collect()
+    good = files.file_table(spark, [data.source_files(spark, "/root/testdata/sf0.01")]).agg(F.sum("rows")).first()[0]
+    assert bad.rows == good and len(list(pathlib.Path(f"{root}/v3/99999/_rows").glob("*.parquet"))) > 1
+    assert max(g.rows for g in bad.row_groups) < good
+
+
 def test_only_new_files_are_read_again(spark, tmp_path, monkeypatch):
     root = f"{tmp_path}/grow"
     for i in range(3):
