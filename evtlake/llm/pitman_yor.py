@@ -52,19 +52,21 @@ LIGHT = "bucket bigint, kind int, slice bigint, names binary, once binary, m bin
 PAIRS, LIVE, PLACES, WORDS_OF, TABLES_OF = range(5)
 
 
-#: Spark removes the shuffles of a write when it has ended.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark removes the shuffles of a write when it has ended, and its tasks hold few of the large rows at a time.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8MB"}
 
 
 def settled(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``stored``, after which the shuffles that led to it are removed."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN, None)
-    conf.set(CLEAN, "true")
+    before = {key: conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        conf.set(key, value)
     try:
         return stored(df, name, compression)
     finally:
-        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 # --- texts as slices ----------------------------------------------------------------
@@ -711,7 +713,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     if light:
         answers = answers.unionByName(settled(light.answers(samples), "light-answers"), allowMissingColumns=True)
         light.release()
-    parts = scored(corpus, answers, contexts, totals, tokens, distinct)
+    parts = settled(scored(corpus, answers, contexts, totals, tokens, distinct), "parts")
     whole = parts.groupBy("owner").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
