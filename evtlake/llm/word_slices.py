@@ -6,7 +6,7 @@ starts in exactly one part. A-Z are read in lower case.
 """
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,7 +78,7 @@ def _slice(parts: list[tuple[int, bytes, int, bool]], classes: Classes) -> Slice
     starts, ends = edges[::2], edges[1::2]
     part = np.searchsorted(firsts, starts, "right") - 1
     owned = starts < (firsts + np.array([p[2] for p in parts]))[part]
-    breaks = np.cumsum(kind == 2)[starts] if len(starts) else starts
+    breaks = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else starts
     follows = np.zeros(len(starts), bool)
     follows[:-1] = (part[1:] == part[:-1]) & (breaks[1:] == breaks[:-1])
     letters, lengths = data[flags], ends - starts
@@ -88,7 +88,7 @@ def _slice(parts: list[tuple[int, bytes, int, bool]], classes: Classes) -> Slice
                  coded.indices.to_numpy(), coded.dictionary)
 
 
-def slices(texts: Sequence[str | None], classes: Classes, ahead: int, step: int = STEP) -> Iterator[Slice]:
+def slices(texts: Iterable[str | None], classes: Classes, ahead: int, step: int = STEP) -> Iterator[Slice]:
     """All texts in order, NULL as an empty one. Only the last part of a slice may be cut, and it goes on in the next one."""
     held, size = [], 0
     for row, text in enumerate(texts):

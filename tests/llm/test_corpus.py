@@ -5,10 +5,12 @@ import math
 import pathlib
 import random
 import re
+import tracemalloc
 import zlib
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -361,6 +363,36 @@ def test_answers_are_stored_one_kind_after_the_other(spark, rows, monkeypatch):
     assert seatings and not left["light-answers"] and not left["own"]
 
 
+def light_peak(buckets):
+    """Peak of the task that makes blocks of rare words of ``buckets``, and the largest batch of several rows that it hands over."""
+    class Rows:
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    def asks():
+        for b in range(buckets):
+            rng = np.random.default_rng(b)
+            names, words = (np.unique(rng.integers(1 << 62, 1 << 63, n, np.uint64)) for n in (2000, 5000))
+            m, w = np.full(len(names), 100), np.tile(np.arange(0, 5000, 50), len(names)) + np.repeat(rng.integers(0, 50, len(names)), 100)
+            cells = names.tobytes(), pitman_yor.shrunk(m), words.tobytes(), pitman_yor.shrunk(w.astype(np.int32)), pitman_yor.shrunk(rng.integers(0, 3, len(w)))
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([0]), *[pa.array([x], pa.binary()) for x in cells]], ["bucket", "slice", "names", "m", "words", "w", "c"])
+
+    rows = list(asks())
+    tracemalloc.start()
+    try:
+        sizes = [batch.nbytes for batch in pitman_yor.light_blocks(Rows(), 5)(iter(rows)) if batch.num_rows > 1]
+        return tracemalloc.get_traced_memory()[1], max(sizes, default=0)
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_one_block_at_a_time_and_hands_it_over_in_portions(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PORTION", 50_000, raising=False)
+    light_peak(1)
+    (one, largest), (four, _) = light_peak(1), light_peak(4)
+    assert four < 1.05 * one and largest < 60_000
+
+
 def test_rare_words_tell_what_follows_them(spark):
     """Each of 6,000 words makes up less than CONTEXT_SHARE of the tokens, and is always followed by the same one."""
     rng = random.Random(4)
